@@ -4,8 +4,8 @@ Documents with equal shingle sets form a class, and only a class's first documen
 cost one row. Classes whose signatures agree in a band share a bucket. A bucket isn't paired out: in
 each round one member, the hub, is compared with the others that aren't in its component yet, on full shingle sets, so
 rounds cost rows in proportion to the buckets' sizes, and found links merge components. What large buckets still hold in
-several components after the rounds is compared block by block on signatures first; pairs whose signatures come near the limit are
-verified on full sets. So no link that banding shows is left out, and no group meets in one task.
+several components after the rounds is compared block by block, on signatures first; pairs whose signatures come near the limit are
+verified on full sets where they meet. So no link that banding shows is left out, and no group meets in one task.
 
 Banding: 32 bands of 7 of 224 positions find a pair at likeness 0.85 with probability 0.999996; signatures that agree in
 under NEAR of their positions have likeness 0.85 with probability under 1e-6.
@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from clausewright.llm.common import cut, table, with_python
 from clausewright.llm.components import connected
@@ -27,7 +28,7 @@ from clausewright.llm.components import connected
 BANDS, ROWS = 32, 7
 M = BANDS * ROWS
 NEAR = 0.73
-ROUNDS = 4  # rounds of hubs in buckets of more than SMALL classes, before blocks
+ROUNDS = 2  # rounds of hubs in buckets of more than SMALL classes, before blocks
 SMALL, BLOCK_Y, BLOCK_X, CHUNK = 16, 128, 512, 128
 NO_ID = 2**63 - 1
 MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -39,21 +40,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_words = _Words()
-
-
 def shingles(text: str, n: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of n words, A-Z lower-cased; of all words where there are fewer; empty without words."""
     words = text.encode().lower().split()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     if not len(w):
         return w
     if len(w) < n:
@@ -139,33 +129,72 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return hubs.unionByName(rest).groupBy("u", "salt").applyInPandas(run, "u long, v long")
 
 
-def _block_pairs(live: DataFrame, near: float) -> DataFrame:
-    """Distinct pairs of different components that share a bucket and whose signatures agree in `near` of their positions.
+def _near_pairs(ys: pd.DataFrame, xs: pd.DataFrame, band: int, near: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of ys, rows of xs) of other components whose signatures agree in `near` of their positions, and in no band before this one."""
+    sx, cx = np.frombuffer(b"".join(xs["sig"]), np.uint8).reshape(len(xs), BANDS, ROWS), xs["component"].to_numpy()
+    for i, (comp, sig) in enumerate(zip(ys["component"], ys["sig"], strict=True)):
+        same = sx == np.frombuffer(sig, np.uint8).reshape(BANDS, ROWS)
+        at = np.flatnonzero((cx != comp) & (same.mean(axis=(1, 2)) >= near))
+        if len(at) and len(at := at[same[at].all(axis=2).argmax(axis=1) == band]):
+            yield i, at
 
-    live: node, bucket, component, sig. Members of a bucket's largest component meet only the others; blocks of bounded size meet block by block.
+
+def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near: float) -> DataFrame:
+    """Links between different components that share a bucket and whose signatures agree in `near` of their positions.
+
+    live: node, bucket, band, component, sig. Members of a bucket's largest component meet only the others, block by block of bounded size.
+    A first pass over signatures tells which members have such partners; only these get their texts, in
+    a second pass that verifies each pair in the first band it shares. Pairs never become rows.
     """
     per = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     top = per.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("kinds > 1")
     top = top.select("bucket", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_Y).cast("int").alias("ys"), F.ceil(F.col("all") / BLOCK_X).cast("int").alias("xs"))
-    rows = live.join(top, "bucket").select("node", "bucket", "component", "sig", "ys", "xs", (F.col("component") != F.col("main")).alias("minor"))
+    rows = live.join(top, "bucket").withColumn("minor", F.col("component") != F.col("main"))
     own_y, own_x = F.expr("cast(pmod(xxhash64(node, 1), ys) as int)"), F.expr("cast(pmod(xxhash64(node, 2), xs) as int)")
     y = rows.filter("minor").withColumns({"yb": own_y, "xb": F.explode(F.sequence(F.lit(0), F.col("xs") - 1)), "side": F.lit("y")})
     x = rows.withColumns({"xb": own_x, "yb": F.explode(F.sequence(F.lit(0), F.col("ys") - 1)), "side": F.lit("x")})
+    block = ["bucket", "yb", "xb"]
+    pick = [*block, "band", "side", "node", "component", "sig"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def involved(rows: pd.DataFrame) -> pd.DataFrame:
+        ys, xs = rows[rows["side"] == "y"], rows[rows["side"] == "x"]
+        if not len(ys) or not len(xs):
+            return rows.iloc[:0]
+        hit_y, hit_x = np.zeros(len(ys), bool), np.zeros(len(xs), bool)
+        for i, at in _near_pairs(ys, xs, int(rows["band"].iloc[0]), near):
+            hit_y[i] = hit_x[at] = True
+        return pd.concat([ys[hit_y], xs[hit_x]])
+
+    def verified(rows: pd.DataFrame) -> pd.DataFrame:
         ys, xs = rows[rows["side"] == "y"], rows[rows["side"] == "x"]
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(ys) and len(xs):
-            sx, nx, cx = np.frombuffer(b"".join(xs["sig"]), np.uint8).reshape(len(xs), -1), xs["node"].to_numpy(), xs["component"].to_numpy()
-            for node, comp, sig in zip(ys["node"], ys["component"], ys["sig"], strict=True):
-                at = nx[((sx == np.frombuffer(sig, np.uint8)).mean(axis=1) >= near) & (cx != comp)]
-                us.append(np.full(len(at), node, np.int64))
-                vs.append(at)
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+        us, vs = ys["node"].to_numpy(), xs["node"].to_numpy()
+        cy, cx, ty, tx = ys["component"].to_numpy(), xs["component"].to_numpy(), ys["t"].to_numpy(), xs["t"].to_numpy()
+        found = []
+        for i, at in _near_pairs(ys, xs, int(rows["band"].iloc[0]), near) if len(ys) and len(xs) else ():
+            for j in at:
+                if (p := find(cy[i])) == (q := find(cx[j])):
+                    continue
+                a, b = (sets[k] if k in sets else sets.setdefault(k, shingles(t, n)) for k, t in ((us[i], ty[i]), (vs[j], tx[j])))
+                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                    continue
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * same >= percent * (len(a) + len(b) - same):
+                    root[p] = q
+                    found.append((us[i], vs[j]))
+        return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
 
-    pick = ["bucket", "yb", "xb", "side", "node", "component", "sig"]
-    return y.select(pick).unionByName(x.select(pick)).groupBy("bucket", "yb", "xb").applyInPandas(run, "u long, v long").distinct()
+    some = y.select(pick).unionByName(x.select(pick))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields)
+    some = cut(some.groupBy(block).applyInPandas(involved, kinds), "involved")
+    return some.join(texts, "node").groupBy(block).applyInPandas(verified, "u long, v long")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -181,46 +210,38 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     classes = cut(signed.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min(node).alias("node"), F.first("sig").alias("sig")), "classes")
 
     buckets = classes.select("node", F.posexplode(F.array(*[F.substring("sig", ROWS * b + 1, ROWS) for b in range(BANDS)])).alias("band", "key"))
-    buckets = buckets.select("node", F.xxhash64("band", "key").alias("bucket"))
+    buckets = buckets.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     live = cut(buckets.join(sizes, "bucket"), "live")
-    nodes = live.groupBy("node").agg(F.sum("size").alias("degree"))
+    nodes = cut(live.groupBy("node").agg(F.sum("size").alias("degree")), "nodes")
     texts = cut(ready.withColumn("node", node).join(nodes.select("node"), "node").select("node", "t").dropDuplicates(["node"]), "texts")
 
-    links, parts = None, None
+    parts = nodes.select("node", "degree", F.col("node").alias("component"))
     tested = None
-    for turn in range(ROUNDS):
-        now = live if turn == 0 else live.filter(F.col("size") > SMALL)
-        if parts is not None:
-            now = now.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            now = now.withColumn("component", F.col("node"))
-        now = now.join(nodes, "node") if turn == 0 else now.withColumn("degree", F.xxhash64("node", F.lit(turn)))
-        hubs = now.groupBy("bucket").agg(F.max(F.struct("degree", "node", "component")).alias("hub"))
+
+    def merged(parts: DataFrame, found: DataFrame) -> DataFrame:
+        """parts after the links found: what is contracted are the components, so edges are as few as merges."""
+        of = parts.select("node", "component")
+        ends = found.join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
+        into = connected(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        return cut(parts.join(into, "component", "left").select("node", "degree", F.coalesce("into", "component").alias("component")), "parts")
+
+    large = live.filter(F.col("size") > SMALL)
+    for turn in range(ROUNDS if not large.isEmpty() else 1):
+        now = (large if turn else live).join(parts, "node")
+        rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("degree")
+        hubs = now.groupBy("bucket").agg(F.max(F.struct(rank, "node", "component")).alias("hub"))
         pairs = now.join(hubs, "bucket").filter("component <> hub.component").select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = cut(pairs, "pairs")
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut(_verify(pairs, texts, n, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            break
-        parts = cut(connected(links), "parts")
-        links = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        if live.filter(F.col("size") > SMALL).isEmpty():
-            break
-    now = live if parts is None else live.join(parts, "node", "left")
-    now = now.withColumn("component", F.coalesce("component", "node") if parts is not None else F.col("node"))
-    rest = _block_pairs(now.join(classes.select("node", "sig"), "node"), NEAR)
-    backward = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = cut(rest.join(backward, ["u", "v"], "left_anti"), "rest")
-    found = cut(_verify(rest, texts, n, percent), "links")
+        if not found.isEmpty():
+            parts = merged(parts, found)
+    found = cut(_block_links(live.join(parts, "node").join(classes.select("node", "sig"), "node"), texts, n, percent, NEAR), "links")
     if not found.isEmpty():
-        parts = cut(connected(found if parts is None else links.unionByName(found)), "parts")
+        parts = merged(parts, found)
 
-    own = classes.select("c1", "c2", "node")
-    own = own.withColumn("component", F.col("node")) if parts is None else own.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = classes.select("c1", "c2", "node").join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     out = signed.join(own.select("c1", "c2", "component"), ["c1", "c2"], "left")
     component = F.coalesce("component", node)
     return out.select("doc_id", "n_shingles", F.nullif(component, F.lit(NO_ID)).alias("component_id"), (component == node).alias("kept"))

@@ -41,11 +41,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again.
 
     Later jobs start from the files, so a lost executor costs only the tasks it ran, and
-    a plan that is used several times runs once.
+    a plan that is used several times runs once. Shuffle files of the write go when it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,16 +13,18 @@ of segments at a repeat's ends are compared one by one. Every count combines on
 
 from __future__ import annotations
 
-import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from clausewright.llm.common import cut, table
 
 WINDOW, LEVELS = 13, 2
+BATCH = 64  # rows that are parsed at once
 NO_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -35,17 +37,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_words = _Words()
-
-
 def _merged(keep: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Contexts of new symbols that begin at the old ones `keep`: from the old symbol before to the one after."""
     left = np.concatenate(([-1], first))[keep]
@@ -61,7 +52,7 @@ def symbols(w: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray
     """
     name, n = w, len(w)
     first, last = np.arange(n), np.arange(1, n + 1)
-    for level in range(levels):
+    for level in range(levels if n else 0):
         keep = np.flatnonzero(np.append(True, name[1:] != name[:-1]))  # runs
         length = np.diff(np.append(keep, len(name))).astype(np.uint64)
         letter = name[keep]
@@ -76,37 +67,47 @@ def symbols(w: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray
 
 
 class Parse:
-    """What a document's words say about its windows: names, hashes, and the segments of equal names."""
-
-    def __init__(self, text: str, window: int = WINDOW) -> None:
-        self.words = text.encode().split()
-        n = len(self.words)
-        self.n = max(0, n - window + 1)
-        if not self.n:
-            return
-        w = np.fromiter(map(_words.__getitem__, self.words), np.uint64, n)
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(_BASE))))
-            self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(_INVERSE))))
-            self.sums = np.append(np.uint64(0), np.cumsum(w * power[:-1]))
-            at = np.arange(self.n)
-            self.window = _mix(self.span(at, at + window))
-            name, first, last = symbols(w)
-            inside = (first >= 0) & (last <= n)
-            first, last = first[inside], last[inside]
-            h = _mix(self.span(first, last) ^ (name[inside] * C3))
-            lo, hi = np.searchsorted(first, at), np.searchsorted(last, at + window, side="right")
-            self.name = _mix(self.window ^ C4)  # of windows that hold no context
-            low, size = h, 1
-            while len(low):  # least hash of the symbols lo to hi, from least hashes of 1, 2, 4, 8 neighbours
-                some = (hi - lo >= size) & (hi - lo < 2 * size)
-                self.name[some] = np.minimum(low[lo[some]], low[hi[some] - size])
-                if 2 * size > window:
-                    break
-                low, size = np.minimum(low[:-size], low[size:]), 2 * size
-            begin = np.flatnonzero(np.append(True, self.name[1:] != self.name[:-1]))
-            self.begin, self.end = begin, np.append(begin[1:], self.n)
-            self.segment = _mix(self.span(begin, self.end + window - 1) + self.name[begin] * C3)
+    """What the words of some documents say about their windows: names, hashes, and the segments of equal names.
+
+    The documents are parsed as one sequence with a word of its own between any two, so the work on arrays is shared.
+    No window spans such a word, so none of the symbols whose context does has any effect.
+    """
+
+    def __init__(self, texts: list[str], window: int = WINDOW) -> None:
+        self.words = [t.encode().split() for t in texts]
+        size = np.array([len(w) for w in self.words], np.int64)
+        start = np.cumsum(np.append(0, size[:-1] + 1))
+        n = int(size.sum()) + len(size) - 1
+        w = np.zeros(n, np.uint64)
+        between = np.ones(n, bool)
+        between[start[1:] - 1] = False
+        w[between] = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(self.words)), np.uint64, int(size.sum()))
+        w[~between] = _mix(np.arange(len(size) - 1, dtype=np.uint64) + C4)
+        count = np.maximum(0, size - window + 1)
+        self.count = np.cumsum(np.append(0, count))  # windows of document i: count[i] to count[i + 1]
+        self.doc = np.repeat(np.arange(len(size)), count)
+        at = np.repeat(start - self.count[:-1], count) + np.arange(self.count[-1])
+        power = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(_BASE))))
+        self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(_INVERSE))))
+        self.sums = np.append(np.uint64(0), np.cumsum(w * power[:-1]))
+        self.window = _mix(self.span(at, at + window))
+        self.name = _mix(self.window ^ C4)  # stays for windows that hold no context
+        name, first, last = symbols(w)
+        inside = (first >= 0) & (last <= n)
+        first, last = first[inside], last[inside]
+        low, many = _mix(self.span(first, last) ^ (name[inside] * C3)), 1
+        lo, hi = np.searchsorted(first, at), np.searchsorted(last, at + window, side="right")
+        while len(low):  # least hash of the symbols lo to hi, from least hashes of 1, 2, 4, 8 neighbours
+            some = np.flatnonzero((hi - lo >= many) & (hi - lo < 2 * many))
+            self.name[some] = np.minimum(low[lo[some]], low[hi[some] - many])
+            if 2 * many > window:
+                break
+            low, many = np.minimum(low[:-many], low[many:]), 2 * many
+        new = np.append(True, (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1]))[: len(self.name)]
+        self.begin = np.flatnonzero(new)
+        self.end = np.append(self.begin[1:], len(self.name))[: len(self.begin)]
+        self.segment = _mix(self.span(at[self.begin], at[self.end - 1] + window) + self.name[self.begin] * C3)
+        self.start, self.at = start, at
 
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash of the words a to b, wherever they stand."""
@@ -117,16 +118,24 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _distinct(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Places of the first of each equal (doc, value)."""
+    order = np.lexsort((value, doc))
+    d, v = doc[order], value[order]
+    return order[np.append(True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]))[: len(order)]]
+
+
 def _names(docs: DataFrame, window: int) -> DataFrame:
     """(name, node): the distinct window names of each row."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [np.unique(p.name) if (p := Parse(t, window)).n else np.zeros(0, np.uint64) for t in part.column("t").to_pylist()]
-                nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(m) for m in made])
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(made)), pa.array(nodes)], names=["name", "node"])
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                p = Parse(part.column("t").to_pylist(), window)
+                one = _distinct(p.doc[p.begin], p.name[p.begin])
+                node = part.column("node").to_numpy(zero_copy_only=False)[p.doc[p.begin[one]]]
+                yield pa.RecordBatch.from_arrays([_signed(p.name[p.begin[one]]), pa.array(node)], names=["name", "node"])
 
     return docs.select("node", "t").mapInArrow(run, "name long, node long")
 
@@ -136,20 +145,23 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                p = Parse(batch.column("t")[row].as_py(), window)
-                shared = np.array(batch.column("shared")[row].as_py(), np.int64).view(np.uint64)
-                if not p.n:
-                    continue
-                _, one = np.unique(p.segment, return_index=True)
-                one = one[np.isin(p.name[p.begin[one]], shared)]
-                if not len(one):
-                    continue
+            for row in range(0, batch.num_rows, BATCH):
+                part = batch.slice(row, BATCH)
+                p = Parse(part.column("t").to_pylist(), window)
+                lists = part.column("shared")
+                of = p.doc[p.begin]
+                ok = np.zeros(len(of), bool)
+                edges = np.searchsorted(of, np.arange(part.num_rows + 1))
+                for i in range(part.num_rows):
+                    own = slice(edges[i], edges[i + 1])
+                    ok[own] = np.isin(p.name[p.begin[own]], lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                one = np.flatnonzero(ok)
+                one = one[_distinct(of[one], p.segment[one])]
                 a, b = p.begin[one], p.end[one]
                 offsets = np.append(0, np.cumsum(b - a))
                 flat = p.window[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
                 windows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(flat))
-                node = pa.array(np.full(len(one), batch.column("node")[row].as_py(), np.int64))
+                node = pa.array(part.column("node").to_numpy(zero_copy_only=False)[of[one]])
                 yield pa.RecordBatch.from_arrays([node, _signed(p.name[a]), _signed(p.segment[one]), windows], names=["node", "name", "segment", "windows"])
 
     return docs.select("node", "t", "shared").mapInArrow(run, "node long, name long, segment long, windows array<long>")
@@ -158,25 +170,24 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
 def _without(docs: DataFrame, id_type: str, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                n_words, n_removed, kept = [], [], []
-                for t, gone in zip(part.column("t").to_pylist(), part.column("gone"), strict=True):
-                    p = Parse(t, window)
-                    words = p.words
-                    if p.n and gone.is_valid:
-                        these = gone.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                        hit = np.isin(p.window, these)
-                        whole = np.isin(p.segment, these)
-                        hit |= np.repeat(whole, p.end - p.begin)
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edge, np.flatnonzero(hit), 1)
-                        np.add.at(edge, np.flatnonzero(hit) + window, -1)
-                        words = [w for w, c in zip(p.words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
-                    n_words.append(len(p.words))
-                    n_removed.append(len(p.words) - len(words))
-                    kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            for row in range(0, batch.num_rows, BATCH):
+                part = batch.slice(row, BATCH)
+                texts, gone = part.column("t").to_pylist(), part.column("gone")
+                some = [i for i in range(len(texts)) if gone[i].is_valid]
+                p = Parse([texts[i] for i in some] or [""], window)
+                words = {i: t.encode().split() for i, t in enumerate(texts) if not gone[i].is_valid} | dict(zip(some, p.words, strict=False))
+                kept = {i: words[i] for i in range(len(texts))}
+                edges = np.searchsorted(p.doc[p.begin], np.arange(len(p.words) + 1))
+                for k, i in enumerate(some):
+                    these = gone[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    own = slice(edges[k], edges[k + 1])
+                    hit = np.isin(p.window[p.count[k] : p.count[k + 1]], these) | np.repeat(np.isin(p.segment[own], these), p.end[own] - p.begin[own])
+                    edge = np.zeros(len(words[i]) + 1, np.int64)
+                    edge[np.flatnonzero(hit)] += 1
+                    edge[np.flatnonzero(hit) + window] -= 1
+                    kept[i] = [w for w, c in zip(words[i], np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
+                columns = [part.column("doc_id"), *(pa.array([f(i) for i in range(len(texts))], t) for f, t in ((lambda i: len(words[i]), pa.int64()), (lambda i: len(words[i]) - len(kept[i]), pa.int64()), (lambda i: b" ".join(kept[i]).decode(), pa.string())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return docs.select("doc_id", "t", "gone").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
 
@@ -189,9 +200,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     integers. An empty table gives an empty result.
     """
     ready = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(text, F.lit("")).alias("t"))
-    named = _names(ready, window)
+    named = cut(_names(ready, window), "names")
     shared = named.groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("name")
-    lists = named.join(shared, "name").groupBy("node").agg(F.collect_list("name").alias("shared"))
+    lists = cut(named.join(cut(shared, "shared"), "name").groupBy("node").agg(F.collect_list("name").alias("shared")), "lists")
     segments = cut(_segments(ready.join(lists, "node"), window), "segments")
 
     first = segments.groupBy("name", "segment").agg(F.min("node").alias("least"))
@@ -202,6 +213,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = told.groupBy("name", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     single = told.join(least, ["name", "hash"]).filter("node > least").select("node", "hash")
     gone = whole.unionByName(single).groupBy(F.col("node").alias("gone_node")).agg(F.collect_set("hash").alias("gone"))
+    gone = cut(gone, "gone")
     id_type = ready.schema["doc_id"].dataType.simpleString()
     return _without(ready.join(gone, F.col("node") == F.col("gone_node"), "left"), id_type, window)
 

@@ -11,7 +11,9 @@ evenly over partitions.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,8 @@ from clausewright.llm.common import table, with_python
 
 LENGTH, BITS, DIMS, BUCKETS = 2048, 12, 3, 256
 END = (1).to_bytes(4, "little")
-#: Words kept per worker with their ids; beyond that the store starts anew.
-STORE = 200_000
+#: Words kept per worker with their ids, in each of the store's two halves; a full one becomes the elder and a new one begins.
+STORE = 300_000
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​]")
 
@@ -73,31 +75,37 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class WordIds(dict):
-    """Ids (unsigned, little-endian, four bytes each) of a word with the white space before it, made when first asked for.
+    """Token ids (unsigned, little-endian, four bytes each) of a word with the white space before it, made when first asked for.
 
     No token of the vocabulary spans the border from a word to the blank or line end after it, so a text's ids are those of its
-    pieces. Texts with other white space, whose borders differ, are encoded whole.
+    pieces; a full stop or comma that ends a piece after a letter is a piece of its own. Texts with other white space, whose borders
+    differ, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.elder: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.elder.get(piece)
+        if ids is None:
+            ids = self[piece[:-1]] + self[piece[-1]] if piece[-1] in ".," and piece[-2:-1].isalpha() else self.whole(piece)
         if len(self) >= STORE:
+            self.elder = dict(self)
             self.clear()
-        ids = self.whole(piece)
         if len(piece) <= 40:
             self[piece] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str) -> bytes:
-        return self.whole(text) if _OTHER_SPACE.search(text) else b"".join(map(self.__getitem__, _PIECE.findall(text)))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [self.whole(t) if _OTHER_SPACE.search(t) else b"".join(map(self.__getitem__, _PIECE.findall(t))) for t in texts]
 
 
 def _stores() -> dict[str, WordIds]:
@@ -149,8 +157,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
             id_type = id_type or batch.column("doc_id").type
             for row in range(0, batch.num_rows, 128):
                 piece = batch.slice(row, 128)
-                for doc, t in zip(piece.column("doc_id").to_pylist(), piece.column("t").to_pylist(), strict=True):
-                    ids = store.ids(t) + END
+                for doc, ids in zip(piece.column("doc_id").to_pylist(), store.ids(piece.column("t").to_pylist()), strict=True):
+                    ids += END
                     total, start = len(ids) // 4, 0
                     while start < total:
                         n_ids = min(length - held, total - start)

@@ -20,6 +20,8 @@ from clausewright.llm.common import WORD, cut, table
 #: Characters that count against a text's quality weight.
 JUNK = "0123456789|#{}<>[]_=*~^@\\/$%&+"
 FAN = 256
+#: Sources whose goals (six numbers each) go to every task at most.
+FEW_SOURCES = 50_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -94,6 +96,9 @@ def sample_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     leaf_end = ends(to_source(leaves, group_end).filter(F.col("group") == F.col("end_group")), "leaf", ["source"])
     goal = to_source(goal, leaf_end.select("source", F.col("leaf").alias("end_leaf"), "prior"), "left").fillna({"end_leaf": -1, "prior": 0})
 
+    goal = cut(goal, "mix-goal")
+    if goal.count() <= FEW_SOURCES:  # a row a source; beyond that the join is a shuffle, which adaptive execution splits where a source is hot
+        goal = F.broadcast(goal)
     rows = to_source(sized, goal)
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.filter(F.col("leaf") == F.col("end_leaf")).withColumn("part", F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("prior") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.common import table, with_python
 
-#: Labelled rows of each class, and words, that a fit uses at most.
-FIT_ROWS, FIT_WORDS = 1500, 5000
+#: Labelled rows of each class, and features, that a fit uses at most.
+FIT_ROWS, FIT_WORDS = 1500, 2000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -30,37 +30,60 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return [(m.start(), m.end(), w) for m in SENTENCE.finditer(text) if (w := TOKEN.findall(m[0].lower()))]
 
 
+def features(word: str) -> list[str]:
+    """The word, and its beginnings of three to six letters, marked: word forms that share a stem share those."""
+    return [word, *(word[:n] + "^" for n in range(3, min(6, len(word)) + 1))]
+
+
+class _Weights(dict):
+    """Weight of a word as the sum of its features', kept for words seen."""
+
+    def __init__(self, known: dict[str, float]) -> None:
+        self.known = known
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = x = sum(self.known.get(f, 0.0) for f in features(word))
+        return x
+
+
 class Model:
-    """Word weights and a bias; a word's repeats in a sentence count once."""
+    """Feature weights and a bias; a word's repeats in a sentence count once."""
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
 
+    def __getstate__(self) -> tuple:
+        return self.weights, self.bias
+
+    def __setstate__(self, state: tuple) -> None:
+        self.weights, self.bias = state
+        self.words = _Weights(self.weights)
+
+    @property
+    def of_word(self):
+        if not hasattr(self, "words"):
+            self.words = _Weights(self.weights)
+        return self.words.__getitem__
+
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        get = self.weights.get
-        return [(a, b, 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(get(w, 0.0) for w in set(words))))))) for a, b, words in sentences(text)]
+        return [(a, b, 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(map(self.of_word, set(words)))))))) for a, b, words in sentences(text)]
 
     def score(self, text: str) -> float:
-        """Noisy-or over the sentences; 0 for a text without any.
-
-        Sentences without a known word share one score, so only the others are looked at one by one.
-        """
-        get, clean, log = self.weights.get, 0, 0.0
+        """Noisy-or over the sentences; 0 for a text without any."""
+        get, log = self.of_word, 0.0
         for part in SENTENCE.findall(text.lower()):
             words = TOKEN.findall(part)
             if words:
-                known = [w for w in words if w in self.weights]
-                if known:
-                    log -= math.log1p(math.exp(min(30.0, self.bias + sum(map(get, set(known))))))
-                else:
-                    clean += 1
-        return min(1.0, max(0.0, 1.0 - math.exp(log - clean * math.log1p(math.exp(self.bias)))))
+                log -= math.log1p(math.exp(min(30.0, self.bias + sum(map(get, set(words))))))
+        return min(1.0, max(0.0, 1.0 - math.exp(log)))
 
 
 def fit_bags(texts: list[str], labels: list[int], words: int = FIT_WORDS, steps: int = 200, rate: float = 0.15, decay: float = 1e-4) -> Model:
     """Maximum likelihood of document labels under noisy-or, by Adam on full batches.
 
-    Words are those in at least three documents, the most telling first by the absolute log ratio of their shares
+    Features are those in at least three documents, the most telling first by the absolute log ratio of their shares
     in the two classes. Both classes weigh alike. Without both labels there is nothing to tell apart, and every score is near 0.
     """
     if len(set(labels)) < 2:
@@ -70,7 +93,7 @@ def fit_bags(texts: list[str], labels: list[int], words: int = FIT_WORDS, steps:
     bags = [b for b in bags if b]
     seen: dict[str, list[int]] = {}
     for bag, label in zip(bags, y, strict=True):
-        for w in {w for s in bag for w in s}:
+        for w in {f for s in bag for w in s for f in features(w)}:
             seen.setdefault(w, [0, 0])[int(label)] += 1
     n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     telling = lambda w: abs(math.log((seen[w][1] + 0.5) / (n1 + 1)) - math.log((seen[w][0] + 0.5) / (n0 + 1))) * math.sqrt(sum(seen[w]))
@@ -79,7 +102,7 @@ def fit_bags(texts: list[str], labels: list[int], words: int = FIT_WORDS, steps:
     word, sentence, document, k = [], [], [], 0
     for d, bag in enumerate(bags):
         for s in bag:
-            known = [chosen[w] for w in s if w in chosen]
+            known = [chosen[f] for w in s for f in features(w) if f in chosen]
             word += known
             sentence += [k] * len(known)
             document.append(d)
@@ -128,7 +151,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     Texts that are null, empty or without words score 0 and have no worst sentence. Rows are scored alone, whole; repeated rows and
     null ids give a row each, an empty table none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FIT_WORDS weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FIT_WORDS weights
 
     def run(texts: list[str]) -> dict:
         m = shared.value

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +75,27 @@ def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, An
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in keep] + [n for n, _ in arrow])
 
     return df.mapInArrow(run, StructType(keep + added.fields))
+
+
+def in_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], fields: str, order: list[str] | None = None) -> DataFrame:
+    """Runs fn on whole groups of equal keys (integers, not null), many small groups at a time; for groups that are bounded.
+
+    fn gets a batch that holds groups one after another, sorted by `order` within each, and the row numbers where groups begin, with
+    the batch's length at the end. A conversion for each group would cost more than most groups' work.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.concat_batches([*rest, batch])
+            cols = [part.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            begin = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))
+            if begin[-1]:
+                yield from fn(part.slice(0, begin[-1]), begin)
+            rest = [part.slice(begin[-1])]
+        if rest:
+            yield from fn(rest[0], np.array([0, rest[0].num_rows]))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, fields)

@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from clausewright.llm.common import cut, table, with_python
+from clausewright.llm.common import cut, in_groups, table, with_python
 from clausewright.llm.components import connected
 
 BANDS, ROWS = 32, 7
@@ -30,6 +31,8 @@ M = BANDS * ROWS
 NEAR = 0.73
 ROUNDS = 2  # rounds of hubs in buckets of more than SMALL classes, before blocks
 SMALL, BLOCK_Y, BLOCK_X, CHUNK = 16, 128, 512, 128
+PAIRS = 4096  # pairs of signatures that are compared at once
+LANES = np.uint64(0x0101010101010101)
 NO_ID = 2**63 - 1
 MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -113,30 +116,47 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     rest = dealt.join(texts, dealt["v"] == texts["node"]).select("u", "salt", "node", "t", F.lit(False).alias("hub"))
     hubs = dealt.select("u", "salt").distinct().join(texts, F.col("u") == texts["node"]).select("u", "salt", "node", "t", F.lit(True).alias("hub"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found, hub = [], None
-        for is_hub in (True, False):
-            for node, t in zip(rows.loc[rows["hub"] == is_hub, "node"], rows.loc[rows["hub"] == is_hub, "t"], strict=True):
-                s = shingles(t, n)
-                if is_hub:
-                    hub = s
-                    continue
-                same = len(np.intersect1d(hub, s, assume_unique=True))
-                if 100 * same >= percent * (len(hub) + len(s) - same):
-                    found.append(node)
-        return pd.DataFrame({"u": np.full(len(found), key[0], np.int64), "v": np.array(found, np.int64)})
-
-    return hubs.unionByName(rest).groupBy("u", "salt").applyInPandas(run, "u long, v long")
-
-
-def _near_pairs(ys: pd.DataFrame, xs: pd.DataFrame, band: int, near: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of ys, rows of xs) of other components whose signatures agree in `near` of their positions, and in no band before this one."""
-    sx, cx = np.frombuffer(b"".join(xs["sig"]), np.uint8).reshape(len(xs), BANDS, ROWS), xs["component"].to_numpy()
-    for i, (comp, sig) in enumerate(zip(ys["component"], ys["sig"], strict=True)):
-        same = sx == np.frombuffer(sig, np.uint8).reshape(BANDS, ROWS)
-        at = np.flatnonzero((cx != comp) & (same.mean(axis=(1, 2)) >= near))
-        if len(at) and len(at := at[same[at].all(axis=2).argmax(axis=1) == band]):
-            yield i, at
+    def run(part: pa.RecordBatch, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, is_hub, texts = part.column("node").to_numpy(), part.column("hub").to_pylist(), part.column("t")
+        us, vs, hub = [], [], None
+        for a, b in pairwise(begin.tolist()):
+            for i in range(a, b):  # the hub comes first
+                s = shingles(texts[i].as_py(), n)
+                if is_hub[i]:
+                    hub, u = s, node[i]
+                elif _alike(hub, s, percent):
+                    us.append(u)
+                    vs.append(node[i])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    rows = hubs.unionByName(rest).withColumn("after", (~F.col("hub")).cast("int"))
+    return in_groups(rows, ["u", "salt"], run, "u long, v long", ["after"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * |intersection| >= percent * |union|, for sets as sorted arrays."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+def _near_pairs(sy: np.ndarray, cy: np.ndarray, sx: np.ndarray, cx: np.ndarray, band: int, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of other components whose signatures agree in `near` of their positions, and in no band before this one."""
+    found_i, found_j = [], []
+    step = max(1, PAIRS // max(1, len(sx)))
+    for at in range(0, len(sy), step):
+        same = sy[at : at + step, None] == sx[None]
+        # eight counters a word, each up to M / 8; their sum stays under 256
+        agree = (same.view(np.uint64).sum(axis=2) * LANES) >> np.uint64(56)
+        i, j = np.nonzero((cy[at : at + step, None] != cx[None]) & (agree >= near * M))
+        if len(i):
+            first = same[i, j].reshape(len(i), BANDS, ROWS).all(axis=2)
+            ok = first.any(axis=1) & (first.argmax(axis=1) == band)
+            found_i.append(i[ok] + at)
+            found_j.append(j[ok])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
 def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near: float) -> DataFrame:
@@ -151,50 +171,53 @@ def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near:
     top = top.select("bucket", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_Y).cast("int").alias("ys"), F.ceil(F.col("all") / BLOCK_X).cast("int").alias("xs"))
     rows = live.join(top, "bucket").withColumn("minor", F.col("component") != F.col("main"))
     own_y, own_x = F.expr("cast(pmod(xxhash64(node, 1), ys) as int)"), F.expr("cast(pmod(xxhash64(node, 2), xs) as int)")
-    y = rows.filter("minor").withColumns({"yb": own_y, "xb": F.explode(F.sequence(F.lit(0), F.col("xs") - 1)), "side": F.lit("y")})
-    x = rows.withColumns({"xb": own_x, "yb": F.explode(F.sequence(F.lit(0), F.col("ys") - 1)), "side": F.lit("x")})
+    y = rows.filter("minor").withColumns({"yb": own_y, "xb": F.explode(F.sequence(F.lit(0), F.col("xs") - 1)), "right": F.lit(0)})
+    x = rows.withColumns({"xb": own_x, "yb": F.explode(F.sequence(F.lit(0), F.col("ys") - 1)), "right": F.lit(1)})
     block = ["bucket", "yb", "xb"]
-    pick = [*block, "band", "side", "node", "component", "sig"]
-
-    def involved(rows: pd.DataFrame) -> pd.DataFrame:
-        ys, xs = rows[rows["side"] == "y"], rows[rows["side"] == "x"]
-        if not len(ys) or not len(xs):
-            return rows.iloc[:0]
-        hit_y, hit_x = np.zeros(len(ys), bool), np.zeros(len(xs), bool)
-        for i, at in _near_pairs(ys, xs, int(rows["band"].iloc[0]), near):
-            hit_y[i] = hit_x[at] = True
-        return pd.concat([ys[hit_y], xs[hit_x]])
-
-    def verified(rows: pd.DataFrame) -> pd.DataFrame:
-        ys, xs = rows[rows["side"] == "y"], rows[rows["side"] == "x"]
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while (up := root.get(c, c)) != c:
-                c = up
-            return c
-
-        sets: dict[int, np.ndarray] = {}
-        us, vs = ys["node"].to_numpy(), xs["node"].to_numpy()
-        cy, cx, ty, tx = ys["component"].to_numpy(), xs["component"].to_numpy(), ys["t"].to_numpy(), xs["t"].to_numpy()
-        found = []
-        for i, at in _near_pairs(ys, xs, int(rows["band"].iloc[0]), near) if len(ys) and len(xs) else ():
-            for j in at:
-                if (p := find(cy[i])) == (q := find(cx[j])):
-                    continue
-                a, b = (sets[k] if k in sets else sets.setdefault(k, shingles(t, n)) for k, t in ((us[i], ty[i]), (vs[j], tx[j])))
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+    pick = [*block, "band", "right", "node", "component", "sig"]
+
+    def near_in(part: pa.RecordBatch, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each block, the rows of the batch that make near pairs: of y, of x."""
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, M)
+        component, band, right = part.column("component").to_numpy(), part.column("band").to_numpy(), part.column("right").to_numpy()
+        middle = np.add.reduceat(1 - right, begin[:-1]) + begin[:-1]
+        for a, m, b in zip(begin[:-1].tolist(), middle.tolist(), begin[1:].tolist(), strict=True):
+            if a < m < b:
+                i, j = _near_pairs(sig[a:m], component[a:m], sig[m:b], component[m:b], band[a], near)
+                yield i + a, j + m
+
+    def involved(part: pa.RecordBatch, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hit = np.zeros(part.num_rows, bool)
+        for i, j in near_in(part, begin):
+            hit[i] = hit[j] = True
+        yield part.filter(pa.array(hit))
+
+    def verified(part: pa.RecordBatch, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, component, texts = part.column("node").to_numpy(), part.column("component").to_numpy(), part.column("t")
+        us, vs = [], []
+        for ii, jj in near_in(part, begin):
+            root: dict[int, int] = {}
+            sets: dict[int, np.ndarray] = {}
+
+            def find(c: int) -> int:
+                while (up := root.get(c, c)) != c:  # noqa: B023
+                    c = up
+                return c
+
+            for i, j in zip(ii.tolist(), jj.tolist(), strict=True):
+                if (p := find(component[i])) == (q := find(component[j])):
                     continue
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * same >= percent * (len(a) + len(b) - same):
+                a, b = (sets[k] if k in sets else sets.setdefault(k, shingles(texts[k].as_py(), n)) for k in (i, j))
+                if _alike(a, b, percent):
                     root[p] = q
-                    found.append((us[i], vs[j]))
-        return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
+                    us.append(node[i])
+                    vs.append(node[j])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     some = y.select(pick).unionByName(x.select(pick))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields)
-    some = cut(some.groupBy(block).applyInPandas(involved, kinds), "involved")
-    return some.join(texts, "node").groupBy(block).applyInPandas(verified, "u long, v long")
+    some = cut(in_groups(some, block, involved, kinds, ["right"]), "involved")
+    return in_groups(some.join(texts, "node").select(*pick, "t"), block, verified, "u long, v long", ["right"])
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -56,6 +56,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once all that is made from them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, Any]], fields: str, rows: int = 128) -> DataFrame:
     """Replaces the column text by the columns of the DDL string fields, which fn makes from lists of texts.
 

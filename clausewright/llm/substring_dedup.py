@@ -8,11 +8,13 @@ of the symbols whose context lies in it, so equal windows have equal names; wind
 
 Spark then finds what is shared. Names seen in one document only are settled. For the others, the stretch of windows that
 share one symbol is a segment; inside a long repeat segments agree as a whole, so one hash verifies many windows, and only the windows
-of segments at a repeat's ends are compared one by one. Every count combines on the map side.
+of segments at a repeat's ends are compared one by one. Every count combines on the map side. Names are dealt
+in slices by their hash, and what a slice needed goes before the next, which bounds the disk in use.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -21,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from clausewright.llm.common import cut, table
+from clausewright.llm.common import cut, discard, table
 
 WINDOW, LEVELS = 13, 2
+SLICES = 4  # of the names, one after another: the disk that shuffles and their inputs take is that of one
 BATCH = 64  # rows that are parsed at once
 NO_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -200,20 +203,34 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     integers. An empty table gives an empty result.
     """
     ready = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(text, F.lit("")).alias("t"))
-    named = cut(_names(ready, window), "names")
-    shared = named.groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("name")
-    lists = cut(named.join(cut(shared, "shared"), "name").groupBy("node").agg(F.collect_list("name").alias("shared")), "lists")
+    slices = [F.pmod("name", F.lit(SLICES)) == k for k in range(SLICES)]
+    named, hits = cut(_names(ready, window), "names"), []
+    for own in slices:
+        shared = cut(named.filter(own).groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("name"), "shared")
+        hits.append(cut(named.filter(own).join(shared, "name"), "hits"))
+        discard(shared)
+    discard(named)
+    lists = cut(reduce(DataFrame.unionByName, hits).groupBy("node").agg(F.collect_list("name").alias("shared")), "lists")
+    discard(*hits)
     segments = cut(_segments(ready.join(lists, "node"), window), "segments")
-
-    first = segments.groupBy("name", "segment").agg(F.min("node").alias("least"))
-    whole = segments.select("node", "name", "segment").join(first, ["name", "segment"]).filter("node > least").select("node", F.col("segment").alias("hash"))
-    # Windows of a segment's first document; of those, the ones that an earlier document has in another segment.
-    told = segments.select("node", "name", "segment", "windows").join(first, ["name", "segment"]).filter("node = least")
-    told = told.select("node", "name", F.explode("windows").alias("hash")).distinct()
-    least = told.groupBy("name", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    single = told.join(least, ["name", "hash"]).filter("node > least").select("node", "hash")
-    gone = whole.unionByName(single).groupBy(F.col("node").alias("gone_node")).agg(F.collect_set("hash").alias("gone"))
-    gone = cut(gone, "gone")
+    discard(lists)
+
+    gone = []
+    for own in slices:
+        first = cut(segments.filter(own).groupBy("name", "segment").agg(F.min("node").alias("least")), "first")
+        judged = segments.filter(own).join(first, ["name", "segment"])
+        judged = cut(judged.select("node", "name", "segment", F.when(F.col("node") == F.col("least"), F.col("windows")).alias("windows")), "judged")
+        whole = judged.filter("windows is null").select("node", F.col("segment").alias("hash"))
+        # Windows of a segment's first document; of those, the ones that an earlier document has in another segment.
+        told = judged.filter("windows is not null").select("node", "name", F.explode("windows").alias("hash"))
+        least = told.groupBy("name", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+        single = told.join(least, ["name", "hash"]).filter("node > least").select("node", "hash")
+        gone.append(cut(whole.unionByName(single), "gone"))
+        discard(first, judged)
+    discard(segments)
+    rows = gone
+    gone = cut(reduce(DataFrame.unionByName, rows).groupBy(F.col("node").alias("gone_node")).agg(F.collect_set("hash").alias("gone")), "gone")
+    discard(*rows)
     id_type = ready.schema["doc_id"].dataType.simpleString()
     return _without(ready.join(gone, F.col("node") == F.col("gone_node"), "left"), id_type, window)
 

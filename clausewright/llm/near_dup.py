@@ -7,8 +7,8 @@ rounds cost rows in proportion to the buckets' sizes, and found links merge comp
 several components after the rounds is compared block by block, on signatures first; pairs whose signatures come near the limit are
 verified on full sets where they meet. So no link that banding shows is left out, and no group meets in one task.
 
-Banding: 32 bands of 7 of 224 positions find a pair at likeness 0.85 with probability 0.999996; signatures that agree in
-under NEAR of their positions have likeness 0.85 with probability under 1e-6.
+Banding: 32 bands of 7 of 224 positions find a pair at likeness 0.85 with probability 0.999996. Pairs in blocks whose signatures agree
+in fewer positions than the asked likeness by SIGMAS standard deviations aren't verified; such a pair is a link with probability under 1e-6.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from clausewright.llm.components import connected
 
 BANDS, ROWS = 32, 7
 M = BANDS * ROWS
-NEAR = 0.73
+SIGMAS = 5.0
 ROUNDS = 2  # rounds of hubs in buckets of more than SMALL classes, before blocks
 SMALL, BLOCK_Y, BLOCK_X, CHUNK = 16, 128, 512, 128
 PAIRS = 4096  # pairs of signatures that are compared at once
@@ -133,6 +133,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return in_groups(rows, ["u", "salt"], run, "u long, v long", ["after"])
 
 
+def _near(percent: int) -> float:
+    """Least share of agreeing positions with which a pair is verified."""
+    p = percent / 100
+    return p - SIGMAS * (p * (1 - p) / M) ** 0.5
+
+
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |intersection| >= percent * |union|, for sets as sorted arrays."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -260,7 +266,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         found = cut(_verify(pairs, texts, n, percent), "links")
         if not found.isEmpty():
             parts = merged(parts, found)
-    found = cut(_block_links(live.join(parts, "node").join(classes.select("node", "sig"), "node"), texts, n, percent, NEAR), "links")
+    found = cut(_block_links(live.join(parts, "node").join(classes.select("node", "sig"), "node"), texts, n, percent, _near(percent)), "links")
     if not found.isEmpty():
         parts = merged(parts, found)
 

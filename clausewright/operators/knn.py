@@ -1,7 +1,8 @@
-"""Exact nearest neighbours: a query set against all rows, in blocks.
+"""Exact nearest neighbours: a query set of any size against all rows, in blocks.
 
-The queries are the small side and go to every task, after a check of their size; more are searched set by set. Each Arrow batch of
-vectors meets them in one matrix product and keeps the best k a query, and a window takes the best of those.
+Vectors are dealt into parts of bounded size, one a task, and the queries, as the smaller side, are sent to each part. A task holds its
+part and reads the queries as a stream: blocks of them meet the part in one matrix product and keep the best k a query, and a window takes
+the best of those. Neither the driver nor a task holds all queries.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,31 +27,56 @@ class BackendUnavailable(RuntimeError):
 class FlatIndex:
     """Scores every vector. rows: id, embedding; queries: query_id, kind, embedding."""
 
-    MOST = 20_000  # query vectors that one pass sends to every task
+    HELD = 2**23  # numbers of the vectors that a task holds
+    SCORES = 2**22  # numbers of one product
 
     def __init__(self, rows: DataFrame) -> None:
         self.rows = rows
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, kind, id, score, rank): inner products, best first, ties by id."""
-        got = queries.select("query_id", "kind", F.col("embedding").cast("array<double>").alias("e")).orderBy("query_id", "kind").limit(self.MOST + 1).toPandas()
-        if len(got) > self.MOST:
-            raise ValueError(f"more than {self.MOST} queries; search them in several sets")
-        sent = self.rows.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), got["kind"].to_numpy(), np.array(got["e"].tolist()).reshape(len(got), -1)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, kinds, q = sent.value
+        vectors = self.rows.select("id", F.col("embedding").cast("array<double>").alias("e"))
+        asked = queries.select("query_id", "kind", F.col("embedding").cast("array<double>").alias("e"))
+        n, first = vectors.count(), vectors.select(F.size("e")).first()
+        wide = max(1, first[0]) if first else 1
+        parts = max(-(-n * wide // self.HELD), min(n, int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+        none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (*vectors.dtypes, *asked.dtypes)}
+        held = vectors.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("side"), "id", none["query_id"], none["kind"], "e")
+        sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), none["id"], "query_id", "kind", "e")
+        most = self.SCORES
+
+        def matrix(rows: pa.RecordBatch) -> np.ndarray:
+            return rows.column("e").flatten().to_numpy().reshape(rows.num_rows, -1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, blocks, own, own_t = [], [], None, None
             for batch in batches:
-                if not len(batch) or not len(q):
+                middle = int(np.searchsorted(batch.column("side").to_numpy(), 1))  # vectors come first
+                if middle:
+                    ids.append(batch.column("id").slice(0, middle))
+                    blocks.append(matrix(batch.slice(0, middle)))
+                if middle == batch.num_rows:
                     continue
-                own = batch["id"].to_numpy()
-                scores = np.array(batch["e"].tolist()) @ q.T
-                best = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:k]
-                rows, cols = best.ravel(), np.tile(np.arange(len(q)), len(best))
-                yield pd.DataFrame({"query_id": ids[cols], "kind": kinds[cols], "id": own[rows], "score": scores[rows, cols]})
-
-        types = dict(self.rows.dtypes) | {f"q_{n}": t for n, t in queries.dtypes}
-        local = self.rows.select("id", F.col("embedding").cast("array<double>").alias("e")).mapInPandas(run, f"query_id {types['q_query_id']}, kind string, id {types['id']}, score double")
+                if not ids:
+                    return
+                if own is None:
+                    own, own_t = pa.concat_arrays(ids), np.concatenate(blocks).T
+                    blocks.clear()
+                    place = np.argsort(np.argsort(own.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+                    least, step = max(0, len(own) - k), max(1, most // len(own))
+                for at in range(middle, batch.num_rows, step):
+                    asks = batch.slice(at, min(step, batch.num_rows - at))
+                    scores = matrix(asks) @ own_t
+                    row, col = np.nonzero(scores >= np.partition(scores, least, axis=1)[:, least, None])
+                    best = np.lexsort((place[col], -scores[row, col], row))
+                    row, col = row[best], col[best]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([asks.column("query_id").take(pa.array(row)), asks.column("kind").take(pa.array(row)), own.take(pa.array(col)), pa.array(scores[row, col])], names=["query_id", "kind", "id", "score"])
+
+        types = dict(held.dtypes)
+        dealt = held.unionByName(sent).repartitionById(parts, "part").sortWithinPartitions("side")
+        local = dealt.mapInArrow(run, f"query_id {types['query_id']}, kind {types['kind']}, id {types['id']}, score double")
         order = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "id")
         return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

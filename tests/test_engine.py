@@ -128,3 +128,15 @@ def test_files(spark, tmp_path):
         files.read_index(spark, str(tmp_path / "i"))
     (tmp_path / "my_doc.md").write_text("x\ny")
     assert files.read_documents(spark, str(tmp_path / "my_doc.md")).first()[:] == ("my_doc", "My Doc", "x\ny")
+
+
+def test_search_takes_query_sets_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    own, asked = rng.normal(size=(300, 8)), rng.normal(size=(20_500, 8))
+    own[7] = own[3]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(own.tolist())], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, "obligation", v) for i, v in enumerate(asked.tolist())], "query_id long, kind string, embedding array<double>")
+    got = create_index(rows).search(queries, 3).orderBy("query_id", "rank").toPandas()
+    scores = asked @ own.T
+    want = np.lexsort((np.broadcast_to(np.arange(300), scores.shape), -scores.round(9)), axis=1)[:, :3]
+    assert got["id"].to_numpy().reshape(-1, 3).tolist() == want.tolist()

@@ -30,6 +30,9 @@ SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}
 #: What the implied end of an element doesn't reach across.
 SCOPE = frozenset("table ul ol dl div article section main body html td th blockquote".split())
 
+#: Marked sections that the standard parser knows.
+SECTIONS = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.I)
+
 
 class _Lines(HTMLParser):
     """Turns events into lines: [text parts, tags, characters in links, main element or None]."""
@@ -42,6 +45,18 @@ class _Lines(HTMLParser):
         self.n_mains = 0
         self.lines: list[list] = []
         self.line: list | None = None
+        self.ending = False
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Declarations without a known name are comments up to the next >, where the standard parser gives up the page."""
+        if not SECTIONS.match(self.rawdata, i):
+            return self.parse_bogus_comment(i, report)
+        end = super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report) if end < 0 and self.ending else end
+
+    def close(self) -> None:
+        self.ending = True
+        super().close()
 
     def _break(self) -> None:
         self.line = None
@@ -136,12 +151,9 @@ def _threshold(x: np.ndarray) -> float:
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The blocks of the main content in page order, joined by two line ends; empty if there are none."""
     parser = _Lines()
-    try:
-        for at in range(0, len(html), 65536):  # streaming: the parser keeps only what an event needs
-            parser.feed(html[at : at + 65536])
-        parser.close()
-    except AssertionError:  # the standard library's answer to some malformed declarations; lines so far stand
-        pass
+    for at in range(0, len(html), 65536):  # streaming: the parser keeps only what an event needs
+        parser.feed(html[at : at + 65536])
+    parser.close()
     lines = [(t, tags, links, main) for parts, tags, links, main in parser.lines if (t := " ".join("".join(parts).split()))]
     if not lines:
         return ""

@@ -102,6 +102,16 @@ def test_html():
     assert html_text.main_text("") == "" and html_text.main_text("<nav>x</nav>") == "" and html_text.main_text("just text") == "just text"
 
 
+def test_html_after_unknown_declarations():
+    body = "<article><p>The first words of the story.</p>{}<p>The last words of the story.</p></article>"
+    want = "The first words of the story.\n\nThe last words of the story."
+    for odd in ("<![foo[ x ]]>", "<![ y>", "<![>", "<![1]>", "<![cdata-x[z]]>", "<![if !IE]>", "<![CDATA[ x > y ]]>", "<!foo>"):
+        assert html_text.main_text(odd + body.format("")) == want and html_text.main_text(body.format(odd)) == want, odd
+        for n in range(65500, 65540):  # the declaration lies across two pieces
+            assert html_text.main_text("<!--" + "x" * n + "-->" + odd + body.format("")) == want, (odd, n)
+    assert html_text.main_text("<![CDATA[ never ended>" + body.format("")) == want
+
+
 def test_fingerprints(spark):
     docs = texts()
     rows = {r["doc_id"]: r for r in registry.QUERIES["op4_fingerprints"](spark, DATA).collect()}

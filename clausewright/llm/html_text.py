@@ -4,7 +4,8 @@ The standard library's parser is fed piece by piece; its events become lines, on
 text-to-tag ratio: its characters outside links by the tags within it. The ratios, smoothed over neighbouring lines, are split in two
 clusters at a threshold; runs of lines above it are content regions. A region grows to the article or main element that
 most of it lies in, so short paragraphs between long ones and at the ends stay. Lines in elements
-that never hold an article (menus, footers, forms and such) are no candidates.
+that never hold an article (menus, footers, forms and such) are no candidates, nor are those in elements whose class, id or
+role marks them as such, unless these hold the article or most of the content.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ SECTIONS = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?
 
 
 class _Lines(HTMLParser):
-    """Turns events into lines: [text parts, tags, characters in links, main element or None]."""
+    """Turns events into lines: [text parts, tags, characters in links, main element or None, marked elements around it]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # name, and whether it is skipped with all in it
+        self.open: list[tuple[str, bool, bool]] = []  # name, whether it is skipped with all in it, and whether it is marked
+        self.marks: tuple[int, ...] = ()  # the open marked elements
+        self.n_marks = 0
+        self.main_marks: list[tuple[int, ...]] = []  # of each article and main, what was marked around it
         self.skipped = self.links = 0
         self.mains: list[int] = []
         self.n_mains = 0
@@ -79,17 +83,24 @@ class _Lines(HTMLParser):
             return
         a = dict(attrs)
         words = re.split(r"[^a-z]+", f"{a.get('class') or ''} {a.get('id') or ''}".lower())
-        skip = tag in SKIP or (tag not in ("html", "body", "article", "main") and (not MARKS.isdisjoint(words) or (a.get("role") or "").lower() in ROLES)) or "hidden" in a or (a.get("aria-hidden") or "") == "true"
-        self.open.append((tag, skip))
+        skip = tag in SKIP or "hidden" in a or (a.get("aria-hidden") or "") == "true"
+        mark = tag not in ("html", "body", "article", "main") and (not MARKS.isdisjoint(words) or (a.get("role") or "").lower() in ROLES)
+        self.open.append((tag, skip, mark))
         self.skipped += skip
+        if mark:
+            self.marks += (self.n_marks,)
+            self.n_marks += 1
         self.links += tag == "a"
         if tag in ("article", "main"):
             self.mains.append(self.n_mains)
             self.n_mains += 1
+            self.main_marks.append(self.marks)
 
     def _pop(self) -> str:
-        tag, skip = self.open.pop()
+        tag, skip, mark = self.open.pop()
         self.skipped -= skip
+        if mark:
+            self.marks = self.marks[:-1]
         self.links -= tag == "a"
         if tag in ("article", "main"):
             self.mains.pop()
@@ -121,7 +132,7 @@ class _Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = [[], 0, 0, self.mains[0] if self.mains else None]
+            self.line = [[], 0, 0, self.mains[0] if self.mains else None, self.marks]
             self.lines.append(self.line)
         self.line[0].append(data)
         if self.links:
@@ -148,26 +159,57 @@ def _threshold(x: np.ndarray) -> float:
     return float(t) if high.mean() > 3 * low.mean() else float(x.min()) - 1
 
 
+def _content(lines: list[tuple], sigma: float) -> np.ndarray:
+    """Whether each line's smoothed ratio is in the upper cluster."""
+    ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, *_ in lines], dtype=float)
+    smooth = _smooth(ratio, sigma)
+    return (smooth > _threshold(smooth)) & (ratio > 0)
+
+
+def _unmarked(lines: list[tuple], main_marks: list[tuple[int, ...]], sigma: float) -> list[tuple]:
+    """Lines without those in marked elements, such as comments; a marked element around the content itself is a wrapper and doesn't count.
+
+    That is one around an article or main, if no other article or main with text stands outside the marked ones; or on
+    pages without these elements, one with more than half of the content characters in it.
+    """
+    if not any(marks for *_, marks in lines):
+        return lines
+    around = [main_marks[m] for m in {main for *_, main, _ in lines} if m is not None]
+    wrappers: set[int] = set()
+    if around:
+        if all(around):
+            wrappers.update(*around)
+    else:
+        weight: dict[int, int] = {}
+        total = 0
+        for (t, *_, marks), good in zip(lines, _content(lines, sigma), strict=True):
+            if good:
+                total += len(t)
+                for m in marks:
+                    weight[m] = weight.get(m, 0) + len(t)
+        wrappers = {m for m, w in weight.items() if 2 * w > total}
+    return [x for x in lines if wrappers.issuperset(x[-1])]
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The blocks of the main content in page order, joined by two line ends; empty if there are none."""
     parser = _Lines()
     for at in range(0, len(html), 65536):  # streaming: the parser keeps only what an event needs
         parser.feed(html[at : at + 65536])
     parser.close()
-    lines = [(t, tags, links, main) for parts, tags, links, main in parser.lines if (t := " ".join("".join(parts).split()))]
+    lines = [(t, *rest) for parts, *rest in parser.lines if (t := " ".join("".join(parts).split()))]
+    lines = _unmarked(lines, parser.main_marks, sigma)
     if not lines:
         return ""
-    ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, _ in lines], dtype=float)
-    smooth = _smooth(ratio, sigma)
-    content = (smooth > _threshold(smooth)) & (ratio > 0)
+    content = _content(lines, sigma)
     weight: dict[int | None, int] = {}
-    for (t, _, _, main), good in zip(lines, content, strict=True):
+    for (t, _, _, main, _), good in zip(lines, content, strict=True):
         if good:
             weight[main] = weight.get(main, 0) + len(t)
     within = {m for m in weight if m is not None}
     if within and sum(weight[m] for m in within) >= weight.get(None, 0):
-        return "\n\n".join(t for t, _, _, main in lines if main in within)
-    return "\n\n".join(t for (t, _, _, _), good in zip(lines, content, strict=True) if good)
+        return "\n\n".join(t for t, _, _, main, _ in lines if main in within)
+    return "\n\n".join(t for (t, *_), good in zip(lines, content, strict=True) if good)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:

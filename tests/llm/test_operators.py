@@ -112,6 +112,17 @@ def test_html_after_unknown_declarations():
     assert html_text.main_text("<![CDATA[ never ended>" + body.format("")) == want
 
 
+def test_html_in_marked_wrappers():
+    long, side = ["The first words of the story go on for a while. " * 5, "The last words of the story go on for a while. " * 4], "<div class=sidebar><p>Read this too.</p></div>"
+    story = "".join(f"<p>{x.strip()}</p>" for x in long)
+    want = "\n\n".join(x.strip() for x in long)
+    for wrap in ("<div class='content has-sidebar'>{}</div>", "<div id=content-sidebar-wrap>{}</div>", "<div class='page no-ads'>{}</div>", "<section class='post with-comments'>{}</section>", "<div role=form>{}</div>", "<div class=no-ads><div class=has-sidebar>{}</div></div>"):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", f"<div>{story}</div>"):
+            assert html_text.main_text("<body>" + wrap.format(inner + side) + "<div class=comments><p>A reader speaks.</p></div></body>") == want, (wrap, inner)
+    comments = "<div class=comments>" + "".join(f"<article><p>{x}</p></article>" for x in long) + "</div>"
+    assert html_text.main_text("<article><p>A short story of few words.</p></article>" + comments) == "A short story of few words."
+
+
 def test_fingerprints(spark):
     docs = texts()
     rows = {r["doc_id"]: r for r in registry.QUERIES["op4_fingerprints"](spark, DATA).collect()}

@@ -2,8 +2,8 @@
 
 The standard library's parser is fed piece by piece; its events become lines, one a block of text. Each line has a
 text-to-tag ratio: its characters outside links by the tags within it. The ratios, smoothed over neighbouring lines, are split in two
-clusters at a threshold; runs of lines above it are content regions. A region grows to the article or main element that
-most of it lies in, so short paragraphs between long ones and at the ends stay. Lines in elements
+clusters at a threshold; lines above it seed content regions. A region grows over the article, main or other element that
+most of it lies in, so short paragraphs between long ones and at the ends stay, but link lists and other blocks of many links don't. Lines in elements
 that never hold an article (menus, footers, forms and such) are no candidates, nor are those in elements whose class, id or
 role marks them as such, unless these hold the article or most of the content.
 """
@@ -34,13 +34,20 @@ SCOPE = frozenset("table ul ol dl div article section main body html td th block
 #: Marked sections that the standard parser knows.
 SECTIONS = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.I)
 
+#: What may hold a run of paragraphs; and blocks that go from a region when they hold no content line and many links.
+HOLDS = frozenset("div section article main td th blockquote center".split())
+BLOCKS = HOLDS | frozenset("ul ol dl table details fieldset figure address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 
 class _Lines(HTMLParser):
-    """Turns events into lines: [text parts, tags, characters in links, main element or None, marked elements around it]."""
+    """Turns events into lines: [text parts, tags, characters in links, main element or None, element, marked elements around it]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # name, whether it is skipped with all in it, and whether it is marked
+        self.open: list[tuple[str, bool, bool, bool]] = []  # name, whether it is skipped with all in it, whether it is marked, and whether it is in boxes
+        self.boxes = [0]  # the open elements that aren't inline
+        self.kind, self.up = [""], [0]  # of each of these elements, 0 being the page: name, and the element around it
         self.marks: tuple[int, ...] = ()  # the open marked elements
         self.n_marks = 0
         self.main_marks: list[tuple[int, ...]] = []  # of each article and main, what was marked around it
@@ -85,7 +92,11 @@ class _Lines(HTMLParser):
         words = re.split(r"[^a-z]+", f"{a.get('class') or ''} {a.get('id') or ''}".lower())
         skip = tag in SKIP or "hidden" in a or (a.get("aria-hidden") or "") == "true"
         mark = tag not in ("html", "body", "article", "main") and (not MARKS.isdisjoint(words) or (a.get("role") or "").lower() in ROLES)
-        self.open.append((tag, skip, mark))
+        self.open.append((tag, skip, mark, tag not in INLINE))
+        if tag not in INLINE:
+            self.up.append(self.boxes[-1])
+            self.boxes.append(len(self.kind))
+            self.kind.append(tag)
         self.skipped += skip
         if mark:
             self.marks += (self.n_marks,)
@@ -97,7 +108,9 @@ class _Lines(HTMLParser):
             self.main_marks.append(self.marks)
 
     def _pop(self) -> str:
-        tag, skip, mark = self.open.pop()
+        tag, skip, mark, box = self.open.pop()
+        if box:
+            self.boxes.pop()
         self.skipped -= skip
         if mark:
             self.marks = self.marks[:-1]
@@ -132,7 +145,7 @@ class _Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = [[], 0, 0, self.mains[0] if self.mains else None, self.marks]
+            self.line = [[], 0, 0, self.mains[0] if self.mains else None, self.boxes[-1], self.marks]
             self.lines.append(self.line)
         self.line[0].append(data)
         if self.links:
@@ -159,11 +172,12 @@ def _threshold(x: np.ndarray) -> float:
     return float(t) if high.mean() > 3 * low.mean() else float(x.min()) - 1
 
 
-def _content(lines: list[tuple], sigma: float) -> np.ndarray:
-    """Whether each line's smoothed ratio is in the upper cluster."""
+def _content(lines: list[tuple], sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line's smoothed ratio is in the upper cluster, and whether its own ratio is."""
     ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, *_ in lines], dtype=float)
     smooth = _smooth(ratio, sigma)
-    return (smooth > _threshold(smooth)) & (ratio > 0)
+    limit = _threshold(smooth)
+    return (smooth > limit) & (ratio > 0), (ratio > limit) & (ratio > 0)
 
 
 def _unmarked(lines: list[tuple], main_marks: list[tuple[int, ...]], sigma: float) -> list[tuple]:
@@ -174,7 +188,7 @@ def _unmarked(lines: list[tuple], main_marks: list[tuple[int, ...]], sigma: floa
     """
     if not any(marks for *_, marks in lines):
         return lines
-    around = [main_marks[m] for m in {main for *_, main, _ in lines} if m is not None]
+    around = [main_marks[m] for m in {x[3] for x in lines} if m is not None]
     wrappers: set[int] = set()
     if around:
         if all(around):
@@ -182,7 +196,7 @@ def _unmarked(lines: list[tuple], main_marks: list[tuple[int, ...]], sigma: floa
     else:
         weight: dict[int, int] = {}
         total = 0
-        for (t, *_, marks), good in zip(lines, _content(lines, sigma), strict=True):
+        for (t, *_, marks), good in zip(lines, _content(lines, sigma)[0], strict=True):
             if good:
                 total += len(t)
                 for m in marks:
@@ -201,15 +215,52 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     lines = _unmarked(lines, parser.main_marks, sigma)
     if not lines:
         return ""
-    content = _content(lines, sigma)
-    weight: dict[int | None, int] = {}
-    for (t, _, _, main, _), good in zip(lines, content, strict=True):
+    return "\n\n".join(x[0] for x, good in zip(lines, _region(lines, parser.kind, parser.up, sigma), strict=True) if good)
+
+
+def _region(lines: list[tuple], kind: list[str], up: list[int], sigma: float) -> list[bool]:
+    """Whether each line belongs to a content region; seeds are the lines of the upper cluster that aren't mostly links.
+
+    A region closes over the lines between and beside its seeds: all of an article or main where these hold at least half of the seeds'
+    characters; else, in the innermost element with three quarters of them, lines between its first and last seed, and lines that
+    stand in one container with a seed. Seeds elsewhere then stay where a line of their container has a high ratio without its neighbours. Blocks without a line of high ratio and with over a third of their text in
+    links go from regions, and so do lines with over half of it, except headings.
+    """
+    linked = [2 * links > len(t) for t, _, links, *_ in lines]
+    content, own = _content(lines, sigma)
+    seed = [bool(c) and not k for c, k in zip(content, linked, strict=True)]
+    firm = [good and bool(high) for good, high in zip(seed, own, strict=True)]  # not only by their neighbours
+    chars, links, weight, firms = ([0] * len(kind) for _ in range(4))
+    within: dict[int | None, int] = {}
+    for (t, _, in_links, main, box, _), good, high in zip(lines, seed, firm, strict=True):
+        firms[box] += high
+        chars[box] += len(t)
+        links[box] += in_links
         if good:
-            weight[main] = weight.get(main, 0) + len(t)
-    within = {m for m in weight if m is not None}
-    if within and sum(weight[m] for m in within) >= weight.get(None, 0):
-        return "\n\n".join(t for t, _, _, main, _ in lines if main in within)
-    return "\n\n".join(t for (t, *_), good in zip(lines, content, strict=True) if good)
+            weight[box] += len(t)
+            within[main] = within.get(main, 0) + len(t)
+    for i in range(len(kind) - 1, 0, -1):
+        for x in (chars, links, weight, firms):
+            x[up[i]] += x[i]
+    total = weight[0]
+    if not total:
+        return [False] * len(lines)
+    gone, holder = [False] * len(kind), [0] * len(kind)
+    for i in range(1, len(kind)):
+        gone[i] = gone[up[i]] or (kind[i] in BLOCKS and not firms[i] and 3 * links[i] > chars[i])
+        holder[i] = i if kind[i] in HOLDS else holder[up[i]]
+    stays = [not gone[box] and (not k or kind[box] in HEADINGS) for (*_, box, _), k in zip(lines, linked, strict=True)]
+    outside = within.pop(None, 0)
+    if within and total - outside >= outside:
+        return [main in within and ok for (_, _, _, main, *_), ok in zip(lines, stays, strict=True)]
+    scope = holder[max(i for i in range(len(kind)) if 4 * weight[i] >= 3 * total)]
+    inside = [False] * len(kind)
+    for i in range(len(kind)):
+        inside[i] = i == scope or inside[up[i]]
+    at = [n for n, (x, good) in enumerate(zip(lines, seed, strict=True)) if good and inside[x[4]]]
+    beside = {holder[lines[n][4]] for n in at} - {0}
+    strong = {holder[x[4]] for x, high in zip(lines, firm, strict=True) if high}
+    return [(good and ok and (inside[x[4]] or holder[x[4]] in strong)) or (inside[x[4]] and ok and (at[0] < n < at[-1] or holder[x[4]] in beside)) for n, (x, good, ok) in enumerate(zip(lines, seed, stays, strict=True))]
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -123,6 +123,22 @@ def test_html_in_marked_wrappers():
     assert html_text.main_text("<article><p>A short story of few words.</p></article>" + comments) == "A short story of few words."
 
 
+def test_html_regions():
+    long = {n: ("The story goes on and on for a while. " * 30)[:n].strip() for n in (18, 60, 640, 650, 700, 720)}
+    parts = [long[60], long[700], long[650], *[long[18]] * 8, long[720], long[640]]
+    story, want = "".join(f"<p>{x}</p>" for x in parts), "\n\n".join(parts)
+    top, end = "<div class=top><p>My site</p></div><ul><li><a href=/>Home</a></ul>", "<div class=legal><p>All rights are ours</p></div>"
+    assert html_text.main_text(f"<body>{top}<div>{story}</div>{end}") == want
+    end = "<ul>" + "<li><a href=/>Home</a>" * 4 + "</ul>" + end
+    assert html_text.main_text(f"<body>{top}<div class=a>{story}</div><div class=b>{story}</div>{end}") == want + "\n\n" + want
+    teaser = "<div class=teaser><h3>More to read</h3><ul>" + "".join(f"<li><a href=/{i}>Another story {i}</a> 3 notes" for i in range(5)) + "</ul></div><p><a href=/all>All of our stories</a></p><div class=box>Join us <a href=/j>here and now</a></div>"
+    half = story.index("<p>", 900)
+    for page in ("<article>{}</article>", "<body>" + top + "<main>{}</main>" + end, "<div>{}</div>"):
+        assert html_text.main_text(page.format(story + teaser)) == want and html_text.main_text(page.format(story[:half] + teaser + story[half:])) == want, page
+    text = f"<h1><a href=/s>The story</a></h1>{story}<ul><li>One<li>Two</ul><p>See <a href=/n>n</a> too.</p>"
+    assert html_text.main_text(f"<article>{text}</article>") == f"The story\n\n{want}\n\nOne\n\nTwo\n\nSee n too."
+
+
 def test_fingerprints(spark):
     docs = texts()
     rows = {r["doc_id"]: r for r in registry.QUERIES["op4_fingerprints"](spark, DATA).collect()}

@@ -1,8 +1,10 @@
 """Document fingerprints from closed syncmers, and their likeness to an edited text and to the next document.
 
 A k-mer of bytes is a closed syncmer if its least s-mer, by a fixed hash, is its first or its last. That depends on the
-k-mer alone, so equal passages give equal anchors whatever stands around them. A fingerprint keeps the least
-hashes of a text's syncmers; two fingerprints estimate the Jaccard likeness of the sets.
+k-mer alone, so equal passages give equal anchors whatever stands around them. All anchors of a text are kept with their places, and
+texts are matched by position: runs of anchors with equal hashes and equal distances are passages that both texts hold, however
+small a part of them. Likeness is the share of anchors in such runs. The fingerprint, the least hashes of a text's anchors, is a short
+name for where there is no room for all of them; likeness and passages aren't made from it.
 
 Documents need their successor in order of id. Ids are cut into ranges at quantiles; the first document of each
 range is also sent to the range before it. So texts are shuffled once, and each range is read in order as
@@ -12,7 +14,7 @@ a stream that holds two texts at a time.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from clausewright.llm.common import table
 
 S, K, KEEP = 8, 15, 64  # bytes of an s-mer and a k-mer; hashes in a fingerprint
+MOST = 2**20  # anchors of the rows that a task holds before it sends them on, beyond one text's
 LEAST = -(2**63)
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -52,9 +55,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, (_mix(h[at] + C * h[at + w - 1]) >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(data: bytes, keep: int = KEEP) -> np.ndarray:
-    """The least `keep` distinct anchor hashes, ascending."""
-    h = anchors(data)[1]
+def fingerprint(h: np.ndarray, keep: int = KEEP) -> np.ndarray:
+    """The least `keep` distinct of the anchor hashes, ascending."""
     if len(h) > 4 * keep:  # repeats may hide more, so take all up to a bound that leaves enough distinct ones
         for part in (4 * keep, 32 * keep):
             if len(h) > part and len(u := np.unique(np.partition(h, part)[:part])) > keep:
@@ -62,10 +64,53 @@ def fingerprint(data: bytes, keep: int = KEEP) -> np.ndarray:
     return np.unique(h)[:keep]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP) -> float:
-    """Estimated Jaccard likeness: the share of the least `keep` hashes of both that both have. Two empty ones are alike."""
-    both = np.union1d(a, b)[:keep]
-    return 1.0 if not len(both) else float(np.isin(both, a, assume_unique=True).astype(int) @ np.isin(both, b, assume_unique=True)) / len(both)
+def _found(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a's names b has, and where b has them first."""
+    order = np.argsort(b, kind="stable")
+    in_order = b[order]
+    at = np.minimum(np.searchsorted(in_order, a), len(b) - 1)
+    return in_order[at] == a, order[at]
+
+
+def _cover(hit: np.ndarray, long: int) -> np.ndarray:
+    """For each anchor the latest run of `long` anchors that begins at a hit and holds it, or -1."""
+    n = len(hit) + long - 1
+    last = np.maximum.accumulate(np.concatenate([np.where(hit, np.arange(len(hit)), -1), np.full(long - 1, -1)]))
+    return np.where(last + long > np.arange(n), last, -1)
+
+
+def matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
+    """(likeness, passages): a passage is (place in a, place in b, anchors), its anchors being next to each other at one offset.
+
+    Runs of 2, 4, 8... anchors get 64-bit names from the hashes and distances in them. An anchor of a is matched if it lies in a run of two
+    that b has, and takes the offset of the longest run found around it, so repeats go where most of their surroundings are. Likeness is the
+    anchors matched, of the text that has fewer of them, by all of both. A text of one anchor matches as it is; two without any are alike.
+    """
+    (pa_, ha), (pb, hb) = a, b
+    none = np.zeros((0, 3), np.int64)
+    if not len(ha) or not len(hb):
+        return float(len(ha) == len(hb)), none
+    if min(len(ha), len(hb)) == 1:
+        same = len(ha) == len(hb) and ha[0] == hb[0]
+        return float(same), np.array([[0, 0, 1]]) if same else none
+    na, nb, long = ha.astype(np.uint64), hb.astype(np.uint64), 1
+    off, held, same = np.zeros(len(ha), np.int64), np.zeros(len(ha), bool), 0
+    while min(len(na), len(nb)) > long:
+        na, nb = (_mix(_mix(n[:-long] + C) ^ (n[long:] * B + (p[long : len(n)] - p[: len(n) - long]).astype(np.uint64) * A)) for n, p in ((na, pa_), (nb, pb)))
+        long *= 2
+        hit, at = _found(na, nb)
+        if not hit.any():
+            break
+        run = _cover(hit, long)
+        on = run >= 0
+        off[on] = (pb[at] - pa_[: len(na)])[run[on]]
+        if long == 2:
+            held, same = on, min(int(on.sum()), int((_cover(_found(nb, na)[0], 2) >= 0).sum()))
+    if not same:
+        return 0.0, none
+    begin = np.flatnonzero(held & np.append(True, ~held[:-1] | (off[1:] != off[:-1])))
+    stop = np.flatnonzero(held & np.append(~held[1:] | (off[1:] != off[:-1]), True)) + 1
+    return same / (len(ha) + len(hb) - same), np.stack([pa_[begin], pa_[begin] + off[begin], stop - begin], axis=1)
 
 
 def _hex(f: np.ndarray) -> str:
@@ -91,8 +136,10 @@ def _ranges(docs: DataFrame, doc_id: str, rows: int) -> tuple[np.ndarray, np.nda
 
 
 def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = 400) -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_hashes (kept).
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_hashes (in the fingerprint),
+    anchor_hashes, anchor_places (of all anchors, 32 bits each), passages_edited, passages_next (of the text in the edited and in the next one).
 
+    Places are bytes of UTF-8 from 0; in `other` those of the other text.
     The edited text loses its last third (rounded down) to as many first code points of the next document, or all of it, in descending order of
     id; after the last comes the first. A null text counts as empty, a null id as the least; rows of
     one id follow each other in order of their text's hash. A single row is its own next. An empty table gives an empty result. Ids are integers.
@@ -116,15 +163,24 @@ def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     kind = sent.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes")
+        fields = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes", "anchor_hashes", "anchor_places", "passages_edited", "passages_next")
         id_type = None
         types = (None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
         out: list[tuple] = []
-        last = None  # (doc_id, text, range, fingerprint)
+        held = 0  # anchors in out
+        last = None  # (doc_id, text, range, fingerprint, anchors)
+
+        def lists(parts: tuple[np.ndarray, ...], whole: Callable[[np.ndarray], pa.Array]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), whole(np.concatenate(parts)))
+
+        def passages(x: np.ndarray) -> pa.Array:
+            return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c), pa.int32()) for c in x.astype(np.int32).T], names=["place", "other", "anchors"])
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t or id_type) for c, t in zip(columns, types, strict=True)], names=fields)
+            arrays = [pa.array(c, t or id_type) for c, t in zip(columns, types, strict=False)]
+            arrays += [lists(columns[8], lambda x: pa.array(x.view(np.int32))), lists(columns[9], lambda x: pa.array(x.astype(np.int32))), lists(columns[10], passages), lists(columns[11], passages)]
+            batch = pa.RecordBatch.from_arrays(arrays, names=fields)
             out.clear()
             return batch
 
@@ -138,19 +194,22 @@ def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     if extra and last is None:
                         continue  # a second row with the id of the next range's first
                     data = t.encode()
-                    f = fingerprint(data)
+                    f = anchors(data)
                     if last is not None:
                         m = len(last[1]) // 3
                         edited = (last[1][: len(last[1]) - m] + t[:m]).encode()
-                        e = fingerprint(edited)
-                        out.append((last[0], len(last[1]), hashlib.sha256(edited).hexdigest(), _hex(last[3]), _hex(e), likeness(last[3], e), likeness(last[3], f), len(last[3])))
-                        if len(out) >= 512:
+                        e = anchors(edited)
+                        (near_edited, in_edited), (near_next, in_next) = matched(last[4], e), matched(last[4], f)
+                        out.append((last[0], len(last[1]), hashlib.sha256(edited).hexdigest(), _hex(last[3]), _hex(fingerprint(e[1])), near_edited, near_next, len(last[3]), last[4][1], last[4][0], in_edited, in_next))
+                        held += len(last[4][1])
+                        if len(out) >= 512 or held >= MOST:
                             yield flush()
-                    last = None if extra else (doc, t, b, f)
+                            held = 0
+                    last = None if extra else (doc, t, b, fingerprint(f[1]), f)
         if out:
             yield flush()
 
-    return sent.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long")
+    return sent.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long, anchor_hashes array<int>, anchor_places array<int>, " + ", ".join(f"passages_{x} array<struct<place: int, other: int, anchors: int>>" for x in ("edited", "next")))
 
 
 def op4_fingerprints(spark, sf_dir):

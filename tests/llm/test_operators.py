@@ -152,6 +152,30 @@ def test_fingerprints(spark):
     assert np.isin(syncmers.anchors(LONG.encode())[1], shifted).mean() > 0.99
 
 
+def test_passages_of_long_texts(spark):
+    rng = random.Random(9)
+    make = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+    shared, a, b, c, d = make(50), make(9000), make(4000), make(9000), make(6000)
+    docs = {2: f"{a} {shared} {b}", 1: f"{c} {shared} {d}", 0: "é"}
+    rows = {r["doc_id"]: r for r in syncmers.fingerprint_pairs(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    for doc, t in docs.items():
+        places, hashes = syncmers.anchors(t.encode())
+        assert rows[doc]["anchor_places"] == places.tolist() and rows[doc]["anchor_hashes"] == hashes.view(np.int32).tolist()
+    (got,) = rows[2]["passages_next"]
+    assert abs(got["place"] - len(a)) < 40 and got["other"] - got["place"] == len(c) - len(a) and got["anchors"] > 40
+    assert 0 < rows[2]["near_next"] < 0.01 and rows[1]["near_next"] == 0 and rows[1]["passages_next"] == []
+    for x, y in ((docs[2], docs[1]), ("abcab" * 30, "cabca" * 9), (shared * 3, shared), (a[:900], a[300:1200] + a[:500])):
+        (px, hx), (py, hy) = syncmers.anchors(x.encode()), syncmers.anchors(y.encode())
+        pairs = [set(zip(h[:-1].tolist(), h[1:].tolist(), np.diff(p).tolist(), strict=True)) for p, h in ((px, hx), (py, hy))]
+        held = [{k for i, g in enumerate(zip(h[:-1].tolist(), h[1:].tolist(), np.diff(p).tolist(), strict=True)) if g in pairs[0] & pairs[1] for k in (i, i + 1)} for p, h in ((px, hx), (py, hy))]
+        near, passages = syncmers.matched((px, hx), (py, hy))
+        same = min(map(len, held))
+        assert near == same / (len(hx) + len(hy) - same) and passages[:, 2].sum() == len(held[0])
+        for place, other, n in passages.tolist():
+            i, j = np.searchsorted(px, place), np.searchsorted(py, other)
+            assert (hx[i : i + n] == hy[j : j + n]).all() and (px[i : i + n] - place == py[j : j + n] - other).all()
+
+
 def brute_repeats(docs, n=13):
     first, words = {}, {d: docs[d].encode().split() for d in sorted(docs)}
     for d, w in words.items():

@@ -96,7 +96,7 @@ def super_minhash(sets: list[np.ndarray], m: int = M) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, sig): set size, 128 bits that name the set, and the signature."""
+    """docs with n_shingles, c1, c2, sig for the column t: set size, 128 bits that name the set, and the signature."""
 
     def run(texts: list[str]) -> dict:
         sets = [shingles(t, n) for t in texts]
@@ -227,23 +227,33 @@ def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id reachable over links), kept (the row's id is that).
+    """Per row: doc_id, n_shingles, component_id (least id reachable over links), kept (one row of each component, of that id).
 
     Linked are documents whose sets of n-word shingles have 100 * |intersection| >= percent * |union|, and equal sets. Texts without words, null texts
-    too, have the empty set and no link. Rows with one id, rows without an id also, count as one document; ids are integers. An empty
-    table gives an empty result. For percent under 85 a band of 7 finds a link at the limit less often; see the module's text.
+    too, have the empty set and no link, and are kept. Each row is a document, whether its id is repeated or null; ids are integers. A component
+    without any id has a null component_id. An empty table gives an empty result. For percent under 85 a band of 7 finds a link at the limit
+    less often; see the module's text.
     """
-    ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
-    signed = cut(_signed(ready, n), "signed")
-    node = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = cut(signed.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min(node).alias("node"), F.first("sig").alias("sig")), "classes")
+    ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))
+    return _groups(ready, n, percent).drop("row")
+
+
+def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
+    """near_groups with the column row for (doc_id, t, row). Numbers of rows and classes count once they are written in `signed` and `classes`."""
+    signed = cut(_signed(ready.withColumn("h", F.xxhash64("t")), n), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "h")).alias("first")
+    classes = signed.filter("n_shingles > 0").groupBy("c1", "c2").agg(first, F.first("sig").alias("sig"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     buckets = classes.select("node", F.posexplode(F.array(*[F.substring("sig", ROWS * b + 1, ROWS) for b in range(BANDS)])).alias("band", "key"))
     buckets = buckets.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     live = cut(buckets.join(sizes, "bucket"), "live")
     nodes = cut(live.groupBy("node").agg(F.sum("size").alias("degree")), "nodes")
-    texts = cut(ready.withColumn("node", node).join(nodes.select("node"), "node").select("node", "t").dropDuplicates(["node"]), "texts")
+    # a class's text is that of its first row, by id and text hash, as ready's own row numbers aren't written
+    key = lambda c: F.coalesce(c, F.lit(NO_ID)).alias("key")
+    wanted = classes.join(nodes.select("node"), "node").select("node", key(F.col("first.doc_id")), F.col("first.h").alias("h"))
+    texts = cut(ready.select(key(F.col("doc_id")), F.xxhash64("t").alias("h"), "t").join(wanted, ["key", "h"]).select("node", "t").dropDuplicates(["node"]), "texts")
 
     parts = nodes.select("node", "degree", F.col("node").alias("component"))
     tested = None
@@ -270,16 +280,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     if not found.isEmpty():
         parts = merged(parts, found)
 
-    own = classes.select("c1", "c2", "node").join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    out = signed.join(own.select("c1", "c2", "component"), ["c1", "c2"], "left")
-    component = F.coalesce("component", node)
-    return out.select("doc_id", "n_shingles", F.nullif(component, F.lit(NO_ID)).alias("component_id"), (component == node).alias("kept"))
+    own = classes.select("c1", "c2", "first", "node").join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = own.groupBy("component").agg(F.min("first").alias("head"))
+    out = signed.join(own.join(heads, "component").select("c1", "c2", "head"), ["c1", "c2"], "left")
+    return out.select("row", "doc_id", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, that with the least id; columns stay."""
-    out = near_groups(docs, n=n, percent=percent).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__drop")).distinct()
-    return docs.join(out, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__drop"), "left_anti")
+    """docs with one row of each group of near duplicates, one with the least id; columns stay. The rows are written once with a number each."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    ready = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"), F.col("__row").alias("row"))
+    out = _groups(ready, n, percent).filter(~F.col("kept")).select(F.col("row").alias("__row"))
+    return rows.join(out, "__row", "left_anti").drop("__row")
 
 
 def op6_near_dup(spark, sf_dir):

@@ -236,6 +236,21 @@ def test_near_groups(spark):
         assert got == brute_groups(docs, n, percent)
 
 
+def test_near_groups_without_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = ([f"word{rng.randint(0, 9999)}" for _ in range(60)] for _ in range(5))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, a), (None, a), (None, b), (None, near(b).split()), (None, b), (None, c), (5, d), (5, d), (5, e), (7, near(e).split()), (None, []), (None, [])]
+    rows = [(i, " ".join(w), n) for n, (i, w) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    got = near_dup.near_groups(df).collect()
+    assert sorted((r["component_id"] or 0, r["kept"]) for r in got) == sorted([(1, True), (1, False), (0, True), (0, False), (0, False), (0, True), (5, True), (5, False), (5, True), (5, False), (0, True), (0, True)])
+    left = near_dup.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    kept = sorted(r["n"] for r in left.collect())
+    assert len(kept) == 7 and {0, 5, 8, 10, 11} < set(kept) and len({2, 3, 4} & set(kept)) == 1 and len({6, 7} & set(kept)) == 1
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     for n in (5, 40, 300, 2000):

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clausewright import settings as S
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once a row, however often and in whatever lambdas `then` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def collapse(text: Column) -> Column:
     """White space as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -26,19 +34,21 @@ def slug(name: Column) -> Column:
 
 
 def title(name: Column) -> Column:
-    """Of a file: no folder, no ending, blanks for underscores, words capitalised with the rest as it is."""
-    base = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", ""), "_", " ")
-    return F.array_join(F.transform(F.split(base, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+    """Of a file: no folder, no ending, blanks for underscores, words capitalised (after any sign that isn't a letter, digit or line) with the rest as it is."""
+    base = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^.*[\\/]", ""), r"\.[^.]+$", ""), "_", " ")
+    parts = F.split(base, r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")  # each but perhaps the first begins a word
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.translate(F.substring(w, 1, 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(w, 2, 1 << 30))), "")
 
 
 def found_in(text: Column, terms: list[str]) -> Column:
     """Those of the terms that the text contains in any case, in order."""
     low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, F.lower(t)))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
 
 
 def any_in(text: Column, terms: list[str]) -> Column:
-    return F.size(found_in(text, terms)) > 0
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t.lower())) for t in terms], F.lit(False))
 
 
 def cross_refs(text: Column, own: Column) -> Column:

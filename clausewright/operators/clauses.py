@@ -1,4 +1,8 @@
-"""Blocks to clauses: ordered rules with headings carried forward, continuations joined, short units merged."""
+"""Blocks to clauses: ordered rules with headings carried forward, continuations joined, short units merged.
+
+Blocks get the number of their document's row, by which they are shuffled once; all later steps group by it. So documents with
+null or equal ids stay apart.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,9 @@ from pyspark.sql import functions as F
 
 from clausewright import settings as S
 from clausewright.functions import text as T
+from clausewright.operators.documents import block_rows
 
+# The forms of headings and clauses, in the order in which they are tried.
 ARTICLE = r"(?i)^ARTICLE\s+[IVXLC]+(?:\s*[—–-]\s*.+)?$"
 SECTION = r"(?i)^SECTION\s+([\d.]+)\s*.*$"
 DEFINED = r'^"([A-Z][\w\s-]+)"\s+(?:means|shall mean)'
@@ -16,9 +22,13 @@ DECIMAL = r"^(?:§\s*)?(\d+(?:\.\d+)+)\s+.+$"
 ALPHA = r"(?i)^\(([a-z])\)\s+.+$"
 
 
-def units(blocks: DataFrame) -> DataFrame:
-    """(doc_id, seq, path, label, trail, page_start, page_end, text, is_definition) from (doc_id, page, line_no, text)."""
-    b = blocks.withColumn("text", F.trim("text"))
+class MidSentenceSplit(ValueError):
+    """A clause ends within a sentence."""
+
+
+def units(parsed: DataFrame) -> DataFrame:
+    """(row, doc_id, seq, path, label, trail, page_start, page_end, text, is_definition) from parsed documents."""
+    b = block_rows(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "blocks"))
     t = F.col("text")
     kind = (
         F.when(t.rlike(ARTICLE), "article")
@@ -31,7 +41,7 @@ def units(blocks: DataFrame) -> DataFrame:
         .otherwise("more")
     )
     b = b.withColumn("kind", kind)
-    w = Window.partitionBy("doc_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     carried = lambda value, default: F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(default))
     number = F.when(F.col("kind") == "section", F.regexp_extract(t, SECTION, 1)).when(F.col("kind") == "decimal", F.regexp_extract(t, DECIMAL, 1))
     b = b.withColumns({
@@ -40,26 +50,36 @@ def units(blocks: DataFrame) -> DataFrame:
     }).filter("unit > 0 AND kind NOT IN ('article', 'section', 'skip')")
     term, letter = F.regexp_extract(t, DEFINED, 1), F.lower(F.regexp_extract(t, ALPHA, 1))
     by = lambda defined, lettered, decimal, alpha: F.when(F.col("kind") == "defined", defined).when(F.col("kind") == "lettered", lettered).when(F.col("kind") == "decimal", decimal).when(F.col("kind") == "alpha", alpha)
-    one, two = F.regexp_extract(t, LETTERED, 1), F.regexp_extract(t, LETTERED, 2)
-    path = by(F.array(F.lit("def"), T.slug(term)), F.concat(F.split(one, r"\."), F.array(two)), F.split(F.regexp_extract(t, DECIMAL, 1), r"\."), F.concat(F.split("number", r"\."), F.array(letter)))
-    label = by(F.concat(F.lit('§1.1 ("'), term, F.lit('")')), F.concat(F.lit("§"), one, F.lit("("), two, F.lit(")")), F.concat(F.lit("§"), F.regexp_extract(t, DECIMAL, 1)), F.concat(F.lit("§"), F.col("number"), F.lit("("), letter, F.lit(")")))
+    one, two, ten = F.regexp_extract(t, LETTERED, 1), F.regexp_extract(t, LETTERED, 2), F.regexp_extract(t, DECIMAL, 1)
+    path = by(F.array(F.lit("def"), T.slug(term)), F.concat(F.split(one, r"\."), F.array(two)), F.split(ten, r"\."), F.concat(F.split("number", r"\."), F.array(letter)))
+    label = by(F.concat(F.lit('§1.1 ("'), term, F.lit('")')), F.concat(F.lit("§"), one, F.lit("("), two, F.lit(")")), F.concat(F.lit("§"), ten), F.concat(F.lit("§"), F.col("number"), F.lit("("), letter, F.lit(")")))
     trail = F.array(F.col("article"), F.when(F.col("kind") == "defined", F.lit("Definitions")).otherwise(F.col("section")))
-    rows = b.select("doc_id", "unit", "page", "line_no", "text", F.struct(path.alias("path"), label.alias("label"), trail.alias("trail"), (F.col("kind") == "defined").alias("is_definition")).alias("head"))
-    got = rows.groupBy("doc_id", "unit").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "text", "head"))).alias("rs"))
-    return got.select("doc_id", F.col("unit").alias("seq"), F.col("rs")[0]["head"].alias("h"), F.col("rs")[0]["page"].alias("page_start"), F.element_at("rs", -1)["page"].alias("page_end"), F.array_join(F.transform("rs", lambda r: r["text"]), " ").alias("text")).select("doc_id", "seq", "h.path", "h.label", "h.trail", "page_start", "page_end", "text", "h.is_definition")
+    head = F.when(F.col("kind") != "more", F.struct(path.alias("path"), label.alias("label"), trail.alias("trail"), (F.col("kind") == "defined").alias("is_definition")))
+    got = b.select("row", "doc_id", "unit", head.alias("head"), F.struct("place", "page", "text").alias("r"))
+    got = got.groupBy("row", "unit").agg(F.first("doc_id").alias("doc_id"), F.max("head").alias("h"), F.array_sort(F.collect_list("r")).alias("rs"))
+    return got.select("row", "doc_id", F.col("unit").alias("seq"), "h.path", "h.label", "h.trail", F.col("rs")[0]["page"].alias("page_start"), F.element_at("rs", -1)["page"].alias("page_end"), F.array_join(F.transform("rs", lambda r: r["text"]), " ").alias("text"), "h.is_definition")
 
 
 def merge_short(unit_rows: DataFrame, short: int = S.SHORT_UNIT, most: int = S.MAX_UNIT) -> DataFrame:
-    """Units of few words go in front of the next one, which may pass them on; a fold over each document's clauses."""
+    """Units of few words go in front of the next one, which may pass them on.
+
+    A fold over a document's units keeps the words of the open group and writes a mark for each unit, 1 where a group begins; texts are joined afterwards, once.
+    """
     item = "struct(page_start, page_end, text, path, label, trail, is_definition, size(filter(split(trim(text), '\\\\s+'), w -> w <> '')) AS words)"
-    per = unit_rows.groupBy("doc_id").agg(F.expr(f"transform(array_sort(collect_list(struct(seq, {item} AS u))), x -> x.u)").alias("us"))
-    kind = per.schema["us"].dataType.simpleString()
-    fold = f"""aggregate(us, cast(array() as {kind}), (acc, x) -> CASE
-      WHEN size(acc) > 0 AND NOT x.is_definition AND NOT element_at(acc, -1).is_definition AND element_at(acc, -1).words < {short} AND element_at(acc, -1).words + x.words <= {most}
-      THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('page_start', least(element_at(acc, -1).page_start, x.page_start), 'page_end', x.page_end, 'text', concat(element_at(acc, -1).text, ' ', x.text),
-        'path', x.path, 'label', x.label, 'trail', x.trail, 'is_definition', x.is_definition, 'words', element_at(acc, -1).words + x.words)))
-      ELSE concat(acc, array(x)) END)"""
-    return per.select("doc_id", F.posexplode(F.expr(fold)).alias("seq", "u")).select("doc_id", "seq", "u.*")
+    per = unit_rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.expr(f"transform(array_sort(collect_list(struct(seq, {item} AS u))), x -> x.u)").alias("us"))
+    joins = f"NOT x.is_definition AND NOT acc.closed AND acc.words < {short} AND acc.words + x.words <= {most}"
+    per = per.withColumn("marks", F.expr(f"""aggregate(us, named_struct('words', 0, 'closed', true, 'marks', ''),
+      (acc, x) -> named_struct('words', IF({joins}, acc.words, 0) + x.words, 'closed', x.is_definition, 'marks', concat(acc.marks, IF({joins}, '0', '1'))), acc -> acc.marks)"""))
+    starts = F.filter(F.sequence(F.lit(0), F.size("us") - 1), lambda i: F.substr("marks", i + 1, F.lit(1)) == "1")
+
+    def joined(at: Column, stop: Column) -> Column:
+        return T.let(F.slice("us", at + 1, stop - at), lambda g: T.let(F.element_at(g, -1), lambda last: F.struct(
+            F.array_min(F.transform(g, lambda u: u["page_start"])).alias("page_start"), last["page_end"].alias("page_end"), F.array_join(F.transform(g, lambda u: u["text"]), " ").alias("text"),
+            *(last[c].alias(c) for c in ("path", "label", "trail", "is_definition")), F.aggregate(g, F.lit(0), lambda s, u: s + u["words"]).alias("words"),
+        )))
+
+    groups = T.let(starts, lambda at: F.transform(at, lambda s, k: joined(s, F.coalesce(F.get(at, k + 1), F.size("us")))))
+    return per.select("row", "doc_id", F.posexplode(groups).alias("seq", "u")).select("row", "doc_id", "seq", "u.*")
 
 
 def ends_whole(text: Column) -> Column:
@@ -67,15 +87,50 @@ def ends_whole(text: Column) -> Column:
     return F.right(F.trim(text), F.lit(1)).isin(".", ";", ":", '"', "'", ")")
 
 
-def chunks(unit_rows: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def whole(chunk_rows: DataFrame, strict: bool = False) -> DataFrame:
+    """The clauses that end as a sentence may; strict: the job fails at the first other one."""
+    good = ends_whole(F.col("text"))
+    if not strict:
+        return chunk_rows.filter(good)
+    said = F.concat(F.lit("clause cut within a sentence: "), F.col("clause_label"), F.lit(" ... "), F.right(F.trim("text"), F.lit(50)))
+    return chunk_rows.filter(F.when(~good, F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+
+
+def chunks(unit_rows: DataFrame) -> DataFrame:
     """The clause table: labels, references, defined terms of the document, signals and the order within the document."""
-    merged = merge_short(unit_rows)
-    terms = merged.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", T.quoted_terms(F.col("text")).alias("t")))), lambda x: x["t"]))).alias("all_terms"))
-    out = merged.join(terms, "doc_id")
+    merged = merge_short(unit_rows).withColumn("quoted", T.quoted_terms(F.col("text")))
+    per = merged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", F.struct(*[c for c in merged.columns if c not in ("row", "doc_id", "seq")]).alias("u")))).alias("us"))
+    per = per.withColumn("all_terms", F.array_distinct(F.flatten(F.transform("us", lambda x: x["u"]["quoted"]))))
+    out = per.select("row", "doc_id", "all_terms", F.explode("us").alias("x")).select("row", "doc_id", "all_terms", "x.seq", "x.u.*")
     t = F.col("text")
     return out.select(
-        F.concat_ws("::", F.col("doc_id").cast("string"), F.array_join("path", ".")).alias("id"), "doc_id", F.col("path").alias("clause_path"), F.col("label").alias("clause_label"), F.col("trail").alias("heading_trail"),
+        F.concat_ws("::", F.col("doc_id").cast("string"), F.array_join("path", ".")).alias("id"), "row", "doc_id", F.col("path").alias("clause_path"), F.col("label").alias("clause_label"), F.col("trail").alias("heading_trail"),
         "page_start", "page_end", "text", F.length(t).alias("char_count"), F.col("words").alias("token_count"), T.cross_refs(t, F.col("label")).alias("cross_refs"),
-        F.filter("all_terms", lambda x: F.contains(F.lower(t), F.lower(x))).alias("defined_terms"), T.signals(t).alias("signals"), F.col("seq").alias("vector_offset"),
-        F.concat(F.array_join("trail", " > "), F.lit(" — "), F.col("label"), F.lit(" "), t).alias("embedding_text"),
+        T.let(F.lower(t), lambda low: F.filter("all_terms", lambda x: F.contains(low, F.lower(x)))).alias("defined_terms"), T.signals(t).alias("signals"), F.col("seq").alias("vector_offset"), embedding_text(F.col("trail"), F.col("label"), t).alias("embedding_text"),
+    )
+
+
+def embedding_text(trail: Column, label: Column, text: Column) -> Column:
+    """What a clause is embedded as: its headings, label and text."""
+    return F.concat(F.array_join(trail, " > "), F.lit(" — "), label, F.lit(" "), text)
+
+
+def searched(chunk_rows: DataFrame, wanted: str) -> DataFrame:
+    """Clauses whose text or label contains what is wanted, in any case."""
+    low = F.lower(F.lit(wanted))
+    return chunk_rows.filter(F.contains(F.lower("text"), low) | F.contains(F.lower("clause_label"), low))
+
+
+def corpus_terms(chunk_rows: DataFrame) -> DataFrame:
+    """(term, place): the defined terms of all clauses in lower case, each once, and where in the corpus it stands first."""
+    each = chunk_rows.select("doc_id", "vector_offset", F.posexplode("defined_terms").alias("at", "t"))
+    return each.groupBy(F.lower("t").alias("term")).agg(F.min(F.struct("doc_id", "vector_offset", "at")).alias("place"))
+
+
+def as_clauses(chunk_rows: DataFrame) -> DataFrame:
+    """Clauses as reference expansion, stance and search take them: id, label, refs, seq, text and flat signals."""
+    s = F.col("signals")
+    return chunk_rows.select(
+        "id", F.col("clause_label").alias("label"), F.col("cross_refs").alias("refs"), F.struct("doc_id", "vector_offset").alias("seq"), "text",
+        *(s[c].alias(c) for c in ("has_exception", "has_obligation", "has_definition", "has_remedy", "matched_markers")),
     )

@@ -1,48 +1,86 @@
-"""Texts to pages, lines and blocks. A document's lines are ordered by window functions over its own rows only."""
+"""Texts to pages and blocks. A document stays one row: its lines, pages and blocks are arrays, so nothing is shuffled and rows need no id."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright import settings as S
 from clausewright.functions import text as T
 
-HEADING = r'(?i)^#{1,3}\s+.*|^(?:article|section)\s+[ivxlc\d.]+.*|^\d+(?:\.\d+)+(?:\([a-z0-9]+\))?\s+.*|^\([a-z]\)\s+.*'
 
+class ScannedDocument(ValueError):
+    """Pages hold too little text; reading images is out of scope."""
+
+
+def pages(text: Column, per_page: int = S.PAGE_LINES) -> Column:
+    """Array of a text's pages: what lies between break markers where it has any, else every per_page lines."""
+    by_lines = T.let(F.split(text, r"\r?\n", -1), lambda ls: F.transform(F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / per_page).cast("int")), lambda i: F.array_join(F.slice(ls, i * per_page + 1, F.lit(per_page)), "\n")))
+    return F.when(F.contains(text, F.lit(S.PAGE_BREAK)), F.split(text, S.PAGE_BREAK, -1)).otherwise(by_lines)
+
+
+def is_heading(line: Column) -> Column:
+    return reduce(lambda a, b: a | b, [line.rlike(p) for p in S.HEADINGS])
+
+
+def page_blocks(page: Column) -> Column:
+    """Array of a page's paragraphs (line_no, text, font_size, bold): blank lines and headings start one."""
+
+    def block(ls: Column, at: Column, stop: Column) -> Column:
+        first = F.get(ls, at)
+        clean = F.regexp_replace(first, S.HASHES, "")
+        body = F.array_join(F.concat(F.array(clean), F.slice(ls, at + 2, F.greatest(stop - at - 1, F.lit(0)))), " ")
+        size = F.when(~is_heading(first), 11.0).when(clean.rlike("(?i)^article"), 14.0).when(clean.rlike("(?i)^section"), 12.5).otherwise(11.0)
+        return F.struct(at.alias("line_no"), T.dehyphenate(body).alias("text"), size.alias("font_size"), (is_heading(first) & clean.rlike("(?i)^article|section")).alias("bold"))
+
+    def found(ls: Column) -> Column:
+        n = F.size(ls)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(ls, i) == "") | (i == 0) | (F.get(ls, i - 1) == "") | is_heading(F.get(ls, i)))
+        return T.let(starts, lambda at: F.filter(F.transform(at, lambda s, k: block(ls, s, F.coalesce(F.get(at, k + 1), n))), lambda b: b["text"] != ""))
+
+    return T.let(F.transform(F.split(page, r"\r?\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), found)
+
+
+def strip_repeats(blocks: Column, n_pages: Column) -> Column:
+    """The blocks without headers that recur on most pages, where a document has three pages or more."""
+    least = F.ceil(n_pages * F.lit(S.HEADER_SHARE)).cast("int")
+    often = lambda bs: T.let(F.array_sort(F.transform(bs, lambda b: F.lower(b["text"]))), lambda low: F.array_distinct(F.filter(low, lambda x, i: F.get(low, i + least - 1) == x)))
+    return F.when(n_pages < 3, blocks).otherwise(T.let(blocks, lambda bs: T.let(often(bs), lambda out: F.filter(bs, lambda b: ~F.array_contains(out, F.lower(b["text"]))))))
+
+
+def poor_pages(page_texts: Column) -> Column:
+    """How many pages have few characters."""
+    return F.size(F.filter(page_texts, lambda p: F.length(F.regexp_replace(p, r"\s+", "")) < S.SCANNED_CHARS))
+
+
+def parse(docs: DataFrame, text: str = "text", per_page: int = S.PAGE_LINES) -> DataFrame:
+    """docs, without their text, with page_count, poor_pages, rejected, blocks (page, line_no, text, font_size, bold) and sha256 of the blocks' texts.
 
-def lines(docs: DataFrame, per_page: int = S.PAGE_LINES) -> DataFrame:
-    """(doc_id, line_no, page, line): pages by break markers where a text has any, else every per_page lines."""
-    raw = docs.select("doc_id", "text", F.contains("text", F.lit(S.PAGE_BREAK)).alias("marked"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1)).alias("line_no", "line"))
-    raw = raw.drop("text").withColumn("is_break", F.col("line").contains(S.PAGE_BREAK))
-    before = Window.partitionBy("doc_id").orderBy("line_no")
-    page = F.when(F.col("marked"), F.sum(F.col("is_break").cast("int")).over(before) + 1).otherwise(F.floor(F.col("line_no") / per_page) + 1)
-    return raw.withColumn("page", page.cast("int")).filter(~F.col("is_break")).select("doc_id", "line_no", "page", "line")
+    A null text is one empty page, and so rejected. Rows are worked on alone; other columns stay, ids may be null or repeated.
+    """
+    ready = docs.withColumn("__pages", pages(F.coalesce(text, F.lit("")), per_page))
+    on_page = lambda p, i: F.transform(page_blocks(p), lambda b: F.struct((i + 1).alias("page"), b["line_no"].alias("line_no"), b["text"].alias("text"), b["font_size"].alias("font_size"), b["bold"].alias("bold")))
+    n = F.size("__pages")
+    ready = ready.withColumns({"page_count": n, "poor_pages": poor_pages(F.col("__pages")), "blocks": strip_repeats(F.flatten(F.transform("__pages", on_page)), n)})
+    ready = ready.withColumn("rejected", F.col("poor_pages") / F.col("page_count") > S.SCANNED_SHARE)
+    return ready.withColumn("sha256", F.sha2(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n"), 256)).drop("__pages", text)
 
 
-def scanned(paged: DataFrame) -> DataFrame:
-    """(doc_id, pages, poor, rejected): pages with few characters, and whether they are too many."""
-    page = paged.groupBy("doc_id", "page").agg(F.sum(F.length(F.regexp_replace("line", r"\s+", ""))).alias("chars"))
-    out = page.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum((F.col("chars") < S.SCANNED_CHARS).cast("long")).alias("poor"))
-    return out.withColumn("rejected", F.col("poor") / F.col("pages") > S.SCANNED_SHARE)
+def accepted(parsed: DataFrame, strict: bool = False) -> DataFrame:
+    """The documents with enough text; strict: the job fails at the first other one."""
+    if not strict:
+        return parsed.filter(~F.col("rejected"))
+    said = F.concat(F.lit("scanned document: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")), F.lit(", pages with little text "), F.concat_ws("/", F.col("poor_pages").cast("string"), F.col("page_count").cast("string")))
+    return parsed.filter(F.when(F.col("rejected"), F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
 
 
-def blocks(paged: DataFrame) -> DataFrame:
-    """(doc_id, page, block, text, font_size, bold): paragraphs; blank lines and headings start one."""
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    flagged = paged.withColumn("line", line).withColumn("heading", F.col("line").rlike(HEADING) | F.col("line").rlike(r'^"[A-Z][\w\s-]+"'))
-    w = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    start = (F.col("line") == "") | F.col("heading") | F.coalesce(F.lag("line").over(w) == "", F.lit(True))
-    grouped = flagged.withColumn("block", F.sum(start.cast("int")).over(w)).filter("line <> ''")
-    out = grouped.groupBy("doc_id", "page", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"), F.min("line_no").alias("line_no"))
-    first = F.regexp_replace(F.col("ls")[0]["line"], r"^#{1,3}\s+", "")
-    body = F.array_join(F.concat(F.array(first), F.transform(F.slice("ls", 2, 1 << 30), lambda x: x["line"])), " ")
-    size = F.when(first.rlike("(?i)^article"), 14.0).when(first.rlike("(?i)^section"), 12.5).otherwise(11.0)
-    return out.select("doc_id", "page", "line_no", T.dehyphenate(body).alias("text"), size.alias("font_size"), first.rlike("(?i)^article|section").alias("bold"))
+def quarantined(parsed: DataFrame) -> DataFrame:
+    """The documents that accepted() leaves out, with the reason."""
+    return parsed.filter("rejected").withColumn("reason", F.lit("scanned_document"))
 
 
-def strip_repeats(block_rows: DataFrame) -> DataFrame:
-    """Without headers that recur on most pages, where a document has three pages or more."""
-    pages = block_rows.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
-    n = F.count("*").over(Window.partitionBy("doc_id", F.lower("text")))
-    return block_rows.join(pages, "doc_id").withColumn("n", n).filter((F.col("pages") < 3) | (F.col("n") < F.ceil(F.col("pages") * S.HEADER_SHARE))).drop("n", "pages")
+def block_rows(parsed: DataFrame) -> DataFrame:
+    """A row per block, with the document's columns and the block's place."""
+    return parsed.select("*", F.posexplode("blocks").alias("place", "b")).drop("blocks").select("*", "b.*").drop("b")

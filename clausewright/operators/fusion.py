@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright import settings as S
+from clausewright.functions import text as T
 
 
 def with_weights(hits: DataFrame, kinds: dict[str, float] = S.KINDS) -> DataFrame:
@@ -32,28 +33,45 @@ def rank1_margin(fused: DataFrame) -> DataFrame:
     return fused.withColumn("margin", F.when(second.isNull(), F.col("best_cosine")).otherwise(F.greatest(F.lit(0.0), F.col("best_cosine") - second))).filter("rank = 1").select("query_id", "margin")
 
 
+def bare(label: Column) -> Column:
+    """A clause's label without its sign, in lower case."""
+    return F.lower(F.regexp_replace(label, r"^§\s*", ""))
+
+
+def reached(clauses: DataFrame) -> DataFrame:
+    """(way, key, to_id, to_seq): what a reference reaches. Way 0: the clause of that label, the last one where several have it.
+
+    Way 1: exception clauses that cite the label or one of its sub-clauses, or are sub-clauses of it; each is listed under every label that reaches it.
+    """
+    starts = lambda x, at: T.let(F.split(x, at), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), "")))
+    named = clauses.groupBy(bare(F.col("label")).alias("key")).agg(F.max_by("id", "seq").alias("to_id"), F.max("seq").alias("to_seq"))
+    cites = F.flatten(F.transform("refs", lambda r: starts(bare(r), r"(?=\()")))
+    ups = F.filter(starts(bare(F.col("label")), r"(?=[.(])"), lambda x: x != bare(F.col("label")))
+    carve = clauses.filter("has_exception").select(F.explode(F.array_distinct(F.concat(cites, ups))).alias("key"), F.col("id").alias("to_id"), F.col("seq").alias("to_seq"))
+    return named.withColumn("way", F.lit(0)).unionByName(carve.withColumn("way", F.lit(1)))
+
+
 def expand_refs(fused: DataFrame, clauses: DataFrame, top: int = 2) -> DataFrame:
-    """fused with clauses that the first rows cite, and carve-outs that cite them, where missing; adds xref_from.
+    """fused with clauses that the first rows cite, and carve-outs that cite them, where missing; adds xref_from, the citing row's label as written.
 
-    clauses: id, label (without §), refs (array), has_exception, seq. Forward: cited by a top row, both scores at a discount. Reverse: an exception
-    clause that cites the row, or one of its sub-clauses, or is a sub-clause of it; scores above the row's. A clause found in several ways takes the first:
-    by parent's rank, forward before reverse, then by place. Joins are on keys: a clause is listed under each label prefix that reaches it.
+    clauses: id, label, refs (array), has_exception, seq (of any type that has an order). Forward: cited by a top row, both scores at a discount. Reverse: see
+    reached(); scores above the row's. Scores by kind are the top row's. A clause found in several ways takes the first: as a candidate itself, then
+    by parent's rank, forward before reverse, then by place. Each candidate is read once: it stands for itself and, as a top row, for the keys it reaches by.
     """
-    parents = fused.filter(F.col("rank") <= top).join(clauses.select("id", "label", "refs"), "id")
-    parents = parents.select("query_id", F.col("rank").alias("p_rank"), F.lower("label").alias("p_label"), "refs", F.col("fused").alias("p_fused"), F.col("best_cosine").alias("p_cosine"), F.col("best_kind").alias("p_kind"))
-    labels = clauses.groupBy(F.lower("label").alias("ref")).agg(F.max_by("id", "seq").alias("id"))
-    forward = parents.select("*", F.posexplode("refs").alias("at", "r")).withColumn("ref", F.lower("r")).join(labels, "ref")
-    forward = forward.select("query_id", "id", (F.col("p_fused") * S.XREF_DISCOUNT).alias("fused"), (F.col("p_cosine") * S.XREF_DISCOUNT).alias("best_cosine"), F.col("p_kind").alias("best_kind"), "p_label", "p_rank", F.lit(0).alias("way"), F.col("at").cast("long").alias("at"))
-    carve = clauses.filter("has_exception")
-    starts = lambda x, at: F.transform(F.sequence(F.lit(1), F.size(F.split(x, at))), lambda i: F.array_join(F.slice(F.split(x, at), F.lit(1), i), ""))
-    cites = carve.select("id", "seq", F.explode(F.flatten(F.transform("refs", lambda r: starts(F.lower(r), r"(?=\()")))).alias("p_label"))
-    ups = starts(F.lower("label"), r"(?=[.(])")
-    below = carve.select("id", "seq", "label", F.explode(ups).alias("p_label")).filter("p_label <> lower(label)").select("id", "seq", "p_label")
-    reverse = parents.join(cites.unionByName(below).distinct(), "p_label").join(clauses.select("id", F.col("label").alias("own")), "id").filter("lower(own) <> p_label")
-    reverse = reverse.select("query_id", "id", (F.col("p_fused") * S.REVERSE_BOOST).alias("fused"), F.col("p_cosine").alias("best_cosine"), F.lit("exception").alias("best_kind"), "p_label", "p_rank", F.lit(1).alias("way"), F.col("seq").cast("long").alias("at"))
-    found = forward.unionByName(reverse).join(fused.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    first = Window.partitionBy("query_id", "id").orderBy("p_rank", "way", "at")
-    added = found.withColumn("n", F.row_number().over(first)).filter("n = 1").withColumn("xref_from", F.col("p_label"))
-    both = fused.withColumns({"xref_from": F.lit(None).cast("string"), "p_rank": F.lit(0), "way": F.lit(0), "at": F.col("rank").cast("long")}).unionByName(added.drop("n", "p_label"), allowMissingColumns=True)
-    order = Window.partitionBy("query_id").orderBy(F.desc("fused"), "p_rank", "way", "at")
-    return both.withColumn("rank", F.row_number().over(order)).drop("p_rank", "way", "at")
+    own = clauses.select(F.col("id").alias("__own"), F.col("label").alias("__label"), "refs")
+    rows = fused.withColumn("__own", F.when(F.col("rank") <= top, F.col("id"))).join(own, "__own", "left")
+    stub = lambda way, key, at: F.struct(F.lit(way).alias("way"), key.alias("key"), at.cast("int").alias("at"))
+    ahead = F.transform("refs", lambda r, i: stub(0, bare(r), i))
+    stubs = F.concat(F.array(stub(-1, F.lit(None).cast("string"), F.lit(0))), F.when(F.col("__label").isNotNull(), F.concat(ahead, F.array(stub(1, bare(F.col("__label")), F.lit(0))))).otherwise(F.array().cast("array<struct<way:int,key:string,at:int>>")))
+    rows = rows.withColumn("__s", F.explode(stubs)).select(*fused.columns, "__label", "__s.*")
+    found = rows.join(reached(clauses), ["way", "key"], "left").filter("way < 0 OR to_id IS NOT NULL")
+    way = F.col("way")
+    found = found.withColumns({
+        "id": F.coalesce("to_id", "id"), "fused": F.col("fused") * F.when(way == 0, S.XREF_DISCOUNT).when(way == 1, S.REVERSE_BOOST).otherwise(1.0), "best_cosine": F.col("best_cosine") * F.when(way == 0, S.XREF_DISCOUNT).otherwise(1.0),
+        "best_kind": F.when(way == 1, "exception").otherwise(F.col("best_kind")), "xref_from": F.when(way >= 0, F.col("__label")), "__p": F.when(way < 0, 0).otherwise(F.col("rank")),
+        "__at": F.struct(F.when(way < 0, F.col("rank")).otherwise(F.col("at")).alias("n"), F.when(way == 1, F.col("to_seq")).alias("seq")),
+    })
+    first = Window.partitionBy("query_id", "id").orderBy("__p", "way", "__at")
+    order = Window.partitionBy("query_id").orderBy(F.desc("fused"), "__p", "way", "__at")
+    kept = found.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    return kept.withColumn("rank", F.row_number().over(order)).select(*fused.columns, "xref_from")

@@ -9,14 +9,32 @@ from clausewright import settings as S
 from clausewright.functions import text as T
 
 
-def parse_assertions(queries: DataFrame, terms: list[str] | None = None, text: str = "transcript") -> DataFrame:
-    """Adds raw, subject, obligation, instrument and qualifiers; without a known term, the first four telling words are the subject."""
+def contained_terms(queries: DataFrame, terms: DataFrame, text: str = "transcript", longest: int = 36) -> DataFrame:
+    """(query_id, known): the terms (term, place) that each query contains, in order of place.
+
+    A query's substrings of up to the longest term's length meet the terms by equality, so no query is held against every term.
+    """
+    low = F.lower(F.trim(text))
+    cuts = T.let(low, lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(x) - i + 1)), lambda n: F.substr(x, i, n)))))
+    parts = queries.filter(F.length(low) > 0).select("query_id", F.explode(F.array_distinct(cuts)).alias("term"))
+    return parts.join(terms, "term").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("known"))
+
+
+def parse_assertions(queries: DataFrame, terms: DataFrame | None = None, text: str = "transcript") -> DataFrame:
+    """Adds raw, subject, obligation, instrument and qualifiers; without a known term, the first four telling words are the subject.
+
+    terms: (term, place), the corpus' defined terms in lower case.
+    """
     raw = F.trim(text)
     low = F.lower(raw)
     words = F.filter(F.split(F.regexp_replace(low, r"[^a-z0-9\s-]", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*S.STOP_WORDS, *S.OBLIGATION_WORDS))
-    known = T.found_in(raw, sorted({t.lower() for t in terms})) if terms else F.array().cast("array<string>")
+    if terms is None:
+        known = F.array().cast("array<string>")
+    else:
+        queries = queries.join(contained_terms(queries, terms, text), "query_id", "left")
+        known = F.coalesce("known", F.array().cast("array<string>"))
     subject = F.when(F.size(known) > 0, known).otherwise(F.slice(words, 1, 4))
-    return queries.withColumns({"raw": raw, "subject": F.array_distinct(subject), "obligation": T.found_in(raw, S.OBLIGATION_WORDS), "instrument": T.found_in(raw, S.INSTRUMENTS), "qualifiers": F.array_distinct(F.regexp_extract_all(raw, F.lit(S.QUALIFIERS), 1))})
+    return queries.withColumns({"raw": raw, "subject": F.array_distinct(subject), "obligation": T.found_in(raw, S.OBLIGATION_WORDS), "instrument": T.found_in(raw, S.INSTRUMENTS), "qualifiers": F.array_distinct(F.regexp_extract_all(raw, F.lit(S.QUALIFIERS), 1))}).drop("known")
 
 
 def expansions(parsed: DataFrame) -> DataFrame:
@@ -25,7 +43,7 @@ def expansions(parsed: DataFrame) -> DataFrame:
     subject = F.when(F.size("subject") > 0, F.array_join("subject", " ")).otherwise(raw)
     extra = F.when(F.size("qualifiers") > 0, F.concat(F.lit(" "), F.array_join("qualifiers", " "))).otherwise(F.lit(""))
     under = F.coalesce(F.get("instrument", F.lit(0)), F.lit("this Agreement"))
-    # The wording of the forms.
+    # The wording of the forms (the SQL that tests them repeats it).
     forms = {
         "obligation": (" Under ", under, ", ", subject, extra, " shall not exceed the applicable minimum thresholds, and the Company shall comply with such covenants at all times."),
         "exception": (" Notwithstanding the foregoing, ", subject, extra, " shall be exempt from such thresholds, and this provision shall not apply, provided that the applicable conditions are satisfied."),
@@ -84,10 +102,13 @@ def early_gate(queries: DataFrame) -> DataFrame:
     return queries.withColumn("early", why)
 
 
-def gate(queries: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(query_id, state, composite, reason) for every query from the cosines of its first two results (query_id, final_rank, best_cosine)."""
+def gate(queries: DataFrame, ranked: DataFrame, early: bool = True) -> DataFrame:
+    """(query_id, state, composite, reason) for every query from the cosines of its first two results (query_id, final_rank, best_cosine).
+
+    early: whether queries that are refused before a search are red; the plain arm has no such step.
+    """
     tops = ranked.filter("final_rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("final_rank") == 1, F.col("best_cosine"))).alias("c1"), F.max(F.when(F.col("final_rank") == 2, F.col("best_cosine"))).alias("c2"))
-    q = early_gate(queries).join(tops, "query_id", "left")
+    q = (early_gate(queries) if early else queries.withColumn("early", F.lit(None).cast("string"))).join(tops, "query_id", "left")
     sim = T.clamp((F.col("c1") - S.SIM_FLOOR) / (S.SIM_CEIL - S.SIM_FLOOR), 0.0, 1.0)
     gap = F.coalesce(T.clamp(F.greatest(F.lit(0.0), F.col("c1") - F.col("c2")) / S.MARGIN_CEIL, 0.0, 1.0), F.lit(0.0))
     asr = T.asr_confidence(F.col("asr_mean_logprob"))

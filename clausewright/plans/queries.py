@@ -1,362 +1,6 @@
-"""The registered queries over the given tables, each with the SQL that says the same."""
+"""All registered queries of the engine, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from clausewright import settings as S
-from clausewright.functions import text as T
-from clausewright.functions import vectors as V
-from clausewright.operators import clauses as C
-from clausewright.operators import documents as D
-from clausewright.operators import evaluate as E
-from clausewright.operators import fusion as X
-from clausewright.operators import scoring as G
-from clausewright.operators.knn import create_index
-from clausewright.streaming import sessions, vad
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def sql_list(words: list[str]) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-
-
-DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
-# Queries are the rows whose id is divisible by 100; the four kinds take the vectors of that row and the next three.
-HITS = f"""kinds AS (SELECT * FROM (VALUES ('obligation', 0, 1.0::DOUBLE), ('exception', 1, 1.3::DOUBLE), ('definition', 2, 0.8::DOUBLE), ('remedy', 3, 0.8::DOUBLE)) k(kind, kind_ord, weight)),
-qs AS (SELECT e.vec_id - kind_ord AS query_id, kind, kind_ord, weight, embedding FROM embeddings e JOIN kinds ON (e.vec_id - kind_ord) % 100 = 0),
-hits AS (SELECT query_id, kind, kind_ord, weight, id, score, rank FROM (SELECT query_id, kind, kind_ord, weight, e.vec_id AS id, {DOT.format('e.embedding', 'qs.embedding')} AS score,
-  row_number() OVER (PARTITION BY query_id, kind ORDER BY {DOT.format('e.embedding', 'qs.embedding')} DESC, e.vec_id) AS rank FROM embeddings e, qs) WHERE rank <= 10)"""
-FUSED = (
-    HITS
-    + """,
-agg AS (SELECT query_id, id, sum(weight / (60 + rank)) AS fused, max(score) AS best_cosine, arg_max(kind, weight / (60 + rank) - kind_ord * 1e-12) AS best_kind, min(kind_ord * 100 + rank) AS seen,
-  max(score) FILTER (kind = 'obligation') AS obligation, max(score) FILTER (kind = 'exception') AS exception, max(score) FILTER (kind = 'definition') AS definition, max(score) FILTER (kind = 'remedy') AS remedy FROM hits GROUP BY query_id, id),
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, seen) AS rank FROM agg)"""
-)
-
-
-def _index(spark, sf_dir):
-    return create_index(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
-
-
-def _queries(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    kinds = list(S.KINDS)
-    return e.withColumn("k", F.col("vec_id") % 100).filter(F.col("k") < len(kinds)).select((F.col("vec_id") - F.col("k")).alias("query_id"), F.get(F.array(*map(F.lit, kinds)), F.col("k").cast("int")).alias("kind"), "embedding")
-
-
-def _hits(spark, sf_dir):
-    return _index(spark, sf_dir).search(_queries(spark, sf_dir), S.TOP_K)
-
-
-def _graph(spark, sf_dir) -> DataFrame:
-    """Clauses made of the embeddings' ids: labels a or a.b, two references each, exceptions by label."""
-    e, v = table(spark, sf_dir, "embeddings"), F.col("vec_id")
-    text = lambda c: c.cast("string")
-    label = F.when(v % 10 == 0, text(F.floor(v / 10))).otherwise(F.concat_ws(".", text(F.floor(v / 10)), text(v % 10)))
-    refs = F.array(F.concat_ws(".", text(v * 7 % 50), text(v * 3 % 9 + 1)), text(v * 11 % 50))
-    return e.select(v.alias("id"), label.alias("label"), refs.alias("refs"), (F.col("label") % 3 == 0).alias("has_exception"), (F.col("label") % 2 == 0).alias("has_obligation"), (F.col("label") == 1).alias("has_definition"), v.alias("seq"))
-
-
-def _round(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
-@query(f"WITH {HITS} SELECT query_id, kind, id, round(score, 6) AS score, rank::INTEGER AS rank FROM hits")
-def knn_flat_top10(spark, sf_dir):
-    return _round(_hits(spark, sf_dir), "score")
-
-
-@query(f"SELECT vec_id, round(sqrt({DOT.format('embedding', 'embedding')}), 6) AS before, 1.0::DOUBLE AS after FROM embeddings")
-def l2_normalize_norms(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("before"), F.round(V.norm(V.l2_normalize(F.col("embedding"))), 6).alias("after"))
-
-
-@query(f"WITH {FUSED} SELECT query_id, id, round(fused, 6) AS fused, round(best_cosine, 6) AS best_cosine, best_kind, round(obligation, 6) AS obligation, round(exception, 6) AS exception, round(definition, 6) AS definition, round(remedy, 6) AS remedy, rank::INTEGER AS rank FROM fused")
-def rrf_fuse(spark, sf_dir):
-    return _round(X.fuse(_hits(spark, sf_dir)), "fused", "best_cosine", *S.KINDS)
-
-
-@query(f"WITH {FUSED} SELECT query_id, round(coalesce(greatest(0, best_cosine - nxt), best_cosine), 6) AS margin FROM (SELECT *, lead(best_cosine) OVER (PARTITION BY query_id ORDER BY rank) AS nxt FROM fused) WHERE rank = 1")
-def rank1_margin(spark, sf_dir):
-    return _round(X.rank1_margin(X.fuse(_hits(spark, sf_dir))), "margin")
-
-
-GRAPH = """clauses AS (SELECT vec_id AS id, vec_id AS seq, CASE WHEN vec_id % 10 = 0 THEN (vec_id // 10)::VARCHAR ELSE (vec_id // 10) || '.' || (vec_id % 10) END AS lab,
-  [(vec_id * 7 % 50) || '.' || (vec_id * 3 % 9 + 1), (vec_id * 11 % 50)::VARCHAR] AS refs, label % 3 = 0 AS has_exception, label % 2 = 0 AS has_obligation, label = 1 AS has_definition FROM embeddings)"""
-EXPANDED = (
-    FUSED
-    + f""", {GRAPH},
-parents AS (SELECT query_id, rank AS p_rank, lab AS p_label, refs, fused AS p_fused, best_cosine AS p_cosine, best_kind AS p_kind FROM fused JOIN clauses USING (id) WHERE rank <= 2),
-fwd AS (SELECT query_id, c.id, p_fused * 0.7 AS fused, p_cosine * 0.7 AS best_cosine, p_kind AS best_kind, p_label, p_rank, 0 AS way, p.pos - 1 AS at_ FROM (SELECT *, unnest(refs) AS r, generate_subscripts(refs, 1) AS pos FROM parents) p JOIN clauses c ON c.lab = p.r),
-rev AS (SELECT query_id, o.id, p_fused * 1.03 AS fused, p_cosine AS best_cosine, 'exception' AS best_kind, p_label, p_rank, 1 AS way, o.seq AS at_ FROM parents p JOIN clauses o ON o.has_exception AND o.lab <> p.p_label AND (list_contains(o.refs, p.p_label) OR starts_with(o.lab, p.p_label || '.'))),
-found AS (SELECT * FROM (SELECT * FROM fwd UNION ALL SELECT * FROM rev) f WHERE NOT EXISTS (SELECT 1 FROM fused u WHERE u.query_id = f.query_id AND u.id = f.id) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY p_rank, way, at_) = 1),
-alls AS (SELECT query_id, id, fused, best_cosine, best_kind, NULL AS xref_from, 0 AS p_rank, 0 AS way, rank AS at_ FROM fused UNION ALL SELECT query_id, id, fused, best_cosine, best_kind, p_label, p_rank, way, at_ FROM found),
-expanded AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, p_rank, way, at_) AS rank FROM alls)"""
-)
-
-
-def _expanded(spark, sf_dir):
-    return X.expand_refs(X.fuse(_hits(spark, sf_dir)), _graph(spark, sf_dir))
-
-
-@query(f"WITH {EXPANDED} SELECT query_id, id, round(fused, 6) AS fused, round(best_cosine, 6) AS best_cosine, best_kind, xref_from, rank::INTEGER AS rank FROM expanded")
-def xref_expand(spark, sf_dir):
-    return _round(_expanded(spark, sf_dir), "fused", "best_cosine").select("query_id", "id", "fused", "best_cosine", "best_kind", "xref_from", "rank")
-
-
-STANCE = (
-    EXPANDED
-    + """, pts AS (SELECT e.*, c.has_exception, c.has_definition AND NOT c.has_exception AS short,
-  2.0 * c.has_exception::INT + 1.5 * (best_kind = 'exception')::INT + 1.0 * c.has_exception::INT AS pro, 1.5 * c.has_obligation::INT + 1.0 * (best_kind = 'obligation')::INT AS con FROM expanded e JOIN clauses c USING (id)),
-conf AS (SELECT *, abs(pro - con)::DOUBLE / (pro + con + 1e-6)::DOUBLE AS conf FROM pts),
-st AS (SELECT *, CASE WHEN short OR conf < 0.25 THEN 'context' WHEN pro >= con THEN 'supports' ELSE 'against' END AS stance, CASE WHEN short THEN 0.88::DOUBLE ELSE floor(least(greatest(conf, 0.5), 0.99) * 100 + 0.5) / 100 END AS stance_confidence FROM conf),
-nd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused + CASE WHEN stance = 'supports' AND has_exception AND fused >= 0.72::DOUBLE * top THEN 0.025::DOUBLE ELSE 0 END DESC, rank) AS final_rank FROM (SELECT *, max(fused) OVER (PARTITION BY query_id) AS top FROM st))"""
-)
-
-
-def _ranked(spark, sf_dir):
-    rows = _expanded(spark, sf_dir).join(_graph(spark, sf_dir), "id")
-    none = F.array().cast("array<string>")
-    return G.nudge(G.stance(rows.withColumns({"text": F.lit(""), "subject": none, "qualifiers": none, "matched_markers": none, "accusatory": F.lit(True)})))
-
-
-@query(f"WITH {STANCE} SELECT query_id, id, stance, stance_confidence, round(fused, 6) AS fused, final_rank::INTEGER AS final_rank FROM nd")
-def stance_rerank(spark, sf_dir):
-    return _round(_ranked(spark, sf_dir), "fused").select("query_id", "id", "stance", "stance_confidence", "fused", "final_rank")
-
-
-@query(f"WITH {STANCE} SELECT query_id, id, final_rank::INTEGER AS final_rank FROM nd WHERE final_rank <= 3")
-def topk_cards(spark, sf_dir):
-    return _ranked(spark, sf_dir).filter(F.col("final_rank") <= S.CARDS).select("query_id", "id", "final_rank")
-
-
-GATE = """qy AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 700 = 0 THEN 'a' ELSE 'query ' || vec_id END AS transcript, -0.22::DOUBLE - (vec_id % 300) / 250.0::DOUBLE AS lp, CASE WHEN vec_id % 400 = 300 THEN 0.7::DOUBLE ELSE 0.03::DOUBLE END AS ns, 7.5::DOUBLE + vec_id % 13 AS snr FROM embeddings WHERE vec_id % 100 = 0),
-tops AS (SELECT query_id, max(best_cosine) FILTER (final_rank = 1) AS c1, max(best_cosine) FILTER (final_rank = 2) AS c2 FROM nd WHERE final_rank <= 2 GROUP BY query_id),
-sc AS (SELECT *, 1 / (1 + exp(-3 * (lp + 0.8::DOUBLE))) AS asr, least(greatest((c1 - 0.3::DOUBLE) / (0.62::DOUBLE - 0.3::DOUBLE), 0), 1) AS sim, coalesce(least(greatest(c1 - c2, 0) / 0.08::DOUBLE, 1), 0) AS gap FROM qy LEFT JOIN tops USING (query_id)),
-tot AS (SELECT *, least(0.99::DOUBLE, floor((0.3::DOUBLE * asr + 0.15::DOUBLE * least(greatest((snr - 6) / 18, 0), 1) + 0.35::DOUBLE * sim + 0.2::DOUBLE * gap) * 100 + 0.5) / 100) AS total,
-  CASE WHEN length(trim(transcript)) < 3 THEN 'empty_transcript' WHEN ns > 0.6 THEN 'no_speech_detected' WHEN asr < 0.25 THEN 'asr_confidence_below_floor' END AS early FROM sc)"""
-
-
-@query(f"""WITH {STANCE}, {GATE} SELECT query_id, CASE WHEN early IS NOT NULL THEN 'red' WHEN c1 < 0.3 OR total < 0.55 THEN 'amber' ELSE 'green' END AS state,
-  CASE WHEN early IS NOT NULL OR c1 < 0.3 THEN 0.0::DOUBLE ELSE total END AS composite,
-  coalesce(early, CASE WHEN c1 < 0.3 OR (total < 0.55 AND sim < 0.35) THEN 'weak_similarity_match' WHEN total < 0.55 THEN 'narrow_rank_margin' ELSE 'confident_match' END) AS reason FROM tot""")
-def gate_state(spark, sf_dir):
-    v = F.col("vec_id")
-    asked = table(spark, sf_dir, "embeddings").filter(v % 100 == 0).select(
-        v.alias("query_id"), F.when(v % 700 == 0, "a").otherwise(F.concat(F.lit("query "), v.cast("string"))).alias("transcript"), (F.lit(-0.22) - (v % 300) / F.lit(250.0)).alias("asr_mean_logprob"),
-        F.when(v % 400 == 300, 0.7).otherwise(0.03).alias("asr_no_speech_prob"), (F.lit(7.5) + v % 13).alias("snr_db"),
-    )
-    return G.gate(asked, _ranked(spark, sf_dir))
-
-
-RECALL = """ranks AS (SELECT q.vec_id AS query_id, q.label, coalesce(min(h.rank) FILTER (e.label = q.label AND e.vec_id <> q.vec_id), 0) AS first_ FROM embeddings q JOIN res h ON h.query_id = q.vec_id JOIN embeddings e ON e.vec_id = h.id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, q.label)
-SELECT label, count(*) AS n, round(avg(CASE WHEN first_ BETWEEN 1 AND 1 THEN 1.0 ELSE 0 END) * 100, 6) AS recall_1, round(avg(CASE WHEN first_ BETWEEN 1 AND 3 THEN 1.0 ELSE 0 END) * 100, 6) AS recall_3,
-  round(avg(CASE WHEN first_ BETWEEN 1 AND 5 THEN 1.0 ELSE 0 END) * 100, 6) AS recall_5, round(avg(CASE WHEN first_ > 0 THEN 1.0::DOUBLE / first_ ELSE 0 END), 6) AS mrr FROM ranks GROUP BY ROLLUP (label)"""
-
-
-def _quality(spark, sf_dir, results):
-    e = table(spark, sf_dir, "embeddings")
-    asked = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label")
-    named = results.join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("found")), "id").join(asked.withColumnRenamed("label", "wanted"), "query_id")
-    ranks = E.first_ranks(asked, named, (F.col("found") == F.col("wanted")) & (F.col("id") != F.col("query_id")))
-    return _round(E.quality(ranks, "label"), "recall_1", "recall_3", "recall_5", "mrr")
-
-
-@query(f"WITH {FUSED}, res AS (SELECT query_id, id, rank FROM fused), {RECALL}")
-def recall_mrr(spark, sf_dir):
-    return _quality(spark, sf_dir, X.fuse(_hits(spark, sf_dir)).select("query_id", "id", "rank"))
-
-
-@query(f"WITH {HITS}, res AS (SELECT query_id, id, rank FROM hits WHERE kind = 'obligation'), {RECALL}")
-def recall_mrr_baseline(spark, sf_dir):
-    return _quality(spark, sf_dir, _hits(spark, sf_dir).filter("kind = 'obligation'").select("query_id", "id", "rank"))
-
-
-LIMITS = [0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
-
-
-@query(f"SELECT l AS \"limit\", count(*) FILTER (s >= l) AS shown, count(*) FILTER (s >= l AND NOT good) AS wrong FROM (SELECT value / (1 + value) AS s, event_type = 'click' AS good FROM events) e, (SELECT unnest({LIMITS})::DOUBLE AS l) GROUP BY l")
-def threshold_sweep(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("value") / (1 + F.col("value"))).alias("s"), (F.col("event_type") == "click").alias("good"))
-    return E.sweep(e, "s", F.col("good"), LIMITS)
-
-
-@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, floor(avg(value) * 100 + 0.5) / 100 AS mean FROM events GROUP BY event_type")
-def percentile_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(E.nearest_rank("value", 0.5).alias("p50"), E.nearest_rank("value", 0.95).alias("p95"), T.rounded(F.avg("value"), 2).alias("mean"))
-
-
-@query("SELECT event_type, min(value) FILTER (rn = floor(n * 0.5) + 1) AS p50, min(value) FILTER (rn = floor(n * 0.95) + 1) AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
-def percentile_floor_index(spark, sf_dir):
-    """The value after floor(n * p) smaller ones, from counts by value: equal values are one row, and no event type is sorted as a whole group of rows."""
-    counts = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("event_type")
-    upto = counts.withColumns({"n": F.sum("c").over(w), "upto": F.sum("c").over(w.orderBy("value"))})
-    at = lambda p: F.min(F.when(F.col("upto") >= F.floor(F.col("n") * p) + 1, F.col("value"))).alias(f"p{int(p * 100)}")
-    return upto.groupBy("event_type").agg(at(0.5), at(0.95))
-
-
-LINES = "ls AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents))"
-
-
-@query(f"WITH {LINES} SELECT doc_id, (line_no // 40 + 1)::INTEGER AS page, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM ls GROUP BY ALL")
-def paginate_lines(spark, sf_dir):
-    return D.lines(table(spark, sf_dir, "documents")).groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
-
-
-@query(f"WITH {LINES}, pg AS (SELECT doc_id, line_no // 40 AS page, sum(length(regexp_replace(line, '\\s+', '', 'g'))) AS chars FROM ls GROUP BY ALL) SELECT doc_id, count(*) AS pages, count(*) FILTER (chars < 100) AS poor, count(*) FILTER (chars < 100) / count(*) > 0.3 AS rejected FROM pg GROUP BY doc_id")
-def scanned_reject(spark, sf_dir):
-    return D.scanned(D.lines(table(spark, sf_dir, "documents")))
-
-
-BLOCKS = (
-    LINES
-    + r""", tl AS (SELECT doc_id, line_no // 40 + 1 AS page, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM ls),
-hd AS (SELECT *, regexp_matches(line, '(?i)^#{1,3}\s+.*|^(?:article|section)\s+[ivxlc\d.]+.*|^\d+(?:\.\d+)+(?:\([a-z0-9]+\))?\s+.*|^\([a-z]\)\s+.*') OR regexp_matches(line, '^"[A-Z][\w\s-]+"') AS heading FROM tl),
-fl AS (SELECT *, (line = '' OR heading OR coalesce(lag(line) OVER (PARTITION BY doc_id, page ORDER BY line_no) = '', true)) AS st FROM hd),
-gr AS (SELECT *, sum(st::INT) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS block FROM fl),
-bl AS (SELECT doc_id, page::INTEGER AS page, min(line_no) AS line_no, regexp_replace(regexp_replace(string_agg(line, ' ' ORDER BY line_no), '([a-z])-\s+([a-z])', '\1\2', 'g'), '\s+', ' ', 'g') AS text FROM gr WHERE line <> '' GROUP BY doc_id, page, block)"""
-)
-
-
-@query(f"WITH {BLOCKS} SELECT doc_id, page, line_no::INTEGER AS line_no, sha256(text) AS text_sha256 FROM bl")
-def block_merge(spark, sf_dir):
-    return D.blocks(D.lines(table(spark, sf_dir, "documents"))).select("doc_id", "page", "line_no", F.sha2("text", 256).alias("text_sha256"))
-
-
-@query(f"WITH {BLOCKS}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(text)) AS n FROM bl), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM bl GROUP BY doc_id) SELECT doc_id, page, line_no::INTEGER AS line_no FROM n JOIN p USING (doc_id) WHERE pages < 3 OR n < ceil(pages * 0.6::DOUBLE)")
-def strip_repeats(spark, sf_dir):
-    return D.strip_repeats(D.blocks(D.lines(table(spark, sf_dir, "documents")))).select("doc_id", "page", "line_no")
-
-
-@query()
-def clause_chunks(spark, sf_dir):
-    """Documents, their lines numbered as clauses, to labelled chunks with references, terms and signals; tests hold it against a written-out example."""
-    number = lambda x, i: F.when(F.trim(x) == "", x).otherwise(F.concat((F.floor(i / 5) + 1).cast("string"), F.lit("."), (i % 5 + 1).cast("string"), F.lit(" "), x))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), number), "\n").alias("text"))
-    return C.chunks(C.units(D.strip_repeats(D.blocks(D.lines(docs)))))
-
-
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> ''))::INTEGER AS words, right(trim(text), 1) IN ('.', ';', ':', '\"', '''', ')') AS ends_whole, sha256(text) AS content FROM documents".replace('\\"', '"'))
-def text_measures(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(t).alias("words"), C.ends_whole(t).alias("ends_whole"), F.sha2(t, 256).alias("content"))
-
-
-WORDS = ["the ", "worthless", "with", "password", "copyright", "license"]
-
-
-@query(f"SELECT doc_id, array_to_string(list_filter({sql_list(WORDS + S.EXCEPTION_MARKERS)}, lambda m: contains(lower(text), m)), ',') AS matched, len(list_filter({sql_list(S.OBLIGATION_MARKERS)}, lambda m: contains(lower(text), m))) > 0 AS has_obligation FROM documents")
-def signals(spark, sf_dir):
-    found = T.signals(F.col("text"), exception=WORDS + S.EXCEPTION_MARKERS)
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("s")).select("doc_id", F.array_join("s.matched_markers", ",").alias("matched"), "s.has_obligation")
-
-
-@query(r"""WITH t AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '[A-Z][a-z]{9,}')) AS term FROM documents), d AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS w FROM documents)
-SELECT source, lower(term) AS term, count(DISTINCT doc_id) AS docs FROM d JOIN t USING (source) WHERE w = lower(term) GROUP BY ALL""")
-def defined_term_join(spark, sf_dir):
-    """Capitalised long words of a source as its terms, joined by key with the words of its documents."""
-    d = table(spark, sf_dir, "documents")
-    terms = d.select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), 0)).alias("term")).select("source", F.lower("term").alias("term")).distinct()
-    words = d.select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), 0))).alias("term")).distinct()
-    return words.join(terms, ["source", "term"]).groupBy("source", "term").agg(F.count("*").alias("docs"))
-
-
-@query("SELECT page_id, pos::INTEGER AS pos, ref FROM (SELECT page_id, unnest(range(len(r))) AS pos, unnest(r) AS ref FROM (SELECT page_id, regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1) AS r FROM pages))")
-def href_edges(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1)).alias("pos", "ref"))
-
-
-EXPAND = rf"""q AS (SELECT conv_id || ':' || turn AS query_id, trim(text) AS raw FROM conversations WHERE role = 'user'),
-p AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(lower(raw), '[^a-z0-9\s-]', ' ', 'g'), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({sql_list(S.STOP_WORDS + S.OBLIGATION_WORDS)}, w)) AS ws,
-  list_filter({sql_list(S.INSTRUMENTS)}, lambda m: contains(lower(raw), m)) AS ins, regexp_extract_all(raw, '{S.QUALIFIERS}', 1) AS qs FROM q),
-d AS (SELECT *, list_filter(ws[1:4], lambda w, i: list_position(ws, w) = i) AS subj, list_filter(qs, lambda w, i: list_position(qs, w) = i) AS qd FROM p),
-s AS (SELECT query_id, raw, CASE WHEN len(subj) > 0 THEN array_to_string(subj, ' ') ELSE raw END AS subj, CASE WHEN len(qd) > 0 THEN ' ' || array_to_string(qd, ' ') ELSE '' END AS qual, coalesce(ins[1], 'this Agreement') AS ins FROM d)"""
-
-
-@query(f"""WITH {EXPAND} SELECT query_id, e.kind AS kind, e.kind_ord AS kind_ord, e.weight AS weight, sha256(e.text) AS text FROM (SELECT query_id, unnest([
-  {{'kind': 'obligation', 'kind_ord': 0, 'weight': 1.0::DOUBLE, 'text': raw || ' Under ' || ins || ', ' || subj || qual || ' shall not exceed the applicable minimum thresholds, and the Company shall comply with such covenants at all times.'}},
-  {{'kind': 'exception', 'kind_ord': 1, 'weight': 1.3::DOUBLE, 'text': raw || ' Notwithstanding the foregoing, ' || subj || qual || ' shall be exempt from such thresholds, and this provision shall not apply, provided that the applicable conditions are satisfied.'}},
-  {{'kind': 'definition', 'kind_ord': 2, 'weight': 0.8::DOUBLE, 'text': raw || ' For purposes of ' || ins || ', "' || subj || '" means the amount so calculated and shall have the meaning set forth in this Section.'}},
-  {{'kind': 'remedy', 'kind_ord': 3, 'weight': 0.8::DOUBLE, 'text': raw || ' In the event of any breach with respect to ' || subj || qual || ', the sole and exclusive remedy shall be as set forth herein, subject to the applicable cure period.'}}]) AS e FROM s)""")
-def expand_queries(spark, sf_dir):
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("transcript"))
-    return G.expansions(G.parse_assertions(asked)).withColumn("text", F.sha2("text", 256))
-
-
-HOUR = 3_600_000
-VAD = vad.VadConfig(hangover_ms=6 * HOUR, most_ms=48 * HOUR, floor=2.0, least_rms=0.001)
-
-
-def _frames(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.expr("unix_micros(cast(ts AS timestamp))").cast("double").alias("at_us"), F.col("value").alias("rms")).select("stream_id", (F.col("at_us") / 1000).alias("at"), "rms")
-
-
-@query(f"""WITH RECURSIVE f AS (SELECT user_id AS stream_id, epoch_us(ts)::DOUBLE / 1000 AS at_, value AS rms, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS rn FROM events),
-s AS (SELECT stream_id, 0::BIGINT AS rn, 2.0::DOUBLE AS fl, NULL::DOUBLE AS st, 0.0::DOUBLE AS la, NULL::VARCHAR AS type, NULL::DOUBLE AS at_, 0.0::DOUBLE AS duration_ms FROM f WHERE rn = 1
-UNION ALL SELECT n.stream_id, n.rn, CASE WHEN sp THEN fl ELSE nf END, CASE WHEN sp THEN coalesce(st, n.at_) WHEN en THEN NULL ELSE st END, CASE WHEN sp THEN n.at_ ELSE la END,
-  CASE WHEN sp AND st IS NULL THEN 'speechStart' WHEN en THEN 'speechEnd' END, n.at_, CASE WHEN en THEN n.at_ - st ELSE 0.0 END
-  FROM (SELECT f.*, s.fl, s.st, s.la, (f.rms / greatest(1e-5, s.fl) - 1.5::DOUBLE) / 6 >= 0.5 AS sp, 0.98::DOUBLE * s.fl + 0.02::DOUBLE * greatest(0.001, f.rms) AS nf,
-    NOT ((f.rms / greatest(1e-5, s.fl) - 1.5::DOUBLE) / 6 >= 0.5) AND s.st IS NOT NULL AND (f.at_ - s.la >= {6 * HOUR} OR f.at_ - s.st >= {48 * HOUR}) AS en FROM s JOIN f ON f.stream_id = s.stream_id AND f.rn = s.rn + 1) n)
-SELECT stream_id, type, at_ AS at, duration_ms FROM s WHERE type IS NOT NULL""")
-def vad_sessions(spark, sf_dir):
-    return vad.segments(_frames(spark, sf_dir), VAD).select("stream_id", "type", "at", "duration_ms")
-
-
-@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, k""")
-def session_gap(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return sessions.gap_sessions(e, "user_id", "ts", "1 hour").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n")
-
-
-@query("SELECT user_id, event_id, age::INTEGER AS age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events) WHERE age <= 5")
-def ring_latest_n(spark, sf_dir):
-    return sessions.latest(table(spark, sf_dir, "events"), "user_id", "ts", 5, "event_id").select("user_id", "event_id", "age")
-
-
-@query(f"""WITH RECURSIVE f AS (SELECT user_id, event_id, epoch_us(ts)::DOUBLE / 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-s AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS rn, -1e18::DOUBLE AS la, false AS hit FROM f WHERE rn = 1
-UNION ALL SELECT f.user_id, f.event_id, f.rn, CASE WHEN f.t - s.la BETWEEN 60000 AND {24 * HOUR} THEN -1e18::DOUBLE ELSE f.t END, f.t - s.la BETWEEN 60000 AND {24 * HOUR} FROM s JOIN f ON f.user_id = s.user_id AND f.rn = s.rn + 1)
-SELECT user_id, event_id FROM s WHERE hit""")
-def double_tap(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.expr("unix_micros(cast(ts AS timestamp))") / 1000).alias("t"))
-    return sessions.double_taps(e, "user_id", "t", "event_id", 60_000, 24 * HOUR).select("user_id", "event_id")
-
-
-@query(r"""WITH c AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: w <> '') AS ws, (turn % 7) / 100.0::DOUBLE AS rms, 1000.0::DOUBLE * (1 + turn % 5) AS ms FROM conversations),
-e AS (SELECT *, CASE WHEN rms < 0.005 THEN [-2.5, 0.95] WHEN trim(text) = '' THEN [-2.2, 0.9] WHEN length(trim(text)) / (ms / 1000) < 3 THEN [-1.4, 0.45] WHEN len(ws) > 6 AND len(list_distinct(ws)) / len(ws) < 0.35 THEN [-1.5, 0.5]
-  ELSE [-0.6 + 0.4 * least(1.0::DOUBLE, rms / 0.05), greatest(0.02::DOUBLE, 0.2 - 0.18 * least(1.0::DOUBLE, rms / 0.05))]::DOUBLE[] END::DOUBLE[] AS p FROM c)
-SELECT conv_id, turn, round(p[1], 6) AS mean_logprob, round(p[2], 6) AS no_speech, round(1 / (1 + exp(-3 * (p[1] + 0.8))), 6) AS confidence FROM e""")
-def asr_confidence(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    got = c.select("conv_id", "turn", T.recognised(F.col("text"), (F.col("turn") % 7) / F.lit(100.0), F.lit(1000.0) * (1 + F.col("turn") % 5)).alias("r")).select("conv_id", "turn", "r.*")
-    return _round(got.withColumn("confidence", T.asr_confidence(F.col("mean_logprob"))), "mean_logprob", "no_speech", "confidence")
-
-
-@query(r"SELECT doc_id, (('0x' || substr(md5(w), 1, 4))::INTEGER % 16) AS bucket, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: w <> '')) AS w FROM documents) GROUP BY ALL")
-def hashed_features(spark, sf_dir):
-    counts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(V.hashed_words(F.col("text"))).alias("bucket", "n"))
-    return counts.filter("n > 0").select("doc_id", "bucket", F.col("n").cast("long").alias("n"))
+from clausewright.plans import contracts, measures, search  # noqa: F401
+from clausewright.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,31 +1,64 @@
-"""Queries in batches through gate, expansion, search, fusion, references, stance and cards."""
+"""Queries in batches through gate, parsing, expansion, embedding, search, fusion, references, stance and cards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright import settings as S
+from clausewright.operators.clauses import as_clauses, corpus_terms
 from clausewright.operators.fusion import expand_refs, fuse
-from clausewright.operators.knn import KnnBackend
-from clausewright.operators.scoring import early_gate, gate, nudge, parse_assertions, stance
+from clausewright.operators.knn import KnnBackend, create_index
+from clausewright.operators.scoring import early_gate, expansions, gate, nudge, parse_assertions, stance
+
+
+def last_of_id(clauses: DataFrame) -> DataFrame:
+    """One clause an id, the last in the corpus, as lookups by id find it."""
+    rest = [c for c in clauses.columns if c != "id"]
+    return clauses.groupBy("id").agg(F.max_by(F.struct(*rest), "seq").alias("c")).select("id", "c.*")
 
 
-def answer(queries: DataFrame, vectors: DataFrame, clauses: DataFrame, index: KnnBackend, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cards, verdicts).
+def ranked_answers(parsed: DataFrame, vectors: DataFrame, clauses: DataFrame, index: KnnBackend) -> DataFrame:
+    """All candidates of each query with stance, scores and final_rank.
 
-    queries: query_id, transcript and the measures of the gate; vectors: query_id, kind, embedding of the expansions; clauses: id, label, refs, seq, text and
-    signals. Refused queries are filtered before the search. Texts join last, for rows that may become cards.
+    parsed: queries after early_gate and parse_assertions; vectors: query_id, kind, embedding of their expansions; clauses: as as_clauses() gives them.
+    Refused queries are left out before the search.
     """
-    parsed = parse_assertions(early_gate(queries), terms)
-    asked = vectors.join(parsed.filter("early IS NULL").select("query_id"), "query_id", "left_semi")
+    open_ = parsed.filter("early IS NULL")
+    asked = vectors.join(open_.select("query_id"), "query_id", "left_semi")
     fused = expand_refs(fuse(index.search(asked, S.TOP_K)), clauses)
-    rows = fused.join(clauses, "id").join(parsed.select("query_id", "subject", "qualifiers", (F.size("obligation") > 0).alias("accusatory")), "query_id")
-    ranked = nudge(stance(rows))
-    return ranked.filter(F.col("final_rank") <= S.CARDS), gate(queries, ranked)
+    rows = fused.join(clauses, "id").join(open_.select("query_id", "subject", "qualifiers", (F.size("obligation") > 0).alias("accusatory")), "query_id")
+    return nudge(stance(rows))
+
+
+def cards(ranked: DataFrame) -> DataFrame:
+    return ranked.filter(F.col("final_rank") <= S.CARDS)
+
+
+def answer(queries: DataFrame, chunk_rows: DataFrame, embed: Callable[[Column], Column], backend: str = "flat") -> DataFrame:
+    """The ranked candidates of queries (query_id, transcript and the measures of the gate) in a table of clauses from chunks().
+
+    cards() and gate() take them further. chunk_rows is read several times, so it should be a written table.
+    """
+    parsed = parse_assertions(early_gate(queries), corpus_terms(chunk_rows))
+    vectors = expansions(parsed.filter("early IS NULL")).select("query_id", "kind", embed(F.col("text")).alias("embedding"))
+    index = create_index(chunk_rows.select("id", embed(F.col("embedding_text")).alias("embedding")), backend)
+    return ranked_answers(parsed, vectors, last_of_id(as_clauses(chunk_rows)), index)
+
+
+def answer_plain(queries: DataFrame, chunk_rows: DataFrame, embed: Callable[[Column], Column], backend: str = "flat") -> DataFrame:
+    """The plain arm: the transcript itself is searched, its hits are the cards, with stance as for obligations; no query is refused early."""
+    parsed = parse_assertions(queries, corpus_terms(chunk_rows))
+    vectors = parsed.select("query_id", F.lit("obligation").alias("kind"), embed(F.col("transcript")).alias("embedding"))
+    hits = create_index(chunk_rows.select("id", embed(F.col("embedding_text")).alias("embedding")), backend).search(vectors, S.CARDS)
+    kinds = {k: F.lit(None).cast("double") for k in S.KINDS} | {"obligation": F.col("score")}
+    rows = hits.withColumns({"fused": F.col("score"), "best_cosine": F.col("score"), "best_kind": F.lit("obligation"), "xref_from": F.lit(None).cast("string"), "final_rank": F.col("rank"), **kinds})
+    rows = rows.drop("kind", "score").join(last_of_id(as_clauses(chunk_rows)), "id").join(parsed.select("query_id", "subject", "qualifiers"), "query_id")
+    return stance(rows)
 
 
-def answer_plain(vectors: DataFrame, index: KnnBackend) -> DataFrame:
-    """The baseline arm: the first kind's search alone, cut at the cards."""
-    hits = index.search(vectors.filter(F.col("kind") == "obligation"), S.CARDS)
-    return hits.select("query_id", "id", F.col("score").alias("best_cosine"), F.col("rank").alias("final_rank"))
+def verdicts(queries: DataFrame, ranked: DataFrame, plain: bool = False) -> DataFrame:
+    """(query_id, state, composite, reason) of every query."""
+    return gate(queries, ranked, early=not plain)

@@ -10,15 +10,49 @@ REMEDY_MARKERS = ["sole remedy", "remedy", "cure period", "in the event", "liqui
 EXEMPTING = ["exempt", "notwithstanding", "shall not apply", "carve-out", "provided that"]
 TOPICAL = ["notwithstanding", "exempt", "provided that", "shall not exceed"]
 # Words that an assertion is parsed by.
-OBLIGATION_WORDS = "violates violate violation exceeds exceed minimum minimums threshold thresholds cap breach breaches default prohibited restricted mandatory required must shall covenant indemnify liability consent notice".split()
+OBLIGATION_WORDS = [
+    "violates", "violate", "violation", "exceeds", "exceed", "minimum", "minimums", "threshold", "thresholds", "cap", "breach", "breaches", "default", "prohibited", "restricted", "mandatory",
+    "required", "must", "shall", "covenant", "indemnify", "liability", "consent", "notice",
+]
 INSTRUMENTS = ["term sheet", "agreement", "merger agreement", "spa", "purchase agreement", "side letter", "schedule", "exhibit", "charter", "bylaws"]
-STOP_WORDS = "your the our their this that in on of to for and or is are was were under with by from as at be have has".split()
+STOP_WORDS = ["your", "the", "our", "their", "this", "that", "in", "on", "of", "to", "for", "and", "or", "is", "are", "was", "were", "under", "with", "by", "from", "as", "at", "be", "have", "has"]
 QUALIFIERS = r"(?i)\b(q1|q2|q3|q4|first quarter|second quarter|third quarter|fourth quarter|annual|quarterly|monthly|prior|closing|post-closing|\d+%|\$\d+(?:,\d{3})*(?:\s*million|\s*m)?)\b"
 # The kinds of expansion with their weights, in order.
 KINDS = {"obligation": 1.0, "exception": 1.3, "definition": 0.8, "remedy": 0.8}
-RRF_K, TOP_K, CARDS, XREF_DISCOUNT, REVERSE_BOOST, NUDGE, NUDGE_SHARE = 60, 10, 3, 0.7, 1.03, 0.025, 0.72
+# Search, fusion and cards.
+RRF_K = 60
+TOP_K = 10
+CARDS = 3
+XREF_DISCOUNT = 0.7
+REVERSE_BOOST = 1.03
+NUDGE = 0.025
+NUDGE_SHARE = 0.72
 # The confidence gate.
-NO_SPEECH, ASR_FLOOR, SIM_FLOOR, SIM_CEIL, MARGIN_CEIL, AMBER, STANCE_MIN = 0.6, 0.25, 0.30, 0.62, 0.08, 0.55, 0.25
-W_ASR, W_SNR, W_SIM, W_MARGIN = 0.30, 0.15, 0.35, 0.20
+NO_SPEECH = 0.6
+ASR_FLOOR = 0.25
+SIM_FLOOR = 0.30
+SIM_CEIL = 0.62
+MARGIN_CEIL = 0.08
+AMBER = 0.55
+STANCE_MIN = 0.25
+W_ASR = 0.30
+W_SNR = 0.15
+W_SIM = 0.35
+W_MARGIN = 0.20
 # Documents.
-PAGE_BREAK, PAGE_LINES, SCANNED_CHARS, SCANNED_SHARE, HEADER_SHARE, SHORT_UNIT, MAX_UNIT = "--- PAGE BREAK ---", 40, 100, 0.3, 0.6, 12, 320
+PAGE_BREAK = "--- PAGE BREAK ---"
+PAGE_LINES = 40
+SCANNED_CHARS = 100
+SCANNED_SHARE = 0.3
+HEADER_SHARE = 0.6
+SHORT_UNIT = 12
+MAX_UNIT = 320
+HASHES = r"^#{1,3}\s+"
+# Lines that start a block, each with its own rule on case.
+HEADINGS = [HASHES, r"(?i)^(?:ARTICLE|SECTION)\s+[IVXLC\d.]+", r"^\d+(?:\.\d+)+(?:\([a-z0-9]+\))?\s+", r"^\([a-z]\)\s+", r'^"[A-Z][\w\s-]+"']
+# Audio and speech.
+SAMPLE_RATE = 16_000
+HANGOVER_MS = 600
+MOST_SPEECH_MS = 15_000
+LEAST_SPEECH_MS = 250
+PARTIAL_MS = 750

@@ -61,8 +61,9 @@ def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
     """Linear interpolation."""
     if source == target or not len(x):
         return x
-    n = int(len(x) * target / source + 0.5)
-    return np.interp(np.arange(n) * source / target, np.arange(len(x)), x).astype(np.float32)
+    step = source / target
+    n = int(len(x) / step)  # whole samples only
+    return np.interp(np.arange(n) * step, np.arange(len(x)), x).astype(np.float32)
 
 
 def read_wav(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:

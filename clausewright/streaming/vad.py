@@ -11,15 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from clausewright import settings as S
+
 
 def frame_rms(samples: Column) -> Column:
     return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / F.size(samples))
 
 
+def tenths(x: float) -> float:
+    return math.floor(x * 10 + 0.5) / 10
+
+
 @dataclass(frozen=True)
 class VadConfig:
-    hangover_ms: float = 600
-    most_ms: float = 15_000
+    hangover_ms: float = S.HANGOVER_MS
+    most_ms: float = S.MOST_SPEECH_MS
     floor: float = 0.004
     least_rms: float = 0.001
 
@@ -49,7 +55,7 @@ class VadState:
         if self.start is None or (at - self.last < c.hangover_ms and at - self.start < c.most_ms):
             return None
         mean = self.energy / self.frames if self.frames else rms
-        out = "speechEnd", at, at - self.start, math.floor(max(0.0, 20 * math.log10(mean / max(1e-5, floor))) * 10 + 0.5) / 10
+        out = "speechEnd", at, tenths(at - self.start), tenths(max(0.0, 20 * math.log10(mean / max(1e-5, floor))))
         self.start, self.energy, self.frames = None, 0.0, 0
         return out
 
@@ -76,25 +82,26 @@ def segments(frames: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
     return flow.mapInPandas(run, f"stream_id {kind}, type string, at double, duration_ms double, snr_db double")
 
 
+def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, which may come in several pieces, by time."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(["at", "rms"], kind="stable")
+
+
 class VadProcessor(StatefulProcessor):
-    """The same step over a stream, for groupBy("stream_id").transformWithStateInPandas."""
+    """The same step over a stream, for groupBy("stream_id").transformWithStateInPandas. ttl_ms: a stream silent for so long is forgotten."""
 
-    def __init__(self, config: VadConfig = VadConfig()) -> None:
-        self.config = config
+    def __init__(self, config: VadConfig = VadConfig(), ttl_ms: int | None = None) -> None:
+        self.config, self.ttl_ms = config, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("vad", "floor double, start double, last double, energy double, frames long")
+        self.state = handle.getValueState("vad", "floor double, start double, last double, energy double, frames long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         vad = VadState(self.config)
         if self.state.exists():
             floor, start, last, energy, frames = self.state.get()
             vad.floor, vad.start, vad.last, vad.energy, vad.frames = floor, None if start < 0 else start, last, energy, frames
-        out = []
-        for pdf in rows:
-            for at, rms in pdf.sort_values(["at", "rms"])[["at", "rms"]].itertuples(index=False):
-                if got := vad.step(rms, at):
-                    out.append((key[0], *got))
+        out = [(key[0], *got) for at, rms in in_order(rows)[["at", "rms"]].itertuples(index=False) if (got := vad.step(rms, at))]
         self.state.update((vad.floor, -1.0 if vad.start is None else vad.start, vad.last, vad.energy, vad.frames))
         yield pd.DataFrame(out, columns=["stream_id", "type", "at", "duration_ms", "snr_db"])
 
@@ -102,6 +109,7 @@ class VadProcessor(StatefulProcessor):
         pass
 
 
-def stream_segments(frames: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
-    """Streaming form of segments."""
-    return frames.groupBy("stream_id").transformWithStateInPandas(VadProcessor(config), "stream_id long, type string, at double, duration_ms double, snr_db double", "Append", "None")
+def stream_segments(frames: DataFrame, config: VadConfig = VadConfig(), ttl_ms: int | None = None) -> DataFrame:
+    """Streaming form of segments. The frames of a stream must come in order from one micro-batch to the next; within one they are sorted."""
+    kind = dict(frames.dtypes)["stream_id"]
+    return frames.groupBy("stream_id").transformWithStateInPandas(VadProcessor(config, ttl_ms), f"stream_id {kind}, type string, at double, duration_ms double, snr_db double", "Append", "ProcessingTime" if ttl_ms else "None")

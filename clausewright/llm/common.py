@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from clausewright.sources.tables import cut, discard, shared_dir  # noqa: F401
+
 #: ASCII white space, and a word as a run of anything else (fixed by the query contracts).
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,40 +29,44 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+def quantile_cells(keys: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(upper ends of ranges of the column k, cells of each range and of the one beyond the last end), about `parts` cells of like size.
+
+    Ends are quantiles. A value that is at several quantiles is a range by itself, of as many cells. What comes to the driver is bounded by parts.
+    """
+    cuts = keys.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
+    value, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    cells = {int(v): int(n) + (n > 1) for v, n in zip(value, times, strict=True)}
+    for v in [v for v, n in cells.items() if n > 1 and v > -(2**63)]:
+        cells.setdefault(v - 1, 1)
+    ends = np.array(sorted(cells), np.int64)
+    return ends, np.array([*(cells[v] for v in ends.tolist()), 1], np.int64)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+#: Keys that are sent to every task at most.
+SENT_KEYS = 200_000
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again.
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], most: int = SENT_KEYS) -> DataFrame:
+    """rows joined with keys (on, n, ...) on the columns `on`; keys is a written table, n says how many rows have a key.
 
-    Later jobs start from the files, so a lost executor costs only the tasks it ran, and
-    a plan that is used several times runs once. Shuffle files of the write go when it has ended.
+    Keys that hold at least 1 / most of all such rows are sent to every task; by arithmetic there are at most `most`. Rows of other keys
+    are joined by a shuffle, in which no key has more than that share. Few keys are all sent.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(clean, was)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that cut() wrote, once all that is made from them is written itself."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    kinds, total = keys.agg(F.count("*"), F.sum("n")).first()
+    if kinds <= most:
+        return rows.join(F.broadcast(keys.drop("n")), on)
+    is_hot = F.col("n") * most >= total
+    hot, rest = keys.filter(is_hot).drop("n"), keys.filter(~is_hot).drop("n")
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(cold.join(rest, on))
 
 
 def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, Any]], fields: str, rows: int = 128) -> DataFrame:

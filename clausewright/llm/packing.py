@@ -5,8 +5,8 @@ fixed random matrix; its place on a Hilbert curve through them is its key. A ran
 by side, and each partition is packed as one stream: pieces follow each other without gaps, a document is cut where a
 sequence is full. What is left at a partition's end goes to sequences whose lengths are powers of two, which need no padding.
 
-The range sort breaks ties by id, so a group of equal documents that is a third of the table still spreads
-evenly over partitions.
+Ranges end at quantiles of the keys of a sample of bounded size. A key that many documents share is dealt into several by a hash of
+their ids, so a group of equal documents that is a third of the table still spreads evenly over partitions.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import table, with_python
+from clausewright.llm.common import quantile_cells, table, with_python
 
 LENGTH, BITS, DIMS, BUCKETS = 2048, 12, 3, 256
 END = (1).to_bytes(4, "little")
 #: Words kept per worker with their ids, in each of the store's two halves; a full one becomes the elder and a new one begins.
 STORE = 300_000
+SAMPLE = 200  # documents a partition, on average, whose keys set the ranges
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​]")
+_PARTS = re.compile(r"([ \n]*)([^\W\d_]+)([^\w\s']*)\Z")
+_OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if (c.isspace() and c not in " \n") or c in "\u180e\u200b")
 
 
 def document_vectors(texts: list[str]) -> np.ndarray:
@@ -74,12 +76,22 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def _byte_letters() -> dict[int, int]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: its own where it has one, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(other)}
+
+
+_BYTES = _byte_letters()
+
+
 class WordIds(dict):
     """Token ids (unsigned, little-endian, four bytes each) of a word with the white space before it, made when first asked for.
 
     No token of the vocabulary spans the border from a word to the blank or line end after it, so a text's ids are those of its
-    pieces; a full stop or comma that ends a piece after a letter is a piece of its own. Texts with other white space, whose borders
-    differ, are encoded whole.
+    pieces, marks of special tokens in them included. A piece that is a word with white space before or signs after it is made of the ids of these, as
+    the tokenizer splits them too; what is a word alone goes to its merges at once. Texts with other white space, whose borders differ, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -87,13 +99,13 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.merges = self.tokenizer.model
         self.elder: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.elder.get(piece)
         if ids is None:
-            ids = self[piece[:-1]] + self[piece[-1]] if piece[-1] in ".," and piece[-2:-1].isalpha() else self.whole(piece)
+            ids = self._made(piece)
         if len(self) >= STORE:
             self.elder = dict(self)
             self.clear()
@@ -101,11 +113,24 @@ class WordIds(dict):
             self[piece] = ids
         return ids
 
+    def _made(self, piece: str) -> bytes:
+        parts = _PARTS.match(piece)
+        if parts is None or not parts[2].isalpha():
+            return self.whole(piece)
+        space, word, signs = parts.groups()
+        if space[-1:] == " ":  # the last blank goes to the word
+            space, word = space[:-1], " " + word
+        if not space and not signs:
+            return array("I", [t.id for t in self.merges.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        if space[1:] and word[0] != " ":  # and the last line end stands alone
+            space, word = space[:-1], "\n" + word
+        return (self[space] if space else b"") + self[word] + (self[signs] if signs else b"")
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [self.whole(t) if _OTHER_SPACE.search(t) else b"".join(map(self.__getitem__, _PIECE.findall(t))) for t in texts]
+        return [self.whole(t) if any(c in t for c in _OTHER_SPACE) else b"".join(map(self.__getitem__, _PIECE.findall(t))) for t in texts]
 
 
 def _stores() -> dict[str, WordIds]:
@@ -125,9 +150,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     result. parts: partitions, by default spark.sql.shuffle.partitions.
     """
     ready = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"), F.coalesce(text, F.lit("")).alias("v"))
-    keyed = with_python(ready, "v", lambda texts: {"key": hilbert_keys(document_vectors(texts))}, "key long")
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("t"))
+    many = docs.count()
+    some = ready.select("v") if many <= SAMPLE * n else ready.select("v").sample(SAMPLE * n / many, 1)
+    ends, cells = quantile_cells(with_python(some, "v", lambda texts: {"k": hilbert_keys(document_vectors(texts))}, "k long"), n)
+    before, total = np.cumsum(cells) - cells, int(cells.sum())
+
+    def place(texts: list[str]) -> dict:
+        keys = hilbert_keys(document_vectors(texts))
+        at = np.searchsorted(ends, keys, side="left")
+        return {"key": keys, "before": before[at], "cells": cells[at]}
+
+    keyed = with_python(ready, "v", place, "key long, before long, cells long")
+    cell = F.col("before") + F.pmod(F.xxhash64("doc_id", "t"), F.col("cells"))
+    ranged = keyed.withColumn("part", F.floor(cell * n / total).cast("int")).drop("before", "cells")
+    ranged = ranged.repartitionById(n, "part").sortWithinPartitions("key", "doc_id", F.xxhash64("t"))
     kind = ranged.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Secret scans by one deterministic automaton for all rules, in one pass over the bytes.
 
-compile_rules turns the rules into a nondeterministic automaton, determines it by subset construction over byte
+compile_rules reads the rules' expressions into a nondeterministic automaton, determines it by subset construction over byte
 classes and minimises it by partition refinement. The transition array is flat, so a scan is one lookup a byte. A
 state that completes a rule reports the place; the span then follows from the bytes around it.
 """
@@ -8,7 +8,7 @@ state that completes a rule reports the place; the span then follows from the by
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -33,7 +33,10 @@ ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 
 class _Nfa:
-    """Byte automaton with empty moves, built from the part of regular-expression syntax that rules use."""
+    """Byte automaton with empty moves, built from the part of regular-expression syntax that rules use.
+
+    That is: characters, escapes, sets with ranges, groups, (?i:...), alternatives, and ?, *, + or {n} after any of these.
+    """
 
     def __init__(self) -> None:
         self.empty: list[list[int]] = []
@@ -44,57 +47,90 @@ class _Nfa:
         self.moves.append([])
         return len(self.empty) - 1
 
-    def build(self, tree, start: int) -> int:
-        """Adds the parsed pattern from start; returns its end."""
-        for op, arg in tree:
-            start = self._one(str(op).rsplit(".", 1)[-1], arg, start)
-        return start
-
-    def _one(self, op: str, arg, at: int) -> int:
-        if op in ("LITERAL", "IN"):
-            end = self.state()
-            self.moves[at].append((_bytes_of(op, arg, self.fold), end))
-            return end
-        if op == "SUBPATTERN":
-            _, add, _, tree = arg
-            was, self.fold = self.fold, self.fold or bool(add & re.IGNORECASE)
-            end = self.build(tree, at)
-            self.fold = was
-            return end
-        if op == "BRANCH":
-            end = self.state()
-            for tree in arg[1]:
-                begin = self.state()
-                self.empty[at].append(begin)
-                self.empty[self.build(tree, begin)].append(end)
+    def add(self, rule: str, start: int) -> int:
+        """Adds the rule from start; returns its end."""
+        self.rule, self.at = rule, 0
+        end = self._choice(start, False)
+        if self.at < len(rule):
+            raise ValueError(f"rules don't use {rule[self.at:]!r}")
+        return end
+
+    def _peek(self, n: int = 1) -> str:
+        return self.rule[self.at : self.at + n]
+
+    def _take(self, n: int = 1) -> str:
+        self.at += n
+        return self.rule[self.at - n : self.at]
+
+    def _choice(self, start: int, fold: bool) -> int:
+        end = self.state()
+        while True:
+            begin = self.state()
+            self.empty[start].append(begin)
+            while self._peek() not in ("", "|", ")"):
+                begin = self._repeated(begin, fold)
+            self.empty[begin].append(end)
+            if self._peek() != "|":
+                return end
+            self._take()
+
+    def _repeated(self, start: int, fold: bool) -> int:
+        was = self.at
+        end = self._one(start, fold)
+        then = self.at
+        if self._peek() == "{":
+            n = int(self.rule[self.at + 1 : (stop := self.rule.index("}", self.at))])
+            for _ in range(n - 1):
+                self.at = was
+                end = self._one(end, fold)
+            self.at = stop + 1
+        elif self._peek() and self._peek() in "?*+":
+            kind, stop = self._take(), self.at
+            out = self.state()
+            self.empty[end].append(out)
+            if kind in "?*":
+                self.empty[start].append(out)
+            if kind in "*+":  # a loop of its own, so that nothing else leads back to start
+                self.at = was
+                self.empty[self._one(out, fold)].append(out)
+                self.at = stop
+            end = out
+        else:
+            self.at = then
+        return end
+
+    def _one(self, start: int, fold: bool) -> int:
+        if self._peek() == "(":
+            inner = self._peek(4) == "(?i:"
+            self._take(4 if inner else 1)
+            end = self._choice(start, fold or inner)
+            self._take()
             return end
-        if op == "MAX_REPEAT":
-            least, most, tree = arg
-            for _ in range(least):
-                at = self.build(tree, at)
-            if str(most).endswith("MAXREPEAT"):
-                loop = self.state()
-                self.empty[at].append(loop)
-                self.empty[self.build(tree, loop)].append(loop)
-                return loop
-            end = self.state()
-            self.empty[at].append(end)
-            for _ in range(most - least):
-                at = self.build(tree, at)
-                self.empty[at].append(end)
-            return end
-        raise ValueError(f"rules don't use {op}")
-
-    fold = False
-
-
-def _bytes_of(op: str, arg, fold: bool) -> frozenset[int]:
-    found: set[int] = set()
-    for kind, value in [(op, arg)] if op == "LITERAL" else [(str(k).rsplit(".", 1)[-1], v) for k, v in arg]:
-        found |= {value} if kind == "LITERAL" else set(range(value[0], value[1] + 1))
-    if fold:
-        found |= {b for x in found for b in chr(x).swapcase().encode("latin-1") if x < 128}
-    return frozenset(found)
+        of = self._set() if self._peek() == "[" else {self._char()}
+        if fold:
+            of |= {b for x in of for b in chr(x).swapcase().encode("latin-1") if x < 128}
+        end = self.state()
+        self.moves[start].append((frozenset(of), end))
+        return end
+
+    def _char(self) -> int:
+        if self._peek() != "\\":
+            return ord(self._take())
+        self._take()
+        return int(self._take(3)[1:], 16) if self._peek() == "x" else ord(self._take())
+
+    def _set(self) -> set[int]:
+        self._take()
+        found: set[int] = set()
+        while self._peek() != "]":
+            low = self._char()
+            if self._peek() == "-" and self._peek(2) != "-]":
+                self._take()
+                found |= set(range(low, self._char() + 1))
+            else:
+                found.add(low)
+        self._take()
+        return found
 
 
 @cache
@@ -108,7 +144,7 @@ def compile_rules(rules: tuple[tuple[str, str], ...] = tuple(RULES.items())) ->
     for kind, pattern in rules:
         begin = nfa.state()
         nfa.empty[root].append(begin)
-        accept[nfa.build(re._parser.parse(pattern), begin)] = kind
+        accept[nfa.add(pattern, begin)] = kind
 
     sets = {s for moves in nfa.moves for s, _ in moves}
     signature = {b: tuple(b in s for s in sorted(sets, key=sorted)) for b in range(256)}
@@ -155,17 +191,15 @@ def compile_rules(rules: tuple[tuple[str, str], ...] = tuple(RULES.items())) ->
     return byte_class, flat, [says[members[b]] for b in order], place[block[0]] * n
 
 
-def hits(data: bytes) -> list[tuple[int, tuple[str, ...]]]:
+def hits(data: bytes) -> Iterator[tuple[int, tuple[str, ...]]]:
     """(place of the completing byte, kinds) for all rules, in one pass."""
     byte_class, move, says, state = compile_rules()
     n = len(move) // len(says)
     first = next(i for i, s in enumerate(says) if s) * n
-    found = []
     for at, c in enumerate(data.translate(byte_class)):
         state = move[state + c]
         if state >= first:
-            found.append((at, says[state // n]))
-    return found
+            yield at, says[state // n]
 
 
 def _run(data: bytes, at: int, of: frozenset[int], step: int) -> int:
@@ -216,10 +250,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if ok:
                 found.append((start, ORDER[kind], stop, kind))
     found.sort()
-    if text.isascii():
-        return [(kind, a, b) for a, _, b, kind in found]
-    point: Callable[[int], int] = lambda at: len(data[:at].decode())
-    return [(kind, point(a), point(b)) for a, _, b, kind in found]
+    point, last, n = {}, 0, 0  # code points before each byte place that is needed, counted in one walk
+    if not text.isascii():
+        for at in sorted({p for a, _, b, _ in found for p in (a, b)}):
+            n += len(data[last:at].decode())
+            point[at], last = n, at
+    return [(kind, point.get(a, a), point.get(b, b)) for a, _, b, kind in found]
 
 
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

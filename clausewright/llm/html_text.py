@@ -11,6 +11,7 @@ role marks them as such, unless these hold the article or most of the content.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,8 +23,12 @@ from clausewright.llm.common import table, with_python
 SKIP = frozenset("script style noscript template svg math iframe object canvas head title select option textarea button nav header footer aside form menu dialog audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-#: Words of class and id names, and roles, that mark what surrounds an article.
-MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies share sharing sidebar social sponsor sponsored subscribe widget".split())
+#: Words that mark what surrounds an article, and words that may stand beside them in one class or id name: "site-header" and "share-buttons" are
+#: marks, as all their words are in these two, but "related-work", "has-sidebar" and "article-header" aren't. A name of the latter alone marks nothing.
+MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies share sharing sidebar social sponsor sponsored subscribe widget".split())
+BESIDE = frozenset("area bar block body bottom box btn button buttons cell col column container content form global group inner item items left link links list outer page panel posts region right row section signup site slot stories top unit web wrap wrapper".split())
+#: What a head may hold; anything else ends it where its end tag is left out.
+IN_HEAD = frozenset("title style script noscript template meta link base".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: An open p ends where one of these begins; an li, dd, dt, td, th or tr ends at the next of its kind.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -40,6 +45,16 @@ BLOCKS = HOLDS | frozenset("ul ol dl table details fieldset figure address".spli
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+@lru_cache(65536)
+def _marked(names: str) -> bool:
+    """Whether one of the class and id names says that its element isn't content."""
+    for name in names.lower().split():
+        words = set(re.split(r"[^a-z]+", name)) - {""}
+        if not MARKS.isdisjoint(words) and words <= MARKS | BESIDE:
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
     """Turns events into lines: [text parts, tags, characters in links, main element or None, element, marked elements around it]."""
 
@@ -76,7 +91,15 @@ class _Lines(HTMLParser):
         if self.line is not None:
             self.line[1] += 1
 
+    def _end_head(self) -> None:
+        """Leaves a head without an end tag."""
+        if self.open and self.open[-1][0] == "head":
+            self._pop()
+            self._break()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in CLOSES_P:
             self._implied({"p"})
         if tag in SAME:
@@ -89,9 +112,8 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         a = dict(attrs)
-        words = re.split(r"[^a-z]+", f"{a.get('class') or ''} {a.get('id') or ''}".lower())
-        skip = tag in SKIP or "hidden" in a or (a.get("aria-hidden") or "") == "true"
-        mark = tag not in ("html", "body", "article", "main") and (not MARKS.isdisjoint(words) or (a.get("role") or "").lower() in ROLES)
+        skip = (tag in SKIP and not (tag == "header" and self.mains)) or "hidden" in a or (a.get("aria-hidden") or "") == "true"
+        mark = tag not in ("html", "body", "article", "main") and (_marked(f"{a.get('class') or ''} {a.get('id') or ''}") or (a.get("role") or "").lower() in ROLES)
         self.open.append((tag, skip, mark, tag not in INLINE))
         if tag not in INLINE:
             self.up.append(self.boxes[-1])
@@ -140,6 +162,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.skipped and data.strip():
+            self._end_head()
         if self.skipped:
             return
         if self.line is None:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in built-in functions.
 
-Each document draws the key -ln(u) / quality, with u from a hash of its id, so reruns agree.
+Each document draws the key -ln(u) / quality, with u from a hash of its id and text, so reruns agree.
 Within a source, documents in order of that key are taken until the source's word budget
 is met; whole epochs come first, and the last document is cut at the budget.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import WORD, cut, table
+from clausewright.llm.common import WORD, cut, free, table
 
 #: Characters that count against a text's quality weight.
 JUNK = "0123456789|#{}<>[]_=*~^@\\/$%&+"
@@ -61,17 +61,22 @@ def source_targets(sized: DataFrame, max_epochs: int = 3) -> DataFrame:
 def sample_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
-    A null text has size 0 and is never taken; null sources are one source, the last. Repeated rows are
+    A null text has size 0 and is never taken; null sources are one source, the last. Rows without an id draw by their text alone. Repeated rows are
     documents of their own with the same key. The document in which a source's budget ends gives its first words
     only, so a source's taken words are its target rounded to a whole number. An empty table gives an empty result.
     """
+    return _drawn(docs, doc_id, text, source, max_epochs, seed).drop("th")
+
+
+def _drawn(docs: DataFrame, doc_id: str, text: str, source: str, max_epochs: int, seed: str) -> DataFrame:
+    """sample_mix with th, the hash of each row's text."""
     t = F.coalesce(text, F.lit(""))
     size = F.regexp_count(t, F.lit(WORD)).cast("long")
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), quality_weight(t).alias("q"))
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))), 1, 13), 16, 10).cast("double")
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), quality_weight(t).alias("q"), F.md5(t).alias("th"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("th"))), 1, 13), 16, 10).cast("double")
     key = -F.log((bits + 0.5) / F.lit(float(2**52))) / F.col("q")
     sized = sized.withColumn("key", key).withColumn("leaf", F.least(F.lit(FAN * FAN - 1), F.floor((1 - F.exp(-F.col("key"))) * FAN * FAN).cast("int")))
-    sized = cut(sized.select("doc_id", "source", "size", "key", "leaf"), "mix-sized")
+    sized = cut(sized.select("doc_id", "source", "size", "th", "key", "leaf"), "mix-sized")
 
     budget = F.floor(F.col("target") + 0.5)
     goal = (
@@ -100,21 +105,26 @@ def sample_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     if goal.count() <= FEW_SOURCES:  # a row a source; beyond that the join is a shuffle, which adaptive execution splits where a source is hot
         goal = F.broadcast(goal)
     rows = to_source(sized, goal)
-    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source").orderBy("key", "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.filter(F.col("leaf") == F.col("end_leaf")).withColumn("part", F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("prior") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     sure = rows.filter(F.col("leaf") != F.col("end_leaf")).withColumn("part", F.when(F.col("leaf") < F.col("end_leaf"), F.col("size")).otherwise(F.lit(0)))
     both = sure.unionByName(edge)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return both.select("doc_id", "th", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed corpus: each row of docs as often as its taken words fill it, the last time if at least half is taken.
 
-    Columns stay those of docs. Rows that share an id are repeated alike.
+    Columns stay those of docs, whatever their names. Rows without words, null texts too, have no part in a mix and go. Rows are told apart by id and text, so different
+    texts of one id or without an id are drawn for themselves; equal ones are repeated alike. An empty table stays empty.
     """
-    copies = sample_mix(docs, max_epochs=max_epochs, seed=seed).filter(F.col("size") > 0)
-    copies = copies.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__n")).filter(F.col("__n") > 0)
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__n", "__copy")
+    n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    copies = _drawn(docs, "doc_id", "text", "source", max_epochs, seed).filter(F.col("size") > 0).withColumn("n", n)
+    copies = copies.groupBy("doc_id", "th").agg(F.max("n").alias("n")).filter("n > 0")
+    a, b, c, d = (free(docs, x) for x in ("__id", "__th", "__n", "__copy"))
+    copies = copies.select(F.col("doc_id").alias(a), F.col("th").alias(b), F.col("n").alias(c))
+    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(a)) & (F.md5(F.coalesce("text", F.lit(""))) == F.col(b)))
+    return rows.withColumn(d, F.explode(F.sequence(F.lit(1), F.col(c)))).drop(a, b, c, d)
 
 
 def op9_mixing(spark, sf_dir):
@@ -123,8 +133,8 @@ def op9_mixing(spark, sf_dir):
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  CASE WHEN length(coalesce(text, '')) > 0 THEN greatest(0.05::DOUBLE, length(translate(text, '0123456789|#{}<>[]_=*~^@\/$%&+', ''))::DOUBLE / length(text)) ELSE 1.0::DOUBLE END AS q FROM documents),
-k AS (SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE) / q AS key FROM d),
+  CASE WHEN length(coalesce(text, '')) > 0 THEN greatest(0.05::DOUBLE, length(translate(text, '0123456789|#{}<>[]_=*~^@\/$%&+', ''))::DOUBLE / length(text)) ELSE 1.0::DOUBLE END AS q, md5(coalesce(text, '')) AS th FROM documents),
+k AS (SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || th), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE) / q AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
 w AS (SELECT *, (rn - 1) % 3 + 1 AS w FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY s::DOUBLE / w, rn) AS pos,
@@ -135,7 +145,7 @@ c AS (SELECT arg_min(rate, pos) AS common, min(pos) AS first_pos FROM r WHERE ra
 t AS (SELECT source, s, CASE WHEN pos < first_pos THEN (3 * s)::DOUBLE ELSE common * w END AS target FROM r, c),
 g AS (SELECT *, CASE WHEN s > 0 THEN floor(target + 0.5)::BIGINT // s ELSE 0 END AS epochs FROM t),
 p AS (SELECT k.doc_id, k.size, g.s, g.target, g.epochs, floor(g.target + 0.5)::BIGINT - g.epochs * g.s AS rest,
-  coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior
+  coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.th ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior
   FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, s AS source_size, target, (epochs * size + least(size, greatest(0, rest - prior)))::BIGINT AS taken FROM p
 """

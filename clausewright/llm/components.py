@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import cut
+from clausewright.llm.common import cut, discard
 
 
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -14,6 +14,7 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     Each round points every node's larger neighbours at its least one, then every node's smaller ones at it. Rounds are written to
     the shared folder, so plans stay short and a lost executor costs one round at most. The number of rounds follows the logarithm of
     the largest component's diameter; when the edges stay the same they are stars, and the result. Loops and repeated edges don't matter.
+    The result reads the last round's table, which discard() on it deletes.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     was = None
@@ -24,7 +25,8 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = cut(low.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))).distinct(), "edges")
+        old, e = e, cut(low.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))).distinct(), "edges")
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == was:
             break

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from clausewright.llm.common import cut, in_groups, table, with_python
+from clausewright.llm.common import cut, discard, free, in_groups, table, with_python
 from clausewright.llm.components import connected
 
 BANDS, ROWS = 32, 7
@@ -165,8 +165,8 @@ def _near_pairs(sy: np.ndarray, cy: np.ndarray, sx: np.ndarray, cx: np.ndarray,
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
-def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near: float) -> DataFrame:
-    """Links between different components that share a bucket and whose signatures agree in `near` of their positions.
+def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near: float) -> tuple[DataFrame, DataFrame]:
+    """(a table it wrote, links): links between different components that share a bucket and whose signatures agree in `near` of their positions.
 
     live: node, bucket, band, component, sig. Members of a bucket's largest component meet only the others, block by block of bounded size.
     A first pass over signatures tells which members have such partners; only these get their texts, in
@@ -223,7 +223,7 @@ def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near:
     some = y.select(pick).unionByName(x.select(pick))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields)
     some = cut(in_groups(some, block, involved, kinds, ["right"]), "involved")
-    return in_groups(some.join(texts, "node").select(*pick, "t"), block, verified, "u long, v long", ["right"])
+    return some, in_groups(some.join(texts, "node").select(*pick, "t"), block, verified, "u long, v long", ["right"])
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -256,14 +256,17 @@ def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
     texts = cut(ready.select(key(F.col("doc_id")), F.xxhash64("t").alias("h"), "t").join(wanted, ["key", "h"]).select("node", "t").dropDuplicates(["node"]), "texts")
 
     parts = nodes.select("node", "degree", F.col("node").alias("component"))
-    tested = None
+    tested, done = None, [signed, classes, live, nodes, texts]  # done: tables that go at the end
 
     def merged(parts: DataFrame, found: DataFrame) -> DataFrame:
         """parts after the links found: what is contracted are the components, so edges are as few as merges."""
         of = parts.select("node", "component")
         ends = found.join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
         into = connected(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("into"))
-        return cut(parts.join(into, "component", "left").select("node", "degree", F.coalesce("into", "component").alias("component")), "parts")
+        out = cut(parts.join(into, "component", "left").select("node", "degree", F.coalesce("into", "component").alias("component")), "parts")
+        done.append(out)
+        discard(into)
+        return out
 
     large = live.filter(F.col("size") > SMALL)
     for turn in range(ROUNDS if not large.isEmpty() else 1):
@@ -272,26 +275,38 @@ def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
         hubs = now.groupBy("bucket").agg(F.max(F.struct(rank, "node", "component")).alias("hub"))
         pairs = now.join(hubs, "bucket").filter("component <> hub.component").select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        done.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut(_verify(pairs, texts, n, percent), "links")
+        done.append(found)
         if not found.isEmpty():
             parts = merged(parts, found)
-    found = cut(_block_links(live.join(parts, "node").join(classes.select("node", "sig"), "node"), texts, n, percent, _near(percent)), "links")
+    some, links = _block_links(live.join(parts, "node").join(classes.select("node", "sig"), "node"), texts, n, percent, _near(percent))
+    found = cut(links, "links")
+    done += [some, found]
     if not found.isEmpty():
         parts = merged(parts, found)
 
     own = classes.select("c1", "c2", "first", "node").join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = own.groupBy("component").agg(F.min("first").alias("head"))
     out = signed.join(own.join(heads, "component").select("c1", "c2", "head"), ["c1", "c2"], "left")
-    return out.select("row", "doc_id", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("kept"))
+    out = out.select("row", "doc_id", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("kept"))
+    out = cut(out, "groups")
+    discard(*done)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near duplicates, one with the least id; columns stay. The rows are written once with a number each."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    ready = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"), F.col("__row").alias("row"))
-    out = _groups(ready, n, percent).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return rows.join(out, "__row", "left_anti").drop("__row")
+    """docs with one row of each group of near duplicates, one with the least id; columns stay. The rows are written once with a number each.
+
+    Rows count by themselves: of repeated rows one stays, rows without an id are compared like others and lose to rows with one, and ties are settled by the
+    rows' numbers. Null and empty texts and texts without words are in no group and all stay. An empty table stays empty.
+    """
+    row = free(docs, "__row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    ready = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"), F.col(row).alias("row"))
+    out = _groups(ready, n, percent).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(out, row, "left_anti").drop(row)
 
 
 def op6_near_dup(spark, sf_dir):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import table, with_python
+from clausewright.llm.common import free, table, with_python
 
 #: Labelled rows of each class, and features, that a fit uses at most.
 FIT_ROWS, FIT_WORDS = 1500, 2000
@@ -164,11 +164,15 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """docs without the rows that score at least limit; the columns stay."""
+    """docs without the rows that score at least limit; the columns stay, whatever their names.
+
+    Rows are judged alone by their text: null and empty texts score 0 and stay, rows of one id or without one don't touch each other, and repeated rows go
+    or stay together. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    ready = docs.withColumn("__t", F.coalesce("text", F.lit("")))
-    scored = with_python(ready, "__t", lambda texts: {"__score": [shared.value.score(t) for t in texts]}, "__score double")
-    return scored.filter(F.col("__score") < limit).drop("__score")
+    t, score = free(docs, "__t"), free(docs, "__score")
+    scored = with_python(docs.withColumn(t, F.coalesce("text", F.lit(""))), t, lambda texts: {score: [shared.value.score(x) for x in texts]}, f"{score} double")
+    return scored.filter(F.col(score) < limit).drop(score)
 
 
 def op7_toxicity(spark, sf_dir):

@@ -1,19 +1,24 @@
 """Repeated passages across documents, by recompression of word sequences.
 
-Each document's words are rewritten in rounds: maximal runs of a symbol become one symbol, then pairs become one where the left
-symbol's class is 0 and the right one's is 1. Names and classes are hashes of what a symbol stands for, so they
-agree over the whole corpus without a table of names, and equal passages get equal symbols except near their ends. How near is known: a
-symbol depends on a span of words around it, its context. A window of words is named by the least hash
-of the symbols whose context lies in it, so equal windows have equal names; windows without such a symbol are named by their own words.
-
-Spark then finds what is shared. Names seen in one document only are settled. For the others, the stretch of windows that
-share one symbol is a segment; inside a long repeat segments agree as a whole, so one hash verifies many windows, and only the windows
-of segments at a repeat's ends are compared one by one. Every count combines on the map side. Names are dealt
-in slices by their hash, and what a slice needed goes before the next, which bounds the disk in use.
+A round rewrites every document's sequence: maximal runs of a symbol become one symbol, then pairs become one where the left
+symbol's class is 0 and the right one's is 1. Names and classes are hashes of what a symbol stands for, so all tasks of a round give a run or a pair the same
+name over the whole corpus, and equal passages get equal symbols except near their ends. Each Spark job does some rounds and writes the sequences, which shrink by a
+quarter a round, for the next. Symbols of the later rounds stand for long passages: one that a document with a smaller id holds too settles every window
+in it by one comparison.
+
+What is left are windows across the borders of such symbols, and text that isn't repeated at length. There a window of words is named by the least hash
+of the symbols of two rounds whose surroundings, which are known, lie in it, so equal windows have equal names; windows without such a symbol are named by their own
+words. Names seen in one document only are settled. For the others, the stretch of windows that share one symbol is a segment; segments agree as a whole
+inside a repeat, so one hash verifies many windows, and only the windows of segments at a repeat's ends are compared one by one. A window's first document
+never has it settled by a symbol, so leaving settled windows out changes no result.
+
+Every count combines on the map side; names that many rows hold are joined by sending them out, see join_keys. Names are dealt in slices by their hash, and
+what a slice needed goes before the next, which bounds the disk in use.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
 
@@ -23,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from clausewright.llm.common import cut, discard, table
+from clausewright.llm.common import cut, discard, join_keys, table
 
-WINDOW, LEVELS = 13, 2
+WINDOW, NEAR = 13, 2  # words of a window; rounds of the symbols that name windows
+FIRST, STEP, JOBS = 6, 3, 3  # rounds of the first job, of each later one, and how many of these
 SLICES = 4  # of the names, one after another: the disk that shuffles and their inputs take is that of one
 BATCH = 64  # rows that are parsed at once
 NO_ID = 2**63 - 1
@@ -40,62 +46,86 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _merged(keep: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of new symbols that begin at the old ones `keep`: from the old symbol before to the one after."""
-    left = np.concatenate(([-1], first))[keep]
-    ends = np.append(keep[1:], len(first))
-    right = np.append(last, n + 1)[ends]
-    return left, right
+def one_round(name: np.ndarray, owner: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names of the new symbols, where each begins among the old ones); owner: numbers of the documents, whose borders no symbol crosses."""
+    begin = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (owner[1:] != owner[:-1]))[: len(name)])  # runs
+    length = np.diff(np.append(begin, len(name))).astype(np.uint64)
+    letter = name[begin]
+    run = _mix(letter + length * C3 + np.uint64(level))
+    kind = (_mix(letter ^ C4) >> np.uint64(40)) & np.uint64(1)
+    own = owner[begin]
+    pair = np.append((kind[:-1] == 0) & (kind[1:] == 1) & (own[:-1] == own[1:]), False)[: len(run)]
+    second = np.append(False, pair[:-1])[: len(run)]
+    new = np.where(pair, _mix(run * C4 + np.append(run[1:], run[:1])), run)
+    return new[~second], begin[~second]
 
 
-def symbols(w: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first, last) of the symbols after the rounds; words first to last (exclusive) are a symbol's context.
+def rounds(name: np.ndarray, owner: np.ndarray, size: np.ndarray, first: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, owner, words) of the symbols after `many` rounds from number `first`."""
+    for level in range(first, first + many):
+        if not len(name):
+            break
+        name, at = one_round(name, owner, level)
+        owner, size = owner[at], np.add.reduceat(size, at)
+    return name, owner, size
 
-    A context that would reach beyond the document's ends has -1 or len(w) + 1 there.
+
+def near_symbols(w: np.ndarray, owner: np.ndarray, levels: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first, last) of the symbols after some rounds; words first to last (exclusive) are all that a symbol's name and ends depend on.
+
+    What would reach beyond all words has -1 or len(w) + 1 there. Borders between documents count as words that no window holds.
     """
-    name, n = w, len(w)
+    name, own, n = w, owner, len(w)
     first, last = np.arange(n), np.arange(1, n + 1)
     for level in range(levels if n else 0):
-        keep = np.flatnonzero(np.append(True, name[1:] != name[:-1]))  # runs
-        length = np.diff(np.append(keep, len(name))).astype(np.uint64)
-        letter = name[keep]
-        run = _mix(letter + length * C3 + np.uint64(level))
-        kind = (_mix(letter ^ C4) >> np.uint64(40)) & np.uint64(1)
-        pair = np.append((kind[:-1] == 0) & (kind[1:] == 1), False)
-        second = np.append(False, pair[:-1])
-        new = np.where(pair, _mix(run * C4 + np.append(run[1:], run[:1])), run)[~second]
-        first, last = _merged(keep[~second], first, last, n)
-        name = new
+        name, at = one_round(name, own, level)
+        own = own[at]
+        left = np.concatenate(([-1], first))[at]  # from the old symbol before to the one after
+        right = np.append(last, n + 1)[np.append(at[1:], len(first))]
+        first, last = left, right
     return name, first, last
 
 
+def _hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of the document) of all words."""
+    size = np.array([len(w) for w in words], np.int64)
+    return np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(size.sum())), np.repeat(np.arange(len(words)), size)
+
+
 class Parse:
     """What the words of some documents say about their windows: names, hashes, and the segments of equal names.
 
     The documents are parsed as one sequence with a word of its own between any two, so the work on arrays is shared.
-    No window spans such a word, so none of the symbols whose context does has any effect.
+    No window spans such a word. `settled` are (documents, first words, numbers of words) of symbols; windows in them are left out.
     """
 
-    def __init__(self, texts: list[str], window: int = WINDOW) -> None:
+    def __init__(self, texts: list[str], window: int = WINDOW, settled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         self.words = [t.encode().split() for t in texts]
         size = np.array([len(w) for w in self.words], np.int64)
         start = np.cumsum(np.append(0, size[:-1] + 1))
-        n = int(size.sum()) + len(size) - 1
-        w = np.zeros(n, np.uint64)
+        n = int(size.sum()) + max(0, len(size) - 1)
+        w, owner = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         between = np.ones(n, bool)
         between[start[1:] - 1] = False
-        w[between] = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(self.words)), np.uint64, int(size.sum()))
-        w[~between] = _mix(np.arange(len(size) - 1, dtype=np.uint64) + C4)
+        w[between], _ = _hashes(self.words)
+        w[~between] = _mix(np.arange(max(0, len(size) - 1), dtype=np.uint64) + C4)
         count = np.maximum(0, size - window + 1)
-        self.count = np.cumsum(np.append(0, count))  # windows of document i: count[i] to count[i + 1]
+        edges = np.cumsum(np.append(0, count))
         self.doc = np.repeat(np.arange(len(size)), count)
-        at = np.repeat(start - self.count[:-1], count) + np.arange(self.count[-1])
+        at = np.repeat(start - edges[:-1], count) + np.arange(edges[-1])
+        if settled is not None and len(settled[0]):
+            doc, first, many = settled
+            depth = np.zeros(n + 1, np.int64)
+            np.add.at(depth, start[doc] + first, 1)
+            np.add.at(depth, start[doc] + first + many - window + 1, -1)
+            left = np.cumsum(depth)[at] == 0
+            at, self.doc = at[left], self.doc[left]
         power = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(_BASE))))
         self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(_INVERSE))))
         self.sums = np.append(np.uint64(0), np.cumsum(w * power[:-1]))
         self.window = _mix(self.span(at, at + window))
-        self.name = _mix(self.window ^ C4)  # stays for windows that hold no context
-        name, first, last = symbols(w)
+        self.name = _mix(self.window ^ C4)  # stays for windows that hold no symbol with all that it depends on
+        name, first, last = near_symbols(w, owner)
         inside = (first >= 0) & (last <= n)
         first, last = first[inside], last[inside]
         low, many = _mix(self.span(first, last) ^ (name[inside] * C3)), 1
@@ -106,11 +136,11 @@ class Parse:
             if 2 * many > window:
                 break
             low, many = np.minimum(low[:-many], low[many:]), 2 * many
-        new = np.append(True, (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1]))[: len(self.name)]
+        new = np.append(True, (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1]) | (at[1:] != at[:-1] + 1))[: len(self.name)]
         self.begin = np.flatnonzero(new)
         self.end = np.append(self.begin[1:], len(self.name))[: len(self.begin)]
         self.segment = _mix(self.span(at[self.begin], at[self.end - 1] + window) + self.name[self.begin] * C3)
-        self.start, self.at = start, at
+        self.place = at - start[self.doc]  # of each window among its document's words
 
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash of the words a to b, wherever they stand."""
@@ -121,6 +151,25 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _lists(flat: pa.Array, owner: np.ndarray, rows: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), flat)
+
+
+def _of(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(name).to_numpy(zero_copy_only=False)
+
+
+def _in_batches(df: DataFrame, fn, fields: str) -> DataFrame:
+    """fn on some rows at a time, all of whose columns it gets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                yield fn(batch.slice(at, BATCH))
+
+    return df.mapInArrow(run, fields)
+
+
 def _distinct(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Places of the first of each equal (doc, value)."""
     order = np.lexsort((value, doc))
@@ -128,111 +177,185 @@ def _distinct(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     return order[np.append(True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]))[: len(order)]]
 
 
+def _owned(part: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray]:
+    """(all elements of a column of lists, numbers of their rows); a null is an empty list."""
+    lists = part.column(column)
+    size = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    return lists.flatten(), np.repeat(np.arange(part.num_rows), size)
+
+
+SEQUENCE = "node long, h int, names array<long>, sizes array<int>"
+
+
+def _sequence(part: pa.RecordBatch, name: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    rows = part.num_rows
+    lists = [_lists(_signed(name), owner, rows), _lists(pa.array(size.astype(np.int32)), owner, rows)]
+    return pa.RecordBatch.from_arrays([part.column("node"), part.column("h"), *lists], names=["node", "h", "names", "sizes"])
+
+
+def first_rounds(docs: DataFrame, window: int, many: int) -> DataFrame:
+    """The rows (node, h, t) with their words after the first rounds; rows without a window go."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        name, owner = _hashes([t.encode().split() for t in part.column("t").to_pylist()])
+        return _sequence(part, *rounds(name, owner, np.ones(len(name), np.int64), 0, many))
+
+    return _in_batches(docs.select("node", "h", "t"), run, SEQUENCE).filter(F.aggregate("sizes", F.lit(0), lambda s, x: s + x) >= window)
+
+
+def more_rounds(sequences: DataFrame, first: int, many: int) -> DataFrame:
+    """The sequences after further rounds."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        flat, owner = _owned(part, "names")
+        size = _owned(part, "sizes")[0].to_numpy(zero_copy_only=False).astype(np.int64)
+        return _sequence(part, *rounds(flat.to_numpy(zero_copy_only=False).view(np.uint64), owner, size, first, many))
+
+    return _in_batches(sequences.select("node", "h", "names", "sizes"), run, SEQUENCE)
+
+
+def _high(sequences: DataFrame, window: int) -> DataFrame:
+    """(name, node, h, first, words) of the symbols that stand for a window or more."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        flat, owner = _owned(part, "names")
+        size = _owned(part, "sizes")[0].to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(size)
+        edge = np.append(0, upto)[np.searchsorted(owner, np.arange(part.num_rows))]
+        some = np.flatnonzero(size >= window)
+        of = owner[some]
+        columns = [flat.take(pa.array(some)), pa.array(_of(part, "node")[of]), pa.array(_of(part, "h")[of]), pa.array((upto[some] - size[some] - edge[of]).astype(np.int32)), pa.array(size[some].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["name", "node", "h", "first", "words"])
+
+    return _in_batches(sequences.select("node", "h", "names", "sizes"), run, "name long, node long, h int, first int, words int")
+
+
+def settled_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(node, h, settled): for rows (node, h, t), the passages (first word, words) whose symbol a row with a smaller node holds too."""
+    level, tables = FIRST, [cut(first_rounds(docs, window, FIRST), "rounds")]
+    for _ in range(JOBS):
+        tables.append(cut(more_rounds(tables[-1], level, STEP), "rounds"))
+        level += STEP
+    high = cut(reduce(DataFrame.unionByName, [_high(t, window) for t in tables[1:]]), "high")
+    discard(*tables)
+    least = cut(high.groupBy("name", "words").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("least < most"), "least")
+    found = join_keys(high, least, ["name", "words"]).filter("node > least")
+    out = cut(found.groupBy("node", "h").agg(F.collect_set(F.struct("first", "words")).alias("settled")), "settled")
+    discard(high, least)
+    return out
+
+
+def _settled(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat, owner = _owned(part, "settled")
+    return owner, *(flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "words"))
+
+
 def _names(docs: DataFrame, window: int) -> DataFrame:
-    """(name, node): the distinct window names of each row."""
+    """(name, node, h): the distinct names of each row's windows."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                p = Parse(part.column("t").to_pylist(), window)
-                one = _distinct(p.doc[p.begin], p.name[p.begin])
-                node = part.column("node").to_numpy(zero_copy_only=False)[p.doc[p.begin[one]]]
-                yield pa.RecordBatch.from_arrays([_signed(p.name[p.begin[one]]), pa.array(node)], names=["name", "node"])
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        p = Parse(part.column("t").to_pylist(), window, _settled(part))
+        one = _distinct(p.doc[p.begin], p.name[p.begin])
+        of = p.doc[p.begin[one]]
+        return pa.RecordBatch.from_arrays([_signed(p.name[p.begin[one]]), pa.array(_of(part, "node")[of]), pa.array(_of(part, "h")[of])], names=["name", "node", "h"])
+
+    return _in_batches(docs.select("node", "h", "t", "settled"), run, "name long, node long, h int")
 
-    return docs.select("node", "t").mapInArrow(run, "name long, node long")
+
+def _within(p: Parse, at: np.ndarray, value: np.ndarray, part: pa.RecordBatch, column: str) -> np.ndarray:
+    """Whether each value, of a window or segment that begins at window `at`, is in its row's list."""
+    flat, owner = _owned(part, column)
+    known = flat.to_numpy(zero_copy_only=False).view(np.uint64)
+    of, ok = p.doc[at], np.zeros(len(at), bool)
+    edges, lists = np.searchsorted(of, np.arange(part.num_rows + 1)), np.searchsorted(owner, np.arange(part.num_rows + 1))
+    for i in np.unique(owner).tolist():
+        own = slice(edges[i], edges[i + 1])
+        ok[own] = np.isin(value[own], known[lists[i] : lists[i + 1]])
+    return ok
 
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
-    """(node, name, segment, windows): the distinct segments whose name is in the row's list `shared`, with their windows' hashes."""
+    """(node, h, name, segment, windows): the distinct segments whose name is in the row's list `shared`, with their windows' hashes."""
 
-    def run(batches):
-        for batch in batches:
-            for row in range(0, batch.num_rows, BATCH):
-                part = batch.slice(row, BATCH)
-                p = Parse(part.column("t").to_pylist(), window)
-                lists = part.column("shared")
-                of = p.doc[p.begin]
-                ok = np.zeros(len(of), bool)
-                edges = np.searchsorted(of, np.arange(part.num_rows + 1))
-                for i in range(part.num_rows):
-                    own = slice(edges[i], edges[i + 1])
-                    ok[own] = np.isin(p.name[p.begin[own]], lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                one = np.flatnonzero(ok)
-                one = one[_distinct(of[one], p.segment[one])]
-                a, b = p.begin[one], p.end[one]
-                offsets = np.append(0, np.cumsum(b - a))
-                flat = p.window[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
-                windows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(flat))
-                node = pa.array(part.column("node").to_numpy(zero_copy_only=False)[of[one]])
-                yield pa.RecordBatch.from_arrays([node, _signed(p.name[a]), _signed(p.segment[one]), windows], names=["node", "name", "segment", "windows"])
-
-    return docs.select("node", "t", "shared").mapInArrow(run, "node long, name long, segment long, windows array<long>")
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        p = Parse(part.column("t").to_pylist(), window, _settled(part))
+        one = np.flatnonzero(_within(p, p.begin, p.name[p.begin], part, "shared"))
+        one = one[_distinct(p.doc[p.begin[one]], p.segment[one])]
+        a, b = p.begin[one], p.end[one]
+        offsets = np.append(0, np.cumsum(b - a))
+        flat = p.window[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
+        of = p.doc[a]
+        columns = [pa.array(_of(part, "node")[of]), pa.array(_of(part, "h")[of]), _signed(p.name[a]), _signed(p.segment[one]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(flat))]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "h", "name", "segment", "windows"])
+
+    return _in_batches(docs.select("node", "h", "t", "settled", "shared"), run, "node long, h int, name long, segment long, windows array<long>")
 
 
 def _without(docs: DataFrame, id_type: str, window: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for row in range(0, batch.num_rows, BATCH):
-                part = batch.slice(row, BATCH)
-                texts, gone = part.column("t").to_pylist(), part.column("gone")
-                some = [i for i in range(len(texts)) if gone[i].is_valid]
-                p = Parse([texts[i] for i in some] or [""], window)
-                words = {i: t.encode().split() for i, t in enumerate(texts) if not gone[i].is_valid} | dict(zip(some, p.words, strict=False))
-                kept = {i: words[i] for i in range(len(texts))}
-                edges = np.searchsorted(p.doc[p.begin], np.arange(len(p.words) + 1))
-                for k, i in enumerate(some):
-                    these = gone[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    own = slice(edges[k], edges[k + 1])
-                    hit = np.isin(p.window[p.count[k] : p.count[k + 1]], these) | np.repeat(np.isin(p.segment[own], these), p.end[own] - p.begin[own])
-                    edge = np.zeros(len(words[i]) + 1, np.int64)
-                    edge[np.flatnonzero(hit)] += 1
-                    edge[np.flatnonzero(hit) + window] -= 1
-                    kept[i] = [w for w, c in zip(words[i], np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
-                columns = [part.column("doc_id"), *(pa.array([f(i) for i in range(len(texts))], t) for f, t in ((lambda i: len(words[i]), pa.int64()), (lambda i: len(words[i]) - len(kept[i]), pa.int64()), (lambda i: b" ".join(kept[i]).decode(), pa.string())))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return docs.select("doc_id", "t", "gone").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts, settled = part.column("t").to_pylist(), _settled(part)
+        p = Parse(texts, window, settled)
+        hit = _within(p, np.arange(len(p.window)), p.window, part, "gone") | np.repeat(_within(p, p.begin, p.segment, part, "gone"), p.end - p.begin)
+        size = np.array([len(w) for w in p.words], np.int64)
+        start = np.cumsum(np.append(0, size))
+        edge = np.zeros(start[-1] + 1, np.int64)
+        at = start[p.doc[hit]] + p.place[hit]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
+        at = start[settled[0]] + settled[1]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + settled[2], -1)
+        left = (np.cumsum(edge)[:-1] == 0).tolist()
+        kept = [b" ".join([w for w, c in zip(words, left[a : a + len(words)], strict=True) if c]).decode() for words, a in zip(p.words, start.tolist(), strict=False)]
+        n_kept = np.add.reduceat(np.append(left, False).astype(np.int64), start)[:-1] * (size > 0)
+        columns = [part.column("doc_id"), pa.array(size), pa.array(size - n_kept), pa.array(kept, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return _in_batches(docs.select("doc_id", "t", "settled", "gone"), run, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (kept words, one blank between).
 
     Removed is each word covered by a window of `window` words that also starts in a document with a smaller id. Windows are judged on
-    the input. A null text has no words; a null id counts as the largest. Rows of one id, rows without one also, remove nothing from each other. Ids are
-    integers. An empty table gives an empty result.
+    the input. A null text has no words; a null id counts as the largest. Rows of one id, rows without one also, remove nothing from each other; they are told
+    apart by the hashes of their texts, and equal ones share their results. Ids are integers. An empty table gives an empty result.
     """
-    ready = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(text, F.lit("")).alias("t"))
+    ready = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(text, F.lit("")).alias("t")).withColumn("h", F.hash("t"))
+    key = ["node", "h"]
     slices = [F.pmod("name", F.lit(SLICES)) == k for k in range(SLICES)]
-    named, hits = cut(_names(ready, window), "names"), []
+    settled = settled_passages(ready, window)
+    known = ready.join(settled, key, "left")
+
+    named, hits = cut(_names(known, window), "names"), []
     for own in slices:
-        shared = cut(named.filter(own).groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("name"), "shared")
-        hits.append(cut(named.filter(own).join(shared, "name"), "hits"))
+        shared = cut(named.filter(own).groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a < b").select("name", "n"), "shared")
+        hits.append(cut(join_keys(named.filter(own), shared, ["name"]).select("node", "h", "name"), "hits"))
         discard(shared)
     discard(named)
-    lists = cut(reduce(DataFrame.unionByName, hits).groupBy("node").agg(F.collect_list("name").alias("shared")), "lists")
+    lists = cut(reduce(DataFrame.unionByName, hits).groupBy(*key).agg(F.collect_set("name").alias("shared")), "lists")
     discard(*hits)
-    segments = cut(_segments(ready.join(lists, "node"), window), "segments")
+    segments = cut(_segments(known.join(lists, key), window), "segments")
     discard(lists)
 
     gone = []
     for own in slices:
-        first = cut(segments.filter(own).groupBy("name", "segment").agg(F.min("node").alias("least")), "first")
-        judged = segments.filter(own).join(first, ["name", "segment"])
-        judged = cut(judged.select("node", "name", "segment", F.when(F.col("node") == F.col("least"), F.col("windows")).alias("windows")), "judged")
-        whole = judged.filter("windows is null").select("node", F.col("segment").alias("hash"))
+        first = cut(segments.filter(own).groupBy("name", "segment").agg(F.min("node").alias("least"), F.count("*").alias("n")), "first")
+        judged = join_keys(segments.filter(own), first, ["name", "segment"])
+        judged = cut(judged.select(*key, "name", "segment", F.when(F.col("node") == F.col("least"), F.col("windows")).alias("windows")), "judged")
+        whole = judged.filter("windows is null").select(*key, F.col("segment").alias("hash"))
         # Windows of a segment's first document; of those, the ones that an earlier document has in another segment.
-        told = judged.filter("windows is not null").select("node", "name", F.explode("windows").alias("hash"))
-        least = told.groupBy("name", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-        single = told.join(least, ["name", "hash"]).filter("node > least").select("node", "hash")
+        told = judged.filter("windows is not null").select(*key, "name", F.explode("windows").alias("hash"))
+        least = cut(told.groupBy("name", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("least < most"), "least")
+        single = join_keys(told, least, ["name", "hash"]).filter("node > least").select(*key, "hash")
         gone.append(cut(whole.unionByName(single), "gone"))
-        discard(first, judged)
+        discard(first, judged, least)
     discard(segments)
     rows = gone
-    gone = cut(reduce(DataFrame.unionByName, rows).groupBy(F.col("node").alias("gone_node")).agg(F.collect_set("hash").alias("gone")), "gone")
+    gone = cut(reduce(DataFrame.unionByName, rows).groupBy(*key).agg(F.collect_set("hash").alias("gone")), "gone")
     discard(*rows)
     id_type = ready.schema["doc_id"].dataType.simpleString()
-    return _without(ready.join(gone, F.col("node") == F.col("gone_node"), "left"), id_type, window)
+    return _without(known.join(gone, key, "left"), id_type, window)
 
 
 def op5_substring_dedup(spark, sf_dir):

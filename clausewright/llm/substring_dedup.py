@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from clausewright.llm.common import cut, discard, join_keys, table
 
 WINDOW, NEAR = 13, 2  # words of a window; rounds of the symbols that name windows
 FIRST, STEP, JOBS = 6, 3, 3  # rounds of the first job, of each later one, and how many of these
-SLICES = 4  # of the names, one after another: the disk that shuffles and their inputs take is that of one
+SENT = 20_000  # names that join_keys sends out at most
+SLICES = 2  # of the names, one after another: the disk that shuffles and their inputs take is that of one
 BATCH = 64  # rows that are parsed at once
 NO_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -102,7 +103,7 @@ class Parse:
     def __init__(self, texts: list[str], window: int = WINDOW, settled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         self.words = [t.encode().split() for t in texts]
         size = np.array([len(w) for w in self.words], np.int64)
-        start = np.cumsum(np.append(0, size[:-1] + 1))
+        start = np.cumsum(np.append(0, size + 1))[:-1]
         n = int(size.sum()) + max(0, len(size) - 1)
         w, owner = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         between = np.ones(n, bool)
@@ -214,8 +215,8 @@ def more_rounds(sequences: DataFrame, first: int, many: int) -> DataFrame:
     return _in_batches(sequences.select("node", "h", "names", "sizes"), run, SEQUENCE)
 
 
-def _high(sequences: DataFrame, window: int) -> DataFrame:
-    """(name, node, h, first, words) of the symbols that stand for a window or more."""
+def _high(sequences: DataFrame, window: int, last: bool = False) -> DataFrame:
+    """(name, node, h, first, words) of the symbols that stand for a window or more; after the last round also of each whole sequence."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         flat, owner = _owned(part, "names")
@@ -223,8 +224,15 @@ def _high(sequences: DataFrame, window: int) -> DataFrame:
         upto = np.cumsum(size)
         edge = np.append(0, upto)[np.searchsorted(owner, np.arange(part.num_rows))]
         some = np.flatnonzero(size >= window)
-        of = owner[some]
-        columns = [flat.take(pa.array(some)), pa.array(_of(part, "node")[of]), pa.array(_of(part, "h")[of]), pa.array((upto[some] - size[some] - edge[of]).astype(np.int32)), pa.array(size[some].astype(np.int32))]
+        name, of, first, words = flat.to_numpy(zero_copy_only=False).view(np.uint64)[some], owner[some], upto[some] - size[some] - edge[owner[some]], size[some]
+        if last:
+            begin = np.searchsorted(owner, np.arange(part.num_rows))
+            place = (np.arange(len(owner)) - begin[owner]).astype(np.uint64)
+            whole = np.add.reduceat(_mix(flat.to_numpy(zero_copy_only=False).view(np.uint64) + _mix(place + C2)), begin)
+            rows = np.arange(part.num_rows)
+            name, of = np.append(name, _mix(whole ^ C1)), np.append(of, rows)
+            first, words = np.append(first, 0 * rows), np.append(words, np.add.reduceat(size, begin))
+        columns = [_signed(name), pa.array(_of(part, "node")[of]), pa.array(_of(part, "h")[of]), pa.array(first.astype(np.int32)), pa.array(words.astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, names=["name", "node", "h", "first", "words"])
 
     return _in_batches(sequences.select("node", "h", "names", "sizes"), run, "name long, node long, h int, first int, words int")
@@ -236,10 +244,10 @@ def settled_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     for _ in range(JOBS):
         tables.append(cut(more_rounds(tables[-1], level, STEP), "rounds"))
         level += STEP
-    high = cut(reduce(DataFrame.unionByName, [_high(t, window) for t in tables[1:]]), "high")
+    high = cut(reduce(DataFrame.unionByName, [_high(t, window, t is tables[-1]) for t in tables[2:]]), "high")  # symbols of earlier rounds are mostly shorter than two windows
     discard(*tables)
     least = cut(high.groupBy("name", "words").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("least < most"), "least")
-    found = join_keys(high, least, ["name", "words"]).filter("node > least")
+    found = join_keys(high, least, ["name", "words"], SENT).filter("node > least")
     out = cut(found.groupBy("node", "h").agg(F.collect_set(F.struct("first", "words")).alias("settled")), "settled")
     discard(high, least)
     return out
@@ -293,21 +301,28 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
 
 def _without(docs: DataFrame, id_type: str, window: int) -> DataFrame:
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts, settled = part.column("t").to_pylist(), _settled(part)
-        p = Parse(texts, window, settled)
-        hit = _within(p, np.arange(len(p.window)), p.window, part, "gone") | np.repeat(_within(p, p.begin, p.segment, part, "gone"), p.end - p.begin)
-        size = np.array([len(w) for w in p.words], np.int64)
+        texts, (doc, first, many) = part.column("t").to_pylist(), _settled(part)
+        some = np.flatnonzero(part.column("gone").is_valid().to_numpy(zero_copy_only=False))  # only these have windows to look for
+        number = np.full(len(texts), -1)
+        number[some] = np.arange(len(some))
+        own = number[doc] >= 0
+        p = Parse([texts[i] for i in some.tolist()], window, (number[doc[own]], first[own], many[own]))
+        few = part.take(pa.array(some))
+        hit = _within(p, np.arange(len(p.window)), p.window, few, "gone") | np.repeat(_within(p, p.begin, p.segment, few, "gone"), p.end - p.begin)
+        parsed = dict(zip(some.tolist(), p.words, strict=True))
+        every = [parsed[i] if i in parsed else t.encode().split() for i, t in enumerate(texts)]
+        size = np.array([len(w) for w in every], np.int64)
         start = np.cumsum(np.append(0, size))
         edge = np.zeros(start[-1] + 1, np.int64)
-        at = start[p.doc[hit]] + p.place[hit]
+        at = start[some[p.doc[hit]]] + p.place[hit]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
-        at = start[settled[0]] + settled[1]
+        at = start[doc] + first
         np.add.at(edge, at, 1)
-        np.add.at(edge, at + settled[2], -1)
-        left = (np.cumsum(edge)[:-1] == 0).tolist()
-        kept = [b" ".join([w for w, c in zip(words, left[a : a + len(words)], strict=True) if c]).decode() for words, a in zip(p.words, start.tolist(), strict=False)]
+        np.add.at(edge, at + many, -1)
+        left = np.cumsum(edge)[:-1] == 0
         n_kept = np.add.reduceat(np.append(left, False).astype(np.int64), start)[:-1] * (size > 0)
+        kept = [b" ".join(words if n == len(words) else compress(words, left[a : a + len(words)].tolist())).decode() for words, a, n in zip(every, start.tolist(), n_kept.tolist(), strict=False)]
         columns = [part.column("doc_id"), pa.array(size), pa.array(size - n_kept), pa.array(kept, pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_text"])
 
@@ -330,7 +345,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named, hits = cut(_names(known, window), "names"), []
     for own in slices:
         shared = cut(named.filter(own).groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a < b").select("name", "n"), "shared")
-        hits.append(cut(join_keys(named.filter(own), shared, ["name"]).select("node", "h", "name"), "hits"))
+        hits.append(cut(join_keys(named.filter(own), shared, ["name"], SENT).select("node", "h", "name"), "hits"))
         discard(shared)
     discard(named)
     lists = cut(reduce(DataFrame.unionByName, hits).groupBy(*key).agg(F.collect_set("name").alias("shared")), "lists")
@@ -341,13 +356,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gone = []
     for own in slices:
         first = cut(segments.filter(own).groupBy("name", "segment").agg(F.min("node").alias("least"), F.count("*").alias("n")), "first")
-        judged = join_keys(segments.filter(own), first, ["name", "segment"])
+        judged = join_keys(segments.filter(own), first, ["name", "segment"], SENT)
         judged = cut(judged.select(*key, "name", "segment", F.when(F.col("node") == F.col("least"), F.col("windows")).alias("windows")), "judged")
         whole = judged.filter("windows is null").select(*key, F.col("segment").alias("hash"))
         # Windows of a segment's first document; of those, the ones that an earlier document has in another segment.
         told = judged.filter("windows is not null").select(*key, "name", F.explode("windows").alias("hash"))
         least = cut(told.groupBy("name", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("least < most"), "least")
-        single = join_keys(told, least, ["name", "hash"]).filter("node > least").select(*key, "hash")
+        single = join_keys(told, least, ["name", "hash"], SENT).filter("node > least").select(*key, "hash")
         gone.append(cut(whole.unionByName(single), "gone"))
         discard(first, judged, least)
     discard(segments)

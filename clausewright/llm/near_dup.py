@@ -7,8 +7,8 @@ rounds cost rows in proportion to the buckets' sizes, and found links merge comp
 several components after the rounds is compared block by block, on signatures first; pairs whose signatures come near the limit are
 verified on full sets where they meet. So no link that banding shows is left out, and no group meets in one task.
 
-Banding: 32 bands of 7 of 224 positions find a pair at likeness 0.85 with probability 0.999996. Pairs in blocks whose signatures agree
-in fewer positions than the asked likeness by SIGMAS standard deviations aren't verified; such a pair is a link with probability under 1e-6.
+Banding follows the likeness asked for: 32 bands of 7 of 224 positions find a pair at 0.85 with probability 0.999996, 37 bands of 6 one at 0.8 with
+0.99998. Pairs in blocks whose signatures agree in fewer positions than the asked likeness by SIGMAS standard deviations aren't verified; such a pair is a link with probability under 1e-6.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from xxhash import xxh3_64_intdigest
 from clausewright.llm.common import cut, discard, free, in_groups, table, with_python
 from clausewright.llm.components import connected
 
-BANDS, ROWS = 32, 7
-M = BANDS * ROWS
+M = 224  # positions of a signature
+MISSED = 1e-4  # most of the links at the limit that no band may show
 SIGMAS = 5.0
 ROUNDS = 2  # rounds of hubs in buckets of more than SMALL classes, before blocks
 SMALL, BLOCK_Y, BLOCK_X, CHUNK = 16, 128, 512, 128
@@ -133,6 +133,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return in_groups(rows, ["u", "salt"], run, "u long, v long", ["after"])
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, positions in each): as many positions as leave a pair at the limit unseen with probability MISSED at most."""
+    rows = next((r for r in range(16, 1, -1) if (1 - (percent / 100) ** r) ** (M // r) <= MISSED), 1)
+    return M // rows, rows
+
+
 def _near(percent: int) -> float:
     """Least share of agreeing positions with which a pair is verified."""
     p = percent / 100
@@ -147,7 +153,7 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def _near_pairs(sy: np.ndarray, cy: np.ndarray, sx: np.ndarray, cx: np.ndarray, band: int, near: float) -> tuple[np.ndarray, np.ndarray]:
+def _near_pairs(sy: np.ndarray, cy: np.ndarray, sx: np.ndarray, cx: np.ndarray, band: int, near: float, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of other components whose signatures agree in `near` of their positions, and in no band before this one."""
     found_i, found_j = [], []
     step = max(1, PAIRS // max(1, len(sx)))
@@ -157,7 +163,7 @@ def _near_pairs(sy: np.ndarray, cy: np.ndarray, sx: np.ndarray, cx: np.ndarray,
         agree = (same.view(np.uint64).sum(axis=2) * LANES) >> np.uint64(56)
         i, j = np.nonzero((cy[at : at + step, None] != cx[None]) & (agree >= near * M))
         if len(i):
-            first = same[i, j].reshape(len(i), BANDS, ROWS).all(axis=2)
+            first = same[i, j][:, : bands * rows].reshape(len(i), bands, rows).all(axis=2)
             ok = first.any(axis=1) & (first.argmax(axis=1) == band)
             found_i.append(i[ok] + at)
             found_j.append(j[ok])
@@ -165,13 +171,14 @@ def _near_pairs(sy: np.ndarray, cy: np.ndarray, sx: np.ndarray, cx: np.ndarray,
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
-def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near: float) -> tuple[DataFrame, DataFrame]:
+def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a table it wrote, links): links between different components that share a bucket and whose signatures agree in `near` of their positions.
 
     live: node, bucket, band, component, sig. Members of a bucket's largest component meet only the others, block by block of bounded size.
     A first pass over signatures tells which members have such partners; only these get their texts, in
     a second pass that verifies each pair in the first band it shares. Pairs never become rows.
     """
+    near, shape = _near(percent), banding(percent)
     per = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     top = per.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("kinds > 1")
     top = top.select("bucket", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_Y).cast("int").alias("ys"), F.ceil(F.col("all") / BLOCK_X).cast("int").alias("xs"))
@@ -189,7 +196,7 @@ def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int, near:
         middle = np.add.reduceat(1 - right, begin[:-1]) + begin[:-1]
         for a, m, b in zip(begin[:-1].tolist(), middle.tolist(), begin[1:].tolist(), strict=True):
             if a < m < b:
-                i, j = _near_pairs(sig[a:m], component[a:m], sig[m:b], component[m:b], band[a], near)
+                i, j = _near_pairs(sig[a:m], component[a:m], sig[m:b], component[m:b], band[a], near, *shape)
                 yield i + a, j + m
 
     def involved(part: pa.RecordBatch, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -231,8 +238,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
     Linked are documents whose sets of n-word shingles have 100 * |intersection| >= percent * |union|, and equal sets. Texts without words, null texts
     too, have the empty set and no link, and are kept. Each row is a document, whether its id is repeated or null; ids are integers. A component
-    without any id has a null component_id. An empty table gives an empty result. For percent under 85 a band of 7 finds a link at the limit
-    less often; see the module's text.
+    without any id has a null component_id. An empty table gives an empty result.
     """
     ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))
     return _groups(ready, n, percent).drop("row")
@@ -245,7 +251,8 @@ def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
     classes = signed.filter("n_shingles > 0").groupBy("c1", "c2").agg(first, F.first("sig").alias("sig"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    buckets = classes.select("node", F.posexplode(F.array(*[F.substring("sig", ROWS * b + 1, ROWS) for b in range(BANDS)])).alias("band", "key"))
+    bands, rows = banding(percent)
+    buckets = classes.select("node", F.posexplode(F.array(*[F.substring("sig", rows * b + 1, rows) for b in range(bands)])).alias("band", "key"))
     buckets = buckets.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     live = cut(buckets.join(sizes, "bucket"), "live")
@@ -281,7 +288,7 @@ def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
         done.append(found)
         if not found.isEmpty():
             parts = merged(parts, found)
-    some, links = _block_links(live.join(parts, "node").join(classes.select("node", "sig"), "node"), texts, n, percent, _near(percent))
+    some, links = _block_links(live.join(parts, "node").join(classes.select("node", "sig"), "node"), texts, n, percent)
     found = cut(links, "links")
     done += [some, found]
     if not found.isEmpty():

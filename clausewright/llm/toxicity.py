@@ -4,7 +4,7 @@ A document is a bag of sentences. A sentence's score is a logistic function of i
 with probability 1 - prod(1 - score). Only documents carry labels, and the gradient of their likelihood tells which
 sentences they owe it to, so the trained model also locates the offending sentences.
 
-The fit uses at most FIT_ROWS labelled rows of each class, taken in order of a hash of their id; the rest of
+The fit uses at most FIT_ROWS labelled rows of each class, of texts up to FIT_CHARS, taken in order of a hash of their id; the rest of
 the work, scoring, runs over every row in parallel with the model's word weights as a broadcast of bounded size.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.common import free, table, with_python
 
-#: Labelled rows of each class, and features, that a fit uses at most.
-FIT_ROWS, FIT_WORDS = 1500, 2000
+#: Labelled rows of each class, and features, that a fit uses at most; rows with longer texts take no part in it, so what the driver gets is bounded.
+FIT_ROWS, FIT_WORDS, FIT_CHARS = 1500, 2000, 50_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -134,12 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from at most `rows` labelled rows of each class that aren't held out.
 
     Which rows follows from a hash of their ids, so every run learns the same. Several labels of one id: the largest counts; null
-    labels and null texts take no part.
+    labels, null texts and texts of over FIT_CHARS characters take no part.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     ids = known.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     few = ids.filter("toxic = 1").orderBy("h", "doc_id").limit(rows).unionByName(ids.filter("toxic = 0").orderBy("h", "doc_id").limit(rows))
-    sample = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id")  # at most 2 * rows ids
+    sample = docs.select("doc_id", "text").filter(F.length("text") <= FIT_CHARS).join(F.broadcast(few), "doc_id")  # at most 2 * rows ids
     # A row or two an id are expected; repeated rows of one id beyond that don't enter the bounded fit.
     got = sample.orderBy("h", "doc_id", F.xxhash64("text")).limit(4 * rows).select("text", "toxic").collect()
     return fit_bags([r["text"] for r in got], [r["toxic"] for r in got])

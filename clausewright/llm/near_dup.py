@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from clausewright.llm.common import cut, discard, free, in_groups, table, with_python
+from clausewright.llm.common import cut, discard, free, in_groups, join_keys, table, with_python
 from clausewright.llm.components import connected
 
 M = 224  # positions of a signature
@@ -31,6 +31,7 @@ MISSED = 1e-4  # most of the links at the limit that no band may show
 SIGMAS = 5.0
 ROUNDS = 2  # rounds of hubs in buckets of more than SMALL classes, before blocks
 SMALL, BLOCK_Y, BLOCK_X, CHUNK = 16, 128, 512, 128
+SENT = 20_000  # buckets that join_keys sends out at most
 PAIRS = 4096  # pairs of signatures that are compared at once
 LANES = np.uint64(0x0101010101010101)
 NO_ID = 2**63 - 1
@@ -248,14 +249,14 @@ def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
     """near_groups with the column row for (doc_id, t, row). Numbers of rows and classes count once they are written in `signed` and `classes`."""
     signed = cut(_signed(ready.withColumn("h", F.xxhash64("t")), n), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "h")).alias("first")
-    classes = signed.filter("n_shingles > 0").groupBy("c1", "c2").agg(first, F.first("sig").alias("sig"))
+    classes = signed.filter("n_shingles > 0").groupBy("c1", "c2").agg(first, F.first("sig").alias("sig"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     bands, rows = banding(percent)
     buckets = classes.select("node", F.posexplode(F.array(*[F.substring("sig", rows * b + 1, rows) for b in range(bands)])).alias("band", "key"))
     buckets = buckets.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    live = cut(buckets.join(sizes, "bucket"), "live")
+    sizes = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "sizes")
+    live = cut(join_keys(buckets, sizes, ["bucket"], SENT), "live")
     nodes = cut(live.groupBy("node").agg(F.sum("size").alias("degree")), "nodes")
     # a class's text is that of its first row, by id and text hash, as ready's own row numbers aren't written
     key = lambda c: F.coalesce(c, F.lit(NO_ID)).alias("key")
@@ -263,7 +264,7 @@ def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
     texts = cut(ready.select(key(F.col("doc_id")), F.xxhash64("t").alias("h"), "t").join(wanted, ["key", "h"]).select("node", "t").dropDuplicates(["node"]), "texts")
 
     parts = nodes.select("node", "degree", F.col("node").alias("component"))
-    tested, done = None, [signed, classes, live, nodes, texts]  # done: tables that go at the end
+    tested, done = None, [signed, classes, sizes, live, nodes, texts]  # done: tables that go at the end
 
     def merged(parts: DataFrame, found: DataFrame) -> DataFrame:
         """parts after the links found: what is contracted are the components, so edges are as few as merges."""
@@ -277,12 +278,12 @@ def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
 
     large = live.filter(F.col("size") > SMALL)
     for turn in range(ROUNDS if not large.isEmpty() else 1):
-        now = (large if turn else live).join(parts, "node")
+        now = cut((large if turn else live).join(parts.select("node", "degree", "component"), "node"), "now")
         rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("degree")
-        hubs = now.groupBy("bucket").agg(F.max(F.struct(rank, "node", "component")).alias("hub"))
-        pairs = now.join(hubs, "bucket").filter("component <> hub.component").select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
+        hubs = cut(now.groupBy("bucket").agg(F.max(F.struct(rank, "node", "component")).alias("hub"), F.count("*").alias("n")), "hubs")
+        pairs = join_keys(now, hubs, ["bucket"], SENT).filter("component <> hub.component").select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        done.append(pairs)
+        done += [pairs, now, hubs]
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut(_verify(pairs, texts, n, percent), "links")
         done.append(found)
@@ -294,10 +295,15 @@ def _groups(ready: DataFrame, n: int, percent: int) -> DataFrame:
     if not found.isEmpty():
         parts = merged(parts, found)
 
-    own = classes.select("c1", "c2", "first", "node").join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = own.groupBy("component").agg(F.min("first").alias("head"))
-    out = signed.join(own.join(heads, "component").select("c1", "c2", "head"), ["c1", "c2"], "left")
-    out = out.select("row", "doc_id", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("kept"))
+    own = classes.select("c1", "c2", "copies", "first", "node").join(parts.select("node", "component"), "node", "left")
+    own = cut(own.withColumn("component", F.coalesce("component", "node")), "own")
+    heads = cut(own.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n")), "heads")
+    named = cut(join_keys(own, heads, ["component"], SENT).select("c1", "c2", "head", F.col("copies").alias("n")), "named")
+    done += [own, heads, named]
+    rows = signed.select("row", "doc_id", "n_shingles", "c1", "c2")
+    grouped = join_keys(rows.filter("n_shingles > 0"), named, ["c1", "c2"], SENT).select("row", "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col("head.row") == F.col("row")).alias("kept"))
+    alone = rows.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    out = grouped.unionByName(alone)
     out = cut(out, "groups")
     discard(*done)
     return out

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from clausewright.functions.text import let
+
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -27,14 +29,14 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """A zero vector stays."""
-    return F.when(norm(a) == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x / norm(a)))
+    return let(norm(a), lambda n: F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x / n)))
 
 
 def hashed_words(text: Column, dims: int = 16) -> Column:
     """Counts of words by hash bucket: a plain stand-in for a model, not one."""
     words = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")
     at = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)))
+    return let(at, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda a: a == i))))
 
 
 class HashedWords:

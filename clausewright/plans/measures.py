@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from clausewright.functions import vectors as V
 from clausewright.operators import clauses as C
 from clausewright.operators import evaluate as E
 from clausewright.plans.registry import query, rounded, sql_list, table
+from clausewright.sources import files, tables
 from clausewright.streaming import sessions, vad
 from clausewright.streaming import utterances as U
 
@@ -174,3 +177,53 @@ def asr_confidence(spark, sf_dir):
 def hashed_features(spark, sf_dir):
     counts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(V.hashed_words(F.col("text"))).alias("bucket", "n"))
     return counts.filter("n > 0").select("doc_id", "bucket", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def event_history(spark, sf_dir):
+    return sessions.history(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "user_id")
+
+
+def _folder(spark, name: str) -> str:
+    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT 'q' || vec_id AS id, CASE WHEN label % 3 = 0 THEN 'c' || (vec_id + 1) ELSE array_to_string(list_sort(['c' || (vec_id + 1), 'c' || (vec_id + 2)]), ',') END AS ids FROM embeddings")
+def assertion_file(spark, sf_dir):
+    """Labelled queries written as a file of JSON lines, read by its schema, and what counts as found for each."""
+    v, path = F.col("vec_id"), _folder(spark, "assertions")
+    of = lambda *ids: F.array(*[F.concat(F.lit("c"), i.cast("string")) for i in ids])
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("q"), v.cast("string")).alias("id"), F.lit("a claim").alias("assertion"), of(v + 1).alias("goldChunkIds"), of(v + 2, v + 1).alias("acceptableChunkIds"), (F.col("label") % 3 == 0).alias("adversarial"))
+    rows.write.json(path)
+    back = files.read_assertions(spark, path)
+    return back.select("id", F.array_join(F.array_sort(E.gold_ids(F.col("goldChunkIds"), F.col("acceptableChunkIds"), F.col("adversarial"))), ",").alias("ids"))
+
+
+@query("SELECT label, count(*) AS n, round(sum(list_sum(embedding)::DOUBLE), 3) AS total FROM embeddings GROUP BY label")
+def index_file(spark, sf_dir):
+    """An index written with its manifest and read back against it."""
+    path = _folder(spark, "index")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), "embedding", "label")
+    wide = rows.select(F.size("embedding")).first()[0]
+    files.write_index(rows, path, f"vectors-{wide}", wide)
+    back = files.read_index(spark, path, f"vectors-{wide}")
+    return back.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)), 3).alias("total"))
+
+
+@query("""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE text <> ''), s AS (SELECT doc_id, list_transform(range(len(h) // 2), lambda i: (('0x' || substr(h, 2 * i + 1, 2))::INTEGER - 128) / 128.0::DOUBLE) AS x FROM b)
+SELECT doc_id, (2 * len(x))::INTEGER AS samples, round(2 * list_sum(x) - x[1] / 2 + x[-1] / 2, 2) AS total, (len(x) * 8000 // 11025)::INTEGER AS samples_of_another FROM s""")
+def wav_decode(spark, sf_dir):
+    """The bytes of each text as a WAV file of 8-bit samples at 8 and at 11.025 kHz, decoded to mono at 16 and at 8 kHz."""
+    little = lambda n, k: F.unhex(F.concat(*[F.lpad(F.hex(F.floor(n / 256**i).cast("long") % 256), 2, "0") for i in range(k)]))
+    body = F.encode("text", "utf-8")
+    size = F.octet_length("text").cast("long")
+
+    def wav(rate: int):
+        head = [F.encode(F.lit("RIFF"), "utf-8"), little(size + 36, 4), F.encode(F.lit("WAVEfmt "), "utf-8"), little(F.lit(16), 4), little(F.lit(1), 2), little(F.lit(1), 2), little(F.lit(rate), 4), little(F.lit(rate), 4), little(F.lit(1), 2), little(F.lit(8), 2)]
+        return F.concat(*head, F.encode(F.lit("data"), "utf-8"), little(size, 4), body)
+
+    docs = table(spark, sf_dir, "documents").filter("text <> ''")
+    one = files.decode_wavs(docs.select(F.col("doc_id").alias("path"), wav(8000).alias("content")))
+    two = files.decode_wavs(docs.select(F.col("doc_id").alias("path"), wav(11_025).alias("content")), 8000)
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
+    return one.select(F.col("path").alias("doc_id"), F.size("samples").alias("samples"), F.round(total, 2).alias("total")).join(two.select(F.col("path").alias("doc_id"), F.size("samples").alias("samples_of_another")), "doc_id")

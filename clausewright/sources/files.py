@@ -66,15 +66,21 @@ def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
     return np.interp(np.arange(n) * step, np.arange(len(x)), x).astype(np.float32)
 
 
-def read_wav(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
-    """(path, sample_rate, samples array<float>) of each file, mono at the rate asked for."""
+def decode_wavs(files: DataFrame, rate: int = 16_000) -> DataFrame:
+    """(path, sample_rate, samples array<float>) of each WAV file (path, content), mono at the rate asked for."""
+    kind = dict(files.dtypes)["path"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path_, data in zip(batch["path"], batch["content"], strict=True):
                 yield pd.DataFrame({"path": [path_], "sample_rate": [rate], "samples": [resample((got := decode_wav(data))[1], got[0], rate)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sample_rate int, samples array<float>")
+    return files.select("path", "content").mapInPandas(run, f"path {kind}, sample_rate int, samples array<float>")
+
+
+def read_wav(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
+    """(path, sample_rate, samples array<float>) of each file."""
+    return decode_wavs(spark.read.format("binaryFile").load(path), rate)
 
 
 def write_index(chunks: DataFrame, path: str, fingerprint: str, dimensions: int) -> None:

@@ -24,3 +24,8 @@ def double_taps(rows: DataFrame, key: str, ts_ms: str, tie: str, least: float =
     chained = rows.withColumn("__new", F.when(gap.between(least, most), 0).otherwise(1)).withColumn("__chain", F.sum("__new").over(w))
     place = F.row_number().over(Window.partitionBy(key, "__chain").orderBy(ts_ms, tie))
     return chained.withColumn("__place", place).filter("__place % 2 = 0").drop("__new", "__chain", "__place")
+
+
+def history(rows: DataFrame, ts: str, tie: str, most: int = 100) -> DataFrame:
+    """The newest rows, newest first: what a history of bounded length shows."""
+    return rows.orderBy(F.desc(ts), F.desc(tie)).limit(most)

@@ -12,7 +12,8 @@ words. Names seen in one document only are settled. For the others, the stretch
 inside a repeat, so one hash verifies many windows, and only the windows of segments at a repeat's ends are compared one by one. A window's first document
 never has it settled by a symbol, so leaving settled windows out changes no result.
 
-Every count combines on the map side; names that many rows hold are joined by sending them out, see join_keys. Names are dealt in slices by their hash, and
+Every count combines on the map side. Symbols, segments and windows that many rows hold are joined by sending them out, see join_keys; copies and long passages have
+no windows left by then, so names are joined by a shuffle. Names are dealt in slices by their hash, and
 what a slice needed goes before the next, which bounds the disk in use.
 """
 
@@ -344,8 +345,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     named, hits = cut(_names(known, window), "names"), []
     for own in slices:
-        shared = cut(named.filter(own).groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a < b").select("name", "n"), "shared")
-        hits.append(cut(join_keys(named.filter(own), shared, ["name"], SENT).select("node", "h", "name"), "hits"))
+        shared = cut(named.filter(own).groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("name"), "shared")
+        hits.append(cut(named.filter(own).join(shared, "name").select("node", "h", "name"), "hits"))
         discard(shared)
     discard(named)
     lists = cut(reduce(DataFrame.unionByName, hits).groupBy(*key).agg(F.collect_set("name").alias("shared")), "lists")

@@ -43,6 +43,17 @@ def quantile_cells(keys: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]
     return ends, np.array([*(cells[v] for v in ends.tolist()), 1], np.int64)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session hands tasks' rows to Python in Arrow batches of at most 1,000, if it had Spark's own 10,000.
+
+    Texts and arrays are long rows, and a batch is held several times on its way.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -86,8 +97,9 @@ def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, An
                 made = fn(part.column(text).to_pylist())
                 arrays = [part.column(f.name) for f in keep] + [x if isinstance(x := made[n], pa.Array) else pa.array(x, kind) for n, kind in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in keep] + [n for n, _ in arrow])
+        pa.default_memory_pool().release_unused()  # workers stay for later tasks
 
-    return df.mapInArrow(run, StructType(keep + added.fields))
+    return small_batches(df).mapInArrow(run, StructType(keep + added.fields))
 
 
 def in_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], fields: str, order: list[str] | None = None) -> DataFrame:
@@ -110,5 +122,7 @@ def in_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch, np.n
             rest = [part.slice(begin[-1])]
         if rest:
             yield from fn(rest[0], np.array([0, rest[0].num_rows]))
+        rest.clear()
+        pa.default_memory_pool().release_unused()  # workers stay for later tasks
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, fields)
+    return small_batches(df).repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, fields)

@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import quantile_cells, table, with_python
+from clausewright.llm.common import quantile_cells, small_batches, table, with_python
 
 LENGTH, BITS, DIMS, BUCKETS = 2048, 12, 3, 256
 END = (1).to_bytes(4, "little")
 #: Words kept per worker with their ids, in each of the store's two halves; a full one becomes the elder and a new one begins.
-STORE = 300_000
+STORE = 100_000
 SAMPLE = 200  # documents a partition, on average, whose keys set the ranges
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _PARTS = re.compile(r"([ \n]*)([^\W\d_]+)([^\w\s']*)\Z")
@@ -220,7 +220,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
         if out:
             yield flush()
 
-    return ranged.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long")
+    return small_batches(ranged).mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long")
 
 
 def default_tokenizer() -> str:

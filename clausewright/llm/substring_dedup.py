@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from clausewright.llm.common import cut, discard, join_keys, table
+from clausewright.llm.common import cut, discard, join_keys, small_batches, table
 
 WINDOW, NEAR = 13, 2  # words of a window; rounds of the symbols that name windows
 FIRST, STEP, JOBS = 6, 3, 3  # rounds of the first job, of each later one, and how many of these
@@ -169,7 +169,7 @@ def _in_batches(df: DataFrame, fn, fields: str) -> DataFrame:
             for at in range(0, batch.num_rows, BATCH):
                 yield fn(batch.slice(at, BATCH))
 
-    return df.mapInArrow(run, fields)
+    return small_batches(df).mapInArrow(run, fields)
 
 
 def _distinct(doc: np.ndarray, value: np.ndarray) -> np.ndarray:

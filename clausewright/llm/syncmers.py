@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
-from clausewright.llm.common import quantile_cells, table
+from clausewright.llm.common import quantile_cells, small_batches, table
 
 S, K, KEEP = 8, 15, 64  # bytes of an s-mer and a k-mer; hashes in a fingerprint
 SLICE = 2**17  # bytes whose hashes are held at once
@@ -245,7 +245,7 @@ def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         if len(items) > 1:
             yield _rows(items, id_type)
 
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long, anchor_hashes array<int>, anchor_places array<int>, " + ", ".join(f"passages_{x} array<struct<place: int, other: int, anchors: int>>" for x in ("edited", "next")))
+    return small_batches(dealt).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long, anchor_hashes array<int>, anchor_places array<int>, " + ", ".join(f"passages_{x} array<struct<place: int, other: int, anchors: int>>" for x in ("edited", "next")))
 
 
 def _rows(items: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:

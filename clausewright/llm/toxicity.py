@@ -42,7 +42,7 @@ class _Weights(dict):
         self.known = known
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 200_000:
+        if len(self) >= 50_000:
             self.clear()
         self[word] = x = sum(self.known.get(f, 0.0) for f in features(word))
         return x

@@ -7,6 +7,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -43,17 +44,32 @@ def quantile_cells(keys: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]
     return ends, np.array([*(cells[v] for v in ends.tolist()), 1], np.int64)
 
 
+#: Bytes of an Arrow batch, and of the texts that a Python function sees at once, beyond which no further row is added.
+BATCH_BYTES = 2**24
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, once its session hands tasks' rows to Python in Arrow batches of at most 1,000, if it had Spark's own 10,000.
+    """df, once its session hands tasks' rows to Python in Arrow batches of at most 1,000 rows and some 16 MB, if it had Spark's own limits.
 
-    Texts and arrays are long rows, and a batch is held several times on its way.
+    Texts and arrays are long rows, and a batch is held several times on its way; rows alone don't bound it. Results don't depend on these settings.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, "1000")
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
+def slices(sizes: np.ndarray, rows: int, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of at most `rows` values whose sizes come to at most `most`, or of one value that is larger."""
+    upto, at = np.append(0, np.cumsum(sizes)), 0
+    while at < len(sizes):
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1))
+        yield at, end
+        at = end
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -83,8 +99,8 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], most: int = SENT_
 def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, Any]], fields: str, rows: int = 128) -> DataFrame:
     """Replaces the column text by the columns of the DDL string fields, which fn makes from lists of texts.
 
-    Other columns pass through as Arrow arrays, so null ids and nested types stay what they are. fn sees `rows` texts at a
-    time, which bounds a worker's memory where texts are long.
+    Other columns pass through as Arrow arrays, so null ids and nested types stay what they are. fn sees at most `rows` texts and BATCH_BYTES at a
+    time, or one longer text, which bounds a worker's memory where texts are long.
     """
     added = StructType.fromDDL(fields)
     keep = [f for f in df.schema.fields if f.name != text]
@@ -92,8 +108,8 @@ def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, An
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for at, end in slices(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), rows):
+                part = batch.slice(at, end - at)
                 made = fn(part.column(text).to_pylist())
                 arrays = [part.column(f.name) for f in keep] + [x if isinstance(x := made[n], pa.Array) else pa.array(x, kind) for n, kind in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in keep] + [n for n, _ in arrow])

@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over whole corpora, and their queries.
+"""Training-data operators: thirteen Spark jobs over whole corpora, and their queries.
 
 Nothing outside this subpackage imports it; the repository works without it.
 """

@@ -96,10 +96,10 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], most: int = SENT_
     return rows.join(F.broadcast(hot), on).unionByName(cold.join(rest, on))
 
 
-def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, Any]], fields: str, rows: int = 128) -> DataFrame:
+def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, Any]], fields: str, rows: int = 128, most: int = BATCH_BYTES) -> DataFrame:
     """Replaces the column text by the columns of the DDL string fields, which fn makes from lists of texts.
 
-    Other columns pass through as Arrow arrays, so null ids and nested types stay what they are. fn sees at most `rows` texts and BATCH_BYTES at a
+    Other columns pass through as Arrow arrays, so null ids and nested types stay what they are. fn sees at most `rows` texts and `most` bytes at a
     time, or one longer text, which bounds a worker's memory where texts are long.
     """
     added = StructType.fromDDL(fields)
@@ -108,7 +108,7 @@ def with_python(df: DataFrame, text: str, fn: Callable[[list[str]], dict[str, An
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end in slices(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), rows):
+            for at, end in slices(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), rows, most):
                 part = batch.slice(at, end - at)
                 made = fn(part.column(text).to_pylist())
                 arrays = [part.column(f.name) for f in keep] + [x if isinstance(x := made[n], pa.Array) else pa.array(x, kind) for n, kind in arrow]

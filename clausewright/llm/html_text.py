@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import table, with_python
+from clausewright.llm.common import free, table, with_python
 
 SKIP = frozenset("script style noscript template svg math iframe object canvas head title select option textarea button nav header footer aside form menu dialog audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +39,8 @@ SCOPE = frozenset("table ul ol dl div article section main body html td th block
 
 #: Marked sections that the standard parser knows.
 SECTIONS = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.I)
+#: Ends of a tag, a comment and a marked section, as the standard parser takes them.
+TAG_END, COMMENT_END, SECTION_END = re.compile(">"), re.compile(r"--\s*>"), re.compile(r"\]\s*\]\s*>|\]\s*>")
 
 #: What may hold a run of paragraphs; and blocks that go from a region when they hold no content line and many links.
 HOLDS = frozenset("div section article main td th blockquote center".split())
@@ -56,33 +59,61 @@ def _marked(names: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Turns events into lines: [text parts, tags, characters in links, main element or None, element, marked elements around it]."""
+    """Turns events into lines: [text parts, tags, characters in links, main element or None, element, innermost marked element around it or 0].
+
+    All takes time in proportion to the page: what has no end isn't looked for again and again, and open elements are found by name.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, bool]] = []  # name, whether it is skipped with all in it, whether it is marked, and whether it is in boxes
+        self.named: dict[str, list[int]] = {}  # places of each name in open
+        self.scopes: list[int] = []  # and of those of SCOPE
         self.boxes = [0]  # the open elements that aren't inline
         self.kind, self.up = [""], [0]  # of each of these elements, 0 being the page: name, and the element around it
-        self.marks: tuple[int, ...] = ()  # the open marked elements
-        self.n_marks = 0
-        self.main_marks: list[tuple[int, ...]] = []  # of each article and main, what was marked around it
+        self.mark = 0  # the innermost open marked element, 0 without any
+        self.mark_up = [0]  # of each marked element, the marked one around it
+        self.main_marks: list[int] = []  # of each article and main, the innermost marked element around it
         self.skipped = self.links = 0
         self.mains: list[int] = []
         self.n_mains = 0
         self.lines: list[list] = []
         self.line: list | None = None
         self.ending = False
+        self.held, self.none_from = "", {}
+
+    def _absent(self, what: str, i: int, end: re.Pattern[str]) -> bool:
+        """Whether no `end` follows place i of what is held just now; once that is known, it isn't looked for again."""
+        if self.held is not self.rawdata:
+            self.held, self.none_from = self.rawdata, {}
+        if i >= self.none_from.get(what, len(self.rawdata)):
+            return True
+        if end.search(self.rawdata, i):
+            return False
+        self.none_from[what] = i
+        return True
+
+    def parse_starttag(self, i: int) -> int:
+        return -1 if self._absent("tag", i, TAG_END) else super().parse_starttag(i)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return -1 if self._absent("comment", i + 4, COMMENT_END) else super().parse_comment(i, report)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Declarations without a known name are comments up to the next >, where the standard parser gives up the page."""
         if not SECTIONS.match(self.rawdata, i):
             return self.parse_bogus_comment(i, report)
-        end = super().parse_marked_section(i, report)
+        end = -1 if self._absent("section", i + 3, SECTION_END) else super().parse_marked_section(i, report)
         return self.parse_bogus_comment(i, report) if end < 0 and self.ending else end
 
     def close(self) -> None:
+        """What follows the last > of the page can't end a tag, so it is text."""
         self.ending = True
+        cut = self.rawdata.rfind(">") + 1
+        tail, self.rawdata = self.rawdata[cut:], self.rawdata[:cut]
         super().close()
+        if tail and self.cdata_elem is None:
+            self.handle_data(unescape(tail))
 
     def _break(self) -> None:
         self.line = None
@@ -114,6 +145,9 @@ class _Lines(HTMLParser):
         a = dict(attrs)
         skip = (tag in SKIP and not (tag == "header" and self.mains)) or "hidden" in a or (a.get("aria-hidden") or "") == "true"
         mark = tag not in ("html", "body", "article", "main") and (_marked(f"{a.get('class') or ''} {a.get('id') or ''}") or (a.get("role") or "").lower() in ROLES)
+        self.named.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPE:
+            self.scopes.append(len(self.open))
         self.open.append((tag, skip, mark, tag not in INLINE))
         if tag not in INLINE:
             self.up.append(self.boxes[-1])
@@ -121,45 +155,44 @@ class _Lines(HTMLParser):
             self.kind.append(tag)
         self.skipped += skip
         if mark:
-            self.marks += (self.n_marks,)
-            self.n_marks += 1
+            self.mark_up.append(self.mark)
+            self.mark = len(self.mark_up) - 1
         self.links += tag == "a"
         if tag in ("article", "main"):
             self.mains.append(self.n_mains)
             self.n_mains += 1
-            self.main_marks.append(self.marks)
+            self.main_marks.append(self.mark)
 
     def _pop(self) -> str:
         tag, skip, mark, box = self.open.pop()
+        self.named[tag].pop()
+        if tag in SCOPE:
+            self.scopes.pop()
         if box:
             self.boxes.pop()
         self.skipped -= skip
         if mark:
-            self.marks = self.marks[:-1]
+            self.mark = self.mark_up[self.mark]
         self.links -= tag == "a"
         if tag in ("article", "main"):
             self.mains.pop()
         return tag
 
     def _implied(self, names: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
-                while len(self.open) > i:
-                    self._pop()
-                self._break()
-                return
-            if self.open[i][0] in SCOPE:
-                return
+        at = max((self.named[n][-1] for n in names if self.named.get(n)), default=-1)
+        if at >= 0 and at >= (self.scopes[-1] if self.scopes else -1):
+            while len(self.open) > at:
+                self._pop()
+            self._break()
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self._break()
         self._tag()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self._pop()
-                return
+        if own := self.named.get(tag):
+            at = own[-1]
+            while len(self.open) > at:
+                self._pop()
 
     def handle_data(self, data: str) -> None:
         if self.skipped and data.strip():
@@ -169,7 +202,7 @@ class _Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = [[], 0, 0, self.mains[0] if self.mains else None, self.boxes[-1], self.marks]
+            self.line = [[], 0, 0, self.mains[0] if self.mains else None, self.boxes[-1], self.mark]
             self.lines.append(self.line)
         self.line[0].append(data)
         if self.links:
@@ -204,29 +237,32 @@ def _content(lines: list[tuple], sigma: float) -> tuple[np.ndarray, np.ndarray]:
     return (smooth > limit) & (ratio > 0), (ratio > limit) & (ratio > 0)
 
 
-def _unmarked(lines: list[tuple], main_marks: list[tuple[int, ...]], sigma: float) -> list[tuple]:
+def _unmarked(lines: list[tuple], main_marks: list[int], mark_up: list[int], sigma: float) -> list[tuple]:
     """Lines without those in marked elements, such as comments; a marked element around the content itself is a wrapper and doesn't count.
 
     That is one around an article or main, if no other article or main with text stands outside the marked ones; or on
     pages without these elements, one with more than half of the content characters in it.
     """
-    if not any(marks for *_, marks in lines):
+    if not any(mark for *_, mark in lines):
         return lines
-    around = [main_marks[m] for m in {x[3] for x in lines} if m is not None]
-    wrappers: set[int] = set()
-    if around:
-        if all(around):
-            wrappers.update(*around)
+    wrapper = [False] * len(mark_up)
+    if around := [main_marks[m] for m in {x[3] for x in lines} if m is not None]:
+        for mark in around if all(around) else ():
+            while mark and not wrapper[mark]:
+                wrapper[mark], mark = True, mark_up[mark]
     else:
-        weight: dict[int, int] = {}
-        total = 0
-        for (t, *_, marks), good in zip(lines, _content(lines, sigma)[0], strict=True):
+        weight, total = [0] * len(mark_up), 0
+        for (t, *_, mark), good in zip(lines, _content(lines, sigma)[0], strict=True):
             if good:
                 total += len(t)
-                for m in marks:
-                    weight[m] = weight.get(m, 0) + len(t)
-        wrappers = {m for m, w in weight.items() if 2 * w > total}
-    return [x for x in lines if wrappers.issuperset(x[-1])]
+                weight[mark] += len(t)
+        for mark in range(len(mark_up) - 1, 0, -1):  # inner ones have larger numbers
+            wrapper[mark] = 2 * weight[mark] > total
+            weight[mark_up[mark]] += weight[mark]
+    clear = [True] * len(mark_up)  # only wrappers around
+    for mark in range(1, len(mark_up)):
+        clear[mark] = wrapper[mark] and clear[mark_up[mark]]
+    return [x for x in lines if clear[x[-1]]]
 
 
 def main_text(html: str, sigma: float = 1.0) -> str:
@@ -236,7 +272,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         parser.feed(html[at : at + 65536])
     parser.close()
     lines = [(t, *rest) for parts, *rest in parser.lines if (t := " ".join("".join(parts).split()))]
-    lines = _unmarked(lines, parser.main_marks, sigma)
+    lines = _unmarked(lines, parser.main_marks, parser.mark_up, sigma)
     if not lines:
         return ""
     return "\n\n".join(x[0] for x, good in zip(lines, _region(lines, parser.kind, parser.up, sigma), strict=True) if good)
@@ -293,8 +329,9 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     Null and empty pages, and those without content, give an empty text. Pages are worked on alone and whole; repeated rows and null ids give
     a row each, an empty table none. A column named text is replaced.
     """
-    ready = pages.withColumn("__html", F.coalesce(html, F.lit(""))).drop(html, "text")
-    return with_python(ready, "__html", lambda texts: {"text": [main_text(t) for t in texts]}, "text string", rows=64)
+    own = free(pages, "__html")
+    ready = pages.withColumn(own, F.coalesce(html, F.lit(""))).drop(html, "text")
+    return with_python(ready, own, lambda texts: {"text": [main_text(t) for t in texts]}, "text string", rows=64)
 
 
 def op2_html(spark, sf_dir):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import pairwise
 
@@ -318,3 +319,25 @@ def test_media(spark):
         data = ("abc" * 999, "", "x" * 576)[r["doc_id"] - 1].encode()
         assert r["payload"][: len(data)] == data and set(r["payload"][len(data) :]) <= {255} and len(r["payload"]) % 576 == 0 < len(r["payload"])
         assert media.from_wav(r["media"]) == r["payload"] and r["landmarks"] == sorted(r["landmarks"]) and r["landmarks"]
+
+
+def test_html_takes_time_in_proportion():
+    """Four times the page takes about four times as long, whatever is left open in it."""
+    pages = {
+        "no tag end": lambda n: "<p>" + ("x " * 50 + "<") * (n // 101), "no start tag end": lambda n: "<p>" + ("x " * 50 + "<b ") * (n // 103), "no comment end": lambda n: "<p>a</p>" + "<!-- x > " * (n // 9),
+        "open b": lambda n: "<b>" * (n // 16) + "<p>x</p>" * (n // 16), "marks in marks": lambda n: "<div class=ad>x" * (n // 15), "no section end": lambda n: "<![CDATA[ x > " * (n // 14),
+    }
+    for name, page in pages.items():
+        took = []
+        for n in (500_000, 2_000_000):
+            html, began = page(n), time.process_time()
+            html_text.main_text(html)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 1, (name, took)
+    assert html_text.main_text("<p>one <b class='x") == "one <b class='x" and html_text.main_text("<p>a &lt; b</p> c < d &amp; e") == "a < b\n\nc < d & e"
+
+
+def test_html_nulls_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, None, "a", "b"), (2, "", "c", None), (2, "<p>x", "d", "e"), (None, "<p>x", "d", "e")], "page_id long, html string, __html string, text string")
+    got = sorted(((r["page_id"], r["text"], r["__html"]) for r in html_text.extract_main_text(rows).collect()), key=str)
+    assert got == sorted([(1, "", "a"), (2, "", "c"), (2, "x", "d"), (None, "x", "d")], key=str)

@@ -37,6 +37,9 @@ SENT = 20_000  # names that join_keys sends out at most
 SLICES = 2  # of the names, one after another: the disk that shuffles and their inputs take is that of one
 BATCH = 64  # rows that are parsed at once
 NO_ID = 2**63 - 1
+#: What tells rows apart: node, the id or NO_ID; h, a 64-bit hash of the text; and g, 64 more bits where rows have no id (else 0, which takes no room).
+KEY = ["node", "h", "g"]
+KEY_FIELDS = "node long, h long, g long"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 C1, C2, C3, C4 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -157,8 +160,10 @@ def _lists(flat: pa.Array, owner: np.ndarray, rows: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), flat)
 
 
-def _of(part: pa.RecordBatch, name: str) -> np.ndarray:
-    return part.column(name).to_numpy(zero_copy_only=False)
+def _keys(part: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
+    """The columns KEY of some rows."""
+    at = pa.array(rows)
+    return [part.column(k).take(at) for k in KEY]
 
 
 def _in_batches(df: DataFrame, fn, fields: str) -> DataFrame:
@@ -186,23 +191,23 @@ def _owned(part: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(part.num_rows), size)
 
 
-SEQUENCE = "node long, h int, names array<long>, sizes array<int>"
+SEQUENCE = f"{KEY_FIELDS}, names array<long>, sizes array<int>"
 
 
 def _sequence(part: pa.RecordBatch, name: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     rows = part.num_rows
     lists = [_lists(_signed(name), owner, rows), _lists(pa.array(size.astype(np.int32)), owner, rows)]
-    return pa.RecordBatch.from_arrays([part.column("node"), part.column("h"), *lists], names=["node", "h", "names", "sizes"])
+    return pa.RecordBatch.from_arrays([*map(part.column, KEY), *lists], names=[*KEY, "names", "sizes"])
 
 
 def first_rounds(docs: DataFrame, window: int, many: int) -> DataFrame:
-    """The rows (node, h, t) with their words after the first rounds; rows without a window go."""
+    """The rows (KEY, t) with their words after the first rounds; rows without a window go."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         name, owner = _hashes([t.encode().split() for t in part.column("t").to_pylist()])
         return _sequence(part, *rounds(name, owner, np.ones(len(name), np.int64), 0, many))
 
-    return _in_batches(docs.select("node", "h", "t"), run, SEQUENCE).filter(F.aggregate("sizes", F.lit(0), lambda s, x: s + x) >= window)
+    return _in_batches(docs.select(*KEY, "t"), run, SEQUENCE).filter(F.aggregate("sizes", F.lit(0), lambda s, x: s + x) >= window)
 
 
 def more_rounds(sequences: DataFrame, first: int, many: int) -> DataFrame:
@@ -213,11 +218,11 @@ def more_rounds(sequences: DataFrame, first: int, many: int) -> DataFrame:
         size = _owned(part, "sizes")[0].to_numpy(zero_copy_only=False).astype(np.int64)
         return _sequence(part, *rounds(flat.to_numpy(zero_copy_only=False).view(np.uint64), owner, size, first, many))
 
-    return _in_batches(sequences.select("node", "h", "names", "sizes"), run, SEQUENCE)
+    return _in_batches(sequences.select(*KEY, "names", "sizes"), run, SEQUENCE)
 
 
 def _high(sequences: DataFrame, window: int, last: bool = False) -> DataFrame:
-    """(name, node, h, first, words) of the symbols that stand for a window or more; after the last round also of each whole sequence."""
+    """(name, KEY, first, words) of the symbols that stand for a window or more; after the last round also of each whole sequence."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         flat, owner = _owned(part, "names")
@@ -233,14 +238,14 @@ def _high(sequences: DataFrame, window: int, last: bool = False) -> DataFrame:
             rows = np.arange(part.num_rows)
             name, of = np.append(name, _mix(whole ^ C1)), np.append(of, rows)
             first, words = np.append(first, 0 * rows), np.append(words, np.add.reduceat(size, begin))
-        columns = [_signed(name), pa.array(_of(part, "node")[of]), pa.array(_of(part, "h")[of]), pa.array(first.astype(np.int32)), pa.array(words.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, names=["name", "node", "h", "first", "words"])
+        columns = [_signed(name), *_keys(part, of), pa.array(first.astype(np.int32)), pa.array(words.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["name", *KEY, "first", "words"])
 
-    return _in_batches(sequences.select("node", "h", "names", "sizes"), run, "name long, node long, h int, first int, words int")
+    return _in_batches(sequences.select(*KEY, "names", "sizes"), run, f"name long, {KEY_FIELDS}, first int, words int")
 
 
 def settled_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(node, h, settled): for rows (node, h, t), the passages (first word, words) whose symbol a row with a smaller node holds too."""
+    """(KEY, settled): for rows (KEY, t), the passages (first word, words) whose symbol a row with a smaller node holds too."""
     level, tables = FIRST, [cut(first_rounds(docs, window, FIRST), "rounds")]
     for _ in range(JOBS):
         tables.append(cut(more_rounds(tables[-1], level, STEP), "rounds"))
@@ -249,7 +254,7 @@ def settled_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     discard(*tables)
     least = cut(high.groupBy("name", "words").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("least < most"), "least")
     found = join_keys(high, least, ["name", "words"], SENT).filter("node > least")
-    out = cut(found.groupBy("node", "h").agg(F.collect_set(F.struct("first", "words")).alias("settled")), "settled")
+    out = cut(found.groupBy(*KEY).agg(F.collect_set(F.struct("first", "words")).alias("settled")), "settled")
     discard(high, least)
     return out
 
@@ -260,15 +265,15 @@ def _settled(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _names(docs: DataFrame, window: int) -> DataFrame:
-    """(name, node, h): the distinct names of each row's windows."""
+    """(name, KEY): the distinct names of each row's windows."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         p = Parse(part.column("t").to_pylist(), window, _settled(part))
         one = _distinct(p.doc[p.begin], p.name[p.begin])
         of = p.doc[p.begin[one]]
-        return pa.RecordBatch.from_arrays([_signed(p.name[p.begin[one]]), pa.array(_of(part, "node")[of]), pa.array(_of(part, "h")[of])], names=["name", "node", "h"])
+        return pa.RecordBatch.from_arrays([_signed(p.name[p.begin[one]]), *_keys(part, of)], names=["name", *KEY])
 
-    return _in_batches(docs.select("node", "h", "t", "settled"), run, "name long, node long, h int")
+    return _in_batches(docs.select(*KEY, "t", "settled"), run, f"name long, {KEY_FIELDS}")
 
 
 def _within(p: Parse, at: np.ndarray, value: np.ndarray, part: pa.RecordBatch, column: str) -> np.ndarray:
@@ -284,7 +289,7 @@ def _within(p: Parse, at: np.ndarray, value: np.ndarray, part: pa.RecordBatch, c
 
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
-    """(node, h, name, segment, windows): the distinct segments whose name is in the row's list `shared`, with their windows' hashes."""
+    """(KEY, name, segment, windows): the distinct segments whose name is in the row's list `shared`, with their windows' hashes."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         p = Parse(part.column("t").to_pylist(), window, _settled(part))
@@ -294,10 +299,10 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
         offsets = np.append(0, np.cumsum(b - a))
         flat = p.window[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
         of = p.doc[a]
-        columns = [pa.array(_of(part, "node")[of]), pa.array(_of(part, "h")[of]), _signed(p.name[a]), _signed(p.segment[one]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(flat))]
-        return pa.RecordBatch.from_arrays(columns, names=["node", "h", "name", "segment", "windows"])
+        columns = [*_keys(part, of), _signed(p.name[a]), _signed(p.segment[one]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(flat))]
+        return pa.RecordBatch.from_arrays(columns, names=[*KEY, "name", "segment", "windows"])
 
-    return _in_batches(docs.select("node", "h", "t", "settled", "shared"), run, "node long, h int, name long, segment long, windows array<long>")
+    return _in_batches(docs.select(*KEY, "t", "settled", "shared"), run, f"{KEY_FIELDS}, name long, segment long, windows array<long>")
 
 
 def _without(docs: DataFrame, id_type: str, window: int) -> DataFrame:
@@ -330,15 +335,20 @@ def _without(docs: DataFrame, id_type: str, window: int) -> DataFrame:
     return _in_batches(docs.select("doc_id", "t", "settled", "gone"), run, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
 
 
+def row_keys(rows: DataFrame) -> DataFrame:
+    """rows (node, t) with what tells them apart: equal keys only for equal texts, but for a chance of 2^-64 a pair of one id, 2^-128 a pair without one."""
+    return rows.withColumns({"h": F.xxhash64("t"), "g": F.when(F.col("node") == NO_ID, F.xxhash64(F.lit(7), "t")).otherwise(F.lit(0)).cast("long")})
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (kept words, one blank between).
 
     Removed is each word covered by a window of `window` words that also starts in a document with a smaller id. Windows are judged on
     the input. A null text has no words; a null id counts as the largest. Rows of one id, rows without one also, remove nothing from each other; they are told
-    apart by the hashes of their texts, and equal ones share their results. Ids are integers. An empty table gives an empty result.
+    apart by 64 bits of hashes of their texts, rows without an id by 128, and equal ones share their results. Ids are integers. Other columns go, whatever their names. An empty table gives an empty result.
     """
-    ready = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(text, F.lit("")).alias("t")).withColumn("h", F.hash("t"))
-    key = ["node", "h"]
+    ready = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(text, F.lit("")).alias("t"))
+    ready, key = row_keys(ready), KEY
     slices = [F.pmod("name", F.lit(SLICES)) == k for k in range(SLICES)]
     settled = settled_passages(ready, window)
     known = ready.join(settled, key, "left")
@@ -346,7 +356,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named, hits = cut(_names(known, window), "names"), []
     for own in slices:
         shared = cut(named.filter(own).groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("name"), "shared")
-        hits.append(cut(named.filter(own).join(shared, "name").select("node", "h", "name"), "hits"))
+        hits.append(cut(named.filter(own).join(shared, "name").select(*KEY, "name"), "hits"))
         discard(shared)
     discard(named)
     lists = cut(reduce(DataFrame.unionByName, hits).groupBy(*key).agg(F.collect_set("name").alias("shared")), "lists")

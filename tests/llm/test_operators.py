@@ -341,3 +341,15 @@ def test_html_nulls_and_clashing_names(spark):
     rows = spark.createDataFrame([(1, None, "a", "b"), (2, "", "c", None), (2, "<p>x", "d", "e"), (None, "<p>x", "d", "e")], "page_id long, html string, __html string, text string")
     got = sorted(((r["page_id"], r["text"], r["__html"]) for r in html_text.extract_main_text(rows).collect()), key=str)
     assert got == sorted([(1, "", "a"), (2, "", "c"), (2, "x", "d"), (None, "x", "d")], key=str)
+
+
+def test_rows_without_ids_and_equal_short_hashes(spark):
+    """Two unlike texts whose 32-bit hashes are equal, without ids: neither loses words for the other's repeats."""
+    rng = random.Random(5)
+    p, q = (" ".join(f"{c}{rng.randint(0, 10**6)}" for _ in range(60)) for c in "pq")
+    many = spark.range(90_000).select(F.concat(F.lit(f"{p} n"), "id").alias("a"), F.concat(F.lit(f"{q} m"), "id").alias("b"))
+    pair = many.select("a", F.hash("a").alias("h")).join(many.select("b", F.hash("b").alias("h")), "h").select("a", "b").first()
+    assert pair is not None
+    rows = spark.createDataFrame([(1, p), (None, pair["a"]), (None, pair["b"])], "doc_id long, text string")
+    got = {r["kept_text"]: r["n_removed"] for r in substring_dedup.remove_repeats(rows).collect()}
+    assert got == {p: 0, pair["a"].split()[-1]: 60, pair["b"]: 0}

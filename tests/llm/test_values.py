@@ -174,7 +174,7 @@ def test_long_repeats(spark):
         rows.append((None if i % 10 == 9 else rng.randint(0, 60), " ".join(parts)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert counted(substring_dedup.remove_repeats(df).collect()) == counted(repeats_by_hand(rows))
-    ready = df.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("node"), F.col("text").alias("t")).withColumn("h", F.hash("t"))
+    ready = substring_dedup.row_keys(df.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("node"), F.col("text").alias("t")))
     settled = substring_dedup.settled_passages(ready).collect()
     assert max(p["words"] for r in settled for p in r["settled"]) > 50  # symbols of later rounds stand for long passages
 

@@ -165,9 +165,10 @@ class Model:
             return out
         sizes = w.letters()
         begin = np.append(0, np.cumsum(sizes))[:-1]
-        for i in range(len(self.langs)):
-            column = self.log[:, i]
-            out[:, i] = np.add.reduceat(column[w.runs].sum(axis=1), begin)
+        each = self.log[w.runs[:, 0]]
+        for i in (1, 2):
+            each += self.log[w.runs[:, i]]
+        out[:] = np.add.reduceat(each, begin, axis=0)
         allowed = self.writes.T[w.script]
         out[~allowed & allowed.any(axis=1, keepdims=True)] = -np.inf
         out[~allowed.any(axis=1)] = 0.0  # a script that no language writes tells nothing
@@ -301,7 +302,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         return {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "spans": [[{"start": a, "stop": b, "lang": lang} for a, b, lang in x[2]] for x in found]}
 
     ready = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
-    return with_python(ready, "t", run, "lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>", most=2**22)
+    return with_python(ready, "t", run, "lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>", rows=1000, most=2**22)  # labels of many texts take few more steps than of one
 
 
 def op13_language(spark, sf_dir):

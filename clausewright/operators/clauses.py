@@ -128,9 +128,9 @@ def corpus_terms(chunk_rows: DataFrame) -> DataFrame:
 
 
 def as_clauses(chunk_rows: DataFrame) -> DataFrame:
-    """Clauses as reference expansion, stance and search take them: id, label, refs, seq, text and flat signals."""
+    """Clauses as reference expansion, stance and search take them: id, doc (the document's row, so equal and missing ids stay apart), label, refs, seq, text and flat signals."""
     s = F.col("signals")
     return chunk_rows.select(
-        "id", F.col("clause_label").alias("label"), F.col("cross_refs").alias("refs"), F.struct("doc_id", "vector_offset").alias("seq"), "text",
+        "id", F.col("row").alias("doc"), F.col("clause_label").alias("label"), F.col("cross_refs").alias("refs"), F.struct("doc_id", "vector_offset").alias("seq"), "text",
         *(s[c].alias(c) for c in ("has_exception", "has_obligation", "has_definition", "has_remedy", "matched_markers")),
     )

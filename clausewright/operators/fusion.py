@@ -39,32 +39,34 @@ def bare(label: Column) -> Column:
 
 
 def reached(clauses: DataFrame) -> DataFrame:
-    """(way, key, to_id, to_seq): what a reference reaches. Way 0: the clause of that label, the last one where several have it.
+    """(way, doc, key, to_id, to_seq): what a reference reaches in its own document. Way 0: the clause of that label, the document's last one where several have it.
 
-    Way 1: exception clauses that cite the label or one of its sub-clauses, or are sub-clauses of it; each is listed under every label that reaches it.
+    Way 1: exception clauses that cite the label or one of its sub-clauses, or are sub-clauses of it. A label is a path, and each such clause is listed under
+    every beginning of the paths that lead to it, so "is a sub-clause of" is an equality of (doc, key) and no document meets another's labels.
     """
     starts = lambda x, at: T.let(F.split(x, at), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), "")))
-    named = clauses.groupBy(bare(F.col("label")).alias("key")).agg(F.max_by("id", "seq").alias("to_id"), F.max("seq").alias("to_seq"))
+    named = clauses.groupBy("doc", bare(F.col("label")).alias("key")).agg(F.max_by("id", "seq").alias("to_id"), F.max("seq").alias("to_seq"))
     cites = F.flatten(F.transform("refs", lambda r: starts(bare(r), r"(?=\()")))
     ups = F.filter(starts(bare(F.col("label")), r"(?=[.(])"), lambda x: x != bare(F.col("label")))
-    carve = clauses.filter("has_exception").select(F.explode(F.array_distinct(F.concat(cites, ups))).alias("key"), F.col("id").alias("to_id"), F.col("seq").alias("to_seq"))
+    carve = clauses.filter("has_exception").select("doc", F.explode(F.array_distinct(F.concat(cites, ups))).alias("key"), F.col("id").alias("to_id"), F.col("seq").alias("to_seq"))
     return named.withColumn("way", F.lit(0)).unionByName(carve.withColumn("way", F.lit(1)))
 
 
 def expand_refs(fused: DataFrame, clauses: DataFrame, top: int = 2) -> DataFrame:
-    """fused with clauses that the first rows cite, and carve-outs that cite them, where missing; adds xref_from, the citing row's label as written.
+    """fused with clauses of the same document that the first rows cite, and carve-outs there that cite them, where missing; adds xref_from, the citing row's label as written.
 
-    clauses: id, label, refs (array), has_exception, seq (of any type that has an order). Forward: cited by a top row, both scores at a discount. Reverse: see
+    clauses: id, doc (what its document is told apart by, not null), label, refs (array), has_exception, seq (of any type that has an order). Forward: cited by a top row, both scores at a discount. Reverse: see
     reached(); scores above the row's. Scores by kind are the top row's. A clause found in several ways takes the first: as a candidate itself, then
     by parent's rank, forward before reverse, then by place. Each candidate is read once: it stands for itself and, as a top row, for the keys it reaches by.
+    The join by (way, doc, key) is a plain outer one from the rows, whose large partitions adaptive execution splits, so a clause that many queries find is no single task.
     """
-    own = clauses.select(F.col("id").alias("__own"), F.col("label").alias("__label"), "refs")
+    own = clauses.select(F.col("id").alias("__own"), F.col("doc").alias("__doc"), F.col("label").alias("__label"), "refs")
     rows = fused.withColumn("__own", F.when(F.col("rank") <= top, F.col("id"))).join(own, "__own", "left")
     stub = lambda way, key, at: F.struct(F.lit(way).alias("way"), key.alias("key"), at.cast("int").alias("at"))
     ahead = F.transform("refs", lambda r, i: stub(0, bare(r), i))
     stubs = F.concat(F.array(stub(-1, F.lit(None).cast("string"), F.lit(0))), F.when(F.col("__label").isNotNull(), F.concat(ahead, F.array(stub(1, bare(F.col("__label")), F.lit(0))))).otherwise(F.array().cast("array<struct<way:int,key:string,at:int>>")))
-    rows = rows.withColumn("__s", F.explode(stubs)).select(*fused.columns, "__label", "__s.*")
-    found = rows.join(reached(clauses), ["way", "key"], "left").filter("way < 0 OR to_id IS NOT NULL")
+    rows = rows.withColumn("__s", F.explode(stubs)).select(*fused.columns, "__label", F.col("__doc").alias("doc"), "__s.*")
+    found = rows.join(reached(clauses), ["way", "doc", "key"], "left").filter("way < 0 OR to_id IS NOT NULL")
     way = F.col("way")
     found = found.withColumns({
         "id": F.coalesce("to_id", "id"), "fused": F.col("fused") * F.when(way == 0, S.XREF_DISCOUNT).when(way == 1, S.REVERSE_BOOST).otherwise(1.0), "best_cosine": F.col("best_cosine") * F.when(way == 0, S.XREF_DISCOUNT).otherwise(1.0),

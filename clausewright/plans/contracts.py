@@ -211,7 +211,7 @@ def vector(name: str, rows: str, text: str, keep: str) -> str:
   (SELECT *, list_transform(range({WIDE}), lambda b: len(list_filter(hb, lambda x: x = b))) AS cs FROM (SELECT *, list_transform(list_filter(regexp_split_to_array(lower({text}), '\s+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 4))::INTEGER % {WIDE}) AS hb FROM {rows}))))"""
 
 
-CLAUSES = """clauses AS (SELECT id, doc_id * 1000000 + seq AS seq, label AS written, lower(regexp_replace(label, '^§\\s*', '')) AS low, list_transform(refs, lambda r: r) AS refs, len(matched_markers) > 0 AS has_exception, has_obligation, has_definition, matched_markers, text FROM chunks
+CLAUSES = """clauses AS (SELECT id, doc_id AS doc, doc_id * 1000000 + seq AS seq, label AS written, lower(regexp_replace(label, '^§\\s*', '')) AS low, list_transform(refs, lambda r: r) AS refs, len(matched_markers) > 0 AS has_exception, has_obligation, has_definition, matched_markers, text FROM chunks
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id DESC, seq DESC) = 1)"""
 ASK = f"WITH {CHUNKS}, {TERMS}, {SAID}, {PARSED}, {KINDS}, {CLAUSES}, {vector('vecs', 'chunks', 'embedding_text', 'id')}"
 EARLY = "early_ AS (SELECT query_id FROM qy WHERE NOT (length(trim(transcript)) < 3 OR ns > 0.6 OR 1 / (1 + exp(-3 * (lp + 0.8::DOUBLE))) < 0.25))"

@@ -44,12 +44,13 @@ def found(spark, sf_dir):
 
 
 def graph(spark, sf_dir) -> DataFrame:
-    """Clauses made of the embeddings' ids: labels §a or §a.b, two references each, exceptions by label."""
+    """Clauses made of the embeddings' ids: documents of a hundred, labels §a or §a.b in each, two references each, exceptions by label."""
     e, v = table(spark, sf_dir, "embeddings"), F.col("vec_id")
     text = lambda c: c.cast("string")
-    label = F.concat(F.lit("§"), F.when(v % 10 == 0, text(F.floor(v / 10))).otherwise(F.concat_ws(".", text(F.floor(v / 10)), text(v % 10))))
-    refs = F.array(F.concat_ws(".", text(v * 7 % 50), text(v * 3 % 9 + 1)), text(v * 11 % 50))
-    return e.select(v.alias("id"), label.alias("label"), refs.alias("refs"), (F.col("label") % 3 == 0).alias("has_exception"), (F.col("label") % 2 == 0).alias("has_obligation"), (F.col("label") == 1).alias("has_definition"), v.alias("seq"))
+    a = F.floor(v / 10) % 10
+    label = F.concat(F.lit("§"), F.when(v % 10 == 0, text(a)).otherwise(F.concat_ws(".", text(a), text(v % 10))))
+    refs = F.array(F.concat_ws(".", text(v * 7 % 10), text(v * 3 % 9 + 1)), text(v * 11 % 10))
+    return e.select(v.alias("id"), F.floor(v / 100).alias("doc"), label.alias("label"), refs.alias("refs"), (F.col("label") % 3 == 0).alias("has_exception"), (F.col("label") % 2 == 0).alias("has_obligation"), (F.col("label") == 1).alias("has_definition"), v.alias("seq"))
 
 
 @query(f"WITH {HITS} SELECT query_id, kind, id, round(score, 6) AS score, rank::INTEGER AS rank FROM hits")
@@ -73,13 +74,13 @@ def rank1_margin(spark, sf_dir):
     return rounded(X.rank1_margin(X.fuse(found(spark, sf_dir))), "margin")
 
 
-GRAPH = """clauses AS (SELECT *, substr(written, 2) AS low FROM (SELECT vec_id AS id, vec_id AS seq, CASE WHEN vec_id % 10 = 0 THEN '§' || (vec_id // 10) ELSE '§' || (vec_id // 10) || '.' || (vec_id % 10) END AS written,
-  [(vec_id * 7 % 50) || '.' || (vec_id * 3 % 9 + 1), (vec_id * 11 % 50)::VARCHAR] AS refs, label % 3 = 0 AS has_exception, label % 2 = 0 AS has_obligation, label = 1 AS has_definition, ''::VARCHAR AS text, []::VARCHAR[] AS matched_markers FROM embeddings))"""
-EXPANSION = """parents AS (SELECT query_id, f.id AS p_id, rank AS p_rank, low AS p_low, written AS p_label, refs, fused AS p_fused, best_cosine AS p_cosine, best_kind AS p_kind, obligation, exception, definition, remedy FROM fused f JOIN clauses USING (id) WHERE rank <= 2),
-named AS (SELECT low, arg_max(id, seq) AS id FROM clauses GROUP BY low),
-fwd AS (SELECT query_id, n.id, p_fused * 0.7 AS fused, p_cosine * 0.7 AS best_cosine, p_kind AS best_kind, obligation, exception, definition, remedy, p_label, p_rank, 0 AS way, p.pos - 1 AS at_ FROM (SELECT *, unnest(refs) AS r, generate_subscripts(refs, 1) AS pos FROM parents) p JOIN named n ON n.low = lower(p.r)),
+GRAPH = """clauses AS (SELECT *, substr(written, 2) AS low FROM (SELECT vec_id AS id, vec_id // 100 AS doc, vec_id AS seq, CASE WHEN vec_id % 10 = 0 THEN '§' || (vec_id // 10 % 10) ELSE '§' || (vec_id // 10 % 10) || '.' || (vec_id % 10) END AS written,
+  [(vec_id * 7 % 10) || '.' || (vec_id * 3 % 9 + 1), (vec_id * 11 % 10)::VARCHAR] AS refs, label % 3 = 0 AS has_exception, label % 2 = 0 AS has_obligation, label = 1 AS has_definition, ''::VARCHAR AS text, []::VARCHAR[] AS matched_markers FROM embeddings))"""
+EXPANSION = """parents AS (SELECT query_id, f.id AS p_id, rank AS p_rank, doc, low AS p_low, written AS p_label, refs, fused AS p_fused, best_cosine AS p_cosine, best_kind AS p_kind, obligation, exception, definition, remedy FROM fused f JOIN clauses USING (id) WHERE rank <= 2),
+named AS (SELECT doc, low, arg_max(id, seq) AS id FROM clauses GROUP BY doc, low),
+fwd AS (SELECT query_id, n.id, p_fused * 0.7 AS fused, p_cosine * 0.7 AS best_cosine, p_kind AS best_kind, obligation, exception, definition, remedy, p_label, p_rank, 0 AS way, p.pos - 1 AS at_ FROM (SELECT *, unnest(refs) AS r, generate_subscripts(refs, 1) AS pos FROM parents) p JOIN named n ON n.doc = p.doc AND n.low = lower(p.r)),
 rev AS (SELECT query_id, o.id, p_fused * 1.03 AS fused, p_cosine AS best_cosine, 'exception' AS best_kind, obligation, exception, definition, remedy, p_label, p_rank, 1 AS way, o.seq AS at_ FROM parents p JOIN (SELECT *, list_transform(refs, lambda r: lower(r)) AS lrefs FROM clauses WHERE has_exception) o
-  ON len(list_filter(o.lrefs, lambda r: r = p.p_low OR starts_with(r, p.p_low || '('))) > 0 OR starts_with(o.low, p.p_low || '.') OR starts_with(o.low, p.p_low || '(')),
+  ON o.doc = p.doc AND (len(list_filter(o.lrefs, lambda r: r = p.p_low OR starts_with(r, p.p_low || '('))) > 0 OR starts_with(o.low, p.p_low || '.') OR starts_with(o.low, p.p_low || '('))),
 found AS (SELECT * FROM (SELECT * FROM fwd UNION ALL SELECT * FROM rev) f WHERE NOT EXISTS (SELECT 1 FROM fused u WHERE u.query_id = f.query_id AND u.id = f.id) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY p_rank, way, at_) = 1),
 alls AS (SELECT query_id, id, fused, best_cosine, best_kind, obligation, exception, definition, remedy, NULL AS xref_from, 0 AS p_rank, -1 AS way, rank AS at_ FROM fused UNION ALL SELECT query_id, id, fused, best_cosine, best_kind, obligation, exception, definition, remedy, p_label, p_rank, way, at_ FROM found),
 expanded AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, p_rank, way, at_) AS rank FROM alls)"""

@@ -71,11 +71,21 @@ def test_fusion_and_references(spark):
     assert [(r["id"], round(r["fused"], 9), r["best_kind"]) for r in rows] == [("B", 0.050138920, "exception"), ("D", 0.041890996, "obligation"), ("A", 0.037361185, "exception"), ("C", 0.013114754, "definition")]
     fused = spark.createDataFrame([(1, "p", 1.0, 0.9, "obligation", 0.9, None, 1), (1, "other", 0.5, 0.4, "remedy", None, 0.4, 2)], "query_id long, id string, fused double, best_cosine double, best_kind string, obligation double, remedy double, rank int")
     clauses = [("p", "§2.1", ["3.1"], False, 0), ("cited", "§3.1", [], False, 1), ("sub", "§2.1(A)", ["2.1"], True, 2), ("deep", "§9", ["2.1(b)"], True, 3), ("plain", "§2.1.1", ["2.1"], False, 4), ("far", "§2.10", [], True, 5), ("other", "§8", [], True, 6), ("twin", "§2.1", ["3.1"], True, 7), ("last", "§3.1", [], False, 8)]
-    got = X.expand_refs(fused, spark.createDataFrame(clauses, "id string, label string, refs array<string>, has_exception boolean, seq int")).orderBy("rank").collect()
+    # a second document with the same labels, all of them exceptions that cite §2.1, changes nothing
+    both = [(*c, 1) for c in clauses] + [("x" + c[0], c[1], ["2.1"], True, 100 + c[4], 2) for c in clauses]
+    got = X.expand_refs(fused, spark.createDataFrame(both, "id string, label string, refs array<string>, has_exception boolean, seq int, doc int")).orderBy("rank").collect()
     # of two clauses with one label the last is cited; a clause with the parent's label is no carve-out of it unless it cites it
     assert [(r["id"], round(r["fused"], 6), r["xref_from"], r["obligation"], r["best_kind"]) for r in got] == [("sub", 1.03, "§2.1", 0.9, "exception"), ("deep", 1.03, "§2.1", 0.9, "exception"), ("p", 1.0, None, 0.9, "obligation"), ("last", 0.7, "§2.1", 0.9, "obligation"), ("other", 0.5, None, None, "remedy")]
 
 
+def test_references_stay_in_their_document(spark):
+    clauses = [(f"{d}::{i}", d, f"§1.{i}", ["1.2"] if i == 1 else [], i == 3, i) for d in ("a", "b", None) for i in (1, 2, 3)]
+    rows = spark.createDataFrame([(f"{r[0]}", {"a": 1, "b": 2, None: 3}[r[1]], *r[2:]) for r in clauses], "id string, doc int, label string, refs array<string>, has_exception boolean, seq int")
+    fused = spark.createDataFrame([(q, f"{d}::1", 1.0, 0.9, "obligation", 0.9, 1) for q, d in ((1, "a"), (2, "b"), (3, None))] + [(4, "b::2", 1.0, 0.9, "obligation", 0.9, 1)], "query_id long, id string, fused double, best_cosine double, best_kind string, obligation double, rank int")
+    got = X.expand_refs(fused, rows).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"]) for r in got] == [(1, "a::1"), (1, "a::2"), (2, "b::1"), (2, "b::2"), (3, "None::1"), (3, "None::2"), (4, "b::2")]
+
+
 GATES = [
     ("strong", {}, [0.7], "green", 0.74, "confident_match"), ("weak", {}, [0.2, 0.1], "amber", 0.0, "weak_similarity_match"), ("none", {"lp": -0.9, "snr": 9.0}, [], "amber", 0.2, "no_candidates_retrieved"),
     ("mute", {"ns": 0.61}, [], "red", 0.0, "no_speech_detected"), ("middle", {}, [0.5, 0.45], "green", 0.73, "confident_match"), ("low", {}, [0.35], "amber", 0.45, "weak_similarity_match"), ("near", {"snr": 6.0, "lp": -0.8}, [0.5, 0.5], "amber", 0.37, "narrow_rank_margin"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright import settings as S
@@ -16,6 +16,13 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def collapse(text: Column) -> Column:
     """White space as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -40,15 +47,21 @@ def title(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda w: F.concat(F.translate(F.substring(w, 1, 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(w, 2, 1 << 30))), "")
 
 
+def _found(low: Column, terms: list[str]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
+
+
+def _any(low: Column, terms: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t.lower())) for t in terms], F.lit(False))
+
+
 def found_in(text: Column, terms: list[str]) -> Column:
     """Those of the terms that the text contains in any case, in order."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
+    return let(F.lower(text), lambda low: _found(low, terms))
 
 
 def any_in(text: Column, terms: list[str]) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t.lower())) for t in terms], F.lit(False))
+    return let(F.lower(text), lambda low: _any(low, terms))
 
 
 def cross_refs(text: Column, own: Column) -> Column:
@@ -62,11 +75,11 @@ def quoted_terms(text: Column) -> Column:
 
 
 def signals(text: Column, exception=S.EXCEPTION_MARKERS, obligation=S.OBLIGATION_MARKERS, definition=S.DEFINITION_MARKERS, remedy=S.REMEDY_MARKERS) -> Column:
-    """Struct of four booleans and the exception markers that matched."""
-    return F.struct(
-        any_in(text, exception).alias("has_exception"), any_in(text, obligation).alias("has_obligation"), any_in(text, definition).alias("has_definition"),
-        any_in(text, remedy).alias("has_remedy"), found_in(text, exception).alias("matched_markers"),
-    )
+    """Struct of four booleans and the exception markers that matched; the text is lower-cased once for all of them."""
+    return let(F.lower(text), lambda low: F.struct(
+        _any(low, exception).alias("has_exception"), _any(low, obligation).alias("has_obligation"), _any(low, definition).alias("has_definition"),
+        _any(low, remedy).alias("has_remedy"), _found(low, exception).alias("matched_markers"),
+    ))
 
 
 def highlight(text: Column, terms: list[str]) -> Column:

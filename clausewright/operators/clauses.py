@@ -1,16 +1,24 @@
 """Blocks to clauses: ordered rules with headings carried forward, continuations joined, short units merged.
 
-Blocks get the number of their document's row, by which they are shuffled once; all later steps group by it. So documents with
-null or equal ids stay apart.
+Blocks get the number of their document's row, by which they are shuffled; so documents with null or equal ids stay apart. Units then flow through
+their partition in order: a state of a few numbers tells which are merged, and a second pass over the same partition finds each document's defined terms in its
+clauses. A document of a million blocks is never one row, and a task holds one clause, a batch and the document's terms.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from clausewright import settings as S
 from clausewright.functions import text as T
+from clausewright.operators.dictionary import match_flow
 from clausewright.operators.documents import block_rows
 
 # The forms of headings and clauses, in the order in which they are tried.
@@ -27,8 +35,9 @@ class MidSentenceSplit(ValueError):
 
 
 def units(parsed: DataFrame) -> DataFrame:
-    """(row, doc_id, seq, path, label, trail, page_start, page_end, text, is_definition) from parsed documents."""
-    b = block_rows(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "blocks"))
+    """(row, doc_id, doc_title, seq, path, label, trail, page_start, page_end, text, is_definition) from parsed documents; their titles are null where they have no column title."""
+    title = F.col("title").cast("string") if "title" in parsed.columns else F.lit(None).cast("string")
+    b = block_rows(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", title.alias("doc_title"), "blocks"))
     t = F.col("text")
     kind = (
         F.when(t.rlike(ARTICLE), "article")
@@ -55,31 +64,88 @@ def units(parsed: DataFrame) -> DataFrame:
     label = by(F.concat(F.lit('§1.1 ("'), term, F.lit('")')), F.concat(F.lit("§"), one, F.lit("("), two, F.lit(")")), F.concat(F.lit("§"), ten), F.concat(F.lit("§"), F.col("number"), F.lit("("), letter, F.lit(")")))
     trail = F.array(F.col("article"), F.when(F.col("kind") == "defined", F.lit("Definitions")).otherwise(F.col("section")))
     head = F.when(F.col("kind") != "more", F.struct(path.alias("path"), label.alias("label"), trail.alias("trail"), (F.col("kind") == "defined").alias("is_definition")))
-    got = b.select("row", "doc_id", "unit", head.alias("head"), F.struct("place", "page", "text").alias("r"))
-    got = got.groupBy("row", "unit").agg(F.first("doc_id").alias("doc_id"), F.max("head").alias("h"), F.array_sort(F.collect_list("r")).alias("rs"))
-    return got.select("row", "doc_id", F.col("unit").alias("seq"), "h.path", "h.label", "h.trail", F.col("rs")[0]["page"].alias("page_start"), F.element_at("rs", -1)["page"].alias("page_end"), F.array_join(F.transform("rs", lambda r: r["text"]), " ").alias("text"), "h.is_definition")
-
-
-def merge_short(unit_rows: DataFrame, short: int = S.SHORT_UNIT, most: int = S.MAX_UNIT) -> DataFrame:
-    """Units of few words go in front of the next one, which may pass them on.
-
-    A fold over a document's units keeps the words of the open group and writes a mark for each unit, 1 where a group begins; texts are joined afterwards, once.
+    got = b.select("row", "doc_id", "doc_title", "unit", head.alias("head"), F.struct("place", "page", "text").alias("r"))
+    got = got.groupBy("row", "unit").agg(F.first("doc_id").alias("doc_id"), F.first("doc_title").alias("doc_title"), F.max("head").alias("h"), F.array_sort(F.collect_list("r")).alias("rs"))
+    return got.select("row", "doc_id", "doc_title", F.col("unit").alias("seq"), "h.path", "h.label", "h.trail", F.col("rs")[0]["page"].alias("page_start"), F.element_at("rs", -1)["page"].alias("page_end"), F.array_join(F.transform("rs", lambda r: r["text"]), " ").alias("text"), "h.is_definition")
+
+
+#: What stands between quotation marks as a term does; white space as Java's \\s.
+QUOTED = re.compile(r'"([A-Z][A-Za-z0-9 \t\n\x0b\f\r-]{1,35})"')
+SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def fold(units: Iterator[dict], short: int = S.SHORT_UNIT, most: int = S.MAX_UNIT) -> Iterator[tuple[list[dict], int]]:
+    """(units that make one clause, their words), from a document's units in order: units of few words go in front of the next one, which may pass them on."""
+    group: list[dict] = []
+    total, closed = 0, True
+    for u in units:
+        words = sum(w != "" for w in SPACE.split(u["text"].strip(" ")))
+        if group and not u["is_definition"] and not closed and total < short and total + words <= most:
+            group.append(u)
+            total += words
+        else:
+            if group:
+                yield group, total
+            group, total = [u], words
+        closed = u["is_definition"]
+    if group:
+        yield group, total
+
+
+def clause_flow(unit_rows: DataFrame, short: int = S.SHORT_UNIT, most: int = S.MAX_UNIT) -> DataFrame:
+    """(row, side, at, term, key, doc_id, doc_title, seq, page_start, page_end, text, path, label, trail, is_definition, words): clauses (side 1) of merged units, see fold(), and each
+    document's quoted terms with their lower-case form (side 0) and place (seq, at); the same partition holds all of a document.
     """
-    item = "struct(page_start, page_end, text, path, label, trail, is_definition, size(filter(split(trim(text), '\\\\s+'), w -> w <> '')) AS words)"
-    per = unit_rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.expr(f"transform(array_sort(collect_list(struct(seq, {item} AS u))), x -> x.u)").alias("us"))
-    joins = f"NOT x.is_definition AND NOT acc.closed AND acc.words < {short} AND acc.words + x.words <= {most}"
-    per = per.withColumn("marks", F.expr(f"""aggregate(us, named_struct('words', 0, 'closed', true, 'marks', ''),
-      (acc, x) -> named_struct('words', IF({joins}, acc.words, 0) + x.words, 'closed', x.is_definition, 'marks', concat(acc.marks, IF({joins}, '0', '1'))), acc -> acc.marks)"""))
-    starts = F.filter(F.sequence(F.lit(0), F.size("us") - 1), lambda i: F.substr("marks", i + 1, F.lit(1)) == "1")
+    if "doc_title" not in unit_rows.columns:
+        unit_rows = unit_rows.withColumn("doc_title", F.lit(None).cast("string"))
+    kinds = {f.name: f.dataType for f in unit_rows.schema.fields}
+    fields = StructType.fromDDL("row long, side int, at int, term string, key string").add("doc_id", kinds["doc_id"])
+    fields = StructType([*fields.fields, *StructType.fromDDL("doc_title string, seq int, page_start int, page_end int, text string, path array<string>, label string, trail array<string>, is_definition boolean, words int").fields])
+    copied = ("row", "doc_id", "doc_title")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def clauses() -> Iterator[dict]:
+            row, seq = None, 0
+
+            def of_one(first: dict) -> Iterator[dict]:
+                nonlocal held
+                u: dict | None = first
+                while u is not None and u["row"] == first["row"]:
+                    yield u
+                    u = next(flow, None)
+                held = u
+
+            flow = (u for batch in batches for u in batch.to_pylist())
+            held = next(flow, None)
+            while held is not None:
+                first, seq = held, 0
+                row, known = first["row"], set()
+                for group, words in fold(of_one(first), short, most):
+                    last, text = group[-1], " ".join(u["text"] for u in group)
+                    for at, term in enumerate(QUOTED.findall(text)):
+                        if term not in known:
+                            known.add(term)
+                            yield {"row": row, "side": 0, "seq": seq, "at": at, "term": term, "key": term.lower()}
+                    clause = {c: first[c] for c in copied} | {c: last[c] for c in ("page_end", "path", "label", "trail", "is_definition")}
+                    yield clause | {"side": 1, "seq": seq, "at": 0, "page_start": min(u["page_start"] for u in group), "text": text, "words": words}
+                    seq += 1
+
+        schema, some = arrow_schema, []
+        for c in clauses():
+            some.append({n: c.get(n) for n in schema.names})
+            if len(some) == 500:
+                yield pa.RecordBatch.from_pylist(some, schema)
+                some = []
+        if some:
+            yield pa.RecordBatch.from_pylist(some, schema)
+
+    arrow_schema = to_arrow_schema(fields)
+    return unit_rows.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(run, fields)
 
-    def joined(at: Column, stop: Column) -> Column:
-        return T.let(F.slice("us", at + 1, stop - at), lambda g: T.let(F.element_at(g, -1), lambda last: F.struct(
-            F.array_min(F.transform(g, lambda u: u["page_start"])).alias("page_start"), last["page_end"].alias("page_end"), F.array_join(F.transform(g, lambda u: u["text"]), " ").alias("text"),
-            *(last[c].alias(c) for c in ("path", "label", "trail", "is_definition")), F.aggregate(g, F.lit(0), lambda s, u: s + u["words"]).alias("words"),
-        )))
 
-    groups = T.let(starts, lambda at: F.transform(at, lambda s, k: joined(s, F.coalesce(F.get(at, k + 1), F.size("us")))))
-    return per.select("row", "doc_id", F.posexplode(groups).alias("seq", "u")).select("row", "doc_id", "seq", "u.*")
+def merge_short(unit_rows: DataFrame, short: int = S.SHORT_UNIT, most: int = S.MAX_UNIT) -> DataFrame:
+    """(row, doc_id, doc_title, seq, page_start, page_end, text, path, label, trail, is_definition, words): units of few words in front of the next one, which may pass them on."""
+    return clause_flow(unit_rows, short, most).filter("side = 1").drop("side", "at", "term", "key")
 
 
 def ends_whole(text: Column) -> Column:
@@ -98,15 +164,13 @@ def whole(chunk_rows: DataFrame, strict: bool = False) -> DataFrame:
 
 def chunks(unit_rows: DataFrame) -> DataFrame:
     """The clause table: labels, references, defined terms of the document, signals and the order within the document."""
-    merged = merge_short(unit_rows).withColumn("quoted", T.quoted_terms(F.col("text")))
-    per = merged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", F.struct(*[c for c in merged.columns if c not in ("row", "doc_id", "seq")]).alias("u")))).alias("us"))
-    per = per.withColumn("all_terms", F.array_distinct(F.flatten(F.transform("us", lambda x: x["u"]["quoted"]))))
-    out = per.select("row", "doc_id", "all_terms", F.explode("us").alias("x")).select("row", "doc_id", "all_terms", "x.seq", "x.u.*")
+    flow = clause_flow(unit_rows).sortWithinPartitions("row", "side", "seq", "at")  # a document's terms before its clauses, where they are
+    out = match_flow(flow, "row", "side", "term", "key", "text", "terms_here").drop("at")
     t = F.col("text")
     return out.select(
-        F.concat_ws("::", F.col("doc_id").cast("string"), F.array_join("path", ".")).alias("id"), "row", "doc_id", F.col("path").alias("clause_path"), F.col("label").alias("clause_label"), F.col("trail").alias("heading_trail"),
+        F.concat_ws("::", F.col("doc_id").cast("string"), F.array_join("path", ".")).alias("id"), "row", "doc_id", "doc_title", F.col("path").alias("clause_path"), F.col("label").alias("clause_label"), F.col("trail").alias("heading_trail"),
         "page_start", "page_end", "text", F.length(t).alias("char_count"), F.col("words").alias("token_count"), T.cross_refs(t, F.col("label")).alias("cross_refs"),
-        T.let(F.lower(t), lambda low: F.filter("all_terms", lambda x: F.contains(low, F.lower(x)))).alias("defined_terms"), T.signals(t).alias("signals"), F.col("seq").alias("vector_offset"), embedding_text(F.col("trail"), F.col("label"), t).alias("embedding_text"),
+        F.col("terms_here").alias("defined_terms"), T.signals(t).alias("signals"), F.col("seq").alias("vector_offset"), embedding_text(F.col("trail"), F.col("label"), t).alias("embedding_text"),
     )
 
 

@@ -29,18 +29,19 @@ def page_blocks(page: Column) -> Column:
     """Array of a page's paragraphs (line_no, text, font_size, bold): blank lines and headings start one."""
 
     def block(ls: Column, at: Column, stop: Column) -> Column:
-        first = F.get(ls, at)
+        first, heading = F.get(ls, at)["x"], F.get(ls, at)["heading"]
         clean = F.regexp_replace(first, S.HASHES, "")
-        body = F.array_join(F.concat(F.array(clean), F.slice(ls, at + 2, F.greatest(stop - at - 1, F.lit(0)))), " ")
-        size = F.when(~is_heading(first), 11.0).when(clean.rlike("(?i)^article"), 14.0).when(clean.rlike("(?i)^section"), 12.5).otherwise(11.0)
-        return F.struct(at.alias("line_no"), T.dehyphenate(body).alias("text"), size.alias("font_size"), (is_heading(first) & clean.rlike("(?i)^article|section")).alias("bold"))
+        body = F.array_join(F.concat(F.array(clean), F.transform(F.slice(ls, at + 2, F.greatest(stop - at - 1, F.lit(0))), lambda l: l["x"])), " ")
+        size = F.when(~heading, 11.0).when(clean.rlike("(?i)^article"), 14.0).when(clean.rlike("(?i)^section"), 12.5).otherwise(11.0)
+        return F.struct(at.alias("line_no"), T.dehyphenate(body).alias("text"), size.alias("font_size"), (heading & clean.rlike("(?i)^article|section")).alias("bold"))
 
     def found(ls: Column) -> Column:
         n = F.size(ls)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(ls, i) == "") | (i == 0) | (F.get(ls, i - 1) == "") | is_heading(F.get(ls, i)))
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(ls, i)["x"] == "") | (i == 0) | (F.get(ls, i - 1)["x"] == "") | F.get(ls, i)["heading"])
         return T.let(starts, lambda at: F.filter(F.transform(at, lambda s, k: block(ls, s, F.coalesce(F.get(at, k + 1), n))), lambda b: b["text"] != ""))
 
-    return T.let(F.transform(F.split(page, r"\r?\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), found)
+    marked = lambda x: F.struct(x.alias("x"), is_heading(x).alias("heading"))
+    return T.let(F.transform(F.transform(F.split(page, r"\r?\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), marked), found)
 
 
 def strip_repeats(blocks: Column, n_pages: Column) -> Column:
@@ -60,12 +61,13 @@ def parse(docs: DataFrame, text: str = "text", per_page: int = S.PAGE_LINES) ->
 
     A null text is one empty page, and so rejected. Rows are worked on alone; other columns stay, ids may be null or repeated.
     """
-    ready = docs.withColumn("__pages", pages(F.coalesce(text, F.lit("")), per_page))
+    own = T.free(docs, "__pages")
+    ready = docs.withColumn(own, pages(F.coalesce(text, F.lit("")), per_page))
     on_page = lambda p, i: F.transform(page_blocks(p), lambda b: F.struct((i + 1).alias("page"), b["line_no"].alias("line_no"), b["text"].alias("text"), b["font_size"].alias("font_size"), b["bold"].alias("bold")))
-    n = F.size("__pages")
-    ready = ready.withColumns({"page_count": n, "poor_pages": poor_pages(F.col("__pages")), "blocks": strip_repeats(F.flatten(F.transform("__pages", on_page)), n)})
+    n = F.size(own)
+    ready = ready.withColumns({"page_count": n, "poor_pages": poor_pages(F.col(own)), "blocks": strip_repeats(F.flatten(F.transform(own, on_page)), n)})
     ready = ready.withColumn("rejected", F.col("poor_pages") / F.col("page_count") > S.SCANNED_SHARE)
-    return ready.withColumn("sha256", F.sha2(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n"), 256)).drop("__pages", text)
+    return ready.withColumn("sha256", F.sha2(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n"), 256)).drop(own, text)
 
 
 def accepted(parsed: DataFrame, strict: bool = False) -> DataFrame:
@@ -82,5 +84,8 @@ def quarantined(parsed: DataFrame) -> DataFrame:
 
 
 def block_rows(parsed: DataFrame) -> DataFrame:
-    """A row per block, with the document's columns and the block's place."""
-    return parsed.select("*", F.posexplode("blocks").alias("place", "b")).drop("blocks").select("*", "b.*").drop("b")
+    """A row per block, with the document's columns and the block's place.
+
+    The outer form keeps Spark from testing beforehand whether there are blocks, for which it would work them all out once more.
+    """
+    return parsed.select("*", F.posexplode_outer("blocks").alias("place", "b")).drop("blocks").filter("place IS NOT NULL").select("*", "b.*").drop("b")

@@ -7,17 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright import settings as S
 from clausewright.functions import text as T
-
-
-def contained_terms(queries: DataFrame, terms: DataFrame, text: str = "transcript", longest: int = 36) -> DataFrame:
-    """(query_id, known): the terms (term, place) that each query contains, in order of place.
-
-    A query's substrings of up to the longest term's length meet the terms by equality, so no query is held against every term.
-    """
-    low = F.lower(F.trim(text))
-    cuts = T.let(low, lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(x) - i + 1)), lambda n: F.substr(x, i, n)))))
-    parts = queries.filter(F.length(low) > 0).select("query_id", F.explode(F.array_distinct(cuts)).alias("term"))
-    return parts.join(terms, "term").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("known"))
+from clausewright.operators.dictionary import contained_terms
 
 
 def parse_assertions(queries: DataFrame, terms: DataFrame | None = None, text: str = "transcript") -> DataFrame:
@@ -31,7 +21,7 @@ def parse_assertions(queries: DataFrame, terms: DataFrame | None = None, text: s
     if terms is None:
         known = F.array().cast("array<string>")
     else:
-        queries = queries.join(contained_terms(queries, terms, text), "query_id", "left")
+        queries = queries.join(contained_terms(queries, terms, text=text), "query_id", "left")
         known = F.coalesce("known", F.array().cast("array<string>"))
     subject = F.when(F.size(known) > 0, known).otherwise(F.slice(words, 1, 4))
     return queries.withColumns({"raw": raw, "subject": F.array_distinct(subject), "obligation": T.found_in(raw, S.OBLIGATION_WORDS), "instrument": T.found_in(raw, S.INSTRUMENTS), "qualifiers": F.array_distinct(F.regexp_extract_all(raw, F.lit(S.QUALIFIERS), 1))}).drop("known")

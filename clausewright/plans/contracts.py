@@ -47,7 +47,7 @@ def contracts(spark, sf_dir) -> DataFrame:
             .otherwise(x)
         )
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), form), "\n").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), form), "\n").alias("text"), T.title(F.concat(F.lit("drafts/contract_"), d.cast("string"), F.lit(".md"))).alias("title"))
 
 
 CONTRACTS = r"""docs AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, j: CASE WHEN trim(x) = '' THEN x
@@ -137,13 +137,13 @@ def chunk_rows(spark, sf_dir) -> DataFrame:
     return C.chunks(C.units(D.parse(contracts(spark, sf_dir))))
 
 
-@query(f"""WITH {CHUNKS} SELECT id, doc_id, seq::INTEGER AS seq, label, array_to_string(trail, ' > ') AS trail, page_start::INTEGER AS page_start, page_end::INTEGER AS page_end, sha256(text) AS text_sha256, length(text)::INTEGER AS char_count, words::INTEGER AS token_count, array_to_string(refs, ',') AS refs,
+@query(f"""WITH {CHUNKS} SELECT id, doc_id, 'Contract ' || doc_id AS doc_title, seq::INTEGER AS seq, label, array_to_string(trail, ' > ') AS trail, page_start::INTEGER AS page_start, page_end::INTEGER AS page_end, sha256(text) AS text_sha256, length(text)::INTEGER AS char_count, words::INTEGER AS token_count, array_to_string(refs, ',') AS refs,
   array_to_string(defined_terms, ',') AS defined_terms, array_to_string(matched_markers, ',') AS markers, len(matched_markers) > 0 AS has_exception, has_obligation, has_definition, has_remedy, sha256(embedding_text) AS embedding_sha256, right(trim(text), 1) IN ('.', ';', ':', '"', '''', ')') AS whole FROM chunks""")
 def clause_chunks(spark, sf_dir):
     """All documents to labelled clauses with references, terms and signals."""
     s = F.col("signals")
     return chunk_rows(spark, sf_dir).select(
-        "id", "doc_id", F.col("vector_offset").alias("seq"), F.col("clause_label").alias("label"), F.array_join("heading_trail", " > ").alias("trail"), "page_start", "page_end", F.sha2("text", 256).alias("text_sha256"), "char_count", "token_count", F.array_join("cross_refs", ",").alias("refs"),
+        "id", "doc_id", "doc_title", F.col("vector_offset").alias("seq"), F.col("clause_label").alias("label"), F.array_join("heading_trail", " > ").alias("trail"), "page_start", "page_end", F.sha2("text", 256).alias("text_sha256"), "char_count", "token_count", F.array_join("cross_refs", ",").alias("refs"),
         F.array_join("defined_terms", ",").alias("defined_terms"), F.array_join(s["matched_markers"], ",").alias("markers"), *(s[c].alias(c) for c in ("has_exception", "has_obligation", "has_definition", "has_remedy")), F.sha2("embedding_text", 256).alias("embedding_sha256"), C.ends_whole(F.col("text")).alias("whole"),
     )
 

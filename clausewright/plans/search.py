@@ -13,6 +13,7 @@ from clausewright.operators import fusion as X
 from clausewright.operators import scoring as G
 from clausewright.operators.knn import create_index
 from clausewright.plans.registry import query, rounded, sql_list, table
+from clausewright.sources.tables import cut
 from clausewright.streaming import vad
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
@@ -58,6 +59,19 @@ def knn_flat_top10(spark, sf_dir):
     return rounded(found(spark, sf_dir), "score")
 
 
+@query(f"WITH {HITS} SELECT query_id, kind, round(min(score), 6) AS least, count(*)::INTEGER AS n, true AS recalled FROM hits GROUP BY query_id, kind")
+def knn_lists_recall(spark, sf_dir):
+    """The exact answer's least score and size for each query, and whether inverted lists recall at least 0.95 of all exact hits."""
+    exact = found(spark, sf_dir)
+    lists = create_index(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "lists", lists=16, probes=12)
+    met = lists.search(asked(spark, sf_dir), S.TOP_K).select("query_id", "kind", "id", F.lit(1).alias("met"))
+    per = exact.join(met, ["query_id", "kind", "id"], "left").groupBy("query_id", "kind").agg(F.round(F.min("score"), 6).alias("least"), F.count("*").cast("int").alias("n"), F.count("met").alias("met"))
+    out = cut(per, "recall")
+    lists.close()
+    recall = out.agg((F.sum("met") / F.sum("n")).alias("r"))
+    return out.join(recall, how="cross").select("query_id", "kind", "least", "n", (F.col("r") >= 0.95).alias("recalled"))  # recall is one row
+
+
 @query(f"SELECT vec_id, round(sqrt({DOT.format('embedding', 'embedding')}), 6) AS before, 1.0::DOUBLE AS after, round(sqrt({DOT.format('embedding', 'embedding')} / len(embedding)), 6) AS rms FROM embeddings")
 def l2_normalize_norms(spark, sf_dir):
     e = F.col("embedding")

@@ -18,7 +18,9 @@ from clausewright.operators import documents as D
 from clausewright.operators import evaluate as E
 from clausewright.operators import fusion as X
 from clausewright.operators import scoring as G
-from clausewright.operators.knn import BackendUnavailable, create_index
+from clausewright.operators.dictionary import contained_terms
+from clausewright.operators import knn
+from clausewright.operators.knn import BackendUnavailable, FlatIndex, create_index
 from clausewright.sources import files, tables
 from clausewright.streaming import utterances as U
 from clausewright.streaming import vad
@@ -108,6 +110,45 @@ def test_search_seam(spark):
         create_index(rows, "other")
 
 
+def test_search_ways_agree_and_odd_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-3, 4, (300, 6)).astype(float)  # many ties
+    queries = rng.integers(-3, 4, (40, 6)).astype(float)
+    schema = "id long, embedding array<float>"
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, [])], schema).repartition(5)
+    asked = spark.createDataFrame([(i, "k", v.tolist()) for i, v in enumerate(queries)] + [(99, "k", None)], "query_id long, kind string, embedding array<float>")
+    for k in (1, 7, 1000):
+        want = [(q, "k", int(i), float(s[i]), n + 1) for q, s in enumerate(queries @ vectors.T) for n, i in enumerate(np.lexsort((np.arange(300), -s))[:k])]
+        for sent, product in ((2**20, 2**22), (2**20, 100), (1, 2**22), (1, 100)):
+            monkeypatch.setattr(FlatIndex, "SENT", sent)
+            monkeypatch.setattr(knn, "SCORES", product)
+            got = sorted(map(tuple, FlatIndex(rows).search(asked, k).select("query_id", "kind", "id", "score", "rank").collect()))
+            assert got == sorted(want), (k, sent, product)
+    everything = create_index(rows, "lists", lists=5, probes=5)
+    assert sorted(map(tuple, everything.search(asked, 1000).select("query_id", "kind", "id", "score", "rank").collect())) == sorted(want)
+    everything.close()
+    for bad in ([1.0] * 5, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf")] * 6):
+        with pytest.raises(Exception, match="vector of id 77 isn't 6 finite numbers"):
+            FlatIndex(rows.unionByName(spark.createDataFrame([(77, bad)], schema))).search(asked, 3).collect()
+    with pytest.raises(Exception, match="vector of query_id 5 "):
+        FlatIndex(rows).search(spark.createDataFrame([(5, "k", [1.0])], asked.schema), 3).collect()
+    assert FlatIndex(rows.filter("id >= 900")).search(asked).count() == 0 and FlatIndex(rows).search(asked.limit(0)).count() == 0 and create_index(rows.limit(0), "lists").search(asked).count() == 0
+
+
+def test_lists_recall_in_clusters(spark):
+    """In clustered vectors few lists are enough, and each query meets a share of the rows only."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    v = centres[rng.integers(0, 30, 4000)] + 0.2 * rng.normal(size=(4000, 16))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    asked = rows.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.lit("k").alias("kind"), "embedding")
+    index = create_index(rows, "lists", lists=30, probes=6)
+    got = {(r["query_id"], r["id"]) for r in index.search(asked, 10).collect()}
+    want = {(r["query_id"], r["id"]) for r in FlatIndex(rows).search(asked, 10).collect()}
+    index.close()
+    assert len(got & want) / len(want) >= 0.95
+
+
 def test_segments_in_batch_and_stream(spark, tmp_path):
     frames = [(1, 100.0, 0.35), (1, 400.0, 0.35), (1, 1200.0, 0.001), (2, 0.0, 0.5), (2, 599.0, 0.001), (2, 700.0, 0.001)]
     df = spark.createDataFrame(frames, "stream_id long, at double, rms double")
@@ -227,6 +268,33 @@ def test_terms_of_the_corpus_in_queries(spark):
     assert got == {"a": (["cap", "big cap"], ["exceeds", "exceed", "cap"]), "b": (["nothing", "known", "here"], ["exceeds", "exceed"]), "c": ([], []), "d": (["cap"], ["cap"])}
 
 
+def test_dictionary_in_slices_equals_substrings(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abİé x"), n))
+    terms = sorted({word(int(n)).strip().lower() for n in rng.integers(1, 60, 300)})
+    texts = [(i, " ".join(word(int(n)) for n in rng.integers(1, 40, 12))) for i in range(60)] + [(70, None), (71, ""), (72, "   "), (73, "".join(terms).upper())]
+    t = spark.createDataFrame([(x, i) for i, x in enumerate(terms)], "term string, place int")
+    q = spark.createDataFrame(texts, "query_id long, transcript string")
+    want = {i: [x for x in terms if x and x in s.strip(" ").lower()] for i, s in texts if s}
+    want = {i: x for i, x in want.items() if x}
+    for size in (2**22, 500):
+        got = {r["query_id"]: r["known"] for r in contained_terms(q, t, slice_bytes=size).collect()}
+        assert got == want, size
+    assert contained_terms(q, t.limit(0)).count() == 0 and contained_terms(q.limit(0), t).count() == 0
+
+
+def test_one_long_document_stays_many_rows(spark):
+    """A document of many blocks: units are merged and terms found as in short ones, from rows and not from one array."""
+    n = 60_000
+    i = F.col("id")
+    body = F.concat(F.lit("1."), i.cast("string"), F.when(i % 5 == 0, F.concat(F.lit(' "Term '), F.char(65 + i % 26), F.lit('" means a thing that is said here in more than twelve words, it is.'))).otherwise(" The term z is used."))
+    block = F.struct(F.lit(1).alias("page"), i.cast("int").alias("line_no"), body.alias("text"), F.lit(11.0).alias("font_size"), F.lit(False).alias("bold"))
+    b = spark.range(n).select(F.lit(0).cast("long").alias("row"), F.lit("d").alias("doc_id"), (i + 1).cast("int").alias("seq"), F.split(F.concat(F.lit("1."), i.cast("string")), r"\.").alias("path"), F.concat(F.lit("§1."), i.cast("string")).alias("label"), F.array(F.lit("a"), F.lit("b")).alias("trail"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), block["text"].alias("text"), F.lit(False).alias("is_definition"))
+    rows = C.chunks(b).orderBy("vector_offset").collect()
+    assert len(rows) == 3 * (n // 5) and [r["vector_offset"] for r in rows] == list(range(len(rows)))
+    assert rows[0]["defined_terms"] == ["Term A"] and sum(len(r["defined_terms"]) for r in rows) >= n // 5 and {t for r in rows for t in r["defined_terms"]} <= {f"Term {chr(65 + i)}" for i in range(26)}
+
+
 def test_values_at_ranks(spark):
     rng = np.random.default_rng(1)
     values = [*rng.normal(size=300).round(2).tolist(), *rng.lognormal(3, 4, 300).tolist(), 0.0, -0.0, 5e-324, 1e300, *[7.5] * 400]

@@ -6,6 +6,8 @@ breaks, repeated headers. All documents and all their lines take part.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ from clausewright.operators import scoring as G
 from clausewright.plans import retrieval as R
 from clausewright.plans.registry import query, rounded, sql_list, table
 from clausewright.plans.search import EXPANSION, FUSION, JUDGED, KINDS, NUDGED, SEARCH, VERDICT
-from clausewright.sources.tables import cut
+from clausewright.sources.tables import cut, shared_dir
+from clausewright.streaming.answers import AnswerSink
 
 
 def contracts(spark, sf_dir) -> DataFrame:
@@ -251,6 +254,17 @@ def answer_verdicts(spark, sf_dir):
     return R.verdicts(said(spark, sf_dir), _answered(spark, sf_dir))
 
 
+@query(f"{ANSWERS}, {VERDICT} SELECT query_id, said_at, state, composite, reason, id AS top_id FROM (SELECT *, split_part(query_id, ':', 1)::DOUBLE * 1000 + split_part(query_id, ':', 2)::DOUBLE AS said_at FROM verdict) LEFT JOIN (SELECT query_id, id FROM nd WHERE final_rank = 1) USING (query_id) ORDER BY said_at DESC, query_id DESC LIMIT 100")
+def answered_history(spark, sf_dir):
+    """The newest hundred queries with verdict and first card, from three micro-batches of which the last is run twice."""
+    part = lambda i: F.split_part("query_id", F.lit(":"), F.lit(i)).cast("double")
+    asked = said(spark, sf_dir).withColumn("at", part(1) * 1000 + part(2))
+    sink = AnswerSink(f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}", cut(chunk_rows(spark, sf_dir), "chunks"), _embed())
+    for batch in (0, 1, 2, 2):
+        sink(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(3)) == batch), batch)
+    return sink.history(spark).select("query_id", F.col("at").alias("said_at"), "state", "composite", "reason", "top_id")
+
+
 @query(f"{PLAIN} SELECT {CARD} FROM nd")
 def plain_answers(spark, sf_dir):
     """The plain arm: one search with the transcript itself."""

@@ -15,7 +15,7 @@ from clausewright.operators import clauses as C
 from clausewright.operators import evaluate as E
 from clausewright.plans.registry import query, rounded, sql_list, table
 from clausewright.sources import files, tables
-from clausewright.streaming import sessions, vad
+from clausewright.streaming import ring, sessions, vad
 from clausewright.streaming import utterances as U
 
 
@@ -154,6 +154,24 @@ def ring_latest_n(spark, sf_dir):
     return sessions.latest(table(spark, sf_dir, "events"), "user_id", "ts", 5, "event_id").select("user_id", "event_id", "age")
 
 
+# Events as operations on a ring of 50 samples: one of eleven clears it, one of three reads, others write two samples each.
+RING = """o AS (SELECT user_id, event_id, row_number() OVER w AS rn, CASE WHEN event_id % 11 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'read' ELSE 'write' END AS op, value, (event_id % 70)::INTEGER AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ep AS (SELECT *, count(*) FILTER (op = 'clear') OVER (PARTITION BY user_id ORDER BY rn) AS epoch, 2 * count(*) FILTER (op = 'write') OVER (PARTITION BY user_id ORDER BY rn) AS upto FROM o),
+base AS (SELECT user_id, epoch, min(upto) FILTER (op = 'clear') AS first_ FROM ep GROUP BY user_id, epoch),
+sm AS (SELECT user_id, epoch, upto - 1 AS pos, value::FLOAT::DOUBLE AS x FROM ep WHERE op = 'write' UNION ALL SELECT user_id, epoch, upto, (value / 2)::FLOAT::DOUBLE FROM ep WHERE op = 'write'),
+rd AS (SELECT user_id, event_id, epoch, upto, least(n, 50, upto - coalesce(first_, 0)) AS c FROM ep JOIN base USING (user_id, epoch) WHERE op = 'read')"""
+
+
+@query(f"WITH {RING} SELECT event_id, any_value(rd.user_id) AS user_id, any_value(c)::INTEGER AS n, round(coalesce(sum(x), 0), 3) AS total FROM rd LEFT JOIN sm ON sm.user_id = rd.user_id AND sm.epoch = rd.epoch AND sm.pos > rd.upto - c AND sm.pos <= rd.upto GROUP BY event_id")
+def ring_buffer_reads(spark, sf_dir):
+    """Writes to a ring of bounded capacity, reads of its latest samples, and clears."""
+    i, v = F.col("event_id"), F.col("value")
+    op = F.when(i % 11 == 0, "clear").when(i % 3 == 0, "read").otherwise("write")
+    ops = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at"), i.alias("seq"), op.alias("op"), F.array(v, v / 2).alias("samples"), (i % 70).cast("int").alias("n"))
+    got = ring.ring_reads(ops, 50)
+    return got.select(F.col("seq").alias("event_id"), F.col("stream_id").alias("user_id"), F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("total"))
+
+
 @query(f"""WITH RECURSIVE f AS (SELECT user_id, event_id, epoch_us(ts)::DOUBLE / 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 s AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS rn, -1e18::DOUBLE AS la, false AS hit FROM f WHERE rn = 1
 UNION ALL SELECT f.user_id, f.event_id, f.rn, CASE WHEN f.t - s.la BETWEEN 60000 AND {24 * HOUR} THEN -1e18::DOUBLE ELSE f.t END, f.t - s.la BETWEEN 60000 AND {24 * HOUR} FROM s JOIN f ON f.user_id = s.user_id AND f.rn = s.rn + 1)

@@ -7,6 +7,7 @@ end is stale and its result is dropped. How long a decode takes comes from the r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -64,6 +65,20 @@ class Utterance:
         text, ms = self.model.transcribe(whole, self.config.prompt)
         return text.strip(), ms, whole
 
+    def until(self, at: float) -> list[tuple]:
+        """The rows of an utterance whose stream is silent for too long by this time."""
+        event = self.vad.until(at)
+        if not event or self.start is None:
+            return []
+        self._settle(event[1])
+        return self._finish(event[1], event[3])
+
+    def frame(self, samples: np.ndarray, rms: float, at: float) -> list[tuple]:
+        """What a frame brings, and the silence before it."""
+        out = self.until(at) + self.step(samples, rms, at)
+        self.vad.seen = at
+        return out
+
     def step(self, samples: np.ndarray, rms: float, at: float) -> list[tuple]:
         """The rows (as COLUMNS) that a frame brings."""
         out: list[tuple] = []
@@ -109,39 +124,55 @@ def utterances(frames: DataFrame, make: Callable[[], Recogniser] = no_model, con
             rows = []
             for stream, at, rms, samples in batch.itertuples(index=False):
                 if state is None or stream != now:
+                    rows += [(now, *got) for got in (state.until(math.inf) if state else [])]
                     now, state = stream, Utterance(config, model)
-                rows += [(stream, *got) for got in state.step(np.asarray(samples, np.float32), rms, at)]
+                rows += [(stream, *got) for got in state.frame(np.asarray(samples, np.float32), rms, at)]
             yield pd.DataFrame(rows, columns=["stream_id", *COLUMNS])
+        if state and (rows := state.until(math.inf)):
+            yield pd.DataFrame([(now, *got) for got in rows], columns=["stream_id", *COLUMNS])
 
     return flow.mapInPandas(run, f"stream_id {kind}, {TYPES}")
 
 
-class UtteranceProcessor(StatefulProcessor):
-    """The same step over a stream. ttl_ms: a stream silent for so long is forgotten."""
-
-    def __init__(self, make: Callable[[], Recogniser] = no_model, config: SessionConfig = SessionConfig(), ttl_ms: int | None = None) -> None:
-        self.make, self.config, self.ttl_ms = make, config, ttl_ms
+class UtteranceStore:
+    """An utterance as state of a key. ttl_ms: a stream silent for so long is forgotten."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.model = self.make()
+    def __init__(self, handle: StatefulProcessorHandle, ttl_ms: int | None = None) -> None:
         result = lambda n: f"{n}_text string, {n}_ms double, {n}_audio double"
-        self.state = handle.getValueState("utterance", f"floor double, vad_start double, last double, energy double, voiced long, start double, samples long, asked double, busy double, {result('pending')}, {result('partial')}", self.ttl_ms)
-        self.frames = handle.getListState("frames", "samples array<float>", self.ttl_ms)
+        self.state = handle.getValueState("utterance", f"floor double, vad_start double, last double, energy double, voiced long, start double, samples long, asked double, busy double, {result('pending')}, {result('partial')}", ttl_ms)
+        self.frames = handle.getListState("frames", "samples array<float>", ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        u = Utterance(self.config, self.model)
+    def load(self, u: Utterance) -> Utterance:
         if self.state.exists():
             s = self.state.get()
             u.vad.floor, u.vad.start, u.vad.last, u.vad.energy, u.vad.frames = s[0], s[1], *s[2:5]
             u.start, u.samples, u.asked, u.busy_until = s[5:9]
             u.pending, u.partial = (None if s[i] is None else tuple(s[i : i + 3]) for i in (9, 12))
             u.frames = [np.asarray(x[0], np.float32) for x in self.frames.get()] if u.start is not None else []
-        out = [(key[0], *got) for at, rms, samples in in_order(rows)[["at", "rms", "samples"]].itertuples(index=False) for got in u.step(np.asarray(samples, np.float32), rms, at)]
+        return u
+
+    def save(self, u: Utterance) -> None:
         none = (None, None, None)
         self.state.update((u.vad.floor, u.vad.start, u.vad.last, u.vad.energy, u.vad.frames, u.start, u.samples, u.asked, u.busy_until, *(u.pending or none), *(u.partial or none)))
         self.frames.clear()
         if u.start is not None and u.frames:
             self.frames.put([(x.tolist(),) for x in u.frames])
+
+
+class UtteranceProcessor(StatefulProcessor):
+    """The same step over a stream. ttl_ms: a stream silent for so long is forgotten."""
+
+    def __init__(self, make: Callable[[], Recogniser] = no_model, config: SessionConfig = SessionConfig(), ttl_ms: int | None = None) -> None:
+        self.make, self.config, self.ttl_ms = make, config, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.model = self.make()
+        self.store = UtteranceStore(handle, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        u = self.store.load(Utterance(self.config, self.model))
+        out = [(key[0], *got) for at, rms, samples in in_order(rows)[["at", "rms", "samples"]].itertuples(index=False) for got in u.step(np.asarray(samples, np.float32), rms, at)]
+        self.store.save(u)
         yield pd.DataFrame(out, columns=["stream_id", *COLUMNS])
 
     def close(self) -> None:

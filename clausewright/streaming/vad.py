@@ -28,6 +28,7 @@ class VadConfig:
     most_ms: float = S.MOST_SPEECH_MS
     floor: float = 0.004
     least_rms: float = 0.001
+    silence_ms: float | None = None  # a segment ends this long after a stream's last frame, where no later one comes sooner
 
 
 @dataclass
@@ -40,6 +41,29 @@ class VadState:
     last: float = 0.0
     energy: float = 0.0
     frames: int = 0
+    seen: float | None = None  # the last frame
+
+    def _end(self, at: float, rms: float) -> tuple[str, float, float, float]:
+        floor = self.config.floor if self.floor < 0 else self.floor
+        mean = self.energy / self.frames if self.frames else rms
+        out = "speechEnd", at, tenths(at - self.start), tenths(max(0.0, 20 * math.log10(mean / max(1e-5, floor))))
+        self.start, self.energy, self.frames = None, 0.0, 0
+        return out
+
+    def deadline(self) -> float | None:
+        """When the open segment ends if no frame comes before."""
+        return None if self.config.silence_ms is None or self.start is None or self.seen is None else self.seen + self.config.silence_ms
+
+    def until(self, at: float) -> tuple[str, float, float, float] | None:
+        """The end of a segment whose stream is silent for too long by this time."""
+        end = self.deadline()
+        return self._end(end, 0.0) if end is not None and at >= end else None
+
+    def events(self, rms: float, at: float) -> list[tuple[str, float, float, float]]:
+        """What a frame brings, and the silence before it."""
+        out = [e for e in (self.until(at), self.step(rms, at)) if e]
+        self.seen = at
+        return out
 
     def step(self, rms: float, at: float) -> tuple[str, float, float, float] | None:
         """(type, at, duration, snr_db) of a start or an end that this frame brings."""
@@ -54,10 +78,7 @@ class VadState:
         self.floor = floor = 0.98 * floor + 0.02 * max(c.least_rms, rms)
         if self.start is None or (at - self.last < c.hangover_ms and at - self.start < c.most_ms):
             return None
-        mean = self.energy / self.frames if self.frames else rms
-        out = "speechEnd", at, tenths(at - self.start), tenths(max(0.0, 20 * math.log10(mean / max(1e-5, floor))))
-        self.start, self.energy, self.frames = None, 0.0, 0
-        return out
+        return self._end(at, rms)
 
 
 def segments(frames: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
@@ -74,10 +95,12 @@ def segments(frames: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
             rows = []
             for stream, at, rms in batch.itertuples(index=False):
                 if stream != now:
+                    rows += [(now, *e) for e in [state.until(math.inf)] if e]
                     now, state = stream, VadState(config)
-                if got := state.step(rms, at):
-                    rows.append((stream, *got))
+                rows += [(stream, *got) for got in state.events(rms, at)]
             yield pd.DataFrame(rows, columns=["stream_id", "type", "at", "duration_ms", "snr_db"])
+        if last := state.until(math.inf):
+            yield pd.DataFrame([(now, *last)], columns=["stream_id", "type", "at", "duration_ms", "snr_db"])
 
     return flow.mapInPandas(run, f"stream_id {kind}, type string, at double, duration_ms double, snr_db double")
 

@@ -51,7 +51,8 @@ def test_odd_rows_and_empty_tables(spark, odd):
 def test_sql(spark, name):
     got = registry.QUERIES[name](spark, DATA).toPandas()
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = db.sql(registry.ORACLES[name]).df()[list(got.columns)]
     order = list(got.columns)
     assert got.sort_values(order).to_numpy().tolist() == want.sort_values(order).to_numpy().tolist()
@@ -353,3 +354,21 @@ def test_rows_without_ids_and_equal_short_hashes(spark):
     rows = spark.createDataFrame([(1, p), (None, pair["a"]), (None, pair["b"])], "doc_id long, text string")
     got = {r["kept_text"]: r["n_removed"] for r in substring_dedup.remove_repeats(rows).collect()}
     assert got == {p: 0, pair["a"].split()[-1]: 60, pair["b"]: 0}
+
+
+def test_mixing_leaves_of_junk_sources_stay_small(spark):
+    """Documents of the least quality spread over as many leaves as others."""
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("1234 5678").alias("text"), F.lit("tables").alias("source")).union(spark.range(40_000).select(F.col("id"), F.lit("some words"), F.lit("prose")))
+    for q in (0.05, 1.0):
+        key = -F.log(F.rand(3)) / q
+        most = spark.range(40_000).select(F.floor((F.log2(key) + 54) * 1024).alias("leaf")).groupBy("leaf").count().agg(F.max("count"), F.min("leaf"), F.max("leaf")).first()
+        assert most[0] < 60 and most[1] >= 0 and most[2] < 65_536
+    got = mixing.sample_mix(rows).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(r["taken"] == round(r["target"]) for r in got) and len(got) == 2
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    rows = [(i, "a line\nown {i}", "x", "y") for i in range(12)] + [(None, "a line\nb", "x", "y"), (None, "a line\nc", "x", "y")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, __line_id string, __line_th string"))
+    assert got.columns == ["doc_id", "text", "__line_id", "__line_th", "n_lines", "n_dropped", "kept_text"]
+    assert sorted(r["kept_text"] for r in got.filter("doc_id is null").collect()) == ["b", "c"] and {r["__line_id"] for r in got.collect()} == {"x"}

@@ -16,6 +16,7 @@ from clausewright.functions import text as T
 from clausewright.functions import vectors as V
 from clausewright.operators import clauses as C
 from clausewright.operators import documents as D
+from clausewright.operators import faults as FX
 from clausewright.operators import scoring as G
 from clausewright.plans import retrieval as R
 from clausewright.plans.registry import query, rounded, sql_list, table
@@ -159,6 +160,25 @@ def clause_search(spark, sf_dir):
     return wanted.select("id", "doc_id", F.col("vector_offset").alias("seq")).distinct()
 
 
+@query(f"""WITH {CHUNKS}, f AS (SELECT CASE WHEN right(trim(text), 1) NOT IN ('.', ';', ':', '"', '''', ')') THEN 'mid_sentence_split' WHEN words > 320 THEN 'oversized_atomic_chunk' END AS fault FROM chunks),
+dn AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id), df AS (SELECT doc_id, (count(*) FILTER (length(regexp_replace(ptext, '\\s+', '', 'g')) < 100)) / count(*) > 0.3 AS rejected FROM pg GROUP BY doc_id)
+SELECT 'clauses' AS kind, coalesce(fault, 'kept') AS code, count(*)::BIGINT AS n FROM f GROUP BY fault
+UNION ALL SELECT 'documents', code, count(*)::BIGINT FROM (SELECT CASE WHEN rejected THEN 'scanned_document' WHEN coalesce(n, 0) = 0 THEN 'parse_failure' ELSE 'kept' END AS code FROM df LEFT JOIN dn USING (doc_id)) GROUP BY code""")
+def fault_counts(spark, sf_dir):
+    """Documents and clauses written with their faults, refused ones apart; counts come from the same pass and are held against what was written."""
+    parsed, out = D.parse(contracts(spark, sf_dir)), []
+    each = {
+        "clauses": (FX.clause_fault(C.chunks(C.units(parsed))).select("id", "text", "token_count", "fault"), [FX.MID_SENTENCE, FX.OVERSIZED]),
+        "documents": (FX.document_fault(parsed).select("doc_id", "sha256", "fault"), [FX.SCANNED, FX.EMPTY]),
+    }
+    for kind, (rows, codes) in each.items():
+        good, bad, seen = FX.write_apart(rows, f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}", codes, kind)
+        written = bad.groupBy(F.col("fault").alias("code")).agg(F.count("*").alias("n")).unionByName(good.agg(F.lit("kept").alias("code"), F.count("*").alias("n")).filter("n > 0"))
+        told = spark.createDataFrame([(c, seen[c]) for c in (*codes, "kept")], "code string, told long")  # a row a code
+        out.append(written.join(told, "code").filter("n = told").select(F.lit(kind).alias("kind"), "code", "n"))
+    return out[0].unionByName(out[1])
+
+
 TERMS = "tm AS (SELECT term, min(o) AS place FROM (SELECT lower(unnest(defined_terms)) AS term, doc_id * 1000000000 + seq * 10000 + generate_subscripts(defined_terms, 1) AS o FROM chunks) GROUP BY term)"
 
 

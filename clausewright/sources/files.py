@@ -1,4 +1,4 @@
-"""Readers and writers: documents, labelled queries, WAV files, index folders."""
+"""Readers and writers: documents, labelled queries, WAV files; index folders are in sources/index.py."""
 
 from __future__ import annotations
 
@@ -12,18 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
+from clausewright.sources.index import CorruptIndex, DimensionMismatch, InvalidIndex, ModelMismatch, UnsupportedVersion, read_index, write_index  # noqa: F401
 
 ASSERTIONS = "id string, assertion string, goldChunkIds array<string>, acceptableChunkIds array<string>, expectedStance string, adversarial boolean, note string"
 
 
-class InvalidIndex(ValueError):
-    pass
-
-
-class ModelMismatch(ValueError):
-    pass
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, title, text): one row a text or Markdown file."""
     name = F.input_file_name()
@@ -81,25 +74,3 @@ def decode_wavs(files: DataFrame, rate: int = 16_000) -> DataFrame:
 def read_wav(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
     """(path, sample_rate, samples array<float>) of each file."""
     return decode_wavs(spark.read.format("binaryFile").load(path), rate)
-
-
-def write_index(chunks: DataFrame, path: str, fingerprint: str, dimensions: int) -> None:
-    """Chunks with embeddings as Parquet, and a manifest that names the model, the dimensions and the content."""
-    chunks.write.parquet(f"{path}/chunks")
-    back = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    told = back.agg(F.count("*").alias("chunk_count"), F.sum(F.xxhash64("id", "text").cast("decimal(38,0)")).cast("string").alias("content"))
-    told.select(F.lit(1).alias("version"), F.lit(fingerprint).alias("fingerprint"), F.lit(dimensions).alias("dimensions"), "chunk_count", "content").coalesce(1).write.json(f"{path}/manifest")
-
-
-def read_index(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:
-    """The chunks, after the manifest is held against them; a wrong model or changed content is an error."""
-    told = spark.read.schema("version int, fingerprint string, dimensions int, chunk_count long, content string").json(f"{path}/manifest").first()
-    if told is None or told["version"] != 1:
-        raise InvalidIndex(f"{path} has no manifest of version 1")
-    if fingerprint is not None and told["fingerprint"] != fingerprint:
-        raise ModelMismatch(f"the index is of {told['fingerprint']}, not of {fingerprint}")
-    chunks = spark.read.parquet(f"{path}/chunks")
-    n, content, odd = chunks.agg(F.count("*"), F.sum(F.xxhash64("id", "text").cast("decimal(38,0)")).cast("string"), F.count_if(F.size("embedding") != told["dimensions"])).first()
-    if (n, content) != (told["chunk_count"], told["content"]) or odd:
-        raise InvalidIndex(f"{path} doesn't hold what its manifest says")
-    return chunks

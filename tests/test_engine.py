@@ -1,11 +1,14 @@
 """Operators on small examples: clauses, fusion, references, gate, segments, sources."""
 
+import contextlib
 import math
 import os
 import struct
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,12 +19,13 @@ from clausewright.functions import vectors as V
 from clausewright.operators import clauses as C
 from clausewright.operators import documents as D
 from clausewright.operators import evaluate as E
+from clausewright.operators import faults as FX
 from clausewright.operators import fusion as X
 from clausewright.operators import scoring as G
 from clausewright.operators.dictionary import contained_terms
 from clausewright.operators import knn
 from clausewright.operators.knn import BackendUnavailable, FlatIndex, create_index
-from clausewright.sources import files, tables
+from clausewright.sources import files, index, tables
 from clausewright.streaming import utterances as U
 from clausewright.streaming import vad
 
@@ -142,10 +146,10 @@ def test_lists_recall_in_clusters(spark):
     v = centres[rng.integers(0, 30, 4000)] + 0.2 * rng.normal(size=(4000, 16))
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
     asked = rows.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.lit("k").alias("kind"), "embedding")
-    index = create_index(rows, "lists", lists=30, probes=6)
-    got = {(r["query_id"], r["id"]) for r in index.search(asked, 10).collect()}
+    lists = create_index(rows, "lists", lists=30, probes=6)
+    got = {(r["query_id"], r["id"]) for r in lists.search(asked, 10).collect()}
     want = {(r["query_id"], r["id"]) for r in FlatIndex(rows).search(asked, 10).collect()}
-    index.close()
+    lists.close()
     assert len(got & want) / len(want) >= 0.95
 
 
@@ -283,6 +287,68 @@ def test_dictionary_in_slices_equals_substrings(spark):
     assert contained_terms(q, t.limit(0)).count() == 0 and contained_terms(q.limit(0), t).count() == 0
 
 
+def test_index_errors_name_what_is_wrong(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("text").alias("text"), F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("embedding")).coalesce(2)
+    files.write_index(rows, path, "model-a", 2, file_rows=5)
+    told = spark.read.parquet(f"{path}/manifest/files")
+    assert told.count() == 600 and {r["level"]: r["n"] for r in index.tree(told).groupBy("level").agg(F.count("*").alias("n")).collect()} == {0: 600, 1: 3, 2: 1}
+    assert files.read_index(spark, path, "model-a", 2).count() == 3000
+    with pytest.raises(files.ModelMismatch):
+        files.read_index(spark, path, "model-b", 3)
+    with pytest.raises(files.DimensionMismatch):
+        files.read_index(spark, path, "model-a", 3)
+    # one changed vector, in a file of the same name: the file is named, before the model is looked at
+    name = sorted(f for f in os.listdir(f"{path}/chunks") if f.endswith(".parquet"))[7]
+    one = f"{path}/chunks/{name}"
+    whole = pq.read_table(one)
+    vectors = whole.column("embedding").to_pylist()
+    vectors[1][1] = 0.25
+    was = open(one, "rb").read()
+    pq.write_table(whole.set_column(2, "embedding", pa.array(vectors, pa.list_(pa.float32()))), one)
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(f"{path}/chunks/.{name}.crc")
+    with pytest.raises(files.CorruptIndex, match=f"{name} changed") as e:
+        files.read_index(spark, path, "model-b")
+    assert e.value.files == [name]
+    open(one, "wb").write(was)
+    assert files.read_index(spark, path).count() == 3000
+    os.rename(one, f"{path}/chunks/part-x.parquet")
+    with pytest.raises(files.CorruptIndex, match=f"{name} missing, part-x.parquet added"):
+        files.read_index(spark, path)
+    os.rename(f"{path}/chunks/part-x.parquet", one)
+    head = next(f for f in os.listdir(f"{path}/manifest/head") if f.endswith(".json"))
+    text = open(f"{path}/manifest/head/{head}").read()
+
+    def with_head(old, new):
+        open(f"{path}/manifest/head/{head}", "w").write(text.replace(old, new))
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(f"{path}/manifest/head/.{head}.crc")
+        return files.read_index(spark, path)
+
+    with pytest.raises(files.UnsupportedVersion):
+        with_head('"version":1', '"version":2')
+    with pytest.raises(files.CorruptIndex, match="root"):
+        with_head('"root":"', '"root":"0')
+    with pytest.raises(files.CorruptIndex, match="of another size"):
+        with_head('"dimensions":2', '"dimensions":3')
+    with pytest.raises(files.InvalidIndex, match="can't be read"):
+        with_head("{", "[")
+    with pytest.raises(files.InvalidIndex, match="no manifest"):
+        files.read_index(spark, str(tmp_path / "nothing"))
+
+
+def test_faults_are_counted_while_rows_are_written(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 7 == 0, "no end").otherwise("It ends.").alias("text"), F.when(F.col("id") % 5 == 0, 400).otherwise(10).alias("token_count"))
+    good, bad, seen = FX.write_apart(FX.clause_fault(rows), str(tmp_path / "out"), [FX.MID_SENTENCE, FX.OVERSIZED])
+    second = {r["fault"]: r["n"] for r in bad.groupBy("fault").agg(F.count("*").alias("n")).collect()}
+    assert seen == {"rows": 1000, "kept": good.count(), **second} and second == {FX.MID_SENTENCE: 143, FX.OVERSIZED: 171}
+    assert good.columns == ["id", "text", "token_count"] and good.filter("id % 7 = 0 or id % 5 = 0").count() == 0
+    docs = D.parse(spark.createDataFrame([(1, "x " * 200), (2, "short"), (3, None)], "doc_id long, text string"))
+    good, bad, seen = FX.write_apart(FX.document_fault(docs).drop("blocks"), str(tmp_path / "docs"), [FX.SCANNED, FX.EMPTY])
+    assert [r["doc_id"] for r in good.collect()] == [1] and seen == {"rows": 3, "kept": 1, FX.SCANNED: 2, FX.EMPTY: 0}
+
+
 def test_one_long_document_stays_many_rows(spark):
     """A document of many blocks: units are merged and terms found as in short ones, from rows and not from one array."""
     n = 60_000

@@ -72,11 +72,82 @@ def sweep_report(swept: DataFrame, n: Column, chosen: float = S.AMBER) -> DataFr
     return head.unionByName(body)
 
 
-def calibration(scores: DataFrame, verdict: DataFrame, swept: DataFrame) -> DataFrame:
-    """One row with the column json: the nested result of an evaluation, from lift(), verdict_counts() and sweep(), each of a bounded number of rows."""
-    listed = lambda df, key: df.agg(F.array_sort(F.collect_list(F.struct(key, *[c for c in df.columns if c != key]))).alias("x"))
-    whole = listed(scores, scores.columns[0]).withColumnRenamed("x", "recall").join(verdict.select(F.struct("*").alias("gate")), how="cross").join(listed(swept, "limit").withColumnRenamed("x", "sweep"), how="cross")  # one row each
-    return whole.select(F.to_json(F.struct("recall", F.struct(*[F.col(f"gate.{c}").alias(c) for c in verdict.columns], "sweep").alias("gate"))).alias("json"))
+def calibration(scores: DataFrame, verdict: DataFrame, swept: DataFrame, hard: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:
+    """One row with the column json: the nested result of an evaluation, from lift(), verdict_counts() and sweep(), lift() of the adversarial queries alone and stage_summary(), each of a bounded number of rows.
+
+    What there is for each query is a table of its own, see per_item().
+    """
+    listed = lambda df, key, name: df.agg(F.array_sort(F.collect_list(F.struct(key, *[c for c in df.columns if c != key]))).alias(name))
+    whole = listed(scores, scores.columns[0], "recall").join(verdict.select(F.struct("*").alias("gate")), how="cross").join(listed(swept, "limit", "sweep"), how="cross")  # one row each
+    parts = [F.col("recall"), F.struct(*[F.col(f"gate.{c}").alias(c) for c in verdict.columns], "sweep").alias("gate")]
+    if hard is not None:
+        whole = whole.join(hard.filter(F.col(hard.columns[0]).isNull()).select(F.struct(*hard.columns[1:]).alias("adversarial")), how="left")  # the row over all
+        parts.append(F.col("adversarial"))
+    if stages is not None:
+        whole = whole.join(listed(stages, "stage", "latency_ms"), how="cross")
+        parts.append(F.col("latency_ms"))
+    return whole.select(F.to_json(F.struct(*parts)).alias("json"))
+
+
+def per_item(items: DataFrame, other: DataFrame) -> DataFrame:
+    """(query_id, rank, plain_rank, adversarial, state, composite, hit): what each query came to in both arms, a row each; ranks are of the first relevant result, null if there is none."""
+    shown = lambda c: F.when(F.col(c) > 0, F.col(c))
+    both = items.join(other.select("query_id", F.col("first").alias("plain")), "query_id", "left")
+    return both.select("query_id", shown("first").alias("rank"), shown("plain").alias("plain_rank"), "adversarial", "state", "composite", (F.col("first") > 0).alias("hit"))
+
+
+STAGES = ["build_ms", "embed_ms", "search_ms", "rank_ms", "total_ms"]
+
+
+def stage_summary(times: DataFrame) -> DataFrame:
+    """(stage, p50, p95, mean) of the stages that stage_times() adds, as they are, to two places."""
+    long = times.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).cast("double").alias("ms")) for n in STAGES])).alias("x")).select("x.*")
+    mean = long.groupBy("stage").agg(T.rounded(F.avg("ms"), 2).alias("mean"))
+    at = values_at(long, "stage", "ms", {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95)})
+    return at.join(mean, "stage").select("stage", T.rounded(F.col("p50"), 2).alias("p50"), T.rounded(F.col("p95"), 2).alias("p95"), "mean")
+
+
+def number(x: Column) -> Column:
+    """A number without needless noughts, three places at most."""
+    return F.regexp_replace(F.format_string("%.3f", x.cast("double")), r"\.?0+$", "")
+
+
+def report(scores: DataFrame, hard: DataFrame, stages: DataFrame, verdict: DataFrame, swept: DataFrame, budget_ms: float = 10, most_wrong_pct: float = 5) -> DataFrame:
+    """(place, line): an evaluation as Markdown: recall of both arms, the same for adversarial queries, times by stage against the search's budget, the gate's verdicts and the sweep of its limit.
+
+    The inputs are those of calibration(); sections without rows keep their headings. Lines are made from tables of some rows each.
+    """
+    spark = scores.sparkSession
+
+    def table(rows: DataFrame, order: Column, line: Column, head: list[str]) -> DataFrame:
+        top = spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "at int, line string")
+        return top.unionByName(rows.select(F.row_number().over(Window.orderBy(order)).alias("at"), line.alias("line")))  # some rows
+
+    def arms(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+        of = rows.filter(F.col(rows.columns[0]).isNull())
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shown).alias("name"), *[F.col(f"{a}_{m}").alias(a) for a in ("system", "plain", "lift")]) for i, (m, shown) in enumerate(names.items())]))
+        return of.select(each.alias("x")).select("x.*")
+
+    recall = {"recall_1": "Recall@1 (%)", "recall_3": "Recall@3 (%)", "recall_5": "Recall@5 (%)", "mrr": "MRR"}
+    arm_line = F.format_string("| %s | %s | %s | %s |", F.col("name"), number(F.col("system")), number(F.col("plain")), number(F.col("lift")))
+    arm_head = ["", "| Measure | System | Plain | Lift |", "|---|---|---|---|"]
+    place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    within = F.when(F.col("stage") == "search_ms", F.when(F.col("p95") < budget_ms, f"within {budget_ms:g}").otherwise(f"over {budget_ms:g}")).otherwise("")
+    gate = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("name"), v.alias("v")) for i, (n, v) in enumerate({
+        "Queries": number(F.col("n")), "Green": number(F.col("green")), "Amber or red": number(F.col("other")), "Green without a relevant card": number(F.col("false_confident")),
+        "Share of the green (%)": F.concat(number(F.col("false_confident_pct")), F.when(F.col("false_confident_pct") <= most_wrong_pct, f", within {most_wrong_pct:g}").otherwise(f", over {most_wrong_pct:g}")),
+    }.items())]))
+    sections = [
+        table(arms(scores, recall), F.col("i"), arm_line, ["# Evaluation", "", "## Retrieval", *arm_head]),
+        table(arms(hard, dict(list(recall.items())[:2])), F.col("i"), arm_line, ["", "### Adversarial queries", *arm_head]),
+        table(stages, place, F.format_string("| %s | %s | %s | %s | %s |", F.col("stage"), number(F.col("p50")), number(F.col("p95")), number(F.col("mean")), within), ["", "## Times (ms)", "", "| Stage | p50 | p95 | Mean | Budget |", "|---|---|---|---|---|"]),
+        table(verdict.select(gate.alias("x")).select("x.*"), F.col("i"), F.format_string("| %s | %s |", F.col("name"), F.col("v")), ["", "## Gate", "", "| Verdict | Value |", "|---|---|"]),
+        sweep_report(swept.join(verdict.select(F.col("n").alias("__n")), how="cross"), F.col("__n")).withColumnRenamed("place", "at").unionByName(spark.createDataFrame([(-2, ""), (-1, "### Limits"), (0, "")], "at int, line string")),
+    ]
+    all_ = sections[0].withColumn("part", F.lit(0))
+    for i, x in enumerate(sections[1:], 1):
+        all_ = all_.unionByName(x.withColumn("part", F.lit(i)))
+    return all_.select(F.row_number().over(Window.orderBy("part", "at")).alias("place"), "line")  # the lines of a report
 
 
 def stage_times(marks: DataFrame, floor: float | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from clausewright.functions import vectors as V
 from clausewright.operators import clauses as C
 from clausewright.operators import evaluate as E
 from clausewright.plans.registry import query, rounded, sql_list, table
+from clausewright.plans.search import MARKS, marks
 from clausewright.sources import files, tables
 from clausewright.streaming import ring, sessions, vad
 from clausewright.streaming import utterances as U
@@ -32,17 +33,10 @@ def percentile_floor_index(spark, sf_dir):
     return E.values_at(table(spark, sf_dir, "events"), "event_type", "value", {"p50": E.floor_index(0.5), "p95": E.floor_index(0.95)})
 
 
-MARKS = """SELECT event_id, epoch_us(ts)::DOUBLE / 1000 AS t0, t0 + value AS t1, t1 + (event_id % 7) / 8.0::DOUBLE AS t2, t2 + (event_id % 5) / 4.0::DOUBLE AS t3, t3 + 0.03125::DOUBLE AS t4 FROM events"""
-
-
 @query(f"""SELECT event_id, round(greatest(0.1, t1 - t0), 3) AS build_ms, round(greatest(0.1, t2 - t1), 3) AS embed_ms, round(greatest(0.1, t3 - t2), 3) AS search_ms, round(greatest(0.1, t4 - t3), 3) AS rank_ms, round(greatest(0.1, t4 - t0), 3) AS total_ms FROM ({MARKS})""")
 def stage_durations(spark, sf_dir):
     """Times between the marks of a query's stages, as an overlay shows them; events stand for queries."""
-    i = F.col("event_id")
-    marks = table(spark, sf_dir, "events").select(i, (F.expr("unix_micros(cast(ts AS timestamp))").cast("double") / 1000).alias("t_speech_end"), "value")
-    marks = marks.withColumn("t_query_built", F.col("t_speech_end") + F.col("value")).withColumn("t_embed_done", F.col("t_query_built") + (i % 7) / F.lit(8.0))
-    marks = marks.withColumn("t_search_done", F.col("t_embed_done") + (i % 5) / F.lit(4.0)).withColumn("t_ranked", F.col("t_search_done") + F.lit(0.03125))
-    return E.stage_times(marks, 0.1).select("event_id", *[F.round(c, 3).alias(c) for c in ("build_ms", "embed_ms", "search_ms", "rank_ms", "total_ms")])
+    return E.stage_times(marks(spark, sf_dir), 0.1).select("event_id", *[F.round(c, 3).alias(c) for c in ("build_ms", "embed_ms", "search_ms", "rank_ms", "total_ms")])
 
 
 @query("SELECT seconds, count(*) AS n, floor(avg(decode_ms) * 100 + 0.5) / 100 AS mean_ms, min(decode_ms) AS min_ms, max(decode_ms) AS max_ms, floor(mean_ms / (seconds * 1000) * 1000 + 0.5) / 1000 AS real_time_factor FROM (SELECT turn % 3 + 2 AS seconds, length(text) * 0.5::DOUBLE AS decode_ms FROM conversations) GROUP BY seconds")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright import settings as S
@@ -254,19 +254,88 @@ def sweep_report(spark, sf_dir):
     return E.sweep_report(_swept(spark, sf_dir).join(n, how="cross"), F.col("n"))  # n is one row
 
 
-@query(f"""{ITEMS}, {COUNTS}, it AS (SELECT l AS "limit", count(*) AS n, count(*) FILTER (composite >= l) AS shown, count(*) FILTER (composite >= l AND first_ = 0) AS wrong FROM items, (SELECT unnest({LIMITS})::DOUBLE AS l) GROUP BY l)
-SELECT 'verdicts' AS part, NULL::DOUBLE AS "limit", green AS a, false_confident AS b, {RATE} AS pct FROM counts UNION ALL SELECT 'sweep', "limit", shown, wrong, floor(coalesce(wrong::DOUBLE / nullif(shown, 0), 0) * 100 * 10 + 0.5) / 10 FROM it
-UNION ALL SELECT 'recall', label::DOUBLE, n, n, r1 FROM (SELECT label, count(*) AS n, floor(count(*) FILTER (first_ = 1)::DOUBLE / count(*) * 100 * 10 + 0.5) / 10 AS r1 FROM items GROUP BY ROLLUP (label))""")
+# Stage times of the evaluation: events stand for queries.
+MARKS = """SELECT event_id, epoch_us(ts)::DOUBLE / 1000 AS t0, t0 + value AS t1, t1 + (event_id % 7) / 8.0::DOUBLE AS t2, t2 + (event_id % 5) / 4.0::DOUBLE AS t3, t3 + 0.03125::DOUBLE AS t4 FROM events"""
+STAGE_SQL = f"""stg AS (SELECT unnest(['build_ms', 'embed_ms', 'search_ms', 'rank_ms', 'total_ms']) AS stage, unnest([t1 - t0, t2 - t1, t3 - t2, t4 - t3, t4 - t0]) AS ms FROM ({MARKS})),
+stages AS (SELECT stage, floor(quantile_disc(ms, 0.5) * 100 + 0.5) / 100 AS p50, floor(quantile_disc(ms, 0.95) * 100 + 0.5) / 100 AS p95, floor(avg(ms) * 100 + 0.5) / 100 AS mean FROM stg GROUP BY stage)"""
+
+
+def marks(spark, sf_dir) -> DataFrame:
+    """The times at which a query's stages end; events stand for queries."""
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(i, (F.expr("unix_micros(cast(ts AS timestamp))").cast("double") / 1000).alias("t_speech_end"), "value")
+    rows = rows.withColumn("t_query_built", F.col("t_speech_end") + F.col("value")).withColumn("t_embed_done", F.col("t_query_built") + (i % 7) / F.lit(8.0))
+    return rows.withColumn("t_search_done", F.col("t_embed_done") + (i % 5) / F.lit(4.0)).withColumn("t_ranked", F.col("t_search_done") + F.lit(0.03125))
+
+
+def evaluated(spark, sf_dir) -> dict[str, DataFrame]:
+    """The parts of an evaluation: items are the cards' first ranks with verdicts, the plain arm is the first kind's search cut to as many results; each third label is adversarial."""
+    hard = F.col("label") % 3 == 0
+    of = cut(items(spark, sf_dir).withColumn("adversarial", hard), "items")
+    hits = found(spark, sf_dir).filter(f"kind = 'obligation' AND rank <= {S.CARDS}").select("query_id", "id", "rank")
+    plain = cut(ranks(spark, sf_dir, hits).withColumn("adversarial", hard), "plain")
+    arms = of.select(*plain.columns).withColumn("arm", F.lit("system")).unionByName(plain.withColumn("arm", F.lit("plain")))
+    return {
+        "items": of, "plain": plain, "scores": E.lift(arms, "label"), "hard": E.lift(arms.filter("adversarial"), "label"), "stages": E.stage_summary(E.stage_times(marks(spark, sf_dir))),
+        "verdict": E.verdict_counts(of), "swept": E.sweep(of, "composite", F.col("first") > 0, LIMITS),
+    }
+
+
+ARMS = f"""res2 AS (SELECT query_id, id, rank FROM hits WHERE kind = 'obligation' AND rank <= 3), ranks2 AS (SELECT query_id, label, first_ FROM ({RANKS.removeprefix('ranks AS (').removesuffix(')').replace('res h', 'res2 h')})),
+pi AS (SELECT i.query_id, i.label, i.state, i.composite, i.first_ AS f1, p.first_ AS f2, i.label % 3 = 0 AS adversarial FROM items i JOIN ranks2 p USING (query_id)),
+arm AS (SELECT label, count(*) AS n, {", ".join(f"floor(count(*) FILTER (f{a} BETWEEN 1 AND {k})::DOUBLE / count(*) * 100 * 10 + 0.5) / 10 AS {n}_{k}" for a, n in ((1, "s"), (2, "p")) for k in (1, 3, 5))},
+  {", ".join(f"floor(sum(CASE WHEN f{a} > 0 THEN 1.0::DOUBLE / f{a} ELSE 0 END) / count(*) * 1000 + 0.5) / 1000 AS {n}_mrr" for a, n in ((1, "s"), (2, "p")))} FROM pi GROUP BY GROUPING SETS ((label), ())),
+hard AS (SELECT count(*) AS n, {", ".join(f"floor(count(*) FILTER (f{a} BETWEEN 1 AND {k})::DOUBLE / count(*) * 100 * 10 + 0.5) / 10 AS {n}_{k}" for a, n in ((1, "s"), (2, "p")) for k in (1, 3, 5))} FROM pi WHERE adversarial HAVING count(*) > 0),
+sw AS (SELECT l AS "limit", count(*) AS n, count(*) FILTER (composite >= l) AS shown, count(*) FILTER (composite >= l AND first_ = 0) AS wrong FROM items, (SELECT unnest({LIMITS})::DOUBLE AS l) GROUP BY l), swept AS (SELECT "limit", shown, wrong, {SWEPT}, n FROM sw)"""
+
+
+@query(f"""{ITEMS}, {COUNTS}, {ARMS}, {STAGE_SQL}
+SELECT 'verdicts' AS part, NULL::DOUBLE AS "limit", green AS a, false_confident AS b, {RATE} AS pct FROM counts UNION ALL SELECT 'sweep', "limit", shown, wrong, wrong_pct FROM swept
+UNION ALL SELECT 'system', label::DOUBLE, n, n, s_1 FROM arm UNION ALL SELECT 'plain', label::DOUBLE, n, n, p_1 FROM arm UNION ALL SELECT 'hard', NULL, n, n, s_3 FROM hard UNION ALL SELECT 'hard plain', NULL, n, n, p_3 FROM hard UNION ALL SELECT stage, NULL, NULL, NULL, p95 FROM stages""")
 def calibration_result(spark, sf_dir):
-    """The nested result of the evaluation as JSON, read back: its verdicts, sweep and recall as rows."""
-    of = items(spark, sf_dir).withColumn("arm", F.lit("system"))
-    scores = E.lift(of.unionByName(of.withColumn("arm", F.lit("plain"))), "label")
-    text = E.calibration(scores, E.verdict_counts(of), E.sweep(of, "composite", F.col("first") > 0, LIMITS))
-    back = text.select(F.from_json("json", "recall array<struct<label:double,n:long,system_recall_1:double>>, gate struct<green:long,false_confident:long,false_confident_pct:double,sweep:array<struct<limit:double,shown:long,wrong:long,wrong_pct:double>>>").alias("j"))
-    row = lambda part, limit, a, b, pct: F.struct(F.lit(part).alias("part"), limit.cast("double").alias("limit"), a.alias("a"), b.alias("b"), pct.alias("pct"))
-    g = F.col("j.gate")
-    rows = F.concat(F.array(row("verdicts", F.lit(None), g["green"], g["false_confident"], g["false_confident_pct"])), F.transform(g["sweep"], lambda s: row("sweep", s["limit"], s["shown"], s["wrong"], s["wrong_pct"])), F.transform("j.recall", lambda r: row("recall", r["label"], r["n"], r["n"], r["system_recall_1"])))
-    return back.select(F.explode(rows).alias("r")).select("r.*")
+    """The nested result of the evaluation of both arms as JSON, read back: its verdicts, sweep, recall, adversarial part and times as rows."""
+    e = evaluated(spark, sf_dir)
+    text = E.calibration(e["scores"], e["verdict"], e["swept"], e["hard"], e["stages"])
+    score = "system_recall_1:double,plain_recall_1:double,system_recall_3:double,plain_recall_3:double"
+    form = f"recall array<struct<label:double,n:long,{score}>>, adversarial struct<n:long,{score}>, latency_ms array<struct<stage:string,p95:double>>, gate struct<green:long,false_confident:long,false_confident_pct:double,sweep:array<struct<limit:double,shown:long,wrong:long,wrong_pct:double>>>"
+    back = text.select(F.from_json("json", form).alias("j"))
+    none = F.lit(None)
+    row = lambda part, limit, a, b, pct: F.struct((part if isinstance(part, Column) else F.lit(part)).alias("part"), limit.cast("double").alias("limit"), a.cast("long").alias("a"), b.cast("long").alias("b"), pct.alias("pct"))
+    g, h = F.col("j.gate"), F.col("j.adversarial")
+    parts = [F.array(row("verdicts", none, g["green"], g["false_confident"], g["false_confident_pct"])), F.transform(g["sweep"], lambda s: row("sweep", s["limit"], s["shown"], s["wrong"], s["wrong_pct"]))]
+    recalled = lambda a: F.transform("j.recall", lambda r: row(a, r["label"], r["n"], r["n"], r[f"{a}_recall_1"]))
+    parts += [recalled("system"), recalled("plain")]
+    parts += [F.filter(F.array(row(n, none, h["n"], h["n"], h[f"{a}_recall_3"])), lambda r: r["a"].isNotNull()) for n, a in (("hard", "system"), ("hard plain", "plain"))]
+    parts.append(F.transform("j.latency_ms", lambda s: row(s["stage"], none, none, none, s["p95"])))
+    return back.select(F.explode(F.concat(*parts)).alias("r")).select("r.*")
+
+
+@query(f"{ITEMS}, {ARMS} SELECT query_id, nullif(f1, 0)::INTEGER AS rank, nullif(f2, 0)::INTEGER AS plain_rank, adversarial, state, composite, f1 > 0 AS hit FROM pi")
+def calibration_items(spark, sf_dir):
+    e = evaluated(spark, sf_dir)
+    return E.per_item(e["items"], e["plain"]).withColumns({c: F.col(c).cast("int") for c in ("rank", "plain_rank")})
+
+
+THREE = r"regexp_replace(printf('%.3f', ({})::DOUBLE), '\.?0+$', '')"
+
+
+@query(f"""{ITEMS}, {COUNTS}, {ARMS}, {STAGE_SQL}, al AS (SELECT * FROM arm WHERE label IS NULL), rate AS (SELECT *, {RATE} AS pct FROM counts),
+lines AS (SELECT 0 AS part, i - 7 AS pos, x AS line FROM (SELECT unnest(range(1, 7)) AS i, unnest(['# Evaluation', '', '## Retrieval', '', '| Measure | System | Plain | Lift |', '|---|---|---|---|']) AS x)
+UNION ALL {" UNION ALL ".join(f"SELECT 0, {i}, '| {name} | ' || {THREE.format('s_' + m)} || ' | ' || {THREE.format('p_' + m)} || ' | ' || {THREE.format(f'floor((s_{m} - p_{m}) * {k} + 0.5) / {k}')} || ' |' FROM al" for i, (m, name, k) in enumerate((("1", "Recall@1 (%)", 10), ("3", "Recall@3 (%)", 10), ("5", "Recall@5 (%)", 10), ("mrr", "MRR", 1000)), 1))}
+UNION ALL SELECT 1, i - 6, x FROM (SELECT unnest(range(1, 6)) AS i, unnest(['', '### Adversarial queries', '', '| Measure | System | Plain | Lift |', '|---|---|---|---|']) AS x)
+UNION ALL {" UNION ALL ".join(f"SELECT 1, {i}, '| Recall@{m} (%) | ' || {THREE.format('s_' + m)} || ' | ' || {THREE.format('p_' + m)} || ' | ' || {THREE.format(f'floor((s_{m} - p_{m}) * 10 + 0.5) / 10')} || ' |' FROM hard" for i, m in enumerate(("1", "3"), 1))}
+UNION ALL SELECT 2, i - 6, x FROM (SELECT unnest(range(1, 6)) AS i, unnest(['', '## Times (ms)', '', '| Stage | p50 | p95 | Mean | Budget |', '|---|---|---|---|---|']) AS x)
+UNION ALL SELECT 2, list_position(['build_ms', 'embed_ms', 'search_ms', 'rank_ms', 'total_ms'], stage), '| ' || stage || ' | ' || {THREE.format('p50')} || ' | ' || {THREE.format('p95')} || ' | ' || {THREE.format('mean')} || ' | ' || CASE WHEN stage <> 'search_ms' THEN '' WHEN p95 < 10 THEN 'within 10' ELSE 'over 10' END || ' |' FROM stages
+UNION ALL SELECT 3, i - 6, x FROM (SELECT unnest(range(1, 6)) AS i, unnest(['', '## Gate', '', '| Verdict | Value |', '|---|---|']) AS x)
+UNION ALL SELECT 3, 1, '| Queries | ' || n || ' |' FROM rate UNION ALL SELECT 3, 2, '| Green | ' || green || ' |' FROM rate UNION ALL SELECT 3, 3, '| Amber or red | ' || other || ' |' FROM rate UNION ALL SELECT 3, 4, '| Green without a relevant card | ' || false_confident || ' |' FROM rate
+UNION ALL SELECT 3, 5, '| Share of the green (%) | ' || {THREE.format('pct')} || CASE WHEN pct <= 5 THEN ', within 5' ELSE ', over 5' END || ' |' FROM rate
+UNION ALL SELECT 4, i - 6, x FROM (SELECT unnest(range(1, 6)) AS i, unnest(['', '### Limits', '', '| Threshold | Shown | Coverage | False-confident | Amber rate |', '|---|---|---|---|---|']) AS x)
+UNION ALL SELECT 4, row_number() OVER (ORDER BY "limit"), '| ' || CASE WHEN "limit" = 0.55 THEN '**' || {NUMBER.format('"limit"')} || '** ←' ELSE {NUMBER.format('"limit"')} END || ' | ' || shown || '/' || n || ' | ' || {NUMBER.format('coverage_pct')} || '% | ' || wrong || ' (' || {NUMBER.format('wrong_pct')} || '%) | ' || {NUMBER.format('amber_pct')} || '% |' FROM swept)
+SELECT row_number() OVER (ORDER BY part, pos)::INTEGER AS place, line FROM lines""")
+def evaluation_report(spark, sf_dir):
+    """The whole report of an evaluation as Markdown."""
+    e = evaluated(spark, sf_dir)
+    return E.report(e["scores"], e["hard"], e["stages"], e["verdict"], e["swept"])
 
 
 GOLD = "SELECT vec_id, [vec_id + 1, vec_id + 2] AS gold, [vec_id + 2, vec_id + label] AS acceptable, label % 3 = 0 AS adversarial FROM embeddings"

@@ -222,20 +222,29 @@ def index_file(spark, sf_dir):
     return back.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)), 3).alias("total"))
 
 
-@query("""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE text <> ''), s AS (SELECT doc_id, list_transform(range(len(h) // 2), lambda i: (('0x' || substr(h, 2 * i + 1, 2))::INTEGER - 128) / 128.0::DOUBLE) AS x FROM b)
-SELECT doc_id, (2 * len(x))::INTEGER AS samples, round(2 * list_sum(x) - x[1] / 2 + x[-1] / 2, 2) AS total, (len(x) * 8000 // 11025)::INTEGER AS samples_of_another FROM s""")
-def wav_decode(spark, sf_dir):
-    """The bytes of each text as a WAV file of 8-bit samples at 8 and at 11.025 kHz, decoded to mono at 16 and at 8 kHz."""
+def _wav(rate: int):
+    """The bytes of the column text as a WAV file of one channel and 8 bits."""
     little = lambda n, k: F.unhex(F.concat(*[F.lpad(F.hex(F.floor(n / 256**i).cast("long") % 256), 2, "0") for i in range(k)]))
     body = F.encode("text", "utf-8")
     size = F.octet_length("text").cast("long")
+    head = [F.encode(F.lit("RIFF"), "utf-8"), little(size + 36, 4), F.encode(F.lit("WAVEfmt "), "utf-8"), little(F.lit(16), 4), little(F.lit(1), 2), little(F.lit(1), 2), little(F.lit(rate), 4), little(F.lit(rate), 4), little(F.lit(1), 2), little(F.lit(8), 2)]
+    return F.concat(*head, F.encode(F.lit("data"), "utf-8"), little(size, 4), body)
+
 
-    def wav(rate: int):
-        head = [F.encode(F.lit("RIFF"), "utf-8"), little(size + 36, 4), F.encode(F.lit("WAVEfmt "), "utf-8"), little(F.lit(16), 4), little(F.lit(1), 2), little(F.lit(1), 2), little(F.lit(rate), 4), little(F.lit(rate), 4), little(F.lit(1), 2), little(F.lit(8), 2)]
-        return F.concat(*head, F.encode(F.lit("data"), "utf-8"), little(size, 4), body)
+@query("""WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''), x AS (SELECT doc_id, unnest(range(len(h) // 2)) AS i, unnest(list_transform(range(len(h) // 2), lambda i: (('0x' || substr(h, 2 * i + 1, 2))::INTEGER - 128) / 128.0::DOUBLE)) AS v FROM b)
+SELECT doc_id, frame::INTEGER AS frame, frame * 32.0::DOUBLE AS "at", round(sqrt(avg(v * v)), 6) AS rms, count(*)::INTEGER AS samples FROM (SELECT *, i // 512 AS frame FROM x) GROUP BY doc_id, frame""")
+def audio_frames(spark, sf_dir):
+    """The bytes of each text as a WAV file, cut into frames by a table function."""
+    got = files.frames_of(table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", _wav(16_000).alias("content")), "doc_id")
+    return got.select(F.col("stream_id").alias("doc_id"), "frame", "at", F.round("rms", 6).alias("rms"), F.size("samples").alias("samples"))
 
+
+@query("""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE text <> ''), s AS (SELECT doc_id, list_transform(range(len(h) // 2), lambda i: (('0x' || substr(h, 2 * i + 1, 2))::INTEGER - 128) / 128.0::DOUBLE) AS x FROM b)
+SELECT doc_id, (2 * len(x))::INTEGER AS samples, round(2 * list_sum(x) - x[1] / 2 + x[-1] / 2, 2) AS total, (len(x) * 8000 // 11025)::INTEGER AS samples_of_another FROM s""")
+def wav_decode(spark, sf_dir):
+    """The bytes of each text as a WAV file of 8-bit samples at 8 and at 11.025 kHz, decoded to mono at 16 and at 8 kHz."""
     docs = table(spark, sf_dir, "documents").filter("text <> ''")
-    one = files.decode_wavs(docs.select(F.col("doc_id").alias("path"), wav(8000).alias("content")))
-    two = files.decode_wavs(docs.select(F.col("doc_id").alias("path"), wav(11_025).alias("content")), 8000)
+    one = files.decode_wavs(docs.select(F.col("doc_id").alias("path"), _wav(8000).alias("content")))
+    two = files.decode_wavs(docs.select(F.col("doc_id").alias("path"), _wav(11_025).alias("content")), 8000)
     total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
     return one.select(F.col("path").alias("doc_id"), F.size("samples").alias("samples"), F.round(total, 2).alias("total")).join(two.select(F.col("path").alias("doc_id"), F.size("samples").alias("samples_of_another")), "doc_id")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright import settings as S
 from clausewright.functions import text as T
 from clausewright.sources.index import CorruptIndex, DimensionMismatch, InvalidIndex, ModelMismatch, UnsupportedVersion, read_index, write_index  # noqa: F401
 
@@ -27,8 +28,11 @@ def read_assertions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ASSERTIONS).json(path)
 
 
-def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
-    """(sample rate, mono samples in -1 to 1) of PCM of 8, 16 or 32 bits or 32-bit float."""
+TYPES = {(1, 8): ("u1", 128.0, 128.0), (1, 16): ("<i2", 0.0, 32768.0), (1, 32): ("<i4", 0.0, 2147483648.0), (3, 32): ("<f4", 0.0, 1.0)}
+
+
+def wav_parts(data: bytes) -> tuple[int, int, tuple[str, float, float], memoryview]:
+    """(sample rate, channels, how numbers are stored, the whole blocks of samples) of a WAV file; nothing is copied."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, form, body = 12, None, None
@@ -37,17 +41,76 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
         if name == b"fmt ":
             form = struct.unpack_from("<HHIIHH", data, at + 8)
         elif name == b"data":
-            body = data[at + 8 : at + 8 + size]
+            body = memoryview(data)[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     if form is None or body is None:
         raise ValueError("a WAV file needs format and data")
     kind, channels, rate, _, _, bits = form
-    types = {(1, 8): ("u1", 128.0, 128.0), (1, 16): ("<i2", 0.0, 32768.0), (1, 32): ("<i4", 0.0, 2147483648.0), (3, 32): ("<f4", 0.0, 1.0)}
-    if (kind, bits) not in types:
+    if (kind, bits) not in TYPES:
         raise ValueError(f"unsupported WAV format {kind} of {bits} bits")
-    dtype, zero, scale = types[kind, bits]
-    x = (np.frombuffer(body[: len(body) // (channels * bits // 8) * (channels * bits // 8)], dtype).astype(np.float64) - zero) / scale
-    return rate, x.reshape(-1, channels).mean(axis=1).astype(np.float32)
+    block = channels * bits // 8
+    return rate, channels, TYPES[kind, bits], body[: len(body) // block * block]
+
+
+def _mono(body: memoryview, channels: int, how: tuple[str, float, float]) -> np.ndarray:
+    dtype, zero, scale = how
+    return ((np.frombuffer(body, dtype).astype(np.float64) - zero) / scale).reshape(-1, channels).mean(axis=1).astype(np.float32)
+
+
+def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
+    """(sample rate, mono samples in -1 to 1) of PCM of 8, 16 or 32 bits or 32-bit float."""
+    rate, channels, how, body = wav_parts(data)
+    return rate, _mono(body, channels, how)
+
+
+def wav_frames(data: bytes, rate: int = S.SAMPLE_RATE, size: int = 512, window: int = 65_536) -> Iterator[np.ndarray]:
+    """The mono samples at the rate asked for in frames of `size`, the last one shorter: what resample(decode_wav()) gives, with `window` samples of the source decoded at a time.
+
+    The resampler carries its last sample and place from one window to the next.
+    """
+    source, channels, how, body = wav_parts(data)
+    block = channels * np.dtype(how[0]).itemsize
+    total, step = len(body) // block, source / rate
+    whole = total if source == rate else int(total / step)
+    held, base, done = np.zeros(0, np.float32), 0, 0  # samples not used up, the place of the first, and how many were made
+    out = np.zeros(0, np.float32)
+    for at in range(0, total, window):
+        new = _mono(body[at * block : (at + window) * block], channels, how)
+        if source == rate:
+            made = new
+        else:
+            held = np.concatenate([held, new])
+            end = at + len(new)
+            n = whole if end == total else min(whole, int((end - 1) / step) + 1)
+            where = np.arange(done, n) * step
+            where = where[where <= end - 1] if end < total else where
+            made = np.interp(where, np.arange(base, base + len(held)), held).astype(np.float32)
+            done += len(made)
+            keep = max(base, min(end - 1, int(done * step)))  # the sample before the next place is needed again
+            held, base = held[keep - base :], keep
+        out = np.concatenate([out, made])
+        for i in range(0, len(out) // size * size, size):
+            yield out[i : i + size]
+        out = out[len(out) // size * size :]
+    if len(out):
+        yield out
+
+
+@F.udtf(returnType="frame int, at double, rms double, samples array<float>")
+class WavFrames:
+    """A table function: the frames of a WAV file (content, rate, size), with their start in ms and their energy. Null content has none. A task holds the file's bytes and one window of it."""
+
+    def eval(self, content, rate, size):
+        if content is None:
+            return
+        for i, x in enumerate(wav_frames(bytes(content), rate, size)):
+            yield i, i * size / rate * 1000, float(np.sqrt(np.mean(x.astype(np.float64) ** 2))), x.tolist()
+
+
+def frames_of(files: DataFrame, key: str = "path", content: str = "content", rate: int = S.SAMPLE_RATE, size: int = 512) -> DataFrame:
+    """(stream_id, frame, at, rms, samples) of each WAV file, a row a frame, as the segment and utterance operators take them."""
+    named = files.select(F.col(key).alias("stream_id"), F.col(content).alias("content"))
+    return named.lateralJoin(WavFrames(F.col("content").outer(), F.lit(rate), F.lit(size))).drop("content")
 
 
 def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:

@@ -3,6 +3,8 @@
 import collections
 import datetime as dt
 import random
+import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from clausewright.functions import vectors as V
 from clausewright.operators import clauses as C
 from clausewright.operators import documents as D
 from clausewright.plans import retrieval as R
+from clausewright.sources import files
 from clausewright.sources.tables import cut
 from clausewright.streaming import answers as A
 from clausewright.streaming import event_time, ring, vad
@@ -196,3 +199,45 @@ def test_history_merge(spark):
     got = [tuple(r) for r in A.merged(before, of([("b", 0.5, "y"), ("d", 3.0, "y"), ("d", 2.0, "z")]), 3).collect()]
     assert got == [("d", 3.0, "y"), ("c", 3.0, "x"), ("a", 1.0, "x")]
     assert A.merged(None, of([]), 3).count() == 0
+
+
+def wav(x, rate, kind=1, bits=16, channels=1):
+    data = x.tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits) + b"data" + struct.pack("<I", len(data)) + data
+
+
+def test_frames_equal_the_whole_file():
+    rng = np.random.default_rng(1)
+    for rate in (8_000, 11_025, 16_000, 22_050, 44_100, 48_000):
+        for n in (0, 1, 2, 700, 5_003):
+            for kind, bits, dtype, channels in ((1, 16, np.int16, 1), (1, 8, np.uint8, 2), (3, 32, np.float32, 1)):
+                x = (rng.random(n * channels) * 100).astype(dtype)
+                data = wav(x, rate, kind, bits, channels)
+                want = files.resample(files.decode_wav(data)[1], rate, 16_000)
+                for window in (1, 7, 64, 1000, 65_536):
+                    if window < 64 and n > 1000:
+                        continue
+                    frames = list(files.wav_frames(data, 16_000, 32, window))
+                    got = np.concatenate(frames) if frames else np.zeros(0, np.float32)
+                    assert np.array_equal(got, want) and all(len(f) == 32 for f in frames[:-1]), (rate, n, window)
+
+
+def test_frames_of_a_long_file_need_little_memory():
+    x = np.zeros(60_000_000, np.int16)  # over twenty minutes at 44.1 kHz
+    data = wav(x, 44_100)
+    tracemalloc.start()
+    n = sum(len(f) for f in files.wav_frames(data))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == int(60_000_000 / (44_100 / 16_000)) and most < 2**23
+
+
+def test_files_to_segments(spark):
+    tone = np.concatenate([np.zeros(16_000), 9_000 * np.sin(np.arange(16_000)), np.zeros(24_000)]).astype(np.int16)
+    rows = spark.createDataFrame([("a", wav(tone, 16_000)), ("b", None), ("c", wav(tone[:100], 16_000))], "path string, content binary")
+    frames = files.frames_of(rows)
+    got = [tuple(r) for r in vad.segments(frames).orderBy("stream_id", "at").select("stream_id", "type").collect()]
+    assert got == [("a", "speechStart"), ("a", "speechEnd")] and {r["stream_id"]: r["n"] for r in frames.groupBy("stream_id").agg(F.count("*").alias("n")).collect()} == {"a": 110, "c": 1}
+    spark.udtf.register("wav_frames", files.WavFrames)
+    rows.createOrReplaceTempView("recordings")
+    assert spark.sql("SELECT path, frame, at FROM recordings, LATERAL wav_frames(content, 16000, 512)").count() == 111

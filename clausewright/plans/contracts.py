@@ -6,8 +6,6 @@ breaks, repeated headers. All documents and all their lines take part.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ from clausewright.operators import scoring as G
 from clausewright.plans import retrieval as R
 from clausewright.plans.registry import query, rounded, sql_list, table
 from clausewright.plans.search import EXPANSION, FUSION, JUDGED, KINDS, NUDGED, SEARCH, VERDICT
-from clausewright.sources.tables import cut, shared_dir
+from clausewright.sources.tables import cut, folder
 from clausewright.streaming.answers import AnswerSink
 
 
@@ -172,7 +170,7 @@ def fault_counts(spark, sf_dir):
         "documents": (FX.document_fault(parsed).select("doc_id", "sha256", "fault"), [FX.SCANNED, FX.EMPTY]),
     }
     for kind, (rows, codes) in each.items():
-        good, bad, seen = FX.write_apart(rows, f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}", codes, kind)
+        good, bad, seen = FX.write_apart(rows, folder(spark, kind), codes, kind)
         written = bad.groupBy(F.col("fault").alias("code")).agg(F.count("*").alias("n")).unionByName(good.agg(F.lit("kept").alias("code"), F.count("*").alias("n")).filter("n > 0"))
         told = spark.createDataFrame([(c, seen[c]) for c in (*codes, "kept")], "code string, told long")  # a row a code
         out.append(written.join(told, "code").filter("n = told").select(F.lit(kind).alias("kind"), "code", "n"))
@@ -279,7 +277,7 @@ def answered_history(spark, sf_dir):
     """The newest hundred queries with verdict and first card, from three micro-batches of which the last is run twice."""
     part = lambda i: F.split_part("query_id", F.lit(":"), F.lit(i)).cast("double")
     asked = said(spark, sf_dir).withColumn("at", part(1) * 1000 + part(2))
-    sink = AnswerSink(f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}", cut(chunk_rows(spark, sf_dir), "chunks"), _embed())
+    sink = AnswerSink(folder(spark, "answers"), cut(chunk_rows(spark, sf_dir), "chunks"), _embed())
     for batch in (0, 1, 2, 2):
         sink(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(3)) == batch), batch)
     return sink.history(spark).select("query_id", F.col("at").alias("said_at"), "state", "composite", "reason", "top_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -196,14 +194,10 @@ def event_history(spark, sf_dir):
     return sessions.history(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "user_id")
 
 
-def _folder(spark, name: str) -> str:
-    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT 'q' || vec_id AS id, CASE WHEN label % 3 = 0 THEN 'c' || (vec_id + 1) ELSE array_to_string(list_sort(['c' || (vec_id + 1), 'c' || (vec_id + 2)]), ',') END AS ids FROM embeddings")
 def assertion_file(spark, sf_dir):
     """Labelled queries written as a file of JSON lines, read by its schema, and what counts as found for each."""
-    v, path = F.col("vec_id"), _folder(spark, "assertions")
+    v, path = F.col("vec_id"), tables.folder(spark, "assertions")
     of = lambda *ids: F.array(*[F.concat(F.lit("c"), i.cast("string")) for i in ids])
     rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("q"), v.cast("string")).alias("id"), F.lit("a claim").alias("assertion"), of(v + 1).alias("goldChunkIds"), of(v + 2, v + 1).alias("acceptableChunkIds"), (F.col("label") % 3 == 0).alias("adversarial"))
     rows.write.json(path)
@@ -214,7 +208,7 @@ def assertion_file(spark, sf_dir):
 @query("SELECT label, count(*) AS n, round(sum(list_sum(embedding)::DOUBLE), 3) AS total FROM embeddings GROUP BY label")
 def index_file(spark, sf_dir):
     """An index written with its manifest and read back against it."""
-    path = _folder(spark, "index")
+    path = tables.folder(spark, "index")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), "embedding", "label")
     wide = rows.select(F.size("embedding")).first()[0]
     files.write_index(rows, path, f"vectors-{wide}", wide)

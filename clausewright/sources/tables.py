@@ -1,7 +1,12 @@
-"""Written cut points: tables in the folder that driver and executors share."""
+"""Written cut points: tables in the folder that driver and executors share.
+
+What a plan is done with, discard() deletes. A table that a returned result still reads can't go before that result has been used, so the driver deletes those it has left when it ends, or sweep() before.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -20,6 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: What this driver has written and not yet deleted, by the last part of its folder's name.
+_left: dict[str, tuple[SparkSession, str]] = {}
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left[path.rpartition("/")[2]] = spark, path
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _left.pop(path.rpartition("/")[2], None)
+
+
+def sweep() -> None:
+    """Deletes what has been written here and is still there; results that read it can't be used any more."""
+    for spark, path in list(_left.values()):
+        with contextlib.suppress(Exception):  # the session may have ended, with its JVM
+            _delete(spark, path)
+
+
+atexit.register(sweep)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again.
 
@@ -27,7 +59,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     a plan that is used several times runs once. Shuffle files of the write go when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
@@ -42,6 +74,5 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that cut() wrote, once all that is made from them is written itself."""
     for df in tables:
         spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _delete(spark, path)

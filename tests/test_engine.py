@@ -482,3 +482,16 @@ def test_written_tables_need_a_shared_folder(spark):
     folder = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
     tables.discard(df)
     assert not os.path.exists(folder)
+
+
+def test_tables_left_over_are_swept(spark):
+    kept, gone = (tables.cut(spark.range(5), "sweep-test") for _ in range(2))
+    folders = [df.inputFiles()[0].rpartition("/")[0].removeprefix("file://") for df in (kept, gone)]
+    tables.discard(gone)
+    assert kept.count() == 5 and [os.path.isdir(f) for f in folders] == [True, False]
+    rest = {k: v for k, v in tables._left.items() if "sweep-test" not in k}
+    for k in rest:
+        del tables._left[k]
+    tables.sweep()
+    tables._left.update(rest)
+    assert not os.path.isdir(folders[0]) and not any("sweep-test" in k for k in tables._left)

@@ -29,7 +29,7 @@ def collapse(text: Column) -> Column:
 
 
 def dehyphenate(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"([a-z])-\s+([a-z])", "$1$2"), r"\s+", " ")
+    return F.regexp_replace(F.when(F.contains(text, F.lit("-")), F.regexp_replace(text, r"([a-z])-\s+([a-z])", "$1$2")).otherwise(text), r"\s+", " ")
 
 
 def word_count(text: Column) -> Column:

@@ -21,8 +21,12 @@ def pages(text: Column, per_page: int = S.PAGE_LINES) -> Column:
     return F.when(F.contains(text, F.lit(S.PAGE_BREAK)), F.split(text, S.PAGE_BREAK, -1)).otherwise(by_lines)
 
 
+#: What a heading may begin with; other lines needn't be held against the patterns.
+FIRSTS = '#AaSs0123456789("'
+
+
 def is_heading(line: Column) -> Column:
-    return reduce(lambda a, b: a | b, [line.rlike(p) for p in S.HEADINGS])
+    return F.contains(F.lit(FIRSTS), F.substring(line, 1, 1)) & reduce(lambda a, b: a | b, [line.rlike(p) for p in S.HEADINGS])
 
 
 def page_blocks(page: Column) -> Column:
@@ -30,7 +34,7 @@ def page_blocks(page: Column) -> Column:
 
     def block(ls: Column, at: Column, stop: Column) -> Column:
         first, heading = F.get(ls, at)["x"], F.get(ls, at)["heading"]
-        clean = F.regexp_replace(first, S.HASHES, "")
+        clean = F.when(first.startswith("#"), F.regexp_replace(first, S.HASHES, "")).otherwise(first)
         body = F.array_join(F.concat(F.array(clean), F.transform(F.slice(ls, at + 2, F.greatest(stop - at - 1, F.lit(0))), lambda l: l["x"])), " ")
         size = F.when(~heading, 11.0).when(clean.rlike("(?i)^article"), 14.0).when(clean.rlike("(?i)^section"), 12.5).otherwise(11.0)
         return F.struct(at.alias("line_no"), T.dehyphenate(body).alias("text"), size.alias("font_size"), (heading & clean.rlike("(?i)^article|section")).alias("bold"))
@@ -41,7 +45,7 @@ def page_blocks(page: Column) -> Column:
         return T.let(starts, lambda at: F.filter(F.transform(at, lambda s, k: block(ls, s, F.coalesce(F.get(at, k + 1), n))), lambda b: b["text"] != ""))
 
     marked = lambda x: F.struct(x.alias("x"), is_heading(x).alias("heading"))
-    return T.let(F.transform(F.transform(F.split(page, r"\r?\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), marked), found)
+    return T.let(F.transform(F.transform(F.split(page, r"\r?\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))), marked), found)
 
 
 def strip_repeats(blocks: Column, n_pages: Column) -> Column:

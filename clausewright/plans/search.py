@@ -290,8 +290,8 @@ sw AS (SELECT l AS "limit", count(*) AS n, count(*) FILTER (composite >= l) AS s
 
 
 @query(f"""{ITEMS}, {COUNTS}, {ARMS}, {STAGE_SQL}
-SELECT 'verdicts' AS part, NULL::DOUBLE AS "limit", green AS a, false_confident AS b, {RATE} AS pct FROM counts UNION ALL SELECT 'sweep', "limit", shown, wrong, wrong_pct FROM swept
-UNION ALL SELECT 'system', label::DOUBLE, n, n, s_1 FROM arm UNION ALL SELECT 'plain', label::DOUBLE, n, n, p_1 FROM arm UNION ALL SELECT 'hard', NULL, n, n, s_3 FROM hard UNION ALL SELECT 'hard plain', NULL, n, n, p_3 FROM hard UNION ALL SELECT stage, NULL, NULL, NULL, p95 FROM stages""")
+SELECT part, "limit", a::DOUBLE AS a, b::DOUBLE AS b, pct FROM (SELECT 'verdicts' AS part, NULL::DOUBLE AS "limit", green AS a, false_confident AS b, {RATE} AS pct FROM counts UNION ALL SELECT 'sweep', "limit", shown, wrong, wrong_pct FROM swept
+UNION ALL SELECT 'system', label::DOUBLE, n, n, s_1 FROM arm UNION ALL SELECT 'plain', label::DOUBLE, n, n, p_1 FROM arm UNION ALL SELECT 'hard', NULL, n, n, s_3 FROM hard UNION ALL SELECT 'hard plain', NULL, n, n, p_3 FROM hard UNION ALL SELECT stage, NULL, NULL, NULL, p95 FROM stages)""")
 def calibration_result(spark, sf_dir):
     """The nested result of the evaluation of both arms as JSON, read back: its verdicts, sweep, recall, adversarial part and times as rows."""
     e = evaluated(spark, sf_dir)
@@ -300,7 +300,7 @@ def calibration_result(spark, sf_dir):
     form = f"recall array<struct<label:double,n:long,{score}>>, adversarial struct<n:long,{score}>, latency_ms array<struct<stage:string,p95:double>>, gate struct<green:long,false_confident:long,false_confident_pct:double,sweep:array<struct<limit:double,shown:long,wrong:long,wrong_pct:double>>>"
     back = text.select(F.from_json("json", form).alias("j"))
     none = F.lit(None)
-    row = lambda part, limit, a, b, pct: F.struct((part if isinstance(part, Column) else F.lit(part)).alias("part"), limit.cast("double").alias("limit"), a.cast("long").alias("a"), b.cast("long").alias("b"), pct.alias("pct"))
+    row = lambda part, limit, a, b, pct: F.struct((part if isinstance(part, Column) else F.lit(part)).alias("part"), limit.cast("double").alias("limit"), a.cast("double").alias("a"), b.cast("double").alias("b"), pct.alias("pct"))
     g, h = F.col("j.gate"), F.col("j.adversarial")
     parts = [F.array(row("verdicts", none, g["green"], g["false_confident"], g["false_confident_pct"])), F.transform(g["sweep"], lambda s: row("sweep", s["limit"], s["shown"], s["wrong"], s["wrong_pct"]))]
     recalled = lambda a: F.transform("j.recall", lambda r: row(a, r["label"], r["n"], r["n"], r[f"{a}_recall_1"]))
@@ -310,10 +310,10 @@ def calibration_result(spark, sf_dir):
     return back.select(F.explode(F.concat(*parts)).alias("r")).select("r.*")
 
 
-@query(f"{ITEMS}, {ARMS} SELECT query_id, nullif(f1, 0)::INTEGER AS rank, nullif(f2, 0)::INTEGER AS plain_rank, adversarial, state, composite, f1 > 0 AS hit FROM pi")
+@query(f"{ITEMS}, {ARMS} SELECT query_id, nullif(f1, 0)::DOUBLE AS rank, nullif(f2, 0)::DOUBLE AS plain_rank, adversarial, state, composite, f1 > 0 AS hit FROM pi")
 def calibration_items(spark, sf_dir):
     e = evaluated(spark, sf_dir)
-    return E.per_item(e["items"], e["plain"]).withColumns({c: F.col(c).cast("int") for c in ("rank", "plain_rank")})
+    return E.per_item(e["items"], e["plain"]).withColumns({c: F.col(c).cast("double") for c in ("rank", "plain_rank")})
 
 
 THREE = r"regexp_replace(printf('%.3f', ({})::DOUBLE), '\.?0+$', '')"

@@ -63,7 +63,7 @@ def knn_flat_top10(spark, sf_dir):
 def knn_lists_recall(spark, sf_dir):
     """The exact answer's least score and size for each query, and whether inverted lists recall at least 0.95 of all exact hits."""
     exact = found(spark, sf_dir)
-    lists = create_index(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "lists", lists=16, probes=12)
+    lists = create_index(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "lists", lists=16, probes=14)
     met = lists.search(asked(spark, sf_dir), S.TOP_K).select("query_id", "kind", "id", F.lit(1).alias("met"))
     per = exact.join(met, ["query_id", "kind", "id"], "left").groupBy("query_id", "kind").agg(F.round(F.min("score"), 6).alias("least"), F.count("*").cast("int").alias("n"), F.count("met").alias("met"))
     out = cut(per, "recall")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from clausewright.sources.tables import cut, discard, shared_dir  # noqa: F401
+from clausewright.sources.tables import BATCH_BYTES, cut, discard, shared_dir, small_batches  # noqa: F401
 
 #: ASCII white space, and a word as a run of anything else (fixed by the query contracts).
 SPACE = " \t\n\x0b\f\r"
@@ -44,23 +44,6 @@ def quantile_cells(keys: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]
     return ends, np.array([*(cells[v] for v in ends.tolist()), 1], np.int64)
 
 
-#: Bytes of an Arrow batch, and of the texts that a Python function sees at once, beyond which no further row is added.
-BATCH_BYTES = 2**24
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, once its session hands tasks' rows to Python in Arrow batches of at most 1,000 rows and some 16 MB, if it had Spark's own limits.
-
-    Texts and arrays are long rows, and a batch is held several times on its way; rows alone don't bound it. Results don't depend on these settings.
-    """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
 def slices(sizes: np.ndarray, rows: int, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """(begin, end) of runs of at most `rows` values whose sizes come to at most `most`, or of one value that is larger."""
     upto, at = np.append(0, np.cumsum(sizes)), 0

@@ -40,6 +40,26 @@ def counting(seen):
     return V.embed_with(lambda: Counting(32))
 
 
+def test_texts_are_embedded_once_in_small_batches(spark, chunk_rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    n = chunk_rows.count()
+    many = chunk_rows.crossJoin(spark.range(30).withColumnRenamed("id", "copy")).withColumn("id", F.concat_ws("/", "id", F.col("copy").cast("string"))).drop("copy").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+    R.verdicts(asked(spark, [1, 2]).drop("at"), R.answer_plain(asked(spark, [1, 2]).drop("at"), many, counting(seen)), plain=True).collect()
+    assert seen.value == 30 * n
+
+
+def test_only_clauses_within_reach_are_grouped(spark, chunk_rows):
+    clauses = C.as_clauses(chunk_rows)
+    twice = clauses.unionByName(clauses.filter("id LIKE '7::%'").withColumns({"seq": F.struct((F.col("seq.doc_id") + 100).alias("doc_id"), "seq.vector_offset"), "doc": F.col("doc") + 1_000_000, "text": F.lit("the last of its id")}))
+    some = clauses.filter("id LIKE '7::1.1%' OR id LIKE '9::1.2%' OR id LIKE '30::1.1%'").select("id")
+    fused = some.withColumns({"query_id": F.lit("q"), "rank": F.when(F.col("id").startswith("30"), 3).otherwise(1)})
+    whole, got = R.last_of_id(twice), R.within_reach(twice, fused)
+    want = whole.filter("id LIKE '7::%' OR id LIKE '9::%'").unionByName(whole.join(some.filter("id LIKE '30::%'"), "id", "left_semi"))
+    rows = lambda df: sorted(map(str, df.select(*whole.columns).collect()))
+    assert rows(got) == rows(want) and got.filter("text = 'the last of its id'").count() > 0
+
+
 def test_units_are_folded_alike_whatever_the_batches(spark):
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
     rng = np.random.default_rng(4)

@@ -49,6 +49,15 @@ def test_texts_are_embedded_once_in_small_batches(spark, chunk_rows):
     assert seen.value == 30 * n
 
 
+def test_a_sink_embeds_the_clauses_for_its_first_batch_only(spark, chunk_rows, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    sink = A.AnswerSink(f"file://{tmp_path}/out", chunk_rows, counting(seen))
+    for batch, ids in ((0, [1, 2]), (1, [3]), (1, [3])):
+        sink(asked(spark, ids), batch)
+    assert seen.value == chunk_rows.count()
+    assert [r["query_id"] for r in sink.history(spark).collect()] == ["q3", "q2", "q1"]
+
+
 def test_only_clauses_within_reach_are_grouped(spark, chunk_rows):
     clauses = C.as_clauses(chunk_rows)
     twice = clauses.unionByName(clauses.filter("id LIKE '7::%'").withColumns({"seq": F.struct((F.col("seq.doc_id") + 100).alias("doc_id"), "seq.vector_offset"), "doc": F.col("doc") + 1_000_000, "text": F.lit("the last of its id")}))

@@ -58,6 +58,19 @@ def test_a_sink_embeds_the_clauses_for_its_first_batch_only(spark, chunk_rows, t
     assert [r["query_id"] for r in sink.history(spark).collect()] == ["q3", "q2", "q1"]
 
 
+def wav(samples, rate=8000):
+    return b"RIFF" + struct.pack("<I", 36 + len(samples)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate, 1, 8) + b"data" + struct.pack("<I", len(samples)) + samples
+
+
+def test_files_are_decoded_in_batches(spark):
+    rng = np.random.default_rng(2)
+    data = {i: wav(rng.integers(0, 256, int(n)).astype("u1").tobytes()) for i, n in enumerate([0, 1, 2, 513, *rng.integers(0, 3000, 1500)])}
+    got = files.decode_wavs(spark.createDataFrame(list(data.items()), "path long, content binary").coalesce(1))
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # a batch for many files, not a frame of its own for each
+    found = {r["path"]: (r["sample_rate"], r["samples"]) for r in got.collect()}
+    assert found == {i: (16_000, files.resample(files.decode_wav(x)[1], 8000, 16_000).tolist()) for i, x in data.items()}
+
+
 def test_only_clauses_within_reach_are_grouped(spark, chunk_rows):
     clauses = C.as_clauses(chunk_rows)
     twice = clauses.unionByName(clauses.filter("id LIKE '7::%'").withColumns({"seq": F.struct((F.col("seq.doc_id") + 100).alias("doc_id"), "seq.vector_offset"), "doc": F.col("doc") + 1_000_000, "text": F.lit("the last of its id")}))

@@ -71,6 +71,21 @@ def test_files_are_decoded_in_batches(spark):
     assert found == {i: (16_000, files.resample(files.decode_wav(x)[1], 8000, 16_000).tolist()) for i, x in data.items()}
 
 
+def test_terms_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(i):
+        seen.add(1)
+        return i
+
+    terms = spark.createDataFrame([(f"term {i}",) for i in range(40)], "term string").withColumn("place", F.udf(told, LongType())(F.substring("term", 6, 9).cast("long")))
+    texts = spark.createDataFrame([("a", "Term 7 and term 3")], "query_id string, transcript string")
+    for size in (2**22, 50):
+        before = seen.value
+        assert [r["known"] for r in contained_terms(texts, terms, slice_bytes=size).collect()] == [["term 3", "term 7"]]
+        assert seen.value - before == 40
+
+
 def test_only_clauses_within_reach_are_grouped(spark, chunk_rows):
     clauses = C.as_clauses(chunk_rows)
     twice = clauses.unionByName(clauses.filter("id LIKE '7::%'").withColumns({"seq": F.struct((F.col("seq.doc_id") + 100).alias("doc_id"), "seq.vector_offset"), "doc": F.col("doc") + 1_000_000, "text": F.lit("the last of its id")}))

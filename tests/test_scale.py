@@ -12,7 +12,7 @@ from clausewright.operators import clauses as C
 from clausewright.operators import documents as D
 from clausewright.operators.dictionary import contained_terms
 from clausewright.plans import retrieval as R
-from clausewright.sources import files
+from clausewright.sources import files, tables
 from clausewright.sources.tables import cut
 from clausewright.streaming import answers as A
 
@@ -52,8 +52,10 @@ def test_texts_are_embedded_once_in_small_batches(spark, chunk_rows):
 def test_a_sink_embeds_the_clauses_for_its_first_batch_only(spark, chunk_rows, tmp_path):
     seen = spark.sparkContext.accumulator(0)
     sink = A.AnswerSink(f"file://{tmp_path}/out", chunk_rows, counting(seen))
+    left = set(tables._left)
     for batch, ids in ((0, [1, 2]), (1, [3]), (1, [3])):
         sink(asked(spark, ids), batch)
+    assert sorted(x.partition("-")[0] for x in set(tables._left) - left) == ["terms", "vectors"]  # batches leave nothing behind
     assert seen.value == chunk_rows.count()
     assert [r["query_id"] for r in sink.history(spark).collect()] == ["q3", "q2", "q1"]
 

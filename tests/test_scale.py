@@ -2,6 +2,7 @@
 
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from clausewright.functions import vectors as V
 from clausewright.operators import clauses as C
 from clausewright.operators import documents as D
 from clausewright.operators.dictionary import contained_terms
+from clausewright.plans import contracts
 from clausewright.plans import retrieval as R
+from clausewright.plans.registry import ORACLES
 from clausewright.sources import files, tables
 from clausewright.sources.tables import cut
 from clausewright.streaming import answers as A
@@ -60,6 +63,30 @@ def test_a_sink_embeds_the_clauses_for_its_first_batch_only(spark, chunk_rows, t
     assert [r["query_id"] for r in sink.history(spark).collect()] == ["q3", "q2", "q1"]
 
 
+def test_a_history_answers_what_all_conversations_say(spark, monkeypatch, tmp_path):
+    said = [(c, t, ("user", "assistant")[t % 2], f"line {c} of turn {t} says that the fee is due in {c % 7} days") for c in (*range(1, 61), 100, 200) for t in range(4)]
+    lines = "\n\n".join(f"line {i} says that the fee is due in {i} days and all is well" for i in range(40))
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(d, lines) for d in range(1, 4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    class Sink(A.AnswerSink):
+        def __call__(self, queries, batch):
+            seen.extend((r["query_id"], batch) for r in queries.select("query_id").collect())
+            super().__call__(queries, batch)
+
+    monkeypatch.setattr(contracts, "AnswerSink", Sink)
+    got = contracts.answered_history(spark, str(tmp_path)).collect()
+    users = [(c, t) for c, t, role, _ in said if role == "user"]
+    assert {q for q, _ in seen} == {f"{c}:{t}" for c, t in users} and len(set(seen)) == len(users) > 100  # all are answered, not just those that are shown
+    assert [r["query_id"] for r in got] == [f"{c}:{t}" for c, t in sorted(users, reverse=True)[:100]]
+    db = duckdb.connect()
+    for name in ("conversations", "documents"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == db.sql(ORACLES["answered_history"]).fetchall()
+    assert {r["query_id"] for r in contracts.said(spark, str(tmp_path)).collect()} == {"100:0", "100:2", "200:0", "200:2"}  # searches ask what they asked
+
+
 def wav(samples, rate=8000):
     return b"RIFF" + struct.pack("<I", 36 + len(samples)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate, 1, 8) + b"data" + struct.pack("<I", len(samples)) + samples
 
